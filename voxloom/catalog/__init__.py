@@ -1,0 +1,17 @@
+"""Registered queries and their DuckDB twins."""
+
+from __future__ import annotations
+
+from voxloom.catalog import audio_queries, frame_queries, schedule_queries, source_queries, text_queries
+
+_PARTS = (text_queries, source_queries, audio_queries, schedule_queries, frame_queries)
+
+
+def all_queries():
+    """Name to ``(spark, sf_dir) -> DataFrame``."""
+    return {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+
+
+def all_oracles():
+    """Name to SQL over the same tables."""
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
