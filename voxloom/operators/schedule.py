@@ -20,13 +20,13 @@ def length_bins(index: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
         index.select("idx", "length"),
         "length",
         "idx",
-        "__rank",
+        "length_rank",
         block=cfg.position_block,
         lead_is_number=True,
     )
     return ranked.select(
-        F.floor(F.col("__rank") / cfg.batch_size).cast("bigint").alias("bin"),
-        (F.col("__rank") % cfg.batch_size).cast("int").alias("slot_in_bin"),
+        F.floor(F.col("length_rank") / cfg.batch_size).cast("bigint").alias("bin"),
+        (F.col("length_rank") % cfg.batch_size).cast("int").alias("slot_in_bin"),
         "idx",
         "length",
     )
@@ -61,7 +61,7 @@ def over_epochs(bins: DataFrame, n_epochs: int, first: int = 0) -> DataFrame:
     if n_epochs <= 0:
         return bins.withColumn("epoch", F.lit(first)).where(F.lit(False))
     epochs = F.sequence(F.lit(first), F.lit(first + n_epochs - 1))
-    return bins.withColumn("epoch", F.explode(epochs).cast("int"))
+    return bins.withColumn("epoch", F.explode(epochs))
 
 
 def _bin_key(seed: int) -> Column:
