@@ -27,6 +27,7 @@ from voxloom.operators.position import exclusive_sums
 from voxloom.plans.tokenize import tokenize_corpus as run_tokenize_corpus
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
+from voxloom.sources.files import subdirectories
 from voxloom.streaming.tokenize import tokenize_stream
 
 QUERIES, ORACLE = {}, {}
@@ -145,7 +146,7 @@ def existing_count(spark, sf):
     root = chunk_dir(spark, sf)
     counts = [
         (d, s, n)
-        for d in ("assistant", "system", "user")
+        for d in subdirectories(spark, root)
         for s in S.SPLITS
         if (n := H.existing_count(spark, f"{root}/{d}", s))
     ]

@@ -20,6 +20,7 @@ from voxloom.operators.tokenize import clean_rows, keep_long_enough
 from voxloom.schemas import AUDIO_CELL
 from voxloom.session import new_scratch
 from voxloom.sources import chunks as H
+from voxloom.sources.files import put_bytes
 
 CFG = PipelineConfig(chunk_rows=64, position_block=1 << 16)
 N_FILES = 4
@@ -110,10 +111,13 @@ def lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indexed_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """``lengths`` with ``idx``, the place in file order."""
-    return position_by_number(
-        lengths(spark, sf), "file_no", "sid", "idx", block=CFG.position_block, lead_is_number=True
-    )
+    """``lengths`` with ``idx``, the place in file order: written once, like any sample index."""
+
+    def write(path: str) -> None:
+        rows = lengths(spark, sf)
+        position_by_number(rows, "file_no", "sid", "idx", block=CFG.position_block).write.parquet(path)
+
+    return spark.read.parquet(written_once(spark, sf, "index", write))
 
 
 def numbered_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,21 +245,18 @@ def corpus_schema(spark: SparkSession, sf: str):
     return spoken(spark, sf).drop("split").schema
 
 
-DATASETS = ("assistant", "system", "user")
-
-
 def chunk_dir(spark: SparkSession, sf: str) -> str:
     """Samples as chunk files: one directory per dataset, every split in each, and a broken file."""
 
     def write(path: str) -> None:
-        from voxloom.sources.files import put_bytes
-
-        rows = samples(spark, sf)
-        for dataset in DATASETS:
-            for split in ("train", "validation", "test"):
-                part = rows.where((F.col("dataset") == dataset) & (F.col("split") == split))
-                placed = H.assign_chunks(part, "file_no", "sid", (), 1, CFG)
-                H.write_chunks(placed, part.count(), f"{path}/{dataset}", split, None, 1, CFG)
+        group = ("dataset", "split")
+        placed = H.assign_chunks(samples(spark, sf), "file_no", "sid", group, 1, CFG)
+        staged = new_scratch(spark, "placed")
+        placed.write.partitionBy(*group).parquet(staged)
+        rows = spark.read.parquet(staged)
+        for dataset, split, n in rows.groupBy(*group).count().collect():
+            part = rows.where((F.col("dataset") == dataset) & (F.col("split") == split)).drop(*group)
+            H.write_chunks(part, n, f"{path}/{dataset}", split, None, 1, CFG)
         put_bytes(spark, f"{path}/user/train_part_broken.parquet", b"not a table")
 
     return written_once(spark, sf, "chunks", write)

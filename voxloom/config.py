@@ -53,7 +53,7 @@ class PipelineConfig:
     epochs: int = 25
     seed: int = SAMPLER_SEED
     position_block: int = 1 << 20
-    chunks_per_task: int = 64
+    chunks_per_task: int = 16
     broadcast_rows: int = 200_000
 
     @property

@@ -21,3 +21,8 @@ def index_range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(
         F.array().cast("array<int>")
     )
+
+
+def int_div(value: Column, by: int | Column) -> Column:
+    """Integer quotient as a bigint; never goes through floating point."""
+    return F.call_function("div", value, F.lit(by))

@@ -114,18 +114,20 @@ class LatticeEncoder:
         return np.concatenate(codes, axis=1).T.astype(np.int32)
 
 
-def standardise(cell: dict, decoder=decode_wav, rate: int = SAMPLE_RATE) -> np.ndarray:
-    """An audio cell to a mono waveform at ``rate``. Decoded arrays win over container bytes."""
-    if cell is None:
-        raise UnsupportedAudio("no_audio")
-    if cell.get("array") is not None:
+def decode(cell: dict, decoder=decode_wav) -> tuple[np.ndarray, int]:
+    """An audio cell to ``([channels, n], rate)``. Decoded arrays win over container bytes."""
+    if cell["array"] is not None:
         flat = np.asarray(cell["array"], dtype=np.float64)
-        channels = cell.get("channels") or 1
+        channels = cell["channels"] or 1
         if channels < 1 or flat.size % channels:
             raise UnsupportedAudio("bad_channel_count")
-        waveform, source_rate = flat.reshape(channels, -1), cell.get("sampling_rate") or 0
-    elif cell.get("bytes") is not None:
-        waveform, source_rate = decoder(cell["bytes"])
-    else:
-        raise UnsupportedAudio("no_audio")
+        return flat.reshape(channels, -1), cell["sampling_rate"] or 0
+    if cell["bytes"] is not None:
+        return decoder(cell["bytes"])
+    raise UnsupportedAudio("no_audio")
+
+
+def standardise(cell: dict, decoder=decode_wav, rate: int = SAMPLE_RATE) -> np.ndarray:
+    """An audio cell to a mono waveform at ``rate``."""
+    waveform, source_rate = decode(cell, decoder)
     return resample(downmix(waveform), source_rate, rate)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
+from voxloom.functions.arrays import int_div
 
 
 def flatten_codes(codes: Column) -> Column:
@@ -15,7 +16,7 @@ def flatten_codes(codes: Column) -> Column:
 
 def frame_count(audio: Column, cfg: PipelineConfig = DEFAULT) -> Column:
     """Frames in a flat code list."""
-    return F.floor(F.size(audio) / F.lit(cfg.n_codebooks)).cast("int")
+    return int_div(F.size(audio), cfg.n_codebooks).cast("int")
 
 
 def sample_length(audio: Column, text: Column, cfg: PipelineConfig = DEFAULT) -> Column:

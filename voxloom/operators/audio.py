@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions import audio as A
+from voxloom.functions.arrays import int_div
 from voxloom.schemas import require_columns
 
 Decoder = Callable[[bytes], tuple[np.ndarray, int]]
@@ -36,17 +37,57 @@ class TextEncoder(Protocol):
     def encode(self, text: str) -> list[int]: ...
 
 
+# Output values (samples, codes) a worker collects before it hands a batch back.
+BATCH_VALUES = 4_000_000
+
+
+def _numbers(column: pa.Array, row: int) -> np.ndarray | None:
+    """One list of an Arrow list column as an array, without a copy through Python objects."""
+    cell = column[row]
+    return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else None
+
+
+def _cells(column: pa.StructArray) -> Iterator[dict]:
+    """The audio structs of a batch, their arrays as numpy views."""
+    raw, arrays, channels, rates = (column.field(n) for n in ("bytes", "array", "channels", "sampling_rate"))
+    present = column.is_valid().to_pylist()
+    for row, here in enumerate(present):
+        yield {
+            "bytes": raw[row].as_py() if here else None,
+            "array": _numbers(arrays, row) if here else None,
+            "channels": channels[row].as_py(),
+            "sampling_rate": rates[row].as_py(),
+        }
+
+
+def _lists(values: list[np.ndarray | None], arrow_type: pa.DataType) -> pa.Array:
+    """Arrays of one or two dimensions (or nulls) as an Arrow list column."""
+    missing = pa.array([v is None for v in values])
+    found = [v for v in values if v is not None]
+    sizes = [0 if v is None else len(v) for v in values]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    if pa.types.is_list(arrow_type.value_type):
+        widths = [v.shape[1] for v in found for _ in range(v.shape[0])]
+        inner = pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32))
+        flat = np.concatenate([v.ravel() for v in found]) if found else np.empty(0)
+        leaf = pa.array(flat, type=arrow_type.value_type.value_type)
+        items = pa.ListArray.from_arrays(inner, leaf)
+    else:
+        flat = np.concatenate(found) if found else np.empty(0)
+        items = pa.array(flat, type=arrow_type.value_type)
+    return pa.ListArray.from_arrays(offsets, items, mask=missing)
+
+
 def _map_cells(
     df: DataFrame,
-    column: str,
     value: str,
     value_type: T.DataType,
     arrow_type: pa.DataType,
     stage: str,
-    setup: Callable[[], Callable[[object], object]],
+    setup: Callable[[], Callable[[dict], np.ndarray]],
 ) -> DataFrame:
-    """Replace ``column`` by ``value``, ``stage`` and ``reason``, one Arrow batch at a time."""
-    passed = [f for f in df.schema.fields if f.name != column]
+    """Replace ``audio`` by ``value``, ``stage`` and ``reason``, one Arrow batch at a time."""
+    passed = [f for f in df.schema.fields if f.name != "audio"]
     schema = T.StructType(
         [
             *passed,
@@ -56,27 +97,39 @@ def _map_cells(
         ]
     )
 
+    def attempt(work, cell) -> tuple[np.ndarray | None, str | None]:
+        try:
+            return work(cell), None
+        except A.UnsupportedAudio as exc:
+            return None, str(exc)
+        except Exception as exc:  # one bad row must not stop the others
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def pack(batch: pa.RecordBatch, start: int, results: list) -> pa.RecordBatch:
+        part = batch.slice(start, len(results))
+        reasons = [reason for _, reason in results]
+        return pa.RecordBatch.from_arrays(
+            [
+                *[part.column(f.name) for f in passed],
+                _lists([v for v, _ in results], arrow_type),
+                pa.array([stage if r else None for r in reasons], type=pa.string()),
+                pa.array(reasons, type=pa.string()),
+            ],
+            names=schema.fieldNames(),
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            values, reasons = [], []
-            for cell in batch.column(column).to_pylist():
-                try:
-                    values.append(work(cell))
-                    reasons.append(None)
-                except Exception as exc:  # one bad row must not stop the others
-                    known = isinstance(exc, A.UnsupportedAudio)
-                    values.append(None)
-                    reasons.append(str(exc) if known else f"{type(exc).__name__}: {exc}")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(f.name) for f in passed],
-                    pa.array(values, type=arrow_type),
-                    pa.array([stage if r else None for r in reasons], type=pa.string()),
-                    pa.array(reasons, type=pa.string()),
-                ],
-                names=schema.fieldNames(),
-            )
+            start, results, held = 0, [], 0
+            for cell in _cells(batch.column("audio")):
+                results.append(attempt(work, cell))
+                held += 0 if results[-1][0] is None else results[-1][0].size
+                if held > BATCH_VALUES:
+                    yield pack(batch, start, results)
+                    start, results, held = start + len(results), [], 0
+            if results:
+                yield pack(batch, start, results)
 
     return df.mapInArrow(run, schema)
 
@@ -87,18 +140,12 @@ def decode_channels(df: DataFrame, decoder: Decoder = A.decode_wav) -> DataFrame
 
     def setup():
         def work(cell):
-            if cell is None or (cell["array"] is None and cell["bytes"] is None):
-                raise A.UnsupportedAudio("no_audio")
-            if cell["array"] is not None:
-                wide = np.asarray(cell["array"], np.float64).reshape(cell["channels"] or 1, -1)
-            else:
-                wide, _ = decoder(cell["bytes"])
-            return wide.astype(np.float32).tolist()
+            return A.decode(cell, decoder)[0].astype(np.float32)
 
         return work
 
     floats = T.ArrayType(T.ArrayType(T.FloatType()))
-    return _map_cells(df, "audio", "channels_data", floats, pa.list_(pa.list_(pa.float32())), "decode", setup)
+    return _map_cells(df, "channels_data", floats, pa.list_(pa.list_(pa.float32())), "decode", setup)
 
 
 def standardise_audio(
@@ -111,9 +158,7 @@ def standardise_audio(
     def setup():
         return lambda cell: A.standardise(cell, decoder, rate)
 
-    return _map_cells(
-        df, "audio", "waveform", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), "decode", setup
-    )
+    return _map_cells(df, "waveform", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), "decode", setup)
 
 
 def encode_audio(
@@ -140,12 +185,12 @@ def encode_audio(
             codes = np.asarray(encoder.encode(mono))
             if codes.shape[0] != n_codebooks or codes.min() < 0 or codes.max() >= vocab:
                 raise A.UnsupportedAudio("bad_codes")
-            return codes.astype(np.int32).tolist()
+            return codes.astype(np.int32)
 
         return work
 
     ints = T.ArrayType(T.ArrayType(T.IntegerType()))
-    return _map_cells(df, "audio", "codes", ints, pa.list_(pa.list_(pa.int32())), "audio", setup)
+    return _map_cells(df, "codes", ints, pa.list_(pa.list_(pa.int32())), "audio", setup)
 
 
 def text_encoder_column(make_encoder: Callable[[], TextEncoder], text: Column) -> Column:
@@ -175,7 +220,7 @@ class TokenizerJson:
 
 def downmix_planar(samples: Column, channels: int) -> Column:
     """Mean over channels of a planar ``[channel 0 .., channel 1 ..]`` list, without Python."""
-    n = F.floor(F.size(samples) / F.lit(channels)).cast("int")
+    n = int_div(F.size(samples), channels).cast("int")
     total = F.slice(samples, F.lit(1), n)
     for c in range(1, channels):
         total = F.zip_with(total, F.slice(samples, n * c + 1, n), lambda a, b: a + b)

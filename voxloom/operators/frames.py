@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.config import DEFAULT, SUBSAMPLE_DIVISOR, PipelineConfig
+from voxloom.functions.arrays import int_div
 from voxloom.functions.codes import frame_count
 from voxloom.functions.ordering import shuffle_key
 
+# Dense cells laid out at a time by one worker.
+DENSE_CELLS = 4_000_000
+
 KIND_TEXT, KIND_AUDIO, KIND_END = "text", "audio", "end"
 
 
@@ -46,7 +50,7 @@ def sparse_frames(samples: DataFrame, keys: Sequence[str], cfg: PipelineConfig =
         F.when(is_text, KIND_TEXT).when(is_audio, KIND_AUDIO).otherwise(KIND_END).alias("kind"),
         F.when(is_text, F.col("__i")).when(is_audio, n + k % frames).otherwise(n + t).cast("int").alias("pos"),
         F.when(is_text, cfg.text_slot)
-        .when(is_audio, F.floor(k / frames))
+        .when(is_audio, int_div(k, frames))
         .otherwise(k - t * books)
         .cast("int")
         .alias("slot"),
@@ -130,7 +134,7 @@ def subsample_frames(
     order = batch.orderBy("__key", key, "pos")
     return (
         rows.withColumn("pick", F.row_number().over(order))
-        .withColumn("__quota", F.floor(F.count(F.lit(1)).over(batch) / SUBSAMPLE_DIVISOR))
+        .withColumn("__quota", int_div(F.count(F.lit(1)).over(batch), SUBSAMPLE_DIVISOR))
         .where(F.col("pick") <= F.col("__quota"))
         .select("bin", key, "pos", "pick")
     )
@@ -164,30 +168,38 @@ def dense_batches(batched: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFram
         outer = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(outer), inner)
 
+    def fill(part: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        tokens = np.zeros((starts[-1], width), np.int32)
+        mask = np.zeros((starts[-1], width), bool)
+        audio, text = part.column("audio"), part.column("text")
+        for row, start in enumerate(starts[:-1]):
+            ids = text[row].values.to_numpy(zero_copy_only=False)
+            codes = audio[row].values.to_numpy(zero_copy_only=False).reshape(books, -1).T
+            first = start + len(ids)
+            end = first + len(codes)
+            tokens[start:first, books] = ids
+            mask[start:first, books] = True
+            tokens[first:end, :books] = codes
+            mask[first : end + 1, :books] = True
+        return pa.RecordBatch.from_arrays(
+            [
+                *[part.column(k) for k in keys],
+                nested(tokens.ravel(), lengths, pa.int32()),
+                nested(mask.ravel(), lengths, pa.bool_()),
+            ],
+            names=schema.fieldNames(),
+        )
+
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("pad_length").to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            tokens = np.zeros((starts[-1], width), np.int32)
-            mask = np.zeros((starts[-1], width), bool)
-            audio, text = batch.column("audio"), batch.column("text")
-            for row, start in enumerate(starts[:-1]):
-                ids = text[row].values.to_numpy(zero_copy_only=False)
-                codes = audio[row].values.to_numpy(zero_copy_only=False).reshape(books, -1).T
-                first = start + len(ids)
-                end = first + len(codes)
-                tokens[start:first, books] = ids
-                mask[start:first, books] = True
-                tokens[first:end, :books] = codes
-                mask[first : end + 1, :books] = True
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(k) for k in keys],
-                    nested(tokens.ravel(), lengths, pa.int32()),
-                    nested(mask.ravel(), lengths, pa.bool_()),
-                ],
-                names=schema.fieldNames(),
-            )
+            # Padding multiplies the size, so a batch is handed back in parts of bounded size.
+            part_no = np.cumsum(lengths * width) // DENSE_CELLS
+            cuts = [0, *(np.flatnonzero(np.diff(part_no)) + 1), len(lengths)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if stop > start:
+                    yield fill(batch.slice(start, stop - start), lengths[start:stop])
 
     return source.mapInArrow(lay_out, schema)
 

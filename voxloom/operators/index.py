@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
+from voxloom.functions.arrays import int_div
 from voxloom.operators.position import exclusive_sums
 
 
@@ -31,23 +32,34 @@ def index_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def global_index(lengths: DataFrame, files: DataFrame) -> DataFrame:
-    """``(idx, path, row_index, length)`` of every sample; ``idx = start + row_index``.
+def add_idx(rows: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """Add ``idx = start + row_index`` to rows that carry ``path`` and ``row_index``.
 
-    No sort: the row number inside the file comes from the file itself. The join key is the path,
-    so a file with a third of all rows makes a skewed partition, which AQE splits; below Spark's
-    broadcast threshold the file table is broadcast and nothing is shuffled.
+    No sort: the row number inside a file comes from the file itself. Spark broadcasts the file
+    table while it is below its threshold. Beyond it both sides shuffle on the path *and* a block
+    of row numbers, listed once per block in the file table, so a file that holds a third of all
+    rows is spread over many tasks.
     """
-    starts = files.select("path", "start")
-    return lengths.join(starts, "path").select(
-        (F.col("start") + F.col("row_index")).alias("idx"), "path", "row_index", "length"
+    last = int_div(F.col("len") - 1, cfg.position_block)
+    starts = files.where(F.col("len") > 0).select(
+        "path", "start", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__block")
     )
+    keyed = rows.withColumn("__block", int_div(F.col("row_index"), cfg.position_block))
+    return (
+        keyed.join(starts, ["path", "__block"])
+        .withColumn("idx", F.col("start") + F.col("row_index"))
+        .drop("__block", "start")
+    )
+
+
+def global_index(lengths: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """``(idx, path, row_index, length)`` of every sample."""
+    return add_idx(lengths, files, cfg).select("idx", "path", "row_index", "length")
 
 
-def _first_last_block(block: int) -> tuple[Column, Column]:
-    first = F.floor(F.col("start") / block)
-    last = F.floor((F.col("start") + F.col("len") - 1) / block)
-    return first.cast("bigint"), last.cast("bigint")
+def duplicate_ids(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples that stand in a table more than once, as when two runs wrote the same rows."""
+    return samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
 
 
 def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
@@ -60,7 +72,8 @@ def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT)
     Numbers outside the index are left out.
     """
     block = cfg.chunk_rows
-    first, last = _first_last_block(block)
+    first = int_div(F.col("start"), block)
+    last = int_div(F.col("start") + F.col("len") - 1, block)
     entries = (
         files.where(F.col("len") > 0)
         .withColumn("__block", F.explode(F.sequence(first, last)))
@@ -73,7 +86,7 @@ def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT)
     )
     wanted = requests.select(F.col("idx").cast("bigint").alias("idx")).distinct()
     asks = wanted.select(
-        F.floor(F.col("idx") / block).cast("bigint").alias("__block"),
+        int_div(F.col("idx"), block).alias("__block"),
         F.col("idx").alias("__at"),
         F.lit(1).alias("__is_request"),
         F.lit(None).cast(entries.schema["__file"].dataType).alias("__file"),

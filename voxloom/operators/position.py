@@ -7,83 +7,62 @@ of a digest). Counting rows per cell is an ordinary aggregation with map-side co
 sums over the counts give each cell its first position; a window inside the cell does the rest.
 
 A third of all rows may share one length or one file: the block column splits them, so no task
-ever sorts more than ``cfg.position_block`` rows. Nothing is cached and no partition id is used,
-so a lost executor changes nothing. Running sums are taken in two levels, so the one small
-window without a key sees one row per leading value (or per band of leading values).
+ever sorts more than ``cfg.position_block`` rows of one cell. Nothing is cached and no partition
+id is used, so a lost executor changes nothing.
+
+Running sums are taken in two levels: over the blocks of one leading value, spread by that value,
+and then over the leading values. Only the second has no key. It sees one row per distinct length
+(``k`` different lengths need ``k * k / 2`` frames, so ten trillion frames have at most 4.5
+million), per file (a list the driver holds to plan the scan), or per digest cell (65,536).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BAND = 4096
+from voxloom.functions.arrays import int_div
+
 _N = "__cell_rows"
 _BEFORE = "__rows_before"
 
 
-def block_of(column: Column, size: int) -> Column:
-    """The block a unique number falls in; a block holds at most ``size`` distinct numbers."""
-    return F.floor(column / F.lit(size)).cast("bigint")
-
-
 def cell_counts(df: DataFrame, cell: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Rows per cell."""
     return df.groupBy(*group, *cell).agg(F.count(F.lit(1)).alias(_N))
 
 
-def _running(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Sum of ``value`` over the rows before this one, within ``keys``."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("bigint"))
-
-
 def exclusive_sums(
-    counts: DataFrame,
-    value: str,
-    order: Sequence[str],
-    out: str,
-    group: Sequence[str] = (),
-    band: Column | None = None,
+    counts: DataFrame, value: str, order: Sequence[str], out: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Running start of every row of a count table, ordered by ``order`` within ``group``.
-
-    ``order[0]`` is the leading value. Sums run over its distinct values first and over the
-    remaining columns inside one leading value second. ``band`` may name a coarser value that
-    orders like ``order[0]``; then the leading sums are taken in two levels as well.
-    """
+    """Running start of every row of a count table, ordered by ``order`` within ``group``."""
     lead, rest = order[0], list(order[1:])
-    totals = counts.groupBy(*group, lead).agg(F.sum(value).alias("__total"))
-    if band is None:
-        leads = _running(totals, "__total", group, [lead], "__lead_before")
-    else:
-        totals = totals.withColumn("__band", band)
-        bands = totals.groupBy(*group, "__band").agg(F.sum("__total").alias("__band_total"))
-        bands = _running(bands, "__band_total", group, ["__band"], "__band_before").drop("__band_total")
-        inner = _running(totals, "__total", [*group, "__band"], [lead], "__in_band")
-        leads = inner.join(bands, [*group, "__band"]).withColumn(
-            "__lead_before", F.col("__band_before") + F.col("__in_band")
-        )
-    leads = leads.select(*group, lead, "__lead_before")
-    if rest:
-        inside = _running(counts, value, [*group, lead], rest, "__inside")
-    else:
-        inside = counts.withColumn("__inside", F.lit(0).cast("bigint"))
+    before = (W.unboundedPreceding, -1)
+    lead_order = W.partitionBy(*group).orderBy(lead).rowsBetween(*before)
+    running = F.coalesce(F.sum(value).over(lead_order), F.lit(0)).cast("bigint")
+    if not rest:
+        return counts.withColumn(out, running)
+    one_lead = W.partitionBy(*group, lead)
+    inside = F.coalesce(F.sum(value).over(one_lead.orderBy(*rest).rowsBetween(*before)), F.lit(0))
+    parts = counts.withColumn("__inside", inside)
+    totals = (
+        counts.withColumn("__total", F.sum(value).over(one_lead))
+        .withColumn("__first", F.min(rest[0]).over(one_lead))
+        .where(F.col(rest[0]) == F.col("__first"))
+        .select(*group, lead, "__total")
+    )
+    running = F.coalesce(F.sum("__total").over(lead_order), F.lit(0))
+    leads = totals.select(*group, lead, running.alias("__lead_before"))
     return (
-        inside.join(leads, [*group, lead])
-        .withColumn(out, F.col("__lead_before") + F.col("__inside"))
+        parts.join(leads, [*group, lead])
+        .withColumn(out, (F.col("__lead_before") + F.col("__inside")).cast("bigint"))
         .drop("__lead_before", "__inside")
     )
 
 
-def number_band(column: str) -> Column:
-    """Band of an integer leading value: at most 2**31 / 4096 bands can exist."""
-    return F.floor(F.col(column) / F.lit(BAND)).cast("bigint")
-
-
 def dense_position(
     df: DataFrame,
     cell: Sequence[str],
@@ -91,7 +70,6 @@ def dense_position(
     out: str = "position",
     group: Sequence[str] = (),
     counts: DataFrame | None = None,
-    band: Column | None = None,
 ) -> DataFrame:
     """Add the 0-based rank of every row in the order ``cell`` then ``within``, per ``group``.
 
@@ -101,7 +79,7 @@ def dense_position(
     """
     keys = [*group, *cell]
     counts = cell_counts(df, cell, group) if counts is None else counts
-    offsets = exclusive_sums(counts, _N, cell, _BEFORE, group, band).select(*keys, _BEFORE)
+    offsets = exclusive_sums(counts, _N, cell, _BEFORE, group).select(*keys, _BEFORE)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*within))
     return (
         df.withColumn("__rank", rank)
@@ -118,9 +96,10 @@ def position_by_number(
     out: str = "position",
     group: Sequence[str] = (),
     block: int = 1 << 20,
-    lead_is_number: bool = False,
 ) -> DataFrame:
-    """Rank by ``lead`` then by ``number``, a bigint that is unique within ``group`` and ``lead``."""
-    keyed = df.withColumn("__block", block_of(F.col(number), block))
-    band = number_band(lead) if lead_is_number else None
-    return dense_position(keyed, [lead, "__block"], [number], out, group, band=band).drop("__block")
+    """Rank by ``lead`` then by ``number``, a non-negative bigint that is unique per group and lead.
+
+    A block of ``block`` consecutive numbers holds at most that many rows.
+    """
+    keyed = df.withColumn("__block", int_div(F.col(number), block))
+    return dense_position(keyed, [lead, "__block"], [number], out, group).drop("__block")

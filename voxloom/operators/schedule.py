@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
+from voxloom.functions.arrays import int_div
 from voxloom.functions.ordering import key_cell, shuffle_key
 from voxloom.operators.position import cell_counts, dense_position, position_by_number
 
@@ -22,10 +23,9 @@ def length_bins(index: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
         "idx",
         "length_rank",
         block=cfg.position_block,
-        lead_is_number=True,
     )
     return ranked.select(
-        F.floor(F.col("length_rank") / cfg.batch_size).cast("bigint").alias("bin"),
+        int_div(F.col("length_rank"), cfg.batch_size).alias("bin"),
         (F.col("length_rank") % cfg.batch_size).cast("int").alias("slot_in_bin"),
         "idx",
         "length",

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.operators import frames as R
@@ -28,9 +27,7 @@ class SampleIndex:
     def samples(self, spark: SparkSession, in_memory: bool = False) -> DataFrame:
         """Samples with their ``idx``; ``in_memory`` keeps them, spilling to disk when they do not fit."""
         rows = H.scan_chunks(spark, self.chunk_files)
-        starts = self.files.select("path", "start")
-        numbered = rows.join(starts, "path").withColumn("idx", F.col("start") + F.col("row_index"))
-        numbered = numbered.drop("start", "path", "row_index")
+        numbered = I.add_idx(rows, self.files).drop("path", "row_index")
         return numbered.persist(StorageLevel.MEMORY_AND_DISK) if in_memory else numbered
 
 

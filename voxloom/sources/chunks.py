@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
+from voxloom.functions.arrays import int_div
 from voxloom.operators.position import position_by_number
 from voxloom.schemas import CHUNK_FILE
-from voxloom.sources.files import glob_paths, subdirectories
+from voxloom.sources.files import file_path, glob_paths, subdirectories
 
 # Spark's name for the leading part of its output file names.
 OUTPUT_BASENAME = "mapreduce.output.basename"
@@ -39,7 +40,7 @@ def assign_chunks(
 ) -> DataFrame:
     """Add ``position`` (input order of kept rows) and ``chunk_no`` (``chunk_rows`` rows each)."""
     placed = position_by_number(kept, file_col, row_col, "position", group, cfg.position_block)
-    chunk = F.floor(F.col("position") / F.lit(cfg.chunk_rows)) + F.lit(first_chunk)
+    chunk = int_div(F.col("position"), cfg.chunk_rows) + F.lit(first_chunk)
     return placed.withColumn("chunk_no", chunk.cast("bigint"))
 
 
@@ -61,7 +62,7 @@ def write_chunks(
         return
     rows_per_task = cfg.chunk_rows * cfg.chunks_per_task
     n_tasks = -(-n_rows // rows_per_task)
-    task = F.floor(F.col("position") / F.lit(rows_per_task)).cast("int")
+    task = int_div(F.col("position"), rows_per_task).cast("int")
     (
         placed.repartitionById(n_tasks, task)
         .sortWithinPartitions("position")
@@ -140,7 +141,7 @@ def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt:
         wide = spark.createDataFrame([], schema).selectExpr("*", "'' path", "0L row_index")
     else:
         wide = read_columns(spark, [p for _, p in files], schema, skip_corrupt).select(
-            "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index")
+            "*", file_path().alias("path"), F.col("_metadata.row_index").alias("row_index")
         )
     return wide.select(
         "path",
@@ -169,7 +170,7 @@ def corrupt_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFram
     """
     paths = [p for _, p in files]
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    base = read_columns(spark, paths, "length bigint").withColumn("path", F.col("_metadata.file_path"))
+    base = read_columns(spark, paths, "length bigint").withColumn("path", file_path())
     footer = base.groupBy("path").agg(F.count(F.lit(1)).alias("footer_rows"))
     read = (
         base.select("path", F.xxhash64("length").alias("touch"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def _glob(spark: SparkSession, pattern: str):
@@ -17,6 +18,11 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in _glob(spark, pattern))
 
 
+def file_path() -> Column:
+    """The path of the file a row was read from, spelled as ``glob_paths`` spells it."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+
+
 def subdirectories(spark: SparkSession, root: str) -> list[str]:
     """Names of the directories directly below ``root``, sorted; bookkeeping folders are left out."""
     names = [s.getPath().getName() for s in _glob(spark, f"{root}/*") if s.isDirectory()]
