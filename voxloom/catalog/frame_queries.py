@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.catalog.tables import BINS, CFG, FRAMES, indexed_lengths, numbered_samples, samples
+from voxloom.catalog.tables import (
+    BINS,
+    CFG,
+    FRAMES,
+    chunk_dir,
+    indexed_lengths,
+    numbered_samples,
+    samples,
+    written_once,
+)
 from voxloom.operators import frames as R
 from voxloom.operators import schedule as B
+from voxloom.plans import serve as S
 
 QUERIES, ORACLE = {}, {}
 KEYS = ["sid"]
@@ -126,11 +136,8 @@ ORACLE["pad_cells"] = f"""with {BINS}
   from bins group by bin"""
 
 
-def batch_dense(spark, sf):
-    """Dense export, summed up per sample so that every token and mask cell counts."""
-    batched = _batched(spark, sf)
-    pads = R.pad_lengths(B.length_bins(indexed_lengths(spark, sf), CFG))
-    dense = R.dense_batches(batched.join(pads, "bin"), CFG)
+def _weigh_dense(dense):
+    """Every token and mask cell of a dense export, summed up per sample."""
     zero = F.lit(0).cast("bigint")
 
     def weigh(row, p):
@@ -149,15 +156,34 @@ def batch_dense(spark, sf):
     )
 
 
-ORACLE["batch_dense"] = f"""with {FRAMES}, sums as (
+def batch_dense(spark, sf):
+    """Padded tensors of every batch."""
+    pads = R.pad_lengths(B.length_bins(indexed_lengths(spark, sf), CFG))
+    return _weigh_dense(R.dense_batches(_batched(spark, sf).join(pads, "bin"), CFG))
+
+
+DENSE = f"""{FRAMES}, sums as (
     select sid, count(*)::bigint as n_valid, sum(token::bigint * (pos * 33 + slot + 1))::bigint as checksum
     from frames group by sid),
-  indexed as (select *, row_number() over (order by file_no, sid) - 1 as idx from samples),
+  indexed as (select *, row_number() over (order by {{order}}) - 1 as idx from samples {{where}}),
   ranked as (select *, row_number() over (order by length, idx) - 1 as rnk from indexed),
   bins as (select rnk // {CFG.batch_size} as bin, (rnk % {CFG.batch_size})::int as slot_in_bin, * from ranked),
   padded as (select *, max(length) over (partition by bin) as pad from bins)
   select bin, slot_in_bin, idx, pad::int as n_frames, (pad * 33)::int as n_cells, n_valid, checksum
   from padded join sums using (sid)"""
+ORACLE["batch_dense"] = "with " + DENSE.format(order="file_no, sid", where="")
+
+
+def export_batches(spark, sf):
+    """From chunk files to exported training batches, read back from the exported files."""
+
+    def write(path):
+        S.export_batches(spark, chunk_dir(spark, sf), "train", path, CFG, bins_per_file=32)
+
+    return _weigh_dense(spark.read.parquet(written_once(spark, sf, "export", write)))
+
+
+ORACLE["export_batches"] = "with " + DENSE.format(order="dataset, file_no, sid", where="where split = 'train'")
 
 QUERIES.update(
     frames_sparse=frames_sparse,
@@ -173,4 +199,5 @@ QUERIES.update(
     frame_subsample=frame_subsample,
     pad_cells=pad_cells,
     batch_dense=batch_dense,
+    export_batches=export_batches,
 )

@@ -14,6 +14,7 @@ from voxloom.catalog.tables import (
     PROSE,
     SAMPLES,
     SCHEDULE,
+    chunk_dir,
     indexed_lengths,
     lengths,
     numbered_samples,
@@ -23,6 +24,7 @@ from voxloom.operators import frames as R
 from voxloom.operators import index as I
 from voxloom.operators import schedule as B
 from voxloom.operators.position import position_by_number
+from voxloom.plans.serve import create_batches
 
 QUERIES, ORACLE = {}, {}
 
@@ -244,6 +246,35 @@ ORACLE["val_fallback"] = f"""with {SAMPLES}, {PROSE}, rows as (
   select * from rows r where split = 'test'
     and not exists (select 1 from rows v where v.corpus = r.corpus and v.split = 'validation')"""
 
+def served_schedule(spark, sf):
+    """Schedules as a trainer asks for them: from chunk files, shuffled training batches over all
+    replicas and evaluation batches in order."""
+    train, held_out = create_batches(spark, chunk_dir(spark, sf), N_EPOCHS, N_REPLICAS, CFG)
+    return train.withColumn("use", F.lit("train")).unionByName(held_out.withColumn("use", F.lit("eval")))
+
+
+def _served(use, split, epochs, pos, slot):
+    return f"""{use}_indexed as (
+    select row_number() over (order by dataset, file_no, sid) - 1 as idx, length from samples where split = '{split}'),
+  {use}_ranked as (select *, row_number() over (order by length, idx) - 1 as rnk from {use}_indexed),
+  {use}_bins as (select rnk // {CFG.batch_size} as bin, (rnk % {CFG.batch_size}) as place, * from {use}_ranked),
+  {use}_placed as (
+    select epoch, bin, {pos} as pos
+    from (select distinct bin from {use}_bins), (select unnest(range(0, {epochs}))::int as epoch)),
+  {use} as (
+    select p.epoch, (p.pos % {N_REPLICAS})::int as rank, p.pos, b.bin, ({slot})::int as slot_in_bin, b.idx, b.length,
+      '{use}' as use
+    from {use}_placed p join {use}_bins b using (bin))"""
+
+
+_SHUFFLED_BINS = f"row_number() over (partition by epoch order by md5('{CFG.seed}:' || epoch || ':' || bin), bin) - 1"
+_SHUFFLED_SLOTS = f"""row_number() over (partition by p.epoch, b.bin
+      order by md5('{CFG.seed}:' || p.epoch || ':' || b.idx), b.idx) - 1"""
+ORACLE["served_schedule"] = f"""with {SAMPLES},
+  {_served("train", "train", N_EPOCHS, _SHUFFLED_BINS, _SHUFFLED_SLOTS)},
+  {_served("eval", "validation", 1, "bin", "b.place")}
+  select * from train union all select * from eval"""
+
 QUERIES.update(
     file_counts=file_counts,
     index_totals=index_totals,
@@ -263,4 +294,5 @@ QUERIES.update(
     fetch_samples=fetch_samples,
     bins_join_samples=bins_join_samples,
     val_fallback=val_fallback,
+    served_schedule=served_schedule,
 )

@@ -28,7 +28,7 @@ from voxloom.plans.tokenize import tokenize_corpus as run_tokenize_corpus
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
 from voxloom.sources.files import subdirectories
-from voxloom.streaming.tokenize import tokenize_stream
+from voxloom.streaming.tokenize import dense_chunk_numbers, tokenize_stream
 
 QUERIES, ORACLE = {}, {}
 
@@ -276,17 +276,23 @@ TOKENS = f"""{DIALOGUE}, rows as (
     from good g join sizes using (sid) join audio using (sid) join words using (sid))"""
 
 
-def tokenize_corpus(spark, sf):
-    """A whole run from corpus files to chunk files, in two sittings: the second one, over a
-    corpus that has not changed, must find nothing to do."""
+def token_dir(spark, sf):
+    """Chunk files of a whole run in two sittings; the second, over an unchanged corpus, must find
+    nothing to do."""
 
     def write(path):
         root, schema = corpus_dir(spark, sf), corpus_schema(spark, sf)
         run_tokenize_corpus(spark, root, path, schema, CFG)
         again = run_tokenize_corpus(spark, root, path, schema, CFG)
-        assert all(c.skipped == c.seen and not c.written for c in again.values()), again
+        if any(c.skipped != c.seen or c.written for c in again.values()):
+            raise RuntimeError(f"rows were done twice: {again}")
+
+    return written_once(spark, sf, "tokens", write)
 
-    return _token_rows(spark.read.parquet(written_once(spark, sf, "tokens", write)))
+
+def tokenize_corpus(spark, sf):
+    """A whole run from corpus files to chunk files."""
+    return _token_rows(spark.read.parquet(token_dir(spark, sf)))
 
 
 ORACLE["tokenize_corpus"] = f"""with {TOKENS}
@@ -294,21 +300,61 @@ ORACLE["tokenize_corpus"] = f"""with {TOKENS}
   from tokens"""
 
 
-def stream_tokenize(spark, sf):
+def stream_dir(spark, sf):
     """The same corpus tokenised incrementally, two files per micro-batch, each split in turn."""
 
     def write(path):
+        root, schema = corpus_dir(spark, sf), corpus_schema(spark, sf)
         for split in S.SPLITS:
-            root, schema = corpus_dir(spark, sf), corpus_schema(spark, sf)
             tokenize_stream(spark, root, f"{path}/{split}", split, schema, CFG, files_per_batch=2).awaitTermination()
 
-    path = written_once(spark, sf, "stream", write)
-    parts = [spark.read.parquet(f"{path}/{split}/samples") for split in S.SPLITS]
-    return _token_rows(H.union_datasets(parts).drop("chunk_no", "position"))
+    return written_once(spark, sf, "stream", write)
+
+
+def _streamed(spark, sf):
+    parts = [spark.read.parquet(f"{stream_dir(spark, sf)}/{split}/samples") for split in S.SPLITS]
+    return H.union_datasets(parts)
+
+
+def stream_tokenize(spark, sf):
+    """Samples of an incremental run."""
+    return _token_rows(_streamed(spark, sf).drop("chunk_no", "position"))
+
+
+def stream_chunks(spark, sf):
+    """Chunks numbered through over all micro-batches of a split: none is larger than allowed, and
+    together they hold every sample. Which files share a micro-batch is up to the source."""
+    numbered = _streamed(spark, sf).transform(dense_chunk_numbers, ("split",))
+    chunks = numbered.groupBy("split", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
+    return chunks.groupBy("split").agg(
+        F.sum("n").cast("bigint").alias("n_samples"),
+        (F.max("chunk_no") == F.count(F.lit(1))).alias("numbered_through"),
+        (F.max("n") <= CFG.chunk_rows).alias("within_size"),
+    )
 
 
 ORACLE["stream_tokenize"] = f"""with {TOKENS}
   select split, file_no, row_index, length, audio_sum, text_sum from tokens"""
+ORACLE["stream_chunks"] = f"""with {TOKENS}
+  select split, count(*)::bigint as n_samples, true as numbered_through, true as within_size from tokens group by split"""
+
+
+def duplicate_ids(spark, sf):
+    """Samples that two writers put out: the batch run and the stream read the same corpus."""
+    stream = stream_dir(spark, sf)
+    both = [spark.read.parquet(token_dir(spark, sf))]
+    both += [spark.read.parquet(f"{stream}/{split}/samples") for split in S.SPLITS]
+    rows = I.duplicate_ids(H.union_datasets([b.select("sample_id") for b in both]))
+    name = F.col("sample_id")
+    return rows.select(
+        F.regexp_extract(name, r"/([a-z]+)-\d{5}-", 1).alias("split"),
+        F.regexp_extract(name, r"-(\d{5})-", 1).cast("int").alias("file_no"),
+        F.regexp_extract(name, r"#(\d+)$", 1).cast("bigint").alias("row_index"),
+        "n_copies",
+    )
+
+
+ORACLE["duplicate_ids"] = f"""with {TOKENS} select split, file_no, row_index, 2::bigint as n_copies from tokens"""
 
 
 def duration_estimate(spark, sf):
@@ -339,5 +385,7 @@ QUERIES.update(
     union_chunks=union_chunks,
     tokenize_corpus=tokenize_corpus,
     stream_tokenize=stream_tokenize,
+    stream_chunks=stream_chunks,
+    duplicate_ids=duplicate_ids,
     duration_estimate=duration_estimate,
 )

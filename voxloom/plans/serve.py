@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
+from voxloom.functions.arrays import int_div
 from voxloom.operators import frames as R
 from voxloom.operators import index as I
 from voxloom.operators import schedule as B
@@ -79,12 +81,19 @@ def batches(spark: SparkSession, index: SampleIndex, cfg: PipelineConfig = DEFAU
 
 
 def export_batches(
-    spark: SparkSession, root: str, split: str, out_dir: str, cfg: PipelineConfig = DEFAULT, n_files: int = 200
+    spark: SparkSession, root: str, split: str, out_dir: str, cfg: PipelineConfig = DEFAULT, bins_per_file: int = 512
 ) -> SampleIndex:
-    """Write dense padded batches, sorted by bin, for trainers to read."""
+    """Write dense padded batches for trainers: whole bins per file, files in bin order.
+
+    Samples are brought together while they are still sparse. Padding, which multiplies their
+    size, is the last step before the file is written and is never shuffled.
+    """
     index = build_index(spark, root, split)
-    dense = R.dense_batches(batches(spark, index, cfg), cfg)
-    dense.repartitionByRange(n_files, "bin").sortWithinPartitions("bin", "slot_in_bin").write.parquet(out_dir)
+    n_files = max(1, -(-B.bin_count(index.n_samples, cfg) // bins_per_file))
+    file_no = int_div(F.col("bin"), bins_per_file).cast("int")
+    ordered = batches(spark, index, cfg).repartitionById(n_files, file_no)
+    ordered = ordered.sortWithinPartitions("bin", "slot_in_bin")
+    R.dense_batches(ordered, cfg).write.parquet(out_dir)
     return index
 
 

@@ -68,52 +68,58 @@ def quarantine_dir(out_dir: str) -> str:
     return out_dir.rstrip("/") + "_quarantine"
 
 
-def handled_rows(spark: SparkSession, out_dir: str, split: str, retry_quarantine: bool = False) -> DataFrame:
-    """Rows earlier runs wrote or set aside, whichever division ran them."""
+def handled_rows(spark: SparkSession, out_dir: str, split: str, retry_quarantine: bool = False) -> DataFrame | None:
+    """Rows earlier runs wrote or set aside, whichever division ran them; None before the first run."""
     files = glob_paths(spark, f"{out_dir}/{split}*part_*.parquet")
-    aside = glob_paths(spark, f"{quarantine_dir(out_dir)}/{split}*.parquet")
-    done = spark.createDataFrame([], LEDGER)
-    if files:
-        done = done.unionByName(H.read_columns(spark, files, LEDGER, skip_corrupt=False))
-    if aside and not retry_quarantine:
-        done = done.unionByName(H.read_columns(spark, aside, LEDGER, skip_corrupt=False))
-    return done
+    if not retry_quarantine:
+        files += glob_paths(spark, f"{quarantine_dir(out_dir)}/{split}*.parquet")
+    return H.read_columns(spark, files, LEDGER, skip_corrupt=False) if files else None
+
+
+def file_states(spark: SparkSession, files: dict[str, str], done: DataFrame | None) -> list[tuple[str, int, int]]:
+    """``(file name, rows, rows done)`` per input file; row counts come from the file footers."""
+    rows = spark.read.schema(T.StructType()).parquet(*files.values())
+    totals = rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    if done is None:
+        return [(r["file_name"], r["n_rows"], 0) for r in totals.collect()]
+    each = done.select("file_name", "row_index").distinct()
+    per_file = each.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_done"))
+    joined = totals.join(per_file, "file_name", "left").na.fill(0, ["n_done"])
+    return [(r["file_name"], r["n_rows"], r["n_done"]) for r in joined.collect()]
 
 
 def pending_rows(
-    spark: SparkSession, files: list[str], done: DataFrame, schema: T.StructType, cfg: PipelineConfig, dataset: str
-) -> tuple[DataFrame, int, int]:
-    """Rows still to do, with the number of rows seen and of rows already done.
+    spark: SparkSession,
+    files: list[str],
+    done: DataFrame | None,
+    schema: T.StructType,
+    cfg: PipelineConfig,
+    dataset: str,
+) -> tuple[DataFrame | None, int, int]:
+    """Rows still to do (None when there are none), rows seen and rows already done.
 
     Decided per file first, from row counts alone: finished files are not opened again and
     untouched files need no join. Only files that were left half done are anti-joined by row, so
     audio is not shuffled to find out what to skip.
     """
-
-    def with_id(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("sample_id", S.sample_id(F.col("file_name"), F.col("row_index"), dataset))
-
     names = {f.rsplit("/", 1)[-1]: f for f in files}
-    totals = spark.read.schema(schema).parquet(*files).groupBy(F.col("_metadata.file_name").alias("file_name"))
-    totals = totals.agg(F.count(F.lit(1)).alias("n_rows"))
-    ours = done.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "file_name string")), "file_name") if (
-        len(names) <= cfg.broadcast_rows
-    ) else done
-    per_file = ours.select("file_name", "row_index").distinct().groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("n_done")
-    )
-    states = totals.join(per_file, "file_name", "left").na.fill(0, ["n_done"]).collect()
-    fresh = [names[s["file_name"]] for s in states if s["n_done"] == 0]
-    half = [s for s in states if 0 < s["n_done"] < s["n_rows"]]
-    seen, skipped = sum(s["n_rows"] for s in states), sum(s["n_done"] for s in states)
-    todo = with_id(S.read_files(spark, sorted(fresh), schema))
+    states = file_states(spark, names, done)
+    seen, skipped = sum(n for _, n, _ in states), sum(d for _, _, d in states)
+    fresh = sorted(names[f] for f, _, d in states if d == 0)
+    half = sorted(f for f, n, d in states if 0 < d < n)
+    parts = []
+    if fresh:
+        parts.append(S.read_files(spark, fresh, schema))
     if half:
-        half_names = [s["file_name"] for s in half]
-        keys = done.where(F.col("file_name").isin(half_names)).select("file_name", "row_index").distinct()
-        keys = broadcast_if_small(keys, sum(s["n_done"] for s in half), cfg.broadcast_rows)
-        rest = S.read_files(spark, sorted(names[n] for n in half_names), schema)
-        todo = todo.unionByName(with_id(rest).join(keys, ["file_name", "row_index"], "left_anti"))
-    return todo, seen, skipped
+        keys = done.where(F.col("file_name").isin(half)).select("file_name", "row_index").distinct()
+        keys = broadcast_if_small(keys, sum(d for f, _, d in states if f in set(half)), cfg.broadcast_rows)
+        rest = S.read_files(spark, [names[f] for f in half], schema)
+        parts.append(rest.join(keys, ["file_name", "row_index"], "left_anti"))
+    if not parts:
+        return None, seen, skipped
+    todo = H.union_datasets(parts)
+    name = S.sample_id(F.col("file_name"), F.col("row_index"), dataset)
+    return todo.withColumn("sample_id", name), seen, skipped
 
 
 def tokenize_split(
@@ -141,6 +147,8 @@ def tokenize_split(
     dataset = in_dir.rstrip("/").rsplit("/", 1)[-1]
     done = handled_rows(spark, out_dir, split, retry_quarantine)
     todo, seen, skipped = pending_rows(spark, files, done, schema, cfg, dataset)
+    if todo is None:
+        return RunCounts(seen, skipped)
     keys = ("sample_id", "file_name", "row_index")
     staged = materialize(outcomes(todo, cfg, encoders, keys), "staged")
     counts = {

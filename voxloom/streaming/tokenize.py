@@ -79,9 +79,9 @@ def tokenize_stream(
     )
 
 
-def dense_chunk_numbers(samples: DataFrame) -> DataFrame:
+def dense_chunk_numbers(samples: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Chunk numbers 1, 2, .. over all batches, from the number of chunks of each batch."""
-    per_batch = samples.groupBy("batch_id").agg(F.max("chunk_no").alias("n_chunks"))
-    starts = exclusive_sums(per_batch, "n_chunks", ["batch_id"], "__before").select("batch_id", "__before")
-    numbered = samples.join(starts, "batch_id")
-    return numbered.withColumn("chunk_no", F.col("chunk_no") + F.col("__before")).drop("__before")
+    keys = [*group, "batch_id"]
+    per_batch = samples.groupBy(*keys).agg(F.max("chunk_no").alias("n_chunks"))
+    starts = exclusive_sums(per_batch, "n_chunks", ["batch_id"], "__before", group).select(*keys, "__before")
+    return samples.join(starts, keys).withColumn("chunk_no", F.col("chunk_no") + F.col("__before")).drop("__before")
