@@ -158,8 +158,9 @@ def _weigh_dense(dense):
 
 def batch_dense(spark, sf):
     """Padded tensors of every batch."""
-    pads = R.pad_lengths(B.length_bins(indexed_lengths(spark, sf), CFG))
-    return _weigh_dense(R.dense_batches(_batched(spark, sf).join(pads, "bin"), CFG))
+    bins = R.with_pad_length(B.length_bins(indexed_lengths(spark, sf), CFG))
+    batched = bins.drop("length").join(numbered_samples(spark, sf), "idx")
+    return _weigh_dense(R.dense_batches(batched, CFG))
 
 
 DENSE = f"""{FRAMES}, sums as (

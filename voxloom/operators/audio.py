@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,8 +196,6 @@ def encode_audio(
 
 def text_encoder_column(make_encoder: Callable[[], TextEncoder], text: Column) -> Column:
     """Token ids from a plug-in text encoder, built once per task."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()

@@ -145,6 +145,11 @@ def pad_lengths(samples: DataFrame) -> DataFrame:
     return samples.groupBy("bin").agg(F.max("length").alias("pad_length"))
 
 
+def with_pad_length(bins: DataFrame) -> DataFrame:
+    """Add ``pad_length`` to every sample of a batch; one shuffle of the narrow table of bins."""
+    return bins.withColumn("pad_length", F.max("length").over(W.partitionBy("bin")))
+
+
 def dense_batches(batched: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Padded tensors, one row ``(bin, slot_in_bin, idx, pad_length, tokens, mask)`` per sample.
 

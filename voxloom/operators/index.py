@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,5 +130,5 @@ def fetch_from_files(requests: DataFrame, files: DataFrame, scan, cfg: PipelineC
         raise ValueError("too many requests for a driver-side look-up: use fetch()")
     spark = requests.sparkSession
     keys = spark.createDataFrame([tuple(r) for r in rows], found.schema)
-    opened = scan(sorted({r["path"] for r in rows}))
+    opened = scan(sorted({unquote(r["path"]) for r in rows}))
     return opened.join(F.broadcast(keys), ["path", "row_index"])

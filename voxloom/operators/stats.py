@@ -35,10 +35,12 @@ def duration_estimate(
 
     ``seconds`` should be an integer (or decimal) column so that sums are exact in any order.
     """
-    hours = F.sum(seconds) / F.lit(3600.0)
+    # Sums per subset first, so the roll-up multiplies a handful of rows and not the corpus.
+    per_subset = recordings.groupBy(subset).agg(F.sum(seconds).alias("__seconds"))
+    hours = F.sum("__seconds") / F.lit(3600.0)
     label = F.when(F.grouping(subset) == 1, "TOTAL").otherwise(F.col(subset))
     return (
-        recordings.rollup(subset)
+        per_subset.rollup(subset)
         .agg(label.alias("line"), hours.alias("audio_hours"))
         .withColumn("est_hours", estimate_hours(F.col("audio_hours"), wall_hours, measured_audio_hours))
         .select(

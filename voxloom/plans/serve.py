@@ -15,6 +15,7 @@ from voxloom.operators import index as I
 from voxloom.operators import schedule as B
 from voxloom.session import materialize
 from voxloom.sources import chunks as H
+from voxloom.sources.files import uri_of
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def build_index(spark: SparkSession, root: str, split: str, check: bool = True)
     found = H.discover_datasets(spark, root, split)
     if check and found:
         bad = {r["path"] for r in H.corrupt_files(spark, found).collect()}
-        found = [(d, p) for d, p in found if p not in bad]
+        found = [(d, p) for d, p in found if uri_of(p) not in bad]
     lengths = H.scan_lengths(spark, found)
     files = materialize(I.file_table(I.file_counts(lengths)), "files")
     index = materialize(I.global_index(lengths, files), "index")
@@ -76,8 +77,7 @@ def batches(spark: SparkSession, index: SampleIndex, cfg: PipelineConfig = DEFAU
     a whole training run; the schedule then only orders bins.
     """
     bins = B.length_bins(index.index, cfg)
-    placed = bins.join(R.pad_lengths(bins), "bin")
-    return placed.drop("length").join(index.samples(spark), "idx")
+    return R.with_pad_length(bins).drop("length").join(index.samples(spark), "idx")
 
 
 def export_batches(

@@ -95,6 +95,8 @@ def pending_rows(
     schema: T.StructType,
     cfg: PipelineConfig,
     dataset: str,
+    split: str,
+    whole: bool,
 ) -> tuple[DataFrame | None, int, int]:
     """Rows still to do (None when there are none), rows seen and rows already done.
 
@@ -106,10 +108,11 @@ def pending_rows(
     states = file_states(spark, names, done)
     seen, skipped = sum(n for _, n, _ in states), sum(d for _, _, d in states)
     fresh = sorted(names[f] for f, _, d in states if d == 0)
+    pattern = f"{split}-*.parquet" if whole and len(fresh) == len(files) else None
     half = sorted(f for f, n, d in states if 0 < d < n)
     parts = []
     if fresh:
-        parts.append(S.read_files(spark, fresh, schema))
+        parts.append(S.read_files(spark, fresh, schema, pattern))
     if half:
         keys = done.where(F.col("file_name").isin(half)).select("file_name", "row_index").distinct()
         keys = broadcast_if_small(keys, sum(d for f, _, d in states if f in set(half)), cfg.broadcast_rows)
@@ -146,7 +149,7 @@ def tokenize_split(
         return RunCounts()
     dataset = in_dir.rstrip("/").rsplit("/", 1)[-1]
     done = handled_rows(spark, out_dir, split, retry_quarantine)
-    todo, seen, skipped = pending_rows(spark, files, done, schema, cfg, dataset)
+    todo, seen, skipped = pending_rows(spark, files, done, schema, cfg, dataset, split, n_divisions == 1)
     if todo is None:
         return RunCounts(seen, skipped)
     keys = ("sample_id", "file_name", "row_index")

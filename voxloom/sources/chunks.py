@@ -15,7 +15,7 @@ from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
 from voxloom.operators.position import position_by_number
 from voxloom.schemas import CHUNK_FILE
-from voxloom.sources.files import file_path, glob_paths, subdirectories
+from voxloom.sources.files import glob_paths, subdirectories, uri_of
 
 # Spark's name for the leading part of its output file names.
 OUTPUT_BASENAME = "mapreduce.output.basename"
@@ -141,7 +141,7 @@ def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt:
         wide = spark.createDataFrame([], schema).selectExpr("*", "'' path", "0L row_index")
     else:
         wide = read_columns(spark, [p for _, p in files], schema, skip_corrupt).select(
-            "*", file_path().alias("path"), F.col("_metadata.row_index").alias("row_index")
+            "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index")
         )
     return wide.select(
         "path",
@@ -166,17 +166,16 @@ def corrupt_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFram
     """Listed files that cannot be read in full: ``(path, footer_rows, read_rows)``.
 
     A broken footer leaves no row at all; damage further in leaves fewer rows than the footer
-    promises. Both files are reported, and ``drop_corrupt`` keeps their rows out.
+    promises. Both are reported (as file URIs), and ``drop_corrupt`` keeps their rows out. A file
+    without any row is reported too; leaving it out changes nothing.
     """
     paths = [p for _, p in files]
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    base = read_columns(spark, paths, "length bigint").withColumn("path", file_path())
+    listed = spark.createDataFrame([(uri_of(p),) for p in paths], "path string")
+    base = read_columns(spark, paths, "length bigint").withColumn("path", F.col("_metadata.file_path"))
     footer = base.groupBy("path").agg(F.count(F.lit(1)).alias("footer_rows"))
-    read = (
-        base.select("path", F.xxhash64("length").alias("touch"))
-        .groupBy("path")
-        .agg(F.count("touch").alias("read_rows"))
-    )
+    # A plain row count would be answered from the footers; counting values has to read them.
+    values, nulls = F.count("length"), F.count_if(F.col("length").isNull())
+    read = base.groupBy("path").agg((values + nulls).alias("read_rows"))
     joined = listed.join(footer, "path", "left").join(read, "path", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("footer_rows", "read_rows")]
     whole = (F.col("footer_rows") > 0) & (F.col("footer_rows") == F.col("read_rows"))

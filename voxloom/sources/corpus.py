@@ -25,16 +25,26 @@ def split_files(spark: SparkSession, root: str, split: str) -> list[str]:
     return glob_paths(spark, f"{root}/{split_prefix(split)}-*.parquet")
 
 
-def read_files(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame | None:
+def read_files(
+    spark: SparkSession, files: list[str], schema: T.StructType | None, pattern: str | None = None
+) -> DataFrame | None:
     """The listed files with ``file_name`` and ``row_index``; no files give an empty table, or
-    None when there is no schema to give it. A file that cannot be read raises."""
+    None when there is no schema to give it. A file that cannot be read raises.
+
+    ``pattern`` says that the list is all files of that pattern in one directory: then Spark lists
+    the directory itself instead of being handed every path.
+    """
     if not files:
         if schema is None:
             return None
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("file_name", F.lit("")).withColumn("row_index", F.lit(0).cast("bigint"))
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*files).select(
+    if pattern:
+        rows = reader.option("pathGlobFilter", pattern).parquet(files[0].rsplit("/", 1)[0])
+    else:
+        rows = reader.parquet(*files)
+    return rows.select(
         "*",
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.row_index").alias("row_index"),
@@ -43,7 +53,8 @@ def read_files(spark: SparkSession, files: list[str], schema: T.StructType | Non
 
 def scan_split(spark: SparkSession, root: str, split: str, schema: T.StructType | None = None) -> DataFrame | None:
     """All rows of one split."""
-    return read_files(spark, split_files(spark, root, split), schema)
+    files = split_files(spark, root, split)
+    return read_files(spark, files, schema, f"{split_prefix(split)}-*.parquet" if files else None)
 
 
 def scan_division(

@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+import re
+from urllib.parse import quote
 
+from pyspark.sql import SparkSession
 
-def _glob(spark: SparkSession, pattern: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
+# Characters of a path that its URI form escapes.
+_ESCAPED = re.compile(r'[\s"<>#%?\[\]\\^`{|}]')
+
+
+def _statuses(spark: SparkSession, pattern: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.globStatus(path) or []
 
 
 def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching ``pattern``, sorted as text."""
-    return sorted(s.getPath().toString() for s in _glob(spark, pattern))
+    return sorted(s.getPath().toString() for s in _statuses(spark, pattern))
 
 
-def file_path() -> Column:
-    """The path of the file a row was read from, spelled as ``glob_paths`` spells it."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+def uri_of(path: str) -> str:
+    """A path as ``_metadata.file_path`` spells it: blanks and the like are escaped."""
+    return _ESCAPED.sub(lambda m: quote(m.group()), path)
 
 
 def subdirectories(spark: SparkSession, root: str) -> list[str]:
     """Names of the directories directly below ``root``, sorted; bookkeeping folders are left out."""
-    names = [s.getPath().getName() for s in _glob(spark, f"{root}/*") if s.isDirectory()]
+    names = [s.getPath().getName() for s in _statuses(spark, f"{root}/*") if s.isDirectory()]
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a small file."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(target, True)
     try:
