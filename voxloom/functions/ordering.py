@@ -15,5 +15,8 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 
 
 def key_cell(key: Column) -> Column:
-    """Leading digits of a digest as a number; it orders like the digest itself."""
-    return F.conv(F.substring(key, 1, CELL_DIGITS), 16, 10).cast("int")
+    """Leading digits of a digest as a number; it orders like the digest itself.
+
+    Declared free of nulls, so that a join on it does not compute the digest a second time to test it.
+    """
+    return F.coalesce(F.conv(F.substring(key, 1, CELL_DIGITS), 16, 10).cast("int"), F.lit(0))

@@ -153,10 +153,9 @@ def schedule(
         raise ValueError("uneven must be 'keep' or 'drop'")
     members = bin_members(bins)
     if shuffle:
-        placed = shuffle_bins(members, n_bins, n_epochs, cfg, first)
-        placed = placed.withColumn("members", shuffle_members(cfg.seed))
+        placed, order = shuffle_bins(members, n_bins, n_epochs, cfg, first), shuffle_members(cfg.seed)
     else:
-        placed = keep_bin_order(members)
+        placed, order = keep_bin_order(members), F.col("members")
     if uneven == "drop":
         placed = drop_uneven(placed, n_bins, n_replicas)
     return placed.select(
@@ -164,7 +163,7 @@ def schedule(
         rank_of(F.col("pos"), n_replicas).alias("rank"),
         "pos",
         "bin",
-        F.posexplode("members").alias("slot_in_bin", "m"),
+        F.posexplode(order).alias("slot_in_bin", "m"),
     ).select("epoch", "rank", "pos", "bin", "slot_in_bin", "m.idx", "m.length")
 
 

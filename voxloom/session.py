@@ -29,20 +29,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by the session.
 
     Only a local master may fall back to a temporary folder: on a cluster that folder would
     live on one machine and vanish with it.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="voxloom-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="voxloom-")
+    return _LOCAL_ROOTS[app]
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:
