@@ -161,6 +161,18 @@ def test_plug_ins(spark):
     assert [r["i"] for r in ids.collect()] == [[2, 2, 2], None]
 
 
+def test_local_tokenizer_definition(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = str(tmp_path / "tokenizer.json")
+    made = Tokenizer(models.WordLevel({"a": 5, "b": 6, "?": 0}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(path)
+    df = spark.createDataFrame([("a b c",)], "t string")
+    ids = df.select(O.text_encoder_column(lambda: O.TokenizerJson(path), F.col("t")).alias("i"))
+    assert ids.first()["i"] == [5, 6, 0]
+
+
 def test_large_results_are_handed_back_in_parts(spark, monkeypatch):
     monkeypatch.setattr(O, "BATCH_VALUES", 10)
     rows = [(i, (None, [0.1] * (i + 1), 1, 24000)) for i in range(40)]

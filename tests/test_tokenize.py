@@ -162,6 +162,18 @@ def test_changing_the_number_of_divisions_repeats_nothing(spark, dirs):
     assert df.count() == df.select("sample_id").distinct().count() == len(expected(40)[0])
 
 
+def test_two_corpora_with_the_same_file_names(spark, dirs, tmp_path):
+    root, out = dirs
+    other = str(tmp_path / "more")
+    write_file(other, "train-00000-of-00004", 100, 10)
+    first = P.tokenize_split(spark, root, out, "train", schema(), CFG)
+    second = P.tokenize_split(spark, other, out, "train", schema(), CFG)
+    assert second.skipped == 0 and second.seen == 10
+    df = written(spark, out)
+    assert df.count() == first.written + second.written == df.select("sample_id").distinct().count()
+    assert P.tokenize_split(spark, other, out, "train", schema(), CFG).skipped == 10
+
+
 def test_stream_equals_batch_and_goes_on(spark, dirs):
     root, out = dirs
     P.tokenize_split(spark, root, out, "train", schema(), CFG)

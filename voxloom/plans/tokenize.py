@@ -14,8 +14,9 @@ from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.audio import decode_wav
 from voxloom.operators import audio as A
 from voxloom.operators import tokenize as K
+from voxloom.operators.stats import run_counters
 from voxloom.schemas import QUARANTINE, require_columns
-from voxloom.session import broadcast_if_small, materialize
+from voxloom.session import broadcast_if_small, staged
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
 from voxloom.sources.files import glob_paths
@@ -68,12 +69,18 @@ def quarantine_dir(out_dir: str) -> str:
     return out_dir.rstrip("/") + "_quarantine"
 
 
-def handled_rows(spark: SparkSession, out_dir: str, split: str, retry_quarantine: bool = False) -> DataFrame | None:
-    """Rows earlier runs wrote or set aside, whichever division ran them; None before the first run."""
+def handled_rows(
+    spark: SparkSession, out_dir: str, split: str, dataset: str, retry_quarantine: bool = False
+) -> DataFrame | None:
+    """Rows of a data set that earlier runs wrote or set aside, whichever division ran them; None
+    before the first run."""
     files = glob_paths(spark, f"{out_dir}/{split}*part_*.parquet")
     if not retry_quarantine:
         files += glob_paths(spark, f"{quarantine_dir(out_dir)}/{split}*.parquet")
-    return H.read_columns(spark, files, LEDGER, skip_corrupt=False) if files else None
+    if not files:
+        return None
+    ledger = H.read_columns(spark, files, LEDGER, skip_corrupt=False)
+    return ledger.where(F.col("sample_id").startswith(f"{dataset}/"))
 
 
 def file_states(spark: SparkSession, files: dict[str, str], done: DataFrame | None) -> list[tuple[str, int, int]]:
@@ -125,6 +132,17 @@ def pending_rows(
     return todo.withColumn("sample_id", name), seen, skipped
 
 
+def status_counts(rows: DataFrame) -> dict[str, int]:
+    """Rows per outcome of a staged run."""
+    status = (
+        F.when(F.col("reason").isNull(), K.WRITTEN)
+        .when(F.col("stage") == "text", K.DROPPED_SHORT)
+        .otherwise(K.QUARANTINED)
+    )
+    counted = run_counters(rows.select(status.alias("status")))
+    return {r["status"]: r["n_rows"] for r in counted.collect()}
+
+
 def tokenize_split(
     spark: SparkSession,
     in_dir: str,
@@ -136,9 +154,12 @@ def tokenize_split(
     division: int | None = None,
     n_divisions: int = 1,
     retry_quarantine: bool = False,
+    dataset: str | None = None,
 ) -> RunCounts:
     """Tokenise what is left of one split and append it as chunks.
 
+    Rows are known by data set (the name of ``in_dir`` unless given), file and row number.
+
     The result is written once to the shared folder before it is numbered, so audio is encoded
     once and a lost executor cannot change a row after its position is known. Chunks are
     committed before the quarantine: a crash in between repeats quarantined rows only.
@@ -147,47 +168,36 @@ def tokenize_split(
     files = S.split_files(spark, in_dir, split)[(division or 0) :: n_divisions]
     if not files:
         return RunCounts()
-    dataset = in_dir.rstrip("/").rsplit("/", 1)[-1]
-    done = handled_rows(spark, out_dir, split, retry_quarantine)
+    dataset = dataset or in_dir.rstrip("/").rsplit("/", 1)[-1]
+    done = handled_rows(spark, out_dir, split, dataset, retry_quarantine)
     todo, seen, skipped = pending_rows(spark, files, done, schema, cfg, dataset, split, n_divisions == 1)
     if todo is None:
         return RunCounts(seen, skipped)
     keys = ("sample_id", "file_name", "row_index")
-    staged = materialize(outcomes(todo, cfg, encoders, keys), "staged")
-    counts = {
-        r["status"]: r["n"]
-        for r in staged.groupBy(
-            F.when(F.col("reason").isNull(), K.WRITTEN)
-            .when(F.col("stage") == "text", K.DROPPED_SHORT)
-            .otherwise(K.QUARANTINED)
-            .alias("status")
+    with staged(outcomes(todo, cfg, encoders, keys), "staged") as rows:
+        counts = status_counts(rows)
+        written, set_aside, short = (counts.get(s, 0) for s in (K.WRITTEN, K.QUARANTINED, K.DROPPED_SHORT))
+        good, bad = K.split_outcome(rows, keys)
+        first = H.next_chunk_number(spark, out_dir, split, division)
+        placed = H.assign_chunks(good, "file_name", "row_index", (), first, cfg)
+        samples = placed.select(
+            "sample_id",
+            F.lit(dataset).alias("dataset"),
+            F.lit(split).alias("split"),
+            F.lit(division).cast("int").alias("division"),
+            "chunk_no",
+            "position",
+            "file_name",
+            "row_index",
+            "speaker",
+            "audio",
+            "text",
+            "length",
         )
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    good, bad = K.split_outcome(staged, keys)
-    first = H.next_chunk_number(spark, out_dir, split, division)
-    placed = H.assign_chunks(good, "file_name", "row_index", (), first, cfg).select(
-        "sample_id",
-        F.lit(dataset).alias("dataset"),
-        F.lit(split).alias("split"),
-        F.lit(division).cast("int").alias("division"),
-        "chunk_no",
-        "position",
-        "file_name",
-        "row_index",
-        "speaker",
-        "audio",
-        "text",
-        "length",
-    )
-    written = counts.get(K.WRITTEN, 0)
-    H.write_chunks(placed, written, out_dir, split, division, first, cfg)
-    if counts.get(K.QUARANTINED, 0) + counts.get(K.DROPPED_SHORT, 0):
-        bad.write.mode("append").option(H.OUTPUT_BASENAME, split).parquet(quarantine_dir(out_dir))
-    return RunCounts(
-        seen, skipped, written, counts.get(K.QUARANTINED, 0), counts.get(K.DROPPED_SHORT, 0)
-    )
+        H.write_chunks(samples, written, out_dir, split, division, first, cfg)
+        if set_aside or short:
+            bad.write.mode("append").option(H.OUTPUT_BASENAME, split).parquet(quarantine_dir(out_dir))
+    return RunCounts(seen, skipped, written, set_aside, short)
 
 
 def tokenize_corpus(

@@ -11,7 +11,7 @@ from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.operators import tokenize as K
 from voxloom.operators.position import exclusive_sums
 from voxloom.plans.tokenize import Encoders, outcomes
-from voxloom.session import materialize
+from voxloom.session import staged
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
 
@@ -41,14 +41,13 @@ def write_batch(
     rows: DataFrame, batch_id: int, out_dir: str, split: str, cfg: PipelineConfig, encoders: Encoders
 ) -> None:
     """Tokenise one micro-batch into folders named after it: a replayed batch overwrites itself."""
-    staged = materialize(outcomes(rows, cfg, encoders, KEYS), "staged")
-    good, bad = K.split_outcome(staged, KEYS)
-    placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg).withColumn("split", F.lit(split))
     target = f"{out_dir}/samples/batch_id={batch_id}"
-    n_good = good.count()
-    placed.limit(0).write.mode("overwrite").parquet(target)
-    H.write_chunks(placed, n_good, target, split, None, 1, cfg)
-    bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch_id={batch_id}")
+    with staged(outcomes(rows, cfg, encoders, KEYS), "staged") as done:
+        good, bad = K.split_outcome(done, KEYS)
+        placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg).withColumn("split", F.lit(split))
+        placed.where(F.lit(False)).write.mode("overwrite").parquet(target)
+        H.write_chunks(placed, good.count(), target, split, None, 1, cfg)
+        bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch_id={batch_id}")
 
 
 def tokenize_stream(
