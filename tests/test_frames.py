@@ -10,6 +10,7 @@ from voxloom.config import PipelineConfig
 from voxloom.functions import codes as C
 from voxloom.operators import frames as R
 from voxloom.operators import schedule as B
+from voxloom.operators.index import inconsistent_samples
 
 CFG = PipelineConfig(batch_size=4)
 
@@ -141,6 +142,15 @@ def test_codes_round_trip(spark):
     assert back == list(range(96))
 
 
+@pytest.mark.parametrize("audio", [[1] * 33, []])
+def test_broken_codes_stop_the_job(spark, audio):
+    df = spark.createDataFrame([(0, audio, [5], 3)], "idx bigint, audio array<int>, text array<int>, length int")
+    for frames in (R.sparse_frames(df, ["idx"]), R.frame_mask(df, ["idx"]), R.context_pairs(df, ["idx"])):
+        with pytest.raises(Exception, match="whole frames"):
+            frames.collect()
+    assert inconsistent_samples(df).count() == 1
+
+
 def test_stored_length_is_checked(spark):
     df = spark.createDataFrame([([0] * 64, [1, 2], 5), ([0] * 64, [1, 2], 4), ([0] * 65, [1], 4)], "audio array<int>, text array<int>, length int")
     got = [r[0] for r in df.select(C.is_consistent(F.col("audio"), F.col("text"), F.col("length"))).collect()]

@@ -19,6 +19,13 @@ def frame_count(audio: Column, cfg: PipelineConfig = DEFAULT) -> Column:
     return int_div(F.size(audio), cfg.n_codebooks).cast("int")
 
 
+def whole_codes(audio: Column, cfg: PipelineConfig = DEFAULT) -> Column:
+    """The flat list itself; a list that is empty or does not divide into codebooks stops the job
+    rather than shifting every cell after it."""
+    broken = F.raise_error(F.lit("audio codes do not divide into whole frames"))
+    return F.when(has_whole_frames(audio, cfg), audio).otherwise(broken.cast("array<int>"))
+
+
 def sample_length(audio: Column, text: Column, cfg: PipelineConfig = DEFAULT) -> Column:
     """Audio frames, plus text tokens, plus the end frame."""
     return (frame_count(audio, cfg) + F.size(text) + 1).cast("int")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from voxloom.config import DEFAULT, SUBSAMPLE_DIVISOR, PipelineConfig
 from voxloom.functions.arrays import int_div
-from voxloom.functions.codes import frame_count
+from voxloom.functions.codes import frame_count, whole_codes
 from voxloom.functions.ordering import shuffle_key
 
 # Dense cells laid out at a time by one worker.
@@ -27,6 +27,11 @@ DENSE_CELLS = 4_000_000
 KIND_TEXT, KIND_AUDIO, KIND_END = "text", "audio", "end"
 
 
+def _sizes(cfg: PipelineConfig) -> tuple[Column, Column]:
+    """Text tokens and audio frames of a sample."""
+    return F.size("text"), frame_count(whole_codes(F.col("audio"), cfg), cfg)
+
+
 def sparse_frames(samples: DataFrame, keys: Sequence[str], cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """``(keys, kind, pos, slot, token)`` of every valid cell of every sample.
 
@@ -34,7 +39,7 @@ def sparse_frames(samples: DataFrame, keys: Sequence[str], cfg: PipelineConfig =
     position and slot follow from the place in that list by arithmetic. No shuffle.
     """
     books = cfg.n_codebooks
-    cells = F.concat("text", "audio", F.array_repeat(F.lit(0), books))
+    cells = F.concat("text", whole_codes(F.col("audio"), cfg), F.array_repeat(F.lit(0), books))
     flat = samples.select(
         *keys,
         F.size("text").alias("__n"),
@@ -72,7 +77,7 @@ def end_frames(frames: DataFrame) -> DataFrame:
 
 def frame_mask(samples: DataFrame, keys: Sequence[str], cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Valid cells per position: ``(keys, pos, audio_valid, text_valid)``, without any token."""
-    n, t = F.size("text"), frame_count(F.col("audio"), cfg)
+    n, t = _sizes(cfg)
     return samples.select(
         *keys, n.alias("__n"), F.explode(F.sequence(F.lit(0), (n + t).cast("int"))).alias("pos")
     ).select(
@@ -99,7 +104,7 @@ def context_pairs(samples: DataFrame, keys: Sequence[str], cfg: PipelineConfig =
     A sample without text has no position before its first audio row; it is left out here and
     found by ``without_context``.
     """
-    n, t = F.size("text"), frame_count(F.col("audio"), cfg)
+    n, t = _sizes(cfg)
     return (
         samples.where(F.size("text") > 0)
         .select(*keys, F.explode(F.sequence(n, (n + t).cast("int"))).alias("target_pos"))
@@ -126,7 +131,7 @@ def subsample_frames(
     ``floor(n / 16)`` rows, none below 16. A batch is at most ``batch_size`` samples, so the
     window sorts one batch at a time.
     """
-    n, t = F.size("text"), frame_count(F.col("audio"), cfg)
+    n, t = _sizes(cfg)
     rows = samples.select(
         "bin", key, F.explode(F.sequence(n, (n + t).cast("int"))).alias("pos")
     ).withColumn("__key", shuffle_key(cfg.seed, F.lit(epoch), F.col(key), F.col("pos")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
+from voxloom.functions.codes import is_consistent
 from voxloom.operators.position import exclusive_sums
 
 
@@ -59,6 +60,11 @@ def global_index(lengths: DataFrame, files: DataFrame, cfg: PipelineConfig = DEF
     return add_idx(lengths, files, cfg).select("idx", "path", "row_index", "length")
 
 
+def inconsistent_samples(samples: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """Samples whose stored ``length`` or code list cannot be right."""
+    return samples.where(~is_consistent(F.col("audio"), F.col("text"), F.col("length"), cfg))
+
+
 def duplicate_ids(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """Samples that stand in a table more than once, as when two runs wrote the same rows."""
     return samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)

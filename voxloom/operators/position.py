@@ -99,7 +99,8 @@ def position_by_number(
 ) -> DataFrame:
     """Rank by ``lead`` then by ``number``, a non-negative bigint that is unique per group and lead.
 
-    A block of ``block`` consecutive numbers holds at most that many rows.
+    A block of ``block`` consecutive numbers holds at most that many rows. Use numbers that count
+    something (rows of a file, samples of an index): random identifiers would make a cell per row.
     """
     keyed = df.withColumn("__block", int_div(F.col(number), block))
     return dense_position(keyed, [lead, "__block"], [number], out, group).drop("__block")

@@ -193,6 +193,7 @@ def tokenize_split(
             "audio",
             "text",
             "length",
+            F.lit(cfg.n_codebooks).alias("n_codebooks"),
         )
         H.write_chunks(samples, written, out_dir, split, division, first, cfg)
         if set_aside or short:

@@ -52,21 +52,22 @@ def write_chunks(
     division: int | None = None,
     first_chunk: int = 1,
     cfg: PipelineConfig = DEFAULT,
+    mode: str = "append",
 ) -> None:
-    """Append rows that carry ``position`` and ``chunk_no`` as one file per chunk.
+    """Write rows that carry ``position`` and ``chunk_no`` as one file per chunk.
 
     A task gets whole chunks and holds at most ``chunks_per_task`` of them; the file writer turns
     to a new file every ``chunk_rows`` rows, which is exactly where a chunk ends.
     """
-    if n_rows == 0:
+    if n_rows == 0 and mode == "append":
         return
     rows_per_task = cfg.chunk_rows * cfg.chunks_per_task
-    n_tasks = -(-n_rows // rows_per_task)
+    n_tasks = max(1, -(-n_rows // rows_per_task))
     task = int_div(F.col("position"), rows_per_task).cast("int")
     (
         placed.repartitionById(n_tasks, task)
         .sortWithinPartitions("position")
-        .write.mode("append")
+        .write.mode(mode)
         .option(OUTPUT_BASENAME, f"{chunk_prefix(split, division)}{first_chunk:09d}")
         .option("maxRecordsPerFile", cfg.chunk_rows)
         .parquet(out_dir)

@@ -45,8 +45,7 @@ def write_batch(
     with staged(outcomes(rows, cfg, encoders, KEYS), "staged") as done:
         good, bad = K.split_outcome(done, KEYS)
         placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg).withColumn("split", F.lit(split))
-        placed.where(F.lit(False)).write.mode("overwrite").parquet(target)
-        H.write_chunks(placed, good.count(), target, split, None, 1, cfg)
+        H.write_chunks(placed, good.count(), target, split, None, 1, cfg, mode="overwrite")
         bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch_id={batch_id}")
 
 
