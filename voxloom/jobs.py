@@ -12,6 +12,7 @@ from voxloom.operators.stats import duration_estimate, real_time_factor
 from voxloom.plans.serve import create_batches, export_batches
 from voxloom.plans.tokenize import tokenize_corpus
 from voxloom.schemas import AUDIO_CELL
+from voxloom.session import ship_package
 from voxloom.streaming.tokenize import tokenize_stream
 
 
@@ -92,7 +93,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(SparkSession.builder.appName("voxloom").getOrCreate(), args)
+    spark = SparkSession.builder.appName("voxloom").getOrCreate()
+    ship_package(spark)
+    args.run(spark, args)
 
 
 if __name__ == "__main__":
