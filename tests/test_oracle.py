@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from voxloom.catalog import all_oracles as oracle_sql
+from voxloom.catalog import all_queries as queries
 
 
 @pytest.fixture(scope="module")
