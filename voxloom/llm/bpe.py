@@ -3,8 +3,12 @@
 A word (one piece of the split pattern) is first cut greedily into the longest tokens. Such a cut is
 the one that merging would give exactly when no merge could act across any two neighbours: for every
 pair, undoing the two tokens step by step in the order of the merges never meets a merge that would
-have been applied earlier. All distinct pairs of a batch are tested at once with arrays. Only words
-with a failing pair go through merging proper.
+have been applied earlier. All distinct pairs of a slice of text are tested at once with arrays. Only
+words with a failing pair go through merging proper.
+
+A slice of about a megabyte is cut, hashed and reduced to its distinct words with arrays; words met
+before are looked up in sorted hash arrays. Texts are decoded again from their ids and compared, so a
+clash of hashes cannot go unnoticed.
 """
 
 from __future__ import annotations
@@ -12,24 +16,63 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.words import slices, text_bytes
+from voxloom.llm.words import KnownWords, byte_sums, slices, stretch_hashes, text_bytes
+
+#: Fixed: white space as the split pattern means it (the White_Space property).
+WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_LETTER, _NUMBER, _OTHER, _WHITE = 0, 1, 2, 3
+
+
+def char_classes() -> np.ndarray:
+    """Letter, number, other or white space, for each code point."""
+    kinds = {"L": _LETTER, "N": _NUMBER}
+    table = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+    table[list(WHITE)] = _WHITE
+    return table
 
-#: Fixed: the split pattern of byte-level BPE, and white space as the pattern means it.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces of text between which the split pattern always cuts: a run of other characters with the space before it, or white space.
-CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_SPLIT = regex.compile(SPLIT.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(f"[^[{WHITE}]", f"[^{WHITE}"))
-CACHE_WORDS = 300_000
+
+def piece_starts(points: np.ndarray, text_starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the split pattern begins a piece, in texts laid end to end (as marks, one for each code point).
+
+    The pattern is ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?O+|white+(?!\\S)|white+`` for letters, numbers and others.
+    """
+    n = points.size
+    kind = classes[points]
+    fresh = np.zeros(n + 1, dtype=bool)
+    fresh[text_starts] = True
+    fresh[n] = True
+    begin = fresh[:n].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    white = kind == _WHITE
+    # the last of a run of white space before other characters stands apart, or belongs to what follows
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~fresh[1:n]) if n > 1 else np.zeros(0, dtype=np.int64)
+    begin[last] = True
+    begin[last[points[last] == 0x20] + 1] = False
+    # an apostrophe that begins a piece takes certain letters with it
+    quote = np.flatnonzero((points == 0x27) & begin)
+    after = np.full(n + 3, 0, dtype=points.dtype)
+    after[:n] = points
+    inside = lambda at: (at < n) & ~fresh[np.minimum(at, n)]
+    one, two = after[quote + 1], after[quote + 2]
+    single = np.isin(one, [ord(c) for c in "stmd"]) & inside(quote + 1)
+    double = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & inside(quote + 1) & inside(quote + 2)
+    for taken, size in ((single, 2), (double, 3)):
+        at = quote[taken]
+        for k in range(1, size):
+            begin[at + k] = False
+        ends = at + size
+        begin[ends[ends < n]] = True
+    return begin
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,7 +100,6 @@ class ByteBPE:
             self.bytes_of[i] = as_bytes[t]
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        self.longest = max(map(len, self.id_of))
         self.text_of = [str(i) for i in range(size)]
         # step[t]: when token t comes to be; a single byte is there from the start
         self.step = np.full(size, -1, dtype=np.int64)
@@ -79,22 +121,66 @@ class ByteBPE:
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self._table = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self._offsets = np.cumsum(self.lengths) - self.lengths
-        if special := [re.escape(t) for t in sorted(self.special, key=len, reverse=True)]:
-            self._special = re.compile(f"({'|'.join(special)})")
-        self._cache: dict[str, bytes] = {}
+        self._special = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        self._classes = char_classes()
+        self._token_ids = np.array(sorted(self.id_of.values()), dtype=np.int64)
+        names = [self.bytes_of[i] for i in self._token_ids.tolist()]
+        sizes = self.lengths[self._token_ids]
+        data = np.frombuffer(b"".join(names), dtype=np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        hashes = stretch_hashes(byte_sums(data), starts, starts + sizes)
+        order = np.argsort(hashes)
+        self._token_hashes, self._token_ids = hashes[order], self._token_ids[order]
+        self._sizes = np.unique(sizes)[::-1].tolist()
+        self._marks = {n: np.zeros(1 << 18, dtype=bool) for n in self._sizes}
+        self._longest_from = np.ones(1 << 16, dtype=np.int64)  # longest token by its first two bytes
+        for n in self._sizes:
+            self._marks[n][(hashes[sizes == n] >> np.uint64(46)).astype(np.int64)] = True
+        for name in names:
+            if len(name) > 1:
+                k = name[0] << 8 | name[1]
+                self._longest_from[k] = max(self._longest_from[k], len(name))
+        self._one = np.array([self.id_of[bytes([b])] for b in range(256)], dtype=np.int64)
+        self._known = KnownWords()
 
     # encoding
 
-    def guess(self, piece: bytes) -> list[int]:
-        """Tokens by the longest match from the left."""
-        out, at, n = [], 0, len(piece)
-        while at < n:
-            end = min(n, at + self.longest)
-            while (found := self.id_of.get(piece[at:end])) is None:
-                end -= 1
-            out.append(found)
-            at = end
-        return out
+    def guess(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by the longest match from the left, for stretches that cover ``data``: all ids, and how many each has."""
+        sums = byte_sums(data)
+        left = np.repeat(ends, ends - starts) - np.arange(data.size)
+        pair = data.astype(np.int64) << 8
+        pair[:-1] |= data[1:]
+        reach = np.where(left > 1, np.minimum(left, self._longest_from[pair]), 1)
+        token, size = self._one[data], np.ones(data.size, dtype=np.int64)
+        open_ = np.flatnonzero(reach > 1)
+        reach = reach[open_]
+        for n in self._sizes:
+            if n == 1 or not open_.size:
+                break
+            able = reach >= n
+            at = open_[able]
+            if not at.size:
+                continue
+            hashes = stretch_hashes(sums, at, at + n)
+            maybe = np.flatnonzero(self._marks[n][(hashes >> np.uint64(46)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self._token_hashes, hashes[maybe]), self._token_hashes.size - 1)
+            found = self._token_hashes[place] == hashes[maybe]
+            hit = at[maybe[found]]
+            token[hit], size[hit] = self._token_ids[place[found]], n
+            done = np.flatnonzero(able)[maybe[found]]
+            keep = np.ones(open_.size, dtype=bool)
+            keep[done] = False
+            open_, reach = open_[keep], reach[keep]
+        cut = np.zeros(data.size, dtype=bool)
+        at, stop = starts, ends
+        while at.size:
+            cut[at] = True
+            at = at + size[at]
+            more = at < stop
+            at, stop = at[more], stop[more]
+        counts = np.add.reduceat(cut, starts) if starts.size else np.zeros(0, dtype=np.int64)
+        return token[cut], counts
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether merging their joined bytes gives these two again.
@@ -168,14 +254,12 @@ class ByteBPE:
                     heapq.heappush(queue, (*m, x))
         return [t for t in ids if t >= 0]
 
-    def merged_many(self, pieces: list[bytes]) -> list[list[int]]:
+    def merged_many(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Merging proper for many short pieces at once: one row each, one merge a row and round."""
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        one = np.array([self.id_of[bytes([b])] for b in range(256)], dtype=np.int64)
-        ids = np.full((len(pieces), int(sizes.max())), -1, dtype=np.int64)
-        for k, p in enumerate(pieces):
-            ids[k, : len(p)] = one[np.frombuffer(p, dtype=np.uint8)]
-        out, rows = np.full_like(ids, -1), np.arange(len(pieces))
+        width = int(sizes.max())
+        place = np.minimum(starts[:, None] + np.arange(width), data.size - 1)
+        ids = np.where(np.arange(width) < sizes[:, None], self._one[data[place]], -1)
+        out, rows = np.full_like(ids, -1), np.arange(starts.size)
         while rows.size:
             keys = np.where(ids[:, 1:] >= 0, ids[:, :-1] * self._size + ids[:, 1:], -1)
             at = np.searchsorted(self._pair_keys, keys)
@@ -190,64 +274,76 @@ class ByteBPE:
             ids[np.arange(rows.size), first] = self._whole[best]
             later = np.arange(ids.shape[1] - 1) > first[:, None]
             ids = np.where(later, ids[:, 1:], ids[:, :-1])
-        return [[t for t in row if t >= 0] for row in out.tolist()]
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Guess all, test every neighbouring pair at once, and merge where a test failed."""
-        guesses = [self.guess(p) for p in pieces]
-        sizes = np.array([len(g) for g in guesses], dtype=np.int64)
-        flat = np.fromiter((t for g in guesses for t in g), dtype=np.int64, count=int(sizes.sum()))
-        if flat.size > 1:
-            word = np.repeat(np.arange(sizes.size), sizes)
-            inner = np.flatnonzero(word[:-1] == word[1:])
-            pairs, which = np.unique(flat[inner] * self._size + flat[inner + 1], return_inverse=True)
-            good = self.compatible(pairs // self._size, pairs % self._size)
-            failed = np.unique(word[inner[~good[which]]]).tolist()
-            short = sorted((k for k in failed if len(pieces[k]) <= 32), key=lambda k: len(pieces[k]))
-            for at in range(0, len(short), 4096):
-                block = short[at : at + 4096]
-                for k, ids in zip(block, self.merged_many([pieces[k] for k in block]), strict=True):
-                    guesses[k] = ids
-            for k in failed:
-                if len(pieces[k]) > 32:
-                    guesses[k] = self.merged(pieces[k])
-        return guesses
-
-    def _learn(self, chunks: list[str]) -> None:
-        cut = [_SPLIT.findall(c) for c in chunks]
-        distinct = list(dict.fromkeys(p for pieces in cut for p in pieces))
-        guesses = self.encode_pieces([p.encode() for p in distinct])
-        ends = np.cumsum([len(g) for g in guesses]) * 4
-        flat = np.fromiter((t for g in guesses for t in g), dtype="<i4").tobytes()
-        at, ids = 0, {}
-        for p, end in zip(distinct, ends.tolist(), strict=True):
-            ids[p], at = flat[at:end], end
-        for c, pieces in zip(chunks, cut, strict=True):
-            self._cache[c] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
+        return out
+
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Guess all, test every neighbouring pair at once, and merge where a test failed: all ids, and how many each has."""
+        flat, counts = self.guess(data, starts, ends)
+        word = np.repeat(np.arange(counts.size), counts)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        if not inner.size:
+            return flat, counts
+        pairs, which = np.unique(flat[inner] * self._size + flat[inner + 1], return_inverse=True)
+        good = self.compatible(pairs // self._size, pairs % self._size)
+        failed = np.zeros(counts.size, dtype=bool)
+        failed[word[inner[~good[which]]]] = True
+        again = np.flatnonzero(failed)
+        if not again.size:
+            return flat, counts
+        sizes = ends - starts
+        short = again[sizes[again] <= 32]
+        short = short[np.argsort(sizes[short], kind="stable")]
+        ids, owner = [flat[~failed[word]]], [word[~failed[word]]]
+        for at in range(0, short.size, 4096):
+            block = short[at : at + 4096]
+            merged = self.merged_many(data, starts[block], sizes[block])
+            told = merged >= 0
+            ids.append(merged[told])
+            owner.append(np.repeat(block, told.sum(axis=1)))
+        for k in again[sizes[again] > 32].tolist():
+            merged = self.merged(data[starts[k] : ends[k]].tobytes())
+            ids.append(np.array(merged, dtype=np.int64))
+            owner.append(np.full(len(merged), k))
+        owner_all = np.concatenate(owner)
+        order = np.argsort(owner_all, kind="stable")
+        return np.concatenate(ids)[order], np.bincount(owner_all, minlength=counts.size)
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of texts in which no special token stands."""
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, dtype=np.int32) for _ in texts]
+        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        edges = np.r_[0, np.cumsum(sizes)]
+        begin = np.flatnonzero(piece_starts(points, edges[:-1][sizes > 0], self._classes))
+        byte_of = np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))]
+        data = np.frombuffer(joined.encode(), dtype=np.uint8)
+        starts, ends = byte_of[begin], np.r_[byte_of[begin[1:]], data.size]
+        flat, counts = self._known.ids(data, starts, ends, self.encode_pieces)
+        told = np.r_[0, np.cumsum(counts)][np.searchsorted(begin, edges)]
+        if self.decode_bytes(flat) != data.tobytes():
+            raise ValueError("two words have the same hash")
+        return [flat[a:b] for a, b in zip(told[:-1].tolist(), told[1:].tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        cut = [CHUNK.findall(t) if not self.special or not self._special.search(t) else self._cut_special(t) for t in texts]
-        seen = set().union(*cut) if cut else set()
-        if new := [c for c in seen if c not in self._cache]:
-            if len(self._cache) + len(new) > CACHE_WORDS:
-                marks = {c: self._cache[c] for c in seen if c.startswith("\0")}
-                self._cache.clear()
-                self._cache.update(marks)
-                new = [c for c in seen if c not in marks]
-            self._learn(new)
-        get = self._cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), dtype="<i4") for c in cut]
-
-    def _cut_special(self, text: str) -> list[str]:
-        out: list[str] = []
-        for i, part in enumerate(self._special.split(text)):
-            if i % 2:
-                self._cache[mark := "\0special " + part] = np.array([self.special[part]], dtype="<i4").tobytes()
-                out.append(mark)
-            else:
-                out += CHUNK.findall(part)
-        return out
+        marked = [k for k, t in enumerate(texts) if self._special.search(t)] if self.special else []
+        if not marked:
+            return self._encode_plain(texts)
+        parts: list[str] = []
+        made: list[list] = []
+        for t in texts:
+            at, own = 0, []
+            for m in self._special.finditer(t):
+                own += [len(parts), np.array([self.special[m[0]]], dtype=np.int32)]
+                parts.append(t[at : m.start()])
+                at = m.end()
+            own.append(len(parts))
+            parts.append(t[at:])
+            made.append(own)
+        ids = self._encode_plain(parts)
+        return [np.concatenate([ids[x] if isinstance(x, int) else x for x in own]) for own in made]
 
     # decoding
 

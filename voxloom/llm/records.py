@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.files import opened, written
-from voxloom.llm.words import slices, text_bytes
+from voxloom.llm.words import KnownWords, Words, slices, words_of
 from voxloom.session import materialize, new_scratch
 
 #: Fixed: the polynomial of CRC-32C (reflected) and the mask of the record format.
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 BLOCK = 1024
-CACHE_WORDS = 300_000
-PIECE = re.compile("[^\x20\x09-\x0d]+")
+#: Words that the library cuts as letters, and a mark after them, whatever its normalisation.
+PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]?")
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 
 
@@ -126,23 +126,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self._cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocab.values()) + 1
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self._last = np.zeros(size, dtype=bool)  # tokens that end a word
+        if suffix:
+            self._last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._known = KnownWords()
+
+    def _together(self, words: list[str]) -> list[list[int]] | None:
+        """Plain words in one call, cut again where tokens end a word: letters are one word, and a mark after them another."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self._last[ids]) + 1
+        pieces = np.cumsum([1 if w[-1].isalpha() else 2 for w in words])
+        if ends.size != pieces[-1] or ends[-1] != len(ids):
+            return None
+        stops = ends[pieces - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w)] if self._last.any() else []
+        out: list[list[int] | None] = [None] * len(words)
+        for at in range(0, len(plain), 1000):
+            own = plain[at : at + 1000]
+            for k, ids in zip(own, self._together([words[k] for k in own]) or [None] * len(own), strict=True):
+                out[k] = ids
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        counts = np.array([len(x) for x in out], dtype=np.int64)
+        return np.fromiter((i for x in out for i in x), dtype=np.int64, count=int(counts.sum())), counts
+
+    def encode(self, w: Words, end: int) -> list[bytes]:
         """The serialized ids of each text, with ``end`` last."""
-        cut = [PIECE.findall(t) for t in texts]
-        seen = set().union(*cut) if cut else set()
-        new = [w for w in seen if w not in self._cache]
-        if len(self._cache) + len(new) > CACHE_WORDS:
-            self._cache.clear()
-            new = list(seen)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._cache[word] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get, last = self._cache.__getitem__, np.array([end], dtype=self.dtype).tobytes()
-        return [b"".join([*map(get, c), last]) for c in cut]
+        flat, n = self._known.ids(w.data, w.starts, w.ends, self._new)
+        stops = np.r_[0, np.cumsum(n)][w.first]
+        ids = np.insert(flat, stops[1:], end).astype(self.dtype)
+        stops = (stops + np.arange(stops.size)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -184,11 +208,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int, key:
             return
         with written(f"{folder}/part-{part:06d}.records") as out, written(f"{folder}/part-{part:06d}.index") as index:
             while first is not None:
-                _, offsets = text_bytes(first.column(1))
                 keys = np.array(first.column(0).fill_null(np.iinfo(np.int64).min), dtype=np.int64)
-                for rows in slices(offsets):
-                    data = encoder.encode([t or "" for t in first.column(1).slice(rows.start, len(rows)).to_pylist()], end)
-                    records, sizes = framed(data)
+                for w in words_of(first.column(1)):
+                    rows = w.rows
+                    records, sizes = framed(encoder.encode(w, end))
                     out.write(b"".join(records))
                     entry = np.zeros(len(rows), dtype=INDEX_ROW)
                     entry["doc_id"], entry["offset"], entry["length"] = keys[rows.start : rows.stop], offset + np.cumsum(sizes) - sizes, sizes - 16

@@ -28,7 +28,6 @@ def _byte_class(keep) -> np.ndarray:
 SPACED = _byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: Bytes of words made of ASCII letters and digits and of everything beyond ASCII.
 ALPHANUMERIC = _byte_class(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
-_AS_IS = np.arange(256, dtype=np.uint8)
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
@@ -58,6 +57,66 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any stretch of ``data`` follows."""
+    sums = np.zeros(data.size + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * _POWERS.upto(data.size + 1)[0][:-1], out=sums[1:])
+    return sums
+
+
+def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each stretch of bytes."""
+    return mix((sums[ends] - sums[starts]) * _POWERS.upto(sums.size)[1][starts])
+
+
+class KnownWords:
+    """Token ids of words met before, in sorted hash arrays (some 40 bytes a word, up to ``most`` words)."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self._runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, first id, number of ids
+        self._flat = np.zeros(0, dtype=np.int32)
+
+    def _look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, n = np.full(hashes.size, -1, dtype=np.int64), np.zeros(hashes.size, dtype=np.int64)
+        for run, at, counts in self._runs:
+            place = np.minimum(np.searchsorted(run, hashes), run.size - 1)
+            hit = run[place] == hashes
+            first[hit], n[hit] = at[place[hit]], counts[place[hit]]
+        return first, n
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one after the other, and the number of ids of each word.
+
+        ``encode`` gets the bytes of the distinct words that are new, laid end to end, with their edges.
+        """
+        if not starts.size:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        hashes, at, back = np.unique(stretch_hashes(byte_sums(data), starts, ends), return_index=True, return_inverse=True)
+        first, n = self._look(hashes)
+        new = np.flatnonzero(first < 0)
+        if sum(r.size for r, _, _ in self._runs) + new.size > self.most and self._runs:
+            self.forget()
+            first, n, new = np.full(hashes.size, -1, dtype=np.int64), n, np.arange(hashes.size)
+        if new.size:
+            s, size = starts[at[new]], ends[at[new]] - starts[at[new]]
+            stop = np.cumsum(size)
+            ids, counts = encode(data[np.arange(int(stop[-1])) + np.repeat(s - (stop - size), size)], stop - size, stop)
+            first[new], n[new] = self._flat.size + np.cumsum(counts) - counts, counts
+            self._flat = np.concatenate([self._flat, ids.astype(np.int32)])
+            self._runs.append((hashes[new], first[new], n[new]))
+            if len(self._runs) > 6:
+                run, own, counts = (np.concatenate(x) for x in zip(*self._runs, strict=True))
+                order = np.argsort(run, kind="stable")
+                self._runs = [(run[order], own[order], counts[order])]
+        first, n = first[back], n[back]
+        stop = np.cumsum(n)
+        return self._flat[np.arange(int(stop[-1])) + np.repeat(first - (stop - n), n)], n
+
+
 @dataclass
 class Words:
     """The words of a slice of texts, in order."""
@@ -67,6 +126,7 @@ class Words:
     ends: np.ndarray  # byte after each word
     first: np.ndarray  # number of the first word of each text, and the number of words last
     rows: range  # the rows of the batch that the slice holds
+    byte_edges: np.ndarray  # first byte of each text, and the number of bytes last
 
     @property
     def counts(self) -> np.ndarray:
@@ -78,11 +138,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """64 bits for each word; with ``lower`` after A-Z became a-z."""
-        up, down = _POWERS.upto(self.data.size + 1)
-        values = _BYTE_VALUE[(_LOWER if lower else _AS_IS)[self.data]]
-        sums = np.zeros(self.data.size + 1, dtype=np.uint64)
-        np.cumsum(values * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return stretch_hashes(byte_sums(_LOWER[self.data] if lower else self.data), self.starts, self.ends)
 
     def window_starts(self, size: int) -> np.ndarray:
         """Numbers of the words that begin a window of ``size`` words of one text."""
@@ -141,4 +197,4 @@ def words_of(column: pa.Array, kept: np.ndarray = SPACED) -> Iterator[Words]:
         after[:-1] = inside
         after[own] = False
         ends = np.flatnonzero(inside & ~after[1:]) + 1
-        yield Words(part, starts, ends, np.searchsorted(starts, own), rows)
+        yield Words(part, starts, ends, np.searchsorted(starts, own), rows, own)
