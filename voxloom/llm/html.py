@@ -24,7 +24,9 @@ from voxloom.llm.words import slices, text_bytes
 
 #: Pages of the table that train the potentials, those with the smallest hash.
 TRAINING_PAGES = 500
-SEED_WEIGHT = 5
+SEED_WEIGHT = 20
+#: Features of a node overlap, so most count for less than independent ones would.
+EVIDENCE = {"tag": 0.5, "in": 0.25, "size": 0.5, "ends": 0.5, "links": 1.0, "hint": 1.0, "word": 1.0}
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|(?P<rest>[^>]*+)>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S,
@@ -189,7 +191,9 @@ def _order(root: Node) -> list[Node]:
 
 
 def _kind(node: Node) -> str:
-    return "text" if node.text is not None else "sectioning" if node.tag in ("article", "main") else "block"
+    if node.text is not None:
+        return "text"
+    return "sectioning" if node.tag in ("article", "main") else "page" if node.tag in ("#root", "html", "body") else "block"
 
 
 class Potentials:
@@ -197,13 +201,13 @@ class Potentials:
 
     def __init__(self, labelled: list[tuple[Node, int]]) -> None:
         seen = [defaultdict(Counter), defaultdict(Counter)]
-        total = [Counter(), Counter()]
+        nodes = [Counter(), Counter()]  # elements and runs of text: what a feature that may be absent is counted against
         pair: dict[tuple[str, str], list[list[float]]] = {}
         for root, weight in labelled:
             for node in _order(root):
                 for kind, value in features(node):
                     seen[node.label][kind][value] += weight
-                    total[node.label][kind] += weight
+                nodes[node.label][node.text is None] += weight
                 if node.parent is not None:
                     table = pair.setdefault((_kind(node.parent), _kind(node)), [[1.0, 1.0], [1.0, 1.0]])
                     table[node.parent.label][node.label] += weight
@@ -211,8 +215,11 @@ class Potentials:
         for kind in {*seen[0], *seen[1]}:
             values = {*seen[0][kind], *seen[1][kind]}
             for v in values:
-                p = [(seen[y][kind][v] + 0.5) / (total[y][kind] + 0.5 * len(values)) for y in (0, 1)]
-                self.own[kind, v] = (math.log(p[0]), math.log(p[1]))
+                p = []
+                for y in (0, 1):
+                    of = nodes[y][kind == "hint"] + 1 if kind in ("hint", "word") else sum(seen[y][kind].values()) + 0.5 * len(values)
+                    p.append(EVIDENCE[kind] * math.log((seen[y][kind][v] + 0.5) / of))
+                self.own[kind, v] = (p[0], p[1])
         self.pair = {k: [[c / sum(row) for c in row] for row in t] for k, t in pair.items()}
 
     def node(self, node: Node) -> tuple[float, float]:
