@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from voxloom.llm import bpe, html, language, quality, records, secrets, warc, winnow
+from voxloom.llm import bpe, html, jaccard, language, quality, records, secrets, warc, winnow
 from voxloom.session import ship_package
 
-_PARTS = (html, quality, secrets, warc, winnow, language, records, bpe)
+_PARTS = (html, jaccard, quality, secrets, warc, winnow, language, records, bpe)
 
 
 def _shipped(run):
