@@ -117,6 +117,34 @@ def find_secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     return report(docs, found, "text")
 
 
+def masked(docs: DataFrame, ledger: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with every span of a secret replaced by its kind in angle brackets; ``n_chars``, if there, follows.
+
+    Spans that overlap are masked as far as they reach, under the kind of the first. Null text stays null;
+    rows without a secret are as they were.
+    """
+    found = scan(docs, ledger or new_scratch(docs.sparkSession, "secret-ledger"), "doc_id", text)
+    before = Window.partitionBy("digest").orderBy("start", "rank", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("stop").over(before), F.lit(0))
+    apart = found.withColumn("reached", reached).where("stop > reached").withColumn("from", F.greatest("start", "reached"))
+    spans = apart.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("from", "stop", "start", "kind"))).alias("__spans"))
+    end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__spans", i - 1)["stop"])
+    body = F.col("__content")
+    gap = lambda x, i: F.substring(body, end(i).cast("int") + 1, (x["from"] - end(i)).cast("int"))
+    mark = lambda x: F.when(x["from"] == x["start"], F.concat(F.lit("<"), x["kind"], F.lit(">"))).otherwise(F.lit(""))
+    pieces = F.transform("__spans", lambda x, i: F.concat(gap(x, i), mark(x)))
+    rest = F.substring(body, F.element_at("__spans", -1)["stop"].cast("int") + 1, F.length(body))
+    rows = docs.withColumn("__content", F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("__digest", F.sha2("__content", 256)).join(spans.withColumnRenamed("digest", "__digest"), "__digest", "left")
+    hit = F.col("__spans").isNotNull()
+    clean = F.when(hit, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
+    rows = rows.withColumn("__clean", clean)
+    told = {text: F.col("__clean")}
+    if "n_chars" in docs.columns:
+        told["n_chars"] = F.when(hit, F.length("__clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[told[c].alias(c) if c in told else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -152,13 +152,14 @@ def _covered(w: Words, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _by_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_table(docs: DataFrame, rows: DataFrame, carried: list[str]) -> DataFrame:
+    n = len(carried)
     table = docs.sparkSession.sparkContext.broadcast(Table.build(rows.toArrow()))
 
     def run(batches):
         for b in batches:
             known = table.value
-            for w in words_of(b.column(1), ALPHANUMERIC):
+            for w in words_of(b.column(n), ALPHANUMERIC):
                 hashes = w.hashes(lower=True)
                 starts, sizes, at = _found(w, hashes, known)
                 n_hit = _covered(w, starts, sizes)
@@ -168,15 +169,17 @@ def _by_table(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     own = np.unique(known.items[at[row == r]]).tolist()
                     n_items[r], digest[r] = len(own), _digest(own)
                 flagged = (n_hit > 0) & (20 * n_hit >= w.counts)
+                own = [b.column(i).slice(w.rows.start, len(w.rows)) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(w.rows.start, len(w.rows)), pa.array(w.counts), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(flagged)],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    [*own, pa.array(w.counts), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(flagged)],
+                    names=[*carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_RESULT}")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, {_RESULT}")
 
 
-def _by_join(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _by_join(docs: DataFrame, rows: DataFrame, keep_hash: bool = False) -> DataFrame:
     """The same where the benchmark is too large for every task: fingerprints and windows meet in joins."""
     lengths = sorted(r.words for r in rows.where(f"words between 1 and {WINDOW - 1}").select("words").distinct().collect())
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -228,7 +231,7 @@ def _by_join(docs: DataFrame, rows: DataFrame) -> DataFrame:
     out = sizes.join(per_doc.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.text_hash = f.text_hash"), "left")
     n_hit, n_words = F.coalesce("n_hit", F.lit(0)), F.col("n_words")
     return out.select(
-        "d.doc_id", n_words, n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "d.doc_id", *(["d.text_hash"] if keep_hash else []), n_words, n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.lit(_EMPTY)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
     )
 
@@ -241,8 +244,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_W
     else everything is joined; the result is the same.
     """
     rows = materialize(benchmark_table(benchmark), "benchmark-windows")
-    docs = docs.select("doc_id", "text")
-    return _by_table(docs, rows) if rows.count() <= most else _by_join(docs, rows)
+    return _by_table(docs, rows, ["doc_id"]) if rows.count() <= most else _by_join(docs.select("doc_id", "text"), rows)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns (none may be called like a result's)."""
+    rows = materialize(benchmark_table(benchmark), "benchmark-windows")
+    if rows.count() <= most:
+        return _by_table(docs, rows, docs.columns).where("not contaminated").select(*docs.columns)
+    bad = _by_join(docs.select("doc_id", "text"), rows, keep_hash=True).where("contaminated").select("doc_id", "text_hash").distinct()
+    both = F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.text_hash")
+    return docs.alias("d").join(bad.alias("b"), both, "left_anti")
 
 
 def op7_winnow(spark, sf_dir: str) -> DataFrame:
