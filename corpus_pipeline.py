@@ -1,8 +1,70 @@
-"""A corpus from documents to token ids, in stages that are written and read again."""
+"""A corpus from documents to token ids, in stages that are written and read again.
 
-STAGES = []
+Each stage works on all that the one before kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from voxloom.llm.bpe import round_trip
+from voxloom.llm.jaccard import similar
+from voxloom.llm.language import calibrated, held_out, identify
+from voxloom.llm.secrets import masked
+from voxloom.llm.winnow import decontaminated
+from voxloom.session import materialize, ship_package
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that no learned language explains: no letters, or far too high a cross-entropy."""
+    ship_package(spark)
+    training = docs.where("doc_id is not null and lang is not null").where(~held_out())
+    taught = docs.withColumn("__taught", ~held_out() & docs["doc_id"].isNotNull() & docs["lang"].isNotNull())
+    judged = calibrated(identify(taught, training), "__taught")
+    return judged.where("not rejected").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest number of each group of near copies; documents without a number stay."""
+    ship_package(spark)
+    groups = similar(docs)
+    others = groups.where("component_id <> doc_id").select("doc_id", "component_id").distinct().select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are contaminated by the benchmark."""
+    ship_package(spark)
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; the documents stay."""
+    return masked(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text."""
+    ship_package(spark)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near copies", one_of_each),
+    ("benchmark", no_benchmark),
+    ("secrets", no_secrets),
+    ("token ids", token_ids),
+]
+
+#: Language models, and byte pair merges, are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
