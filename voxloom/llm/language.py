@@ -16,7 +16,7 @@ LETTERS = _byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0
 ORDER = 4
 UNKNOWN = "und"
 #: A text is rejected when its cross-entropy is over this many times the 99th percentile of its language's training texts.
-REJECT_RATIO = 1.5
+REJECT_RATIO = 2.0
 #: Evidence of more characters than this does not make a prediction more certain.
 FULL_EVIDENCE = 100
 

@@ -15,8 +15,10 @@ ORDER = 5
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # of 100 words
-#: Quartile distances by which log perplexity may lie beyond the quartiles of its language.
-BAND = 5.0
+#: Quartile distances by which a long text's log perplexity may lie beyond the quartiles of its language.
+BAND = 3.0
+#: Texts of this many words may lie the square root of two times as far; shorter ones scatter more.
+SCATTER = 100
 SYMBOLS = _byte_class(lambda b: chr(b) in "#*$%&|<>")
 LINE = _byte_class(lambda b: b != 0x0A)
 _HEAD = np.array([b & 0xC0 != 0x80 for b in range(256)])
@@ -52,7 +54,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, lang``, the counts, ``base_failed`` and ``log_perplexity`` (per character, null without words).
+    """``doc_id, lang``, the counts, ``base_failed`` and ``log_perplexity`` (per word, null without words).
 
     The model is counted over all texts of ``docs``. Null text has no words; null and repeated keys stay.
     """
@@ -64,7 +66,7 @@ def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for b in batches:
             for (w, scores, chars), lines in zip(scorer(b.column(2)), words_of(b.column(2), LINE), strict=True):
                 counts = [pa.array(x.astype(np.int64)) for x in _features(w, lines)]
-                loss = -scores[:, 0] / np.maximum(chars, 1) if scores.shape[1] else np.zeros(chars.size)
+                loss = -scores[:, 0] / np.maximum(w.counts, 1) if scores.shape[1] else np.zeros(chars.size)
                 own = [b.column(i).slice(w.rows.start, len(w.rows)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, *counts, pa.array(loss, mask=chars == 0)], names=["doc_id", "lang", *_COUNTS, "log_perplexity"])
 
@@ -80,7 +82,7 @@ def judged(rows: DataFrame, band: float = BAND) -> DataFrame:
     bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("__q"))
     out = rows.alias("r").join(F.broadcast(bands).alias("b"), F.expr("r.lang <=> b.lang"), "left")  # a row for each language
     low, high = F.col("__q")[0], F.col("__q")[1]
-    reach = band * F.greatest(high - low, F.lit(0.01))
+    reach = band * F.greatest(high - low, F.lit(0.01)) * F.sqrt(1 + SCATTER / F.greatest("n_words", F.lit(1)))
     inside = F.col("log_perplexity").between(low - reach, high + reach)
     return out.select("r.*", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
 
