@@ -49,7 +49,8 @@ def _spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         own = F.transform(F.slice(rows, 1, F.size(rows) - 1), lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), (x["value"] >= rule.least).alias("good")))
         per_rule.append(F.when(F.col("content").rlike(rule.pattern), own).otherwise(F.array().cast("array<struct<rank:int,i:int,gap:int,size:int,good:boolean>>")))
     rows = blobs.select("digest", F.explode(F.concat(*per_rule)).alias("m")).select("digest", "m.*")
-    upto = Window.partitionBy("digest", "rank").orderBy("i")
+    rows = rows.distinct()  # a path may have the same content in several rows
+    upto = Window.partitionBy("digest", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("size")).over(upto)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     found = rows.withColumn("stop", stop).where("good")
