@@ -26,7 +26,7 @@ from voxloom.llm.words import slices, text_bytes
 TRAINING_PAGES = 500
 SEED_WEIGHT = 20
 #: Features of a node overlap, so most count for less than independent ones would.
-EVIDENCE = {"tag": 0.5, "in": 0.25, "size": 0.5, "ends": 0.5, "links": 1.0, "hint": 1.0, "word": 1.0}
+EVIDENCE = {"tag": 0.3, "in": 0.1, "size": 0.25, "ends": 0.25, "links": 0.5, "hint": 1.0, "word": 0.5}
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|(?P<rest>[^>]*+)>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S,
@@ -326,8 +326,8 @@ def _seeds() -> list[str]:
         pick = lambda words, i=i: words[i % len(words)]
         box = [f'<article data-main class="{pick(mains)}">', f'<div data-main class="{pick(mains)}" id="{mains[(i + 3) % len(mains)]}">', f'<main data-main><div class="{pick(mains)}">', f'<div id="page"><section data-main class="{pick(mains)}">'][i % 4]
         end = ["</article>", "</div>", "</div></main>", "</section></div>"][i % 4]
-        lead = ["<header><h1>Title of the page</h1></header>", "<h1>Title of the page</h1>", "<h2>Title of the page</h2>"][i % 3]
-        body = f"{lead}<p>{long}</p><p>{short}</p><h2>A heading</h2><p>{long}</p><ul><li>One point of a list in the text.</li><li>Another point, somewhat longer than the first one.</li></ul><blockquote><p>{long}</p></blockquote><p>{long}</p><table><tr><td>12</td><td>A cell</td></tr></table><pre>code = 1</pre><figure><figcaption>What the picture shows.</figcaption></figure><p>Short one</p><div>{long}</div>"
+        lead = ["<header><h1>Title</h1></header>", "<h1>Title of the page</h1>", f"<h1>News</h1><p>{short}</p><h3>Part</h3>"][i % 3]
+        body = f"{lead}<p>{long}</p><p>{short}</p><h2>A heading</h2><p>{long}</p><ul><li>One point of a list in the text.</li><li>Another point, somewhat longer than the first one.</li></ul><blockquote><p>{long}</p></blockquote><p>{long}</p><table><tr><td>12</td><td>A cell</td></tr></table><pre>code = 1</pre><figure><figcaption>What the picture shows.</figcaption></figure><p>Short one</p><ol><li>First do this.</li><li>Then do that</li><li>And <a href='/r'>this</a> as well.</li><li>Done</li></ol><p>As <a href='/q'>was said before</a>, {long}</p><ul><li>Plain point</li></ul><div>{long}</div>"
         inner = f'<div data-aside class="{pick(adverts)}"><p>Buy this now, it is cheap. {short}</p></div>' if i % 2 else f'<aside data-aside class="{pick(sides)}"><h3>More</h3><ul><li><a href="/x">Another story</a></li><li>{short}</li></ul></aside>'
         share = f'<div data-aside class="{pick(shares)}"><a href="/s">Share</a> <a href="/t">Post</a></div>'
         reply = f'<section data-aside class="{pick(replies)}" id="{replies[(i + 2) % len(replies)]}"><h3>Comments</h3><div class="{replies[(i + 1) % len(replies)]}"><p>{long}</p></div><ol><li><p>I do not agree with this at all, and here is why. {short}</p></li></ol></section>'
