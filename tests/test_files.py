@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.config import PipelineConfig
 from voxloom.operators import index as I
+from voxloom.operators.frames import dense_batches
 from voxloom.plans import serve
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
@@ -125,7 +126,7 @@ def test_corrupt_files_are_left_out_and_reported(spark, tmp_path):
     assert sorted(r["path"].rsplit("/")[-1] for r in report.collect()) == ["train_part_1.parquet", "train_part_9.parquet"]
     index = serve.build_index(spark, root, "train")
     assert [r["length"] for r in index.index.orderBy("idx").collect()] == [5, 6, 7, 6]
-    kept = H.drop_corrupt(H.scan_lengths(spark, found), report)
+    kept = H.drop_corrupt(H.scan_lengths(spark, found, skip_corrupt=True), report)
     assert kept.count() == 4
 
 
@@ -146,6 +147,73 @@ def test_damage_inside_a_file_drops_the_whole_file(spark, tmp_path):
     assert serve.build_index(spark, root, "train").n_samples == 1
 
 
+def test_damage_in_the_arrays_drops_the_whole_file_or_raises(spark, tmp_path):
+    root = str(tmp_path)
+    n = 4000
+    for k in range(2):
+        audio = pa.array([[(i * 7 + j) % 2048 for j in range(32)] for i in range(n)], pa.list_(pa.int64()))
+        rows = {"audio": audio, "text": pa.array([[i % 250] for i in range(n)], pa.list_(pa.int64())), "length": pa.array([3] * n, pa.int64())}
+        pq.write_table(pa.table(rows), f"{root}/train_part_{k}.parquet", row_group_size=1000, use_dictionary=False, compression="zstd")
+    meta = pq.ParquetFile(f"{root}/train_part_1.parquet").metadata.row_group(2).column(0)
+    with open(f"{root}/train_part_1.parquet", "r+b") as f:
+        f.seek(meta.data_page_offset + meta.total_compressed_size // 2)
+        f.write(b"\xff" * 200)
+    index = serve.build_index(spark, root, "train")
+    assert index.n_samples == n
+    assert serve.batches(spark, index).count() == n
+    assert serve.batch_schedule(index).count() == n
+    with pytest.raises(Exception, match="(?i)corrupt|decompress|cannot read|FAILED_READ_FILE"):
+        unchecked = serve.build_index(spark, root, "train", check=False)
+        serve.batches(spark, unchecked).write.format("noop").mode("overwrite").save()
+
+
+def test_a_wrong_stored_length_raises(spark, tmp_path):
+    rows = {"audio": pa.array([list(range(32))] * 2, pa.list_(pa.int64())), "text": pa.array([[1, 2]] * 2, pa.list_(pa.int64())), "length": pa.array([4, 3], pa.int64())}
+    pq.write_table(pa.table(rows), f"{tmp_path}/train_part_1.parquet")
+    with pytest.raises(Exception, match="stored length does not fit the arrays of sample 1"):
+        serve.export_batches(spark, str(tmp_path), "train", str(tmp_path / "out"), PipelineConfig(batch_size=2))
+    short = spark.createDataFrame([(0, 0, 7, 3, list(range(32)), [1, 2])], "bin int, slot_in_bin int, idx bigint, pad_length int, audio array<int>, text array<int>")
+    with pytest.raises(Exception, match="sample 7 needs 4 rows and is padded to 3"):
+        dense_batches(short).collect()
+
+
+def test_runs_that_share_a_folder_keep_their_files(spark, tmp_path):
+    """Writers that overlap in time."""
+    from threading import Thread
+
+    cfg = PipelineConfig(chunk_rows=100, chunks_per_task=2)
+    out = str(tmp_path / "out")
+
+    def write(division, n):
+        rows = spark.range(n).select(F.lit("f").alias("f"), F.col("id").alias("row"), F.lit(division).alias("division"))
+        placed = H.assign_chunks(rows, "f", "row", (), 1, cfg)
+        H.write_chunks(placed, n, out, "train", division, 1, cfg)
+
+    threads = [Thread(target=write, args=a) for a in ((0, 3000), (1, 9000), (0, 700))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    got = {r["division"]: r["count"] for r in spark.read.parquet(out).groupBy("division").count().collect()}
+    assert got == {0: 3700, 1: 9000}
+    assert not [p for p in os.listdir(out) if p.startswith("_run")]
+
+
+def test_one_replicas_share(spark, tmp_path):
+    root = str(tmp_path)
+    chunk(f"{root}/train_part_1.parquet", [5, 6, 7, 8, 9])
+    chunk(f"{root}/validation_part_1.parquet", [5])
+    cfg = PipelineConfig(batch_size=1)
+    whole, _ = serve.create_batches(spark, root, 1, 2, cfg)
+    for rank in (0, 1):
+        share, _ = serve.create_batches(spark, root, 1, 2, cfg, rank=rank)
+        assert sorted(map(tuple, share.collect())) == sorted(tuple(r) for r in whole.collect() if r["rank"] == rank)
+    even, _ = serve.create_batches(spark, root, 1, 2, cfg, uneven="drop")
+    assert even.count() == 4
+    with pytest.raises(ValueError, match="rank 2 of 2"):
+        serve.create_batches(spark, root, 1, 2, cfg, rank=2)
+
+
 def test_chunk_files_hold_one_chunk_each(spark, tmp_path):
     cfg = PipelineConfig(chunk_rows=10, chunks_per_task=3, position_block=7)
     rows = spark.range(95).select((F.col("id") % 3).cast("string").alias("f"), F.col("id").alias("row"), F.lit(4).alias("length"))

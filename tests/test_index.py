@@ -62,6 +62,14 @@ def test_fetch_from_files_opens_only_what_is_needed(spark):
     assert opened == ["f000", "f002"]
 
 
+def test_fetch_has_no_limit(spark):
+    files, _ = file_rows(spark, [200_000, 150_000])
+    scan = lambda paths: spark.range(200_000).selectExpr(f"explode(array({', '.join(repr(p) for p in paths)})) as path", "id as row_index")
+    asked = spark.range(300_000).withColumnRenamed("id", "idx")
+    got = I.fetch_from_files(asked, files, scan, CFG)
+    assert tuple(got.selectExpr("count(*)", "count(distinct idx)", "max(idx)").first()) == (300_000, 300_000, 299_999)
+
+
 def test_duplicates(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("a",)], "sample_id string")
     assert [tuple(r) for r in I.duplicate_ids(rows).collect()] == [("a", 2)]

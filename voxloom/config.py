@@ -8,7 +8,6 @@ from dataclasses import dataclass
 SAMPLE_RATE = 24_000
 N_CODEBOOKS = 32
 AUDIO_VOCAB = 2_051
-TEXT_VOCAB = 128_256
 CHUNK_ROWS = 1_000
 DEFAULT_SPEAKER = "999"
 MIN_TEXT_CHARS = 10
@@ -42,7 +41,6 @@ class PipelineConfig:
     sample_rate: int = SAMPLE_RATE
     n_codebooks: int = N_CODEBOOKS
     audio_vocab: int = AUDIO_VOCAB
-    text_vocab: int = TEXT_VOCAB
     chunk_rows: int = CHUNK_ROWS
     default_speaker: str = DEFAULT_SPEAKER
     omit_speaker: bool = False
@@ -50,7 +48,6 @@ class PipelineConfig:
     min_text_chars: int = MIN_TEXT_CHARS
     batch_size: int = 8
     grad_acc_steps: int = 1
-    epochs: int = 25
     seed: int = SAMPLER_SEED
     position_block: int = 1 << 20
     chunks_per_task: int = 16

@@ -25,7 +25,14 @@ def run_tokenize(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = PipelineConfig(omit_speaker=args.omit_speaker)
     schema = corpus_schema(args.with_speaker)
     counts = tokenize_corpus(
-        spark, args.corpus, args.out, schema, cfg, division=args.division, n_divisions=args.num_divisions
+        spark,
+        args.corpus,
+        args.out,
+        schema,
+        cfg,
+        division=args.division,
+        n_divisions=args.num_divisions,
+        retry_quarantine=args.retry_quarantine,
     )
     for split, c in counts.items():
         print(f"{split}: {c}")
@@ -42,7 +49,9 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_schedule(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = PipelineConfig(batch_size=args.batch_size, seed=args.seed)
-    train, held_out = create_batches(spark, args.tokens, args.epochs, args.replicas, cfg, args.first_epoch)
+    train, held_out = create_batches(
+        spark, args.tokens, args.epochs, args.replicas, cfg, args.first_epoch, args.rank, args.uneven
+    )
     train.write.partitionBy("epoch", "rank").parquet(f"{args.out}/train")
     held_out.write.partitionBy("rank").parquet(f"{args.out}/eval")
 
@@ -77,12 +86,15 @@ def parser() -> argparse.ArgumentParser:
         if name == "tokenize":
             sub.add_argument("--division", type=int, help="index of this share of the training files")
             sub.add_argument("--num-divisions", type=int, default=1)
+            sub.add_argument("--retry-quarantine", action="store_true", help="try rows again that were set aside")
         else:
             sub.add_argument("--split", default="train")
             sub.add_argument("--files-per-batch", type=int, default=100)
     sub = job("schedule", run_schedule, "tokens", "out")
     for name, default in (("epochs", 1), ("replicas", 1), ("first-epoch", 0), ("batch-size", 8), ("seed", 42)):
         sub.add_argument(f"--{name}", type=int, default=default)
+    sub.add_argument("--rank", type=int, help="only this replica's share")
+    sub.add_argument("--uneven", default="keep", choices=("keep", "drop"), help="bins that do not divide by the replicas")
     sub = job("export", run_export, "tokens", "out")
     sub.add_argument("--split", default="train")
     sub.add_argument("--batch-size", type=int, default=8)

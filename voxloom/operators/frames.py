@@ -188,6 +188,8 @@ def dense_batches(batched: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFram
             codes = audio[row].values.to_numpy(zero_copy_only=False).reshape(books, -1).T
             first = start + len(ids)
             end = first + len(codes)
+            if end >= starts[row + 1]:
+                raise ValueError(f"sample {part.column('idx')[row]} needs {end + 1 - start} rows and is padded to {lengths[row]}")
             tokens[start:first, books] = ids
             mask[start:first, books] = True
             tokens[first:end, :books] = codes

@@ -125,16 +125,11 @@ def fetch(requests: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def fetch_from_files(requests: DataFrame, files: DataFrame, scan, cfg: PipelineConfig = DEFAULT) -> DataFrame:
-    """A short list of requests read from disk: only files that hold a requested row are opened.
+    """Requests read from disk: only files that hold a requested row are opened, however many rows that is.
 
-    ``scan`` maps a list of paths to a table with ``path`` and ``row_index``. The paths come to
-    the driver, so this is for interactive look-ups; use ``fetch`` for large request tables.
+    ``scan`` maps a list of paths to a table with ``path`` and ``row_index``. The driver sees the names of
+    the files to open, as it does for any scan; the rows to take stay a table.
     """
     found = locate(requests, files, cfg)
-    rows = found.limit(cfg.broadcast_rows + 1).collect()
-    if len(rows) > cfg.broadcast_rows:
-        raise ValueError("too many requests for a driver-side look-up: use fetch()")
-    spark = requests.sparkSession
-    keys = spark.createDataFrame([tuple(r) for r in rows], found.schema)
-    opened = scan(sorted({unquote(r["path"]) for r in rows}))
-    return opened.join(F.broadcast(keys), ["path", "row_index"])
+    paths = [unquote(r["path"]) for r in found.select("path").distinct().collect()]
+    return scan(sorted(paths)).join(found, ["path", "row_index"])

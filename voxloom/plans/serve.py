@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
+from voxloom.functions.codes import is_consistent
 from voxloom.operators import frames as R
 from voxloom.operators import index as I
 from voxloom.operators import schedule as B
@@ -73,11 +74,17 @@ def batch_schedule(
 def batches(spark: SparkSession, index: SampleIndex, cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Every sample with its bin, its place in it and the length its batch is padded to.
 
+    A sample whose stored length does not fit its arrays raises: it would not fit its batch either.
+
     What a bin holds does not depend on epoch or replica, so samples are joined to bins once for
     a whole training run; the schedule then only orders bins.
     """
     bins = B.length_bins(index.index, cfg)
-    return R.with_pad_length(bins).drop("length").join(index.samples(spark), "idx")
+    samples = index.samples(spark)
+    sound = is_consistent(F.col("audio"), F.col("text"), F.col("length"), cfg)
+    wrong = F.raise_error(F.concat(F.lit("stored length does not fit the arrays of sample "), F.col("idx").cast("string")))
+    samples = samples.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(wrong.cast("boolean")))
+    return R.with_pad_length(bins).drop("length").join(samples, "idx")
 
 
 def export_batches(
@@ -104,11 +111,22 @@ def create_batches(
     n_replicas: int = 1,
     cfg: PipelineConfig = DEFAULT,
     first_epoch: int = 0,
+    rank: int | None = None,
+    uneven: str = "keep",
+    check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Schedules for training (shuffled) and for evaluation (from short to long)."""
-    train = build_index(spark, root, "train")
-    held_out = build_validation_index(spark, root)
-    return (
-        batch_schedule(train, n_epochs, n_replicas, cfg, first_epoch=first_epoch),
+    """Schedules for training (shuffled) and for evaluation (from short to long).
+
+    ``rank`` keeps one replica's share; ``uneven`` says what becomes of bins that do not divide by the
+    replicas; ``check`` looks for damaged files first. An endless run asks for one epoch after the other
+    by ``first_epoch``.
+    """
+    if rank is not None and not 0 <= rank < n_replicas:
+        raise ValueError(f"rank {rank} of {n_replicas} replicas")
+    train = build_index(spark, root, "train", check)
+    held_out = build_validation_index(spark, root, check)
+    plans = (
+        batch_schedule(train, n_epochs, n_replicas, cfg, uneven=uneven, first_epoch=first_epoch),
         batch_schedule(held_out, 1, n_replicas, cfg, shuffle=False),
     )
+    return plans if rank is None else tuple(p.where(F.col("rank") == rank) for p in plans)

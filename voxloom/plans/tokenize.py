@@ -143,6 +143,25 @@ def status_counts(rows: DataFrame) -> dict[str, int]:
     return {r["status"]: r["n_rows"] for r in counted.collect()}
 
 
+def sample_columns(placed: DataFrame, dataset: Column, split: str, division: int | None, cfg: PipelineConfig) -> DataFrame:
+    """The columns of a chunk table, the same for every way of writing one."""
+    return placed.select(
+        "sample_id",
+        dataset.alias("dataset"),
+        F.lit(split).alias("split"),
+        F.lit(division).cast("int").alias("division"),
+        "chunk_no",
+        "position",
+        "file_name",
+        "row_index",
+        "speaker",
+        "audio",
+        "text",
+        "length",
+        F.lit(cfg.n_codebooks).alias("n_codebooks"),
+    )
+
+
 def tokenize_split(
     spark: SparkSession,
     in_dir: str,
@@ -164,6 +183,8 @@ def tokenize_split(
     once and a lost executor cannot change a row after its position is known. Chunks are
     committed before the quarantine: a crash in between repeats quarantined rows only.
     """
+    if not 0 <= (division or 0) < n_divisions:
+        raise ValueError(f"division {division} of {n_divisions}")
     split = S.split_prefix(split)
     files = S.split_files(spark, in_dir, split)[(division or 0) :: n_divisions]
     if not files:
@@ -180,24 +201,10 @@ def tokenize_split(
         good, bad = K.split_outcome(rows, keys)
         first = H.next_chunk_number(spark, out_dir, split, division)
         placed = H.assign_chunks(good, "file_name", "row_index", (), first, cfg)
-        samples = placed.select(
-            "sample_id",
-            F.lit(dataset).alias("dataset"),
-            F.lit(split).alias("split"),
-            F.lit(division).cast("int").alias("division"),
-            "chunk_no",
-            "position",
-            "file_name",
-            "row_index",
-            "speaker",
-            "audio",
-            "text",
-            "length",
-            F.lit(cfg.n_codebooks).alias("n_codebooks"),
-        )
+        samples = sample_columns(placed, F.lit(dataset), split, division, cfg)
         H.write_chunks(samples, written, out_dir, split, division, first, cfg)
         if set_aside or short:
-            bad.write.mode("append").option(H.OUTPUT_BASENAME, split).parquet(quarantine_dir(out_dir))
+            H.append_files(spark, bad.write.option(H.OUTPUT_BASENAME, split), quarantine_dir(out_dir))
     return RunCounts(seen, skipped, written, set_aside, short)
 
 
@@ -210,18 +217,35 @@ def tokenize_corpus(
     encoders: Encoders = Encoders(),
     division: int | None = None,
     n_divisions: int = 1,
+    retry_quarantine: bool = False,
 ) -> dict[str, RunCounts]:
-    """Tokenise every split of a corpus, or one division's share of it."""
+    """Tokenise every split of a corpus, or one division's share of it.
+
+    Divisions may run at the same time and into the same folder. ``retry_quarantine`` tries rows again
+    that an earlier run set aside.
+    """
+    if division is None and n_divisions != 1:
+        raise ValueError("say which division of them to run")
     if division is None:
         plan = [(s, None, 1) for s in S.SPLITS]
     else:
         plan = S.division_plan(n_divisions, division)
     return {
-        split: tokenize_split(spark, in_dir, out_dir, split, schema, cfg, encoders, d, n) for split, d, n in plan
+        split: tokenize_split(spark, in_dir, out_dir, split, schema, cfg, encoders, d, n, retry_quarantine)
+        for split, d, n in plan
     }
 
 
 def quarantine_rows(spark: SparkSession, out_dir: str) -> DataFrame:
-    """All rows set aside so far."""
+    """Rows that are set aside: once each, and not those that a later run wrote after all."""
     files = glob_paths(spark, f"{quarantine_dir(out_dir)}/*.parquet")
-    return spark.read.schema(QUARANTINE).parquet(*files) if files else spark.createDataFrame([], QUARANTINE)
+    if not files:
+        return spark.createDataFrame([], QUARANTINE)
+    aside = spark.read.schema(QUARANTINE).parquet(*files).withColumn("__at", F.col("_metadata.file_modification_time"))
+    columns = QUARANTINE.fieldNames()
+    rest = [c for c in columns if c != "sample_id"]
+    latest = aside.groupBy("sample_id").agg(F.max(F.struct("__at", *rest)).alias("__last")).select("sample_id", *[F.col(f"__last.{c}").alias(c) for c in rest])
+    chunks = glob_paths(spark, f"{out_dir}/*part_*.parquet")
+    if chunks:
+        latest = latest.join(H.read_columns(spark, chunks, "sample_id string", skip_corrupt=False), "sample_id", "left_anti")
+    return latest.select(*columns)

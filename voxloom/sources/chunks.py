@@ -6,6 +6,7 @@ in one directory per dataset, so any reader that looks for ``{split}*part_*.parq
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
 from voxloom.operators.position import position_by_number
 from voxloom.schemas import CHUNK_FILE
-from voxloom.sources.files import glob_paths, subdirectories, uri_of
+from voxloom.sources.files import glob_paths, move_into, subdirectories, uri_of
 
 # Spark's name for the leading part of its output file names.
 OUTPUT_BASENAME = "mapreduce.output.basename"
@@ -58,20 +59,32 @@ def write_chunks(
 
     A task gets whole chunks and holds at most ``chunks_per_task`` of them; the file writer turns
     to a new file every ``chunk_rows`` rows, which is exactly where a chunk ends.
+
+    Appending goes through a folder of the run's own, so runs that share ``out_dir`` do not commit
+    each other's files.
     """
     if n_rows == 0 and mode == "append":
         return
     rows_per_task = cfg.chunk_rows * cfg.chunks_per_task
     n_tasks = max(1, -(-n_rows // rows_per_task))
     task = int_div(F.col("position"), rows_per_task).cast("int")
-    (
+    writer = (
         placed.repartitionById(n_tasks, task)
         .sortWithinPartitions("position")
-        .write.mode(mode)
-        .option(OUTPUT_BASENAME, f"{chunk_prefix(split, division)}{first_chunk:09d}")
+        .write.option(OUTPUT_BASENAME, f"{chunk_prefix(split, division)}{first_chunk:09d}")
         .option("maxRecordsPerFile", cfg.chunk_rows)
-        .parquet(out_dir)
     )
+    if mode == "append":
+        append_files(placed.sparkSession, writer, out_dir)
+    else:
+        writer.mode(mode).parquet(out_dir)
+
+
+def append_files(spark: SparkSession, writer, out_dir: str) -> None:
+    """Write below ``out_dir`` in a hidden folder of this run, then move the files in."""
+    staging = f"{out_dir}/_run-{uuid.uuid4().hex}"
+    writer.parquet(staging)
+    move_into(spark, staging, out_dir)
 
 
 def trailing_number(stem: Column) -> Column:
@@ -96,7 +109,7 @@ def next_chunk_number(spark: SparkSession, out_dir: str, split: str, division: i
         return 1
     stems = [(f.rsplit("/", 1)[-1].removesuffix(".parquet"),) for f in files]
     by_name = spark.createDataFrame(stems, "stem string").agg(next_number(F.col("stem"))).first()[0]
-    stored = read_columns(spark, files, "chunk_no bigint").agg(F.max("chunk_no")).first()[0]
+    stored = read_columns(spark, files, "chunk_no bigint", skip_corrupt=False).agg(F.max("chunk_no")).first()[0]
     return max(by_name, (stored or 0) + 1)
 
 
@@ -135,8 +148,11 @@ def discover_datasets(spark: SparkSession, root: str, split: str) -> list[tuple[
     return sorted((d, p) for d, p in pairs if d in names)
 
 
-def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = True) -> DataFrame:
-    """Samples of the listed chunk files with ``path`` and ``row_index``, arrays as 32-bit integers."""
+def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = False) -> DataFrame:
+    """Samples of the listed chunk files with ``path`` and ``row_index``, arrays as 32-bit integers.
+
+    A file that cannot be read raises; ``skip_corrupt`` drops what cannot be read without a word.
+    """
     schema = CHUNK_FILE
     if not files:
         wide = spark.createDataFrame([], schema).selectExpr("*", "'' path", "0L row_index")
@@ -153,7 +169,7 @@ def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt:
     )
 
 
-def scan_lengths(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = True) -> DataFrame:
+def scan_lengths(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = False) -> DataFrame:
     """Only path, row number and ``length`` of every sample: all an index needs."""
     return scan_chunks(spark, files, skip_corrupt).select("path", "row_index", "length")
 
@@ -168,15 +184,17 @@ def corrupt_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFram
 
     A broken footer leaves no row at all; damage further in leaves fewer rows than the footer
     promises. Both are reported (as file URIs), and ``drop_corrupt`` keeps their rows out. A file
-    without any row is reported too; leaving it out changes nothing.
+    without any row is reported too; leaving it out changes nothing. Every column that is served is
+    read, so damage in the arrays is found as well.
     """
     paths = [p for _, p in files]
     listed = spark.createDataFrame([(uri_of(p),) for p in paths], "path string")
-    base = read_columns(spark, paths, "length bigint").withColumn("path", F.col("_metadata.file_path"))
+    base = read_columns(spark, paths, CHUNK_FILE).withColumn("path", F.col("_metadata.file_path"))
     footer = base.groupBy("path").agg(F.count(F.lit(1)).alias("footer_rows"))
     # A plain row count would be answered from the footers; counting values has to read them.
-    values, nulls = F.count("length"), F.count_if(F.col("length").isNull())
-    read = base.groupBy("path").agg((values + nulls).alias("read_rows"))
+    cells = F.xxhash64("audio", "text", "length")
+    read = base.groupBy("path").agg(F.count(F.lit(1)).alias("read_rows"), F.bit_xor(cells).alias("__cells"))
+    read = read.where(F.col("__cells").isNotNull()).drop("__cells")
     joined = listed.join(footer, "path", "left").join(read, "path", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("footer_rows", "read_rows")]
     whole = (F.col("footer_rows") > 0) & (F.col("footer_rows") == F.col("read_rows"))

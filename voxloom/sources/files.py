@@ -33,6 +33,19 @@ def subdirectories(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
+def move_into(spark: SparkSession, staging: str, target: str) -> None:
+    """Move the data files of a finished run into ``target`` and drop its folder. Names must be unique."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    to = hadoop(target)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to)
+    for status in _statuses(spark, f"{staging}/[!_.]*"):
+        path = status.getPath()
+        if not fs.rename(path, hadoop(to, path.getName())):
+            raise OSError(f"cannot move {path} to {target}")
+    fs.delete(hadoop(staging), True)
+
+
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a small file."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.operators import tokenize as K
 from voxloom.operators.position import exclusive_sums
-from voxloom.plans.tokenize import Encoders, outcomes
+from voxloom.plans.tokenize import Encoders, outcomes, sample_columns
 from voxloom.session import staged
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
@@ -44,7 +44,8 @@ def write_batch(
     target = f"{out_dir}/samples/batch_id={batch_id}"
     with staged(outcomes(rows, cfg, encoders, KEYS), "staged") as done:
         good, bad = K.split_outcome(done, KEYS)
-        placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg).withColumn("split", F.lit(split))
+        placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg)
+        placed = sample_columns(placed, F.split_part("sample_id", F.lit("/"), F.lit(1)), split, None, cfg)
         H.write_chunks(placed, good.count(), target, split, None, 1, cfg, mode="overwrite")
         bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch_id={batch_id}")
 
