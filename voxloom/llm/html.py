@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.words import slices, text_bytes
 
-#: Pages of the table that train the potentials, those with the smallest hash.
+#: Most pages of the table that train the potentials, drawn by hash.
 TRAINING_PAGES = 500
 SEED_WEIGHT = 20
 #: Features of a node overlap, so most count for less than independent ones would.
@@ -352,8 +352,13 @@ SEED_HINTS = frozenset(
 
 
 def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Potentials:
-    """Potentials from the seed pages and from at most ``most`` pages of ``pages``, those with the smallest hash."""
-    sample = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(most)
+    """Potentials from the seed pages and from at most ``most`` pages of ``pages``, drawn by hash.
+
+    The draw leaves about ``most`` pages before they are ordered, so tasks have little to send.
+    """
+    every = max(1, pages.count() // most)
+    drawn = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).where(F.pmod("h", F.lit(every)) == 0)
+    sample = drawn.orderBy("h", "html").limit(most)
     labelled = [(labelled_seed(p), SEED_WEIGHT) for p in _seeds()]
     labelled += [(root, 1) for row in sample.select("html").collect() if (root := labelled_by_parts(row.html)) is not None]
     return Potentials(labelled)
