@@ -48,7 +48,7 @@ def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     out, total = [], np.zeros(points.size, dtype=np.uint64)
     for d in range(order):
         total = total.copy()
-        total[d:] += values[: values.size - d] * _PLACE_VALUE[d]
+        total[d:] += values[: max(0, values.size - d)] * _PLACE_VALUE[d]
         out.append(mix(total + np.uint64(d + 1)))
     return out
 
