@@ -84,7 +84,7 @@ def _bins(spark, sf):
 
 
 def _n_bins(spark, sf):
-    return B.bin_count(lengths(spark, sf).count(), CFG)
+    return B.bin_count(indexed_lengths(spark, sf).count(), CFG)
 
 
 def length_bins(spark, sf):

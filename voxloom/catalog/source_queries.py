@@ -24,10 +24,10 @@ from voxloom.operators import index as I
 from voxloom.operators import stats as ST
 from voxloom.operators import tokenize as K
 from voxloom.operators.position import exclusive_sums
+from voxloom.plans.serve import sound_files
 from voxloom.plans.tokenize import tokenize_corpus as run_tokenize_corpus
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
-from voxloom.sources.files import subdirectories
 from voxloom.streaming.tokenize import dense_chunk_numbers, tokenize_stream
 
 QUERIES, ORACLE = {}, {}
@@ -143,14 +143,7 @@ ORACLE["next_chunk"] = """with stems as (
 
 def existing_count(spark, sf):
     """Samples per dataset and split of a written chunk table, from file footers."""
-    root = chunk_dir(spark, sf)
-    counts = [
-        (d, s, n)
-        for d in subdirectories(spark, root)
-        for s in S.SPLITS
-        if (n := H.existing_count(spark, f"{root}/{d}", s))
-    ]
-    return spark.createDataFrame(counts, "dataset string, split string, n_samples bigint")
+    return H.sample_counts(spark, chunk_dir(spark, sf))
 
 
 ORACLE["existing_count"] = f"""with {SAMPLES}
@@ -163,7 +156,7 @@ def _dataset(path):
 
 def file_index(spark, sf):
     """Files of the training split over all datasets, with the number of their first sample."""
-    found = H.discover_datasets(spark, chunk_dir(spark, sf), "train")
+    found = sound_files(spark, chunk_dir(spark, sf), "train")
     files = I.file_table(I.file_counts(H.scan_lengths(spark, found)))
     return files.select(_dataset(F.col("path")).alias("dataset"), "start", "len")
 
@@ -176,9 +169,7 @@ ORACLE["file_index"] = f"""with {SAMPLES}, placed as (
 
 
 def discover_datasets(spark, sf):
-    root = chunk_dir(spark, sf)
-    found = [(s, d) for s in S.SPLITS for d, _ in H.discover_datasets(spark, root, s)]
-    files = spark.createDataFrame(found, "split string, dataset string")
+    files = H.chunk_files(spark, chunk_dir(spark, sf))
     return files.groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n_files"))
 
 
@@ -207,7 +198,7 @@ def union_chunks(spark, sf):
     """All datasets and splits as one table, arrays included."""
     root = chunk_dir(spark, sf)
     parts = [
-        H.scan_chunks(spark, H.discover_datasets(spark, root, s)).withColumn("split", F.lit(s)) for s in S.SPLITS
+        H.scan_chunks(spark, sound_files(spark, root, s)).withColumn("split", F.lit(s)) for s in S.SPLITS
     ]
 
     def total(column):

@@ -123,10 +123,11 @@ def bins_per_rank(placed: DataFrame, n_bins: int, n_replicas: int) -> DataFrame:
 
 def step_plan(per_rank: DataFrame, n_epochs: int, n_replicas: int, cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Steps of a whole run per replica, and samples per optimiser step."""
-    total = per_rank.groupBy("rank").agg(F.sum("actual_bins").cast("bigint").alias("actual_steps"))
-    planned = per_rank.groupBy("rank").agg(F.max("planned_bins").alias("planned"))
+    steps = per_rank.groupBy("rank").agg(
+        F.sum("actual_bins").cast("bigint").alias("actual_steps"), F.max("planned_bins").alias("planned")
+    )
     effective = cfg.batch_size * cfg.grad_acc_steps * n_replicas
-    return total.join(planned, "rank").select(
+    return steps.select(
         "rank",
         "actual_steps",
         (F.col("planned") * n_epochs).cast("bigint").alias("planned_steps"),

@@ -35,15 +35,19 @@ class SampleIndex:
         return numbered.persist(StorageLevel.MEMORY_AND_DISK) if in_memory else numbered
 
 
+def sound_files(spark: SparkSession, root: str, split: str) -> list[tuple[str, str]]:
+    """Chunk files of a split without those that cannot be read in full."""
+    found = H.discover_datasets(spark, root, split)
+    bad = {r["path"] for r in H.corrupt_files(spark, found).collect()} if found else set()
+    return [(d, p) for d, p in found if uri_of(p) not in bad]
+
+
 def build_index(spark: SparkSession, root: str, split: str, check: bool = True) -> SampleIndex:
     """Number all samples of a split. Only ``length`` is read; files that cannot be read are left out.
 
     The index is written to the shared folder once; bins, schedules and totals reuse it.
     """
-    found = H.discover_datasets(spark, root, split)
-    if check and found:
-        bad = {r["path"] for r in H.corrupt_files(spark, found).collect()}
-        found = [(d, p) for d, p in found if uri_of(p) not in bad]
+    found = sound_files(spark, root, split) if check else H.discover_datasets(spark, root, split)
     lengths = H.scan_lengths(spark, found)
     files = materialize(I.file_table(I.file_counts(lengths)), "files")
     index = materialize(I.global_index(lengths, files), "index")

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
@@ -148,6 +149,25 @@ def discover_datasets(spark: SparkSession, root: str, split: str) -> list[tuple[
     return sorted((d, p) for d, p in pairs if d in names)
 
 
+def dataset_and_split(path: Column) -> list[Column]:
+    """Data set (the folder's name) and split that the path of a chunk file names."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    return [F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("dataset"), F.regexp_extract(name, r"^([a-z]+)", 1).alias("split")]
+
+
+def chunk_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(dataset, split, path)`` of all chunk files one folder below ``root``, listed by Spark; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*part_*.parquet").load(f"{root}/*/")
+    return files.select(*dataset_and_split(F.col("path")), "path")
+
+
+def sample_counts(spark: SparkSession, root: str) -> DataFrame:
+    """``(dataset, split, n_samples)`` of all chunk files one folder below ``root``: one scan that reads footers only."""
+    reader = spark.read.schema(T.StructType()).option("pathGlobFilter", "*part_*.parquet").option("ignoreCorruptFiles", "true")
+    rows = reader.parquet(f"{root}/*/")
+    return rows.groupBy(*dataset_and_split(F.col("_metadata.file_path"))).agg(F.count(F.lit(1)).alias("n_samples"))
+
+
 def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = False) -> DataFrame:
     """Samples of the listed chunk files with ``path`` and ``row_index``, arrays as 32-bit integers.
 
