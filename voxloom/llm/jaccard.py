@@ -37,7 +37,9 @@ COMMON = 1000
 #: Hashes that a task looks at together before they are sent.
 GATHER = 1_000_000
 #: Sets of a list that are compared in one task; longer lists are cut, and every two cuts compared.
-CUT = 2048
+CUT = 1024
+#: Sets are held against centres, then along the likeliest pairs of each list, before all that is left is compared.
+STEPS = ("centre", "forest", "forest", "all")
 
 
 def region(n):
@@ -184,20 +186,24 @@ def shared_grams(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return spread.mapInArrow(groups, "sig long, n int, gram long, sets long")
 
 
-def branches(shared: DataFrame) -> DataFrame:
+def ordered_regions(shared: DataFrame) -> DataFrame:
+    """``sig, n, grams``: for each set what its region shares with any other set, rare first."""
+    per_set = shared.groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
+    return per_set.select("sig", "n", F.transform("grams", lambda x: x["gram"]).alias("grams"))
+
+
+def branches(ordered: DataFrame) -> DataFrame:
     """``gram, sig, n, tail``: for each set the n-grams that its branches of the tree begin with.
 
-    The region is ordered by rarity; n-grams of one set only come first and begin no branch with another
-    set. ``tail`` is what the region still holds from this n-gram on, the bound on what can be shared.
+    N-grams of one set only come first in the order and begin no branch with another set. ``tail`` is what
+    the region still holds from this n-gram on, the bound on what can be shared.
     """
-    per_set = shared.groupBy("sig").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
 
     def run(batches):
         for b in batches:
             grams = b.column(2)
-            flat = grams.flatten()
-            token = flat.field("gram").to_numpy(zero_copy_only=False)
-            k = np.diff(np.array(grams.offsets)).tolist() if isinstance(grams, pa.ListArray) else []
+            token = grams.flatten().to_numpy()
+            k = np.diff(grams.offsets.to_numpy()).tolist()
             out, at = [], 0
             for sig, n, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), k, strict=True):
                 whole = min(region(n), n)
@@ -212,7 +218,7 @@ def branches(shared: DataFrame) -> DataFrame:
                     names=["gram", "sig", "n", "tail"],
                 )
 
-    return per_set.select("sig", "n", "grams").mapInArrow(run, "gram long, sig long, n int, tail int")
+    return ordered.select("sig", "n", "grams").mapInArrow(run, "gram long, sig long, n int, tail int")
 
 
 def _lists(tree: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -260,27 +266,23 @@ def _feasible(n, m, tail, tail_m):
     return (PART * small >= SHARE * big) & (np.minimum(tail, tail_m) >= least_overlap(n, m) - rest)
 
 
-def _distinct(a, b):
-    """Pairs once each."""
-    if not a.size:
-        return a, b
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return a[new], b[new]
-
-
 def centre_pairs(lists: DataFrame) -> DataFrame:
-    """``a, b``: each set with the centre it meets most often, a centre being the first set of a list in another component."""
+    """``a, b``: each set with the centre it meets most often, a centre being the set of a list with the fewest n-grams of its own.
+
+    In a family of copies that is the one they were made from, or the closest to it. Sets of the centre's
+    own component are held against the first set of another one.
+    """
     rows = lists.select("gram", F.col("cut").alias("one"), F.col("cut").alias("two"), "sig", "n", "tail", "component", "cut")
 
     def each(parts, edges):
-        sig, n, tail, component = parts[3], parts[4].astype(np.int64), parts[5], parts[6]
+        group = np.repeat(np.arange(edges.size - 1), np.diff(edges))
+        order = np.lexsort((parts[3], -(parts[5] / parts[4]), group))
+        sig, n, tail, component = (parts[i][order] for i in (3, 4, 5, 6))
+        n = n.astype(np.int64)
         first = np.repeat(edges[:-1], np.diff(edges))
         # the first set of the list, or for its own component the first of another
         other = component != component[first]
         second = np.full(edges.size - 1, -1)
-        group = np.repeat(np.arange(edges.size - 1), np.diff(edges))
         at = np.flatnonzero(other)[::-1]
         second[group[at]] = at
         centre = np.where(other, first, second[group])
@@ -294,30 +296,163 @@ def centre_pairs(lists: DataFrame) -> DataFrame:
     return best.select(F.least("x", "centre").alias("a"), F.greatest("x", "centre").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of a list in different components that the bounds leave possible."""
+def _cut_pairs(lists: DataFrame) -> DataFrame:
+    """Rows of lists once for every two cuts that they are compared in."""
     cuts = F.col("cuts")
     other = F.when(cuts == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), cuts - 1))
     rows = lists.withColumn("other", F.explode(other))
-    rows = rows.select("gram", F.least("cut", "other").alias("one"), F.greatest("cut", "other").alias("two"), "sig", "n", "tail", "component", "cut")
+    return rows.select("gram", F.least("cut", "other").alias("one"), F.greatest("cut", "other").alias("two"), "sig", "n", "tail", "component", "cut")
+
+
+def possible_rows(rows: DataFrame) -> DataFrame:
+    """``gram, one, two, sig``: rows that the tails leave a partner in another component."""
 
     def each(parts, edges):
         found = []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             sig, n, tail, component, cut = (p[s:e] for p in parts[3:8])
             n, tail = n.astype(np.int64), tail.astype(np.int64)
-            one, two = parts[1][s], parts[2][s]
             for at in range(0, e - s, 256):
                 i = np.arange(at, min(at + 256, e - s))
-                good = _feasible(n[i][:, None], n[None, :], tail[i][:, None], tail[None, :]) & (component[i][:, None] != component[None, :]) & (sig[i][:, None] < sig[None, :])
-                if one != two:
+                good = _feasible(n[i][:, None], n[None, :], tail[i][:, None], tail[None, :]) & (component[i][:, None] != component[None, :])
+                if parts[1][s] != parts[2][s]:
                     good &= cut[i][:, None] != cut[None, :]
-                x, y = np.nonzero(good)
-                found.append((sig[i[x]], sig[y]))
-        a, b = _distinct(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                keep = s + i[good.any(axis=1)]
+                found.append(keep)
+        keep = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(p[keep]) for p in parts[:4]], names=_LIST[:4])
+
+    return _in_lists(rows, each, "gram long, one int, two int, sig long")
+
+
+def _shared_counts(flat: np.ndarray, row: np.ndarray, rows: int, step: int = 1024) -> np.ndarray:
+    """How many values every two rows have in common; a row has a value once."""
+    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    told = times[column] > 1
+    order = np.argsort(column[told], kind="stable")
+    column, row = column[told][order], row[told][order]
+    _, column = np.unique(column, return_inverse=True)
+    out = np.zeros((rows, rows), dtype=np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, step):
+        own = slice(*np.searchsorted(column, [first, first + step]))
+        block = np.zeros((rows, step), dtype=np.float32)
+        block[row[own], column[own] - first] = 1
+        out += block @ block.T
+    return out
+
+
+def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Places of the pairs, heaviest first, that join components not joined before."""
+    parent = {c: c for c in component.tolist()}
+
+    def find(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    kept, apart = [], len(parent)
+    order = np.argsort(-weight, kind="stable")
+    for k, a, b in zip(order.tolist(), component[x[order]].tolist(), component[y[order]].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+            apart -= 1
+            if apart == 1:
+                break
+    return np.array(kept, dtype=np.int64)
+
+
+def _solved(rows: DataFrame, grams: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` for each list or pair of cuts: rows ``gram, one, two, sig, n, component, cut`` with the ``grams`` of each set."""
+    spread = rows.join(grams.select("sig", "grams"), "sig").repartition("gram", "one", "two")
+    spread = spread.sortWithinPartitions("gram", "one", "two", "sig").select("gram", "one", "two", "sig", "n", "component", "cut", "grams")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while b.num_rows:
+                key = held[0] if held else b
+                same = np.ones(b.num_rows, dtype=bool)
+                for i in range(3):
+                    same &= b.column(i).to_numpy() == key.column(i)[0].as_py()
+                end = int(np.argmin(same)) if not same.all() else b.num_rows
+                if end:
+                    held.append(b.slice(0, end))
+                b = b.slice(end)
+                if b.num_rows:
+                    yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+        if held:
+            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return spread.mapInArrow(run, schema)
+
+
+def _open(t: pa.RecordBatch):
+    """The parts of a list, and which of its pairs are in different components (and cuts, if there are two)."""
+    sig, n, component, cut = (t.column(i).to_numpy() for i in range(3, 7))
+    grams = t.column(7)
+    sizes = np.diff(grams.offsets.to_numpy())
+    apart = (component[:, None] != component[None, :]) & (sig[:, None] < sig[None, :])
+    if t.column(1)[0].as_py() != t.column(2)[0].as_py():
+        apart &= cut[:, None] != cut[None, :]
+    return sig, n.astype(np.int64), component, sizes, grams.flatten().to_numpy(), np.repeat(np.arange(n.size), sizes), apart
+
+
+def _by_regions(t: pa.RecordBatch) -> tuple:
+    """Pairs of a list whose regions share enough for a link, in the list of the first n-gram they share.
+
+    Every two sets walk their ordered regions together: what they share before the list's n-gram sends
+    the pair to another list, and what they share in all is held against the least that a link needs.
+    """
+    sig, n, component, sizes, flat, row, apart = _open(t)
+    at = np.flatnonzero(flat == t.column(0)[0].as_py())  # once in every row, and rows are in order
+    before = np.arange(flat.size) < np.repeat(at, sizes)
+    shared, earlier = _shared_counts(flat, row, n.size), _shared_counts(flat[before], row[before], n.size)
+    x, y = np.nonzero(apart & (earlier == 0) & (shared > 0))
+    good = _feasible(n[x], n[y], shared[x, y], shared[x, y])
+    x, y = x[good], y[good]
+    return sig, n, component, x, y, shared[x, y]
+
+
+def forest_pairs(lists: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``a, b``: of the pairs that their regions leave possible the likeliest that would join all components of a list."""
+
+    def solve(t):
+        sig, n, component, x, y, shared = _by_regions(t)
+        best = _forest(x, y, shared / (n[x] + n[y]), component)
+        return pa.RecordBatch.from_arrays([pa.array(sig[x[best]]), pa.array(sig[y[best]])], names=["a", "b"])
+
+    return _solved(_possible(lists), ordered, solve, "a long, b long")
+
+
+def _possible(lists: DataFrame) -> DataFrame:
+    rows = materialize(_cut_pairs(lists), "cross-lists")
+    return rows.join(possible_rows(rows), ["gram", "one", "two", "sig"])
+
+
+def cross_links(lists: DataFrame, ordered: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: every link that is left between components.
+
+    First the rows whose regions leave a partner possible, then the whole sets of those. Only links leave
+    a task, however many pairs of a list come close.
+    """
+
+    def near(t):
+        sig, n, component, x, y, shared = _by_regions(t)
+        keep = np.unique(np.r_[x, y])
+        return pa.RecordBatch.from_arrays([t.column(i).take(pa.array(keep)) for i in range(7)], names=t.schema.names[:7])
+
+    def link(t):
+        sig, n, component, sizes, flat, row, apart = _open(t)
+        shared = _shared_counts(flat, row, n.size)
+        x, y = np.nonzero(apart & (PART * shared >= SHARE * (n[:, None] + n[None, :] - shared)))
+        return pa.RecordBatch.from_arrays([pa.array(sig[x]), pa.array(sig[y])], names=["a", "b"])
 
-    return _in_lists(rows, each, "a long, b long").distinct()
+    rows = materialize(_solved(_possible(lists), ordered, near, "gram long, one int, two int, sig long, n int, component long, cut int"), "near-rows")
+    return _solved(rows, sets, link, "a long, b long").distinct()
 
 
 def overlaps(own: np.ndarray, others: list[np.ndarray], least: np.ndarray) -> np.ndarray:
@@ -409,14 +544,21 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = all_.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     numbered = docs.where("doc_id is not null and text is not null")
     common = common_grams(numbered, all_.count())
-    tree = materialize(branches(shared_grams(numbered, common)), "branches")
+    ordered = materialize(ordered_regions(shared_grams(numbered, common)), "regions")
+    tree = materialize(branches(ordered), "branches")
     # sets that meet no other in a list are done
     busy = tree.join(tree.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "gram", "left_semi")
     wanted = classes.join(busy.select("sig").distinct(), "sig", "left_semi").select("doc_id", "sig")
     sets = materialize(whole_sets(numbered, wanted), "whole-sets")
     label, links = None, None
-    for pairs in (centre_pairs, centre_pairs, cross_pairs):
-        found = materialize(verified(pairs(_lists(tree, label)), sets).select("a", "b"), "verified")
+    for step in STEPS:
+        lists = _lists(tree, label)
+        if step == "all":
+            found = cross_links(lists, ordered, sets)
+        else:
+            pairs = centre_pairs(lists) if step == "centre" else forest_pairs(lists, ordered).distinct()
+            found = verified(pairs, sets).select("a", "b")
+        found = materialize(found, "links")
         links = found if links is None else links.union(found)
         label = components(links)
     smallest = classes.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
