@@ -9,7 +9,6 @@ and data length as three 64-bit integers, so that a reader can fetch any record
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,8 +28,8 @@ from voxloom.session import materialize, new_scratch
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 BLOCK = 1024
-#: Words that the library cuts as letters, and a mark after them, whatever its normalisation.
-PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]?")
+#: Marks that may end a word of letters and are a piece of their own.
+MARK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"])
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 
 
@@ -116,12 +115,20 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK_DELTA)
 
 
+def plain_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters up to U+00FF: the library cuts a run of them as one word, whatever its normalisation."""
+    ascii_ = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    after = np.r_[False, data[:-1] == 0xC3] & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    lead = (data == 0xC3) & np.r_[after[1:], False]
+    return ascii_ | after | lead
+
+
 class Encoder:
     """A library tokenizer that white space always splits, asked once for each new word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -133,32 +140,56 @@ class Encoder:
         self._last = np.zeros(size, dtype=bool)  # tokens that end a word
         if suffix:
             self._last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self._known = KnownWords()
-
-    def _together(self, words: list[str]) -> list[list[int]] | None:
-        """Plain words in one call, cut again where tokens end a word: letters are one word, and a mark after them another."""
-        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ends = np.flatnonzero(self._last[ids]) + 1
-        pieces = np.cumsum([1 if w[-1].isalpha() else 2 for w in words])
-        if ends.size != pieces[-1] or ends[-1] != len(ids):
+        # the same model behind a plain cut at spaces, for words that are in lower case and cut already
+        self._bare = Tokenizer.from_file(path)
+        self._bare.no_truncation()
+        self._bare.no_padding()
+        self._bare.normalizer = normalizers.Sequence([])
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "It was, as ever; THE END! Ça va? Straße ÀÖØÞ ÿ."
+        cut = "it was , as ever ; the end ! ça va ? straße àöøþ ÿ ."
+        if self._bare.encode(cut, add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self._last[:] = False  # another kind of vocabulary: every word goes through the whole of the library
+        self._known = KnownWords(2_000_000)
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Plain words in one call, cut again where tokens end a word; ``pieces`` is 2 for letters and a mark, else 1."""
+        sizes = ends - starts
+        stops = np.cumsum(sizes + pieces)  # a space after every word, and before a mark
+        joined = np.full(int(stops[-1]), 0x20, dtype=np.uint8)
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = data[within + np.repeat(starts, sizes)]
+        capital = ((own >= 0x41) & (own <= 0x5A)) | (np.r_[False, own[:-1] == 0xC3] & (own <= 0x9E) & (own >= 0x80) & (own != 0x97))
+        place = within + np.repeat(stops - sizes - pieces, sizes)
+        place[np.cumsum(sizes)[pieces == 2] - 1] += 1
+        joined[place] = np.where(capital, own + 32, own)
+        ids = np.array(self._bare.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+        last = np.flatnonzero(self._last[ids]) + 1
+        told = np.cumsum(pieces)
+        if last.size != told[-1] or last[-1] != ids.size:
             return None
-        stops = ends[pieces - 1].tolist()
-        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return ids, np.diff(np.r_[0, last[told - 1]])
 
     def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w)] if self._last.any() else []
-        out: list[list[int] | None] = [None] * len(words)
-        for at in range(0, len(plain), 1000):
-            own = plain[at : at + 1000]
-            for k, ids in zip(own, self._together([words[k] for k in own]) or [None] * len(own), strict=True):
-                out[k] = ids
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        counts = np.array([len(x) for x in out], dtype=np.int64)
-        return np.fromiter((i for x in out for i in x), dtype=np.int64, count=int(counts.sum())), counts
+        odd = np.r_[0, np.cumsum(~plain_letters(data))]
+        marked = MARK[data[ends - 1]] & (ends - starts > 1)
+        plain = np.flatnonzero((odd[ends - marked] == odd[starts]) & self._last.any())
+        ids, owner, done = [], [], np.zeros(starts.size, dtype=bool)
+        for at in range(0, plain.size, 2000):
+            own = plain[at : at + 2000]
+            if found := self._together(data, starts[own], ends[own], 1 + marked[own]):
+                ids.append(found[0])
+                owner.append(np.repeat(own, found[1]))
+                done[own] = True
+        raw, rest = data.tobytes(), np.flatnonzero(~done).tolist()
+        words = [raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, dtype=np.int64))
+            owner.append(np.full(len(e.ids), k))
+        if not ids:
+            return np.zeros(0, dtype=np.int64), np.zeros(starts.size, dtype=np.int64)
+        owners = np.concatenate(owner)
+        return np.concatenate(ids)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=starts.size)
 
     def encode(self, w: Words, end: int) -> list[bytes]:
         """The serialized ids of each text, with ``end`` last."""
