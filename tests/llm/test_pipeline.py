@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
-from test_documents import BYTE, jaccard_brute, spans_brute
+from test_documents import BYTE, jaccard_rows, spans_brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -33,8 +33,8 @@ def test_stages(spark, edge_docs, edge_rows):
     assert rows(kept) - rows(edge_docs) == Counter() and not any(not any(c.isalpha() for c in t or "") for _, t in rows(kept))
     assert len(edge_rows) - kept.count() < 12  # all but texts without letters, and oddities
     kept = stages["near copies"](spark, edge_docs, SF)
-    groups = {i: c for i, _, c in jaccard_brute(edge_rows)}
-    assert rows(kept) == Counter((i, t) for i, t, _ in edge_rows if i is None or groups[i] == i)
+    groups = {(r[0], r[1]): c for r, (_, _, c) in zip(edge_rows, jaccard_rows(edge_rows), strict=True)}
+    assert rows(kept) == Counter((i, t) for i, t, _ in edge_rows if i is None or groups[i, t] == i)
     kept = stages["benchmark"](spark, edge_docs, SF)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows)
     kept = stages["secrets"](spark, edge_docs, SF)

@@ -86,17 +86,19 @@ def _signature(own: np.ndarray) -> int:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, sig`` of every row; equal sets have equal ``sig``."""
+    """``doc_id, text_hash, n_shingles, sig`` of every row; equal sets have equal ``sig``."""
 
     def run(batches):
         for b in batches:
             for rows, sets in _sets(b.column(1)):
+                own = [b.column(i).slice(rows.start, len(rows)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(rows.start, len(rows)), pa.array([s.size for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())],
-                    names=["doc_id", "n_shingles", "sig"],
+                    [*own, pa.array([s.size for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())],
+                    names=["doc_id", "text_hash", "n_shingles", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long")
 
 
 def _regions(docs: DataFrame, rows, schema: str, fields: list[str]) -> DataFrame:
@@ -533,7 +535,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, text_hash`` for each row of ``docs``.
 
     Null and empty texts have empty sets and link with nothing; their component is their own number.
     Rows may repeat; rows without a number are reported as they are and link nothing for others. Other
@@ -567,11 +569,11 @@ def similar(docs: DataFrame) -> DataFrame:
     named = smallest.join(least, "component").select("sig", "component_id")
     out = all_.join(named, "sig", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 QUERIES = {"op2_jaccard": op2_jaccard}
