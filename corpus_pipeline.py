@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm.bpe import round_trip
 from voxloom.llm.jaccard import similar
@@ -26,11 +27,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest number of each group of near copies; documents without a number stay."""
+    """Keeps the document with the smallest number of each group of near copies; documents without a number stay.
+
+    Rows that share a number are judged each by its text.
+    """
     ship_package(spark)
-    groups = similar(docs)
-    others = groups.where("component_id <> doc_id").select("doc_id", "component_id").distinct().select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = similar(docs).where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
+    same = F.expr("d.doc_id = o.doc_id and xxhash64(d.text) = o.text_hash")
+    return docs.alias("d").join(others.alias("o"), same, "left_anti")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
