@@ -39,7 +39,7 @@ GATHER = 1_000_000
 #: Sets of a list that are compared in one task; longer lists are cut, and every two cuts compared.
 CUT = 1024
 #: Sets are held against centres, then along the likeliest pairs of each list, before all that is left is compared.
-STEPS = ("centre", "forest", "forest", "all")
+STEPS = ("centre", "forest", "all")
 
 
 def region(n):
