@@ -182,6 +182,55 @@ def test_score_backs_off_like_the_formula(edge_docs):
     assert chars.tolist() == [6, 4, 1] and (scores < 0).all() and scores[0, 0] / 6 > scores[1, 0] / 4
 
 
+def test_model_keeps_every_ngram(spark):
+    """More n-grams than the 2^20 slots that models once were folded to: none is lost, and none is found that never was."""
+    rng = random.Random(5)
+    drawn = rng.sample(range(0x4E00, 0x4E00 + 20_000), 2_000)
+    text = "".join(map(chr, rng.choices(drawn, k=1_200_000)))
+    taught = [(text[i : i + 12],) for i in range(0, len(text), 12)]
+    model = kneser_ney.train(spark.createDataFrame(taught, "text string").selectExpr("'all' as grp", "text"), "grp", "text", words.SPACED, False, 3, False)
+    grams = {w[i : i + 3] for (w,) in taught for i in range(len(w) - 2)}
+    assert len(grams) > 900_000
+    assert model.rows.where("kind = 0 and length(gram) = 3 and ascii(gram) between 19968 and 40000 and ascii(substring(gram, 3)) between 19968 and 40000").count() == len(grams)
+    unseen = []
+    while len(unseen) < 200:
+        w = "".join(map(chr, rng.choices(drawn, k=3)))
+        if w not in grams:
+            unseen.append(w)
+    asked = spark.createDataFrame([("all", g) for g in unseen], "grp string, gram string")
+    exact = {(r.kind, r.gram): r.weight for r in model.rows.where("length(gram) <= 2 or kind = 1").join(spark.createDataFrame([(x,) for g in unseen for x in (g[:2], g[1:], g[1], g[2], "")], "gram string").distinct(), "gram").collect()}
+
+    def backed_off(g):
+        total = exact.get((1, g[:2]), 0.0)
+        if (0, g[1:]) in exact:
+            return total + exact[0, g[1:]]
+        return total + exact.get((1, g[1]), 0.0) + exact[0, g[2]]
+
+    got = {r.gram: r.weight for r in model.weights(asked).collect()}
+    assert got == {g: pytest.approx(backed_off(g), abs=1e-9) for g in unseen}
+
+
+def test_texts_score_as_their_words(spark, edge_docs):
+    """Texts in blocks, through the answers' files, against the words one by one."""
+    grouped = edge_docs.selectExpr("coalesce(lang, 'none') as grp", "text")
+    model = kneser_ney.train(grouped.where("length(text) < 200"), "grp", "text", words.SPACED, False, 3, True)
+    blocks = kneser_ney.blocked(edge_docs.select("doc_id", "text"), "text", None, words.SPACED, False, False, 3)
+    root, groups = kneser_ney.answers(blocks, model, own=False), len(model.groups)
+    told = sorted({w for r in edge_docs.collect() for w in spaced(r.text)})
+    one, _ = model.score(told)
+    of = dict(zip(told, one, strict=True))
+    scorer = kneser_ney.Scorer(root, groups, words.SPACED, False, False, 3)
+    n = 0
+    for batch in blocks.where("__gram is null").select("text", "__block").toArrow().to_batches():
+        for part, _, scores, chars in scorer(batch, 0, 1):
+            for text, score, c in zip(part.column(0).to_pylist(), scores, chars, strict=True):
+                w = spaced(text)
+                assert c == sum(len(x) + 1 for x in w)
+                assert score.tolist() == pytest.approx(sum((of[x] for x in w), np.zeros(groups)).tolist(), abs=1e-6)
+                n += 1
+    assert n == edge_docs.count()
+
+
 # languages
 
 

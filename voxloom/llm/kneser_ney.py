@@ -1,20 +1,23 @@
-"""Kneser-Ney models of the characters of words, counted by Spark and kept in sorted hash arrays.
-
-Every word stands for itself, with a mark before and after it, and no context reaches across. Counting
-words first makes the rest small: n-grams are taken from distinct words, weighted by their counts over
-all texts. Lower orders count distinct characters to the left (a word's beginning has none, so those
-n-grams keep their plain counts). One discount gives interpolated Kneser-Ney, three (for counts of one,
-two, and more) the modified form.
-
-A finished model is two sorted arrays of hashes for each group and length, one with the interpolated
-probability of each n-gram, one with the back-off weight of each context. Hashes are folded to
-``FOLD_BITS`` bits (the more frequent n-gram keeps a slot), which bounds a model whatever the corpus:
-groups x orders x 2 x 2^FOLD_BITS entries of 8 bytes.
+"""Kneser-Ney models of characters, counted, smoothed and looked up by Spark.
+
+A model is counted either over words, each of which stands for itself with a mark before and after it
+(``train``: n-grams are taken from distinct words, weighted by their counts), or over whole texts, whose
+contexts reach across words (``blocked`` with ``whole``, then ``fitted``). Lower orders count distinct
+characters to the left (a beginning has none, so those n-grams keep their plain counts). One discount
+gives interpolated Kneser-Ney, three (for counts of one, two, and more) the modified form.
+
+A finished model is a table in the shared folder, with the log probability of each n-gram and the log
+back-off weight of each context, and grows with the corpus; it is never sent to a task. Texts are put
+into blocks that each know their distinct n-grams (``blocked``); those are joined with the model, and the
+answers are kept as one file of sorted 64-bit hashes for each block (``answers``), which ``Scorer`` reads.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import io
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.files import opened, written
 from voxloom.llm.words import _BYTE_VALUE, _PLACE_VALUE, Words, mix, words_of
-from voxloom.session import materialize
+from voxloom.session import materialize, new_scratch
 
-FOLD_BITS = 20
 HELD_WORDS = 300_000
+#: A block of texts ends beyond this many bytes or distinct n-grams.
+BLOCK_BYTES, BLOCK_GRAMS = 32 << 20, 1_000_000
 BEGIN, END = "\ue000", "\ue001"  # private characters
 
 
@@ -38,21 +43,59 @@ def _char_value(points: np.ndarray) -> np.ndarray:
     return mix(points * _BYTE_VALUE[7] + _BYTE_VALUE[11])
 
 
-def fold(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(64 - FOLD_BITS)).astype(np.uint32)
-
-
-def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length 1..order, a hash of that many characters ending at each place (rubbish before there are as many)."""
+def gram_hashes(points: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """64 bits for the n-gram that ends at each point: ``order`` characters, or all from place 0 where there are fewer."""
     values = _char_value(points)
-    out, total = [], np.zeros(points.size, dtype=np.uint64)
+    out, total = np.zeros(points.size, dtype=np.uint64), np.zeros(points.size, dtype=np.uint64)
     for d in range(order):
-        total = total.copy()
         total[d:] += values[: max(0, values.size - d)] * _PLACE_VALUE[d]
-        out.append(mix(total + np.uint64(d + 1)))
+        at = place >= d if d == order - 1 else place == d
+        out[at] = mix(total[at] + np.uint64(d + 1))
     return out
 
 
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _own_value(own: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little"))
+
+
+@dataclass
+class Grams:
+    """The n-grams of a list of texts or words, one for each character told (all but the mark at the beginning)."""
+
+    joined: str
+    ends: np.ndarray  # where in ``joined`` each n-gram ends
+    sizes: np.ndarray  # characters of each n-gram
+    unit: np.ndarray  # the number of its text or word
+    hashes: np.ndarray
+
+    @staticmethod
+    def of(units: list[str], order: int) -> Grams:
+        sizes = np.array([len(u) + 2 for u in units], dtype=np.int64)
+        joined = "".join([BEGIN + u + END for u in units])
+        place = _places(sizes)
+        told = np.flatnonzero(place > 0)
+        hashes = gram_hashes(_letters(joined), place, order)[told]
+        return Grams(joined, told, np.minimum(place[told] + 1, order), np.repeat(np.arange(sizes.size), sizes)[told], hashes)
+
+    def texts(self, at: np.ndarray) -> list[str]:
+        return [self.joined[e + 1 - n : e + 1] for e, n in zip(self.ends[at].tolist(), self.sizes[at].tolist(), strict=True)]
+
+
+def units_of(w: Words, lower: bool, whole: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What is scored as one (texts that have words, with single spaces, or distinct words), and pairs of row and unit."""
+    if not whole:
+        _, at, back = np.unique(w.hashes(lower), return_index=True, return_inverse=True)
+        return distinct_words(w, at, lower), w.row_of_word, back
+    rows = np.flatnonzero(w.counts)
+    data = w.data.tobytes()
+    texts = [b" ".join(data[s:e].split()).decode("utf-8", "replace") for s, e in zip(w.byte_edges[rows].tolist(), w.byte_edges[rows + 1].tolist(), strict=True)]
+    return [t.lower() for t in texts] if lower else texts, rows, np.arange(rows.size)
+
+
 # counting
 
 
@@ -97,7 +140,12 @@ def gram_counts(words: DataFrame, order: int) -> list[DataFrame]:
     ends = framed.select("grp", "n", "w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end"))
     start = F.greatest(F.lit(1), F.col("end") - (order - 1))
     top = ends.select("grp", "n", F.substring("w", start, F.col("end") - start + 1).alias("gram"))
-    level = materialize(top.groupBy("grp", "gram").agg(F.sum("n").alias("c")), "grams")
+    return levels_of(top.groupBy("grp", "gram").agg(F.sum("n").alias("c")), order)
+
+
+def levels_of(top: DataFrame, order: int) -> list[DataFrame]:
+    """The same from ``grp, gram, c`` of the longest n-grams and of the shorter ones at beginnings."""
+    level = materialize(top, "grams")
     out = []
     for k in range(order, 0, -1):
         whole = F.length("gram") == k
@@ -144,25 +192,14 @@ def probabilities(levels: list[DataFrame], modified: bool) -> DataFrame:
     return out
 
 
-def folded(model: DataFrame, order: int) -> DataFrame:
-    """``grp, len, kind, slot, weight``: at most 2^FOLD_BITS slots for each group, length and kind."""
-    schema = pa.schema([("grp", pa.string()), ("len", pa.int32()), ("kind", pa.int32()), ("slot", pa.int32()), ("weight", pa.float64()), ("c", pa.int64())])
+def fitted(levels: list[DataFrame], modified: bool) -> Model:
+    rows = materialize(probabilities(levels, modified).select("grp", "kind", "gram", "weight"), "model")
+    return Model(sorted(r.grp for r in levels[0].select("grp").distinct().collect()), len(levels), rows)
 
-    def run(batches):
-        for b in batches:
-            grams = b.column(3).to_pylist()
-            points = _letters("".join(grams))
-            sizes = np.array([len(g) for g in grams], dtype=np.int64)
-            ends = np.cumsum(sizes) - 1
-            hashes = np.zeros(len(grams), dtype=np.uint64)  # the empty context
-            for n, h in enumerate(gram_hashes(points, order), 1):
-                hashes[sizes == n] = h[ends[sizes == n]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fold(hashes).astype(np.int32)), b.column(4), b.column(5)], schema=schema)
 
-    slots = model.select("grp", F.col("len").cast("int"), F.col("kind").cast("int"), "gram", F.col("weight").cast("double"), F.col("c").cast("long"))
-    slots = slots.mapInArrow(run, "grp string, len int, kind int, slot int, weight double, c long")
-    best = F.max(F.struct("c", "weight"))["weight"].cast("float")
-    return slots.groupBy("grp", "len", "kind", "slot").agg(best.alias("weight"))
+def train(docs: DataFrame, group: str, text: str, kept: np.ndarray, lower: bool, order: int, modified: bool) -> Model:
+    """Count the words of ``docs`` and smooth."""
+    return fitted(gram_counts(word_counts(docs, group, text, kept, lower), order), modified)
 
 
 # scoring
@@ -170,97 +207,196 @@ def folded(model: DataFrame, order: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted hash arrays for each group: ``grams[group][len - 1]`` and ``contexts[group][len - 1]``."""
+    """``rows``: ``grp, kind, gram, weight`` as ``probabilities`` has them, all of them, in the shared folder."""
 
     groups: list[str]
     order: int
-    grams: list[list[tuple[np.ndarray, np.ndarray]]]
-    contexts: list[list[tuple[np.ndarray, np.ndarray]]]
-
-    @staticmethod
-    def build(rows: pa.Table, order: int) -> Model:
-        names = rows["grp"].to_pylist()
-        groups = sorted(set(names))
-        grp = np.searchsorted(np.array(groups), np.array(names)) if groups else np.zeros(0, dtype=np.int64)
-        size, kind, slot, weight = (np.array(rows[c].to_numpy()) for c in ("len", "kind", "slot", "weight"))
-        tables = []
-        for k in (0, 1):
-            tables.append([])
-            for g in range(len(groups)):
-                tables[k].append([])
-                for n in range(1, order + 1):
-                    own = (kind == k) & (grp == g) & (size == n)
-                    at = np.argsort(slot[own])
-                    tables[k][g].append((slot[own][at].astype(np.uint32), weight[own][at].astype(np.float32)))
-        return Model(groups, order, *tables)
+    rows: DataFrame
+
+    def weights(self, asked: DataFrame) -> DataFrame:
+        """``grp, gram, weight`` for distinct ``grp, gram``: the log probability, by way of shorter n-grams where it must be."""
+        known = self.rows.where("kind = 0").select("grp", F.col("gram").alias("rest"), "weight")
+        contexts = self.rows.where("kind = 1").select("grp", F.col("gram").alias("ctx"), F.col("weight").alias("back"))
+        left = asked.select("grp", "gram", F.col("gram").alias("rest"), F.lit(0.0).alias("total"))
+        out = None
+        for n in range(self.order, 0, -1):
+            looked = materialize(left.join(known, ["grp", "rest"], "left"), f"looked-{n}")
+            done = looked.where("weight is not null").select("grp", "gram", F.expr("total + weight").alias("weight"))
+            out = done if out is None else out.unionByName(done)
+            missed = looked.where("weight is null")
+            if missed.isEmpty():
+                break
+            missed = missed.withColumn("ctx", F.expr("substring(rest, 1, length(rest) - 1)")).join(contexts, ["grp", "ctx"], "left")
+            missed = materialize(missed.select("grp", "gram", F.expr("substring(rest, 2)").alias("rest"), F.expr("total + coalesce(back, 0D)").alias("total")), f"missed-{n}")
+            out = out.unionByName(missed.where("rest = ''").select("grp", "gram", F.col("total").alias("weight")))
+            left = missed.where("rest <> ''")
+        return out
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word under each group, and its number of characters with the end mark."""
-        sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
-        points = _letters("".join([BEGIN + w + END for w in words]))
-        place = np.arange(points.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        slots = [fold(h) for h in gram_hashes(points, self.order)]
-        told = np.flatnonzero(place > 0)
-        word = np.repeat(np.arange(sizes.size), sizes)[told]
-        out = np.zeros((len(words), len(self.groups)), dtype=np.float64)
-        none = fold(np.zeros(1, dtype=np.uint64))[0]
-        for g in range(len(self.groups)):
-            total, left = np.zeros(told.size), np.ones(told.size, dtype=bool)
-            for n in range(self.order, 0, -1):
-                open_ = np.flatnonzero(left & (place[told] + 1 >= n))
-                at = told[open_]
-                found, weight = _look(self.grams[g][n - 1], slots[n - 1][at])
-                total[open_[found]] += weight[found]
-                left[open_[found]] = False
-                missed = open_[~found]
-                ctx = slots[n - 2][told[missed] - 1] if n > 1 else np.full(missed.size, none, dtype=np.uint32)
-                found, weight = _look(self.contexts[g][n - 1], ctx)
-                total[missed[found]] += weight[found]
-            out[:, g] = np.bincount(word, weights=total, minlength=len(words))
-        return out, sizes - 1
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slots, weights = table
-    if not slots.size:
-        return np.zeros(keys.size, dtype=bool), np.zeros(keys.size, dtype=np.float32)
-    at = np.minimum(np.searchsorted(slots, keys), slots.size - 1)
-    return slots[at] == keys, weights[at]
+        """Log probability of each of a few words under each group, and its number of characters with the end mark."""
+        grams = Grams.of(words, self.order)
+        texts = grams.texts(np.arange(grams.ends.size))
+        spark = self.rows.sparkSession
+        asked = spark.createDataFrame([(g, t) for g in self.groups for t in sorted(set(texts))], "grp string, gram string")
+        found = {(r.grp, r.gram): r.weight for r in self.weights(asked).collect()}
+        out = np.zeros((len(words), len(self.groups)))
+        for k, g in enumerate(self.groups):
+            out[:, k] = np.bincount(grams.unit, weights=[found[g, t] for t in texts], minlength=len(words))
+        return out, np.bincount(grams.unit, minlength=len(words))
+
+
+def blocked(docs: DataFrame, text: str, own: str | None, kept: np.ndarray, lower: bool, whole: bool, order: int) -> DataFrame:
+    """``docs`` in blocks, written: a row for each document, and one for each distinct n-gram of each block.
+
+    Adds ``__block``; rows of n-grams have ``__gram``, in ``__c`` how often ``units_of`` has it there, and in ``__own`` the
+    value of column ``own`` of its texts ('' without one). Documents have nulls there.
+    """
+    names = docs.columns
+    at_text, at_own = names.index(text), names.index(own) if own else -1
+    arrow = pa.schema([("__block", pa.string()), ("__own", pa.string()), ("__gram", pa.string()), ("__c", pa.int64())])
 
+    def run(batches):
+        def told(kinds):
+            keys = list(held)
+            for i in range(0, len(keys), 100_000):
+                part = keys[i : i + 100_000]
+                n = len(part)
+                new = [pa.array([block] * n), pa.array([held[k][0] for k in part], pa.string()), pa.array([held[k][1] for k in part], pa.string()), pa.array([held[k][2] for k in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in kinds], *new], names=[*names, *arrow.names])
+
+        block, size, held, kinds = uuid.uuid4().hex, 0, {}, []
+        for b in batches:
+            kinds = b.schema.types
+            for w in words_of(b.column(at_text), kept):
+                part = b.slice(w.rows.start, len(w.rows))
+                units, rows, unit = units_of(w, lower, whole)
+                grams = Grams.of(units, order)
+                owns, keys = [""], grams.hashes
+                codes = np.zeros(keys.size, dtype=np.int64)
+                if own:
+                    groups = part.column(at_own).dictionary_encode()
+                    owns = groups.dictionary.to_pylist()
+                    of_unit = groups.indices.to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+                    codes = of_unit[grams.unit]
+                    keys = mix(keys + np.array([_own_value(o) for o in owns], dtype=np.uint64)[codes]) if keys.size else keys
+                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+                for k, o, g, c in zip(keys.tolist(), codes[first].tolist(), grams.texts(first), n.tolist(), strict=True):
+                    entry = held.get(k)
+                    if entry is None:
+                        held[k] = [owns[o], g, c]
+                    else:
+                        entry[2] += c
+                none = [pa.nulls(len(w.rows), t) for t in arrow.types[1:]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([block] * len(w.rows)), *none], names=[*names, *arrow.names])
+                size += w.data.size
+                if size > BLOCK_BYTES or len(held) > BLOCK_GRAMS:
+                    yield from told(kinds)
+                    block, size, held = uuid.uuid4().hex, 0, {}
+        if held:
+            yield from told(kinds)
+
+    out = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast("string").alias(c) for c in arrow.names[:3]], F.lit(None).cast("long").alias("__c"))
+    schema = out.schema
+    for field in schema.fields:
+        field.nullable = True
+    path = new_scratch(docs.sparkSession, "blocks")
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def answers(blocks: DataFrame, model: Model, own: bool) -> str:
+    """A folder with a file for each block: the hashes of its n-grams, sorted, and their log probabilities.
+
+    With ``own`` those of the n-gram's own group, else those of all groups of the model in order.
+    """
+    spark, order = blocks.sparkSession, model.order
+    root = new_scratch(spark, "answers")
+    told = blocks.where("__gram is not null").select(F.col("__block").alias("block"), F.col("__own").alias("own"), F.col("__gram").alias("gram"))
+    distinct = told.select("own", "gram").distinct()
+    if own:
+        weights = model.weights(distinct.select(F.col("own").alias("grp"), "gram")).select(F.col("grp").alias("own"), "gram", F.array("weight").alias("weights"))
+    else:
+        groups = spark.createDataFrame([(g,) for g in model.groups], "grp string")
+        each = model.weights(distinct.select("gram").crossJoin(F.broadcast(groups)).select("grp", "gram"))
+        by_group = F.array_sort(F.collect_list(F.struct("grp", "weight")))
+        weights = each.groupBy("gram").agg(F.transform(by_group, lambda x: x["weight"]).alias("weights")).select(F.lit("").alias("own"), "gram", "weights")
+    found = told.join(materialize(weights, "weights"), ["own", "gram"]).select("block", "own", "gram", "weights")
 
-def train(docs: DataFrame, group: str, text: str, kept: np.ndarray, lower: bool, order: int, modified: bool) -> Model:
-    """Count, smooth and fold; the arrays that come back to the driver are bounded by FOLD_BITS."""
-    words = word_counts(docs, group, text, kept, lower)
-    model = probabilities(gram_counts(words, order), modified)
-    return Model.build(folded(model, order).toArrow(), order)
+    def run(batches):
+        block, keys, values = None, [], []
+
+        def flush():
+            flat = np.concatenate(keys)
+            at = np.argsort(flat)
+            held = io.BytesIO()
+            np.savez(held, keys=flat[at], weights=np.concatenate(values)[at])
+            with written(f"{root}/{block}") as out:
+                out.write(held.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([flat.size], pa.int64())], names=["block", "n"])
+
+        for b in batches:
+            names = b.column(0).to_pylist()
+            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if stop == start:
+                    continue
+                if names[start] != block:
+                    if keys:
+                        yield flush()
+                    block, keys, values = names[start], [], []
+                part = b.slice(start, stop - start)
+                grams = part.column(2).to_pylist()
+                sizes = np.array([len(g) for g in grams], dtype=np.int64)
+                hashes = gram_hashes(_letters("".join(grams)), _places(sizes), order)[np.cumsum(sizes) - 1]
+                if own:
+                    groups = part.column(1).dictionary_encode()
+                    hashes = mix(hashes + np.array([_own_value(o) for o in groups.dictionary.to_pylist()], dtype=np.uint64)[groups.indices.to_numpy()])
+                keys.append(hashes)
+                values.append(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(grams), -1))
+        if keys:
+            yield flush()
+
+    materialize(found.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block string, n long"), "answered")
+    return root
 
 
 class Scorer:
-    """Sums of word scores over texts; scores of words that came before are kept, up to a bound."""
-
-    def __init__(self, model: Model, kept: np.ndarray, lower: bool) -> None:
-        self.model, self.kept, self.lower = model, kept, lower
-        self._row: dict[str, int] = {}
-        self._scores = np.zeros((0, len(model.groups)))
-        self._chars = np.zeros(0, dtype=np.int64)
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        new = list({w for w in words if w not in self._row})
-        if len(self._row) + len(new) > HELD_WORDS:
-            self._row, self._scores, self._chars = {}, self._scores[:0], self._chars[:0]
-            new = list(set(words))
-        if new:
-            scores, chars = self.model.score(new)
-            self._row.update(zip(new, range(len(self._row), len(self._row) + len(new)), strict=True))
-            self._scores, self._chars = np.concatenate([self._scores, scores]), np.concatenate([self._chars, chars])
-        return np.fromiter(map(self._row.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def __call__(self, column: pa.Array, each: Callable[[Words], None] = lambda w: None):
-        """For each slice: the words, log probability of each text under each group, and characters told."""
-        for w in words_of(column, self.kept):
-            _, at, back = np.unique(w.hashes(self.lower), return_index=True, return_inverse=True)
-            rows = self._rows(distinct_words(w, at, self.lower))[back]
-            texts, n = w.row_of_word, len(w.rows)
-            chars = np.bincount(texts, weights=self._chars[rows], minlength=n).astype(np.int64)
-            scores = np.stack([np.bincount(texts, weights=self._scores[rows, g], minlength=n) for g in range(self._scores.shape[1])], axis=1) if self._scores.shape[1] else np.zeros((n, 0))
-            yield w, scores, chars
+    """Log probabilities of the texts of ``blocked`` rows, from the files of ``answers``."""
+
+    def __init__(self, root: str, n_groups: int, kept: np.ndarray, lower: bool, whole: bool, order: int) -> None:
+        self.root, self.n_groups, self.kept, self.lower, self.whole, self.order = root, n_groups, kept, lower, whole, order
+        self._block: str | None = None
+
+    def _open(self, block: str) -> None:
+        if block != self._block:
+            with opened(f"{self.root}/{block}") as source:
+                held = np.load(io.BytesIO(source.read()))
+            self._block, self._keys, self._weights = block, held["keys"], held["weights"]
+
+    def __call__(self, batch: pa.RecordBatch, text: int, block: int, own: int | None = None) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray]]:
+        """For each slice of rows of one block: these rows, their words, log probabilities under each group, and characters told."""
+        names = batch.column(block).to_pylist()
+        edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(start, stop - start)
+            for w in words_of(part.column(text), self.kept):
+                rows = part.slice(w.rows.start, len(w.rows))
+                units, row, unit = units_of(w, self.lower, self.whole)
+                grams, n = Grams.of(units, self.order), len(w.rows)
+                length = np.bincount(grams.unit, minlength=len(units))
+                chars = np.bincount(row, weights=length[unit], minlength=n).astype(np.int64)
+                scores = np.zeros((n, self.n_groups))
+                if grams.hashes.size and self.n_groups:
+                    self._open(names[start])
+                    keys = grams.hashes
+                    if own is not None:
+                        groups = rows.column(own).dictionary_encode()
+                        values = np.array([_own_value(o) for o in groups.dictionary.to_pylist()], dtype=np.uint64)
+                        keys = mix(keys + values[groups.indices.to_numpy()][row][grams.unit])
+                    at = np.minimum(np.searchsorted(self._keys, keys), self._keys.size - 1)
+                    if not np.array_equal(self._keys[at], keys):
+                        raise RuntimeError(f"block {names[start]} lacks n-grams of its texts")
+                    for g in range(self.n_groups):
+                        of_unit = np.bincount(grams.unit, weights=self._weights[at, g], minlength=len(units))
+                        scores[:, g] = np.bincount(row, weights=of_unit[unit], minlength=n)
+                yield rows, w, scores, chars

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.kneser_ney import Scorer, train
+from voxloom.llm.kneser_ney import Scorer, answers, blocked, train
 from voxloom.llm.words import _byte_class
 from voxloom.session import materialize
 
@@ -30,19 +30,20 @@ def identify(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFr
     Columns of ``docs`` that are called like an added one are replaced.
     """
     model = train(training.select("text", "lang"), "lang", "text", LETTERS, True, order, modified=False)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ("lang_pred", "score", "cross_entropy", "rejected")
     rest = [c for c in docs.columns if c not in added]
-    scorers: dict[int, Scorer] = {}
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    whole = docs.select(*[F.col(f"`{c}`") for c in rest], lettered.alias("__lettered"))
+    blocks = blocked(whole, "text", None, LETTERS, True, False, order)
+    root, groups = answers(blocks, model, own=False) if model.groups else "", model.groups
 
     def run(batches):
-        scorer = scorers.setdefault(0, Scorer(shared.value, LETTERS, True))
-        names = np.array([*scorer.model.groups, UNKNOWN], dtype=object)
+        scorer = Scorer(root, len(groups), LETTERS, True, False, order)
+        names = np.array([*groups, UNKNOWN], dtype=object)
         for b in batches:
-            text, lettered = b.column(len(rest)), b.column(len(rest) + 1).to_numpy(zero_copy_only=False).astype(bool)
-            for w, scores, chars in scorer(text):
-                rows = slice(w.rows.start, w.rows.stop)
-                known = lettered[rows] & (chars > 0) & (scores.shape[1] > 0)
+            for part, _, scores, chars in scorer(b, rest.index("text"), len(rest) + 1):
+                lettered = part.column(len(rest)).to_numpy(zero_copy_only=False).astype(bool)
+                known = lettered & (chars > 0) & (scores.shape[1] > 0)
                 if scores.shape[1]:
                     best = np.where(known, scores.argmax(axis=1), len(names) - 1)
                     tempered = scores * np.minimum(1.0, FULL_EVIDENCE / np.maximum(chars, 1))[:, None]
@@ -51,14 +52,13 @@ def identify(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFr
                     entropy = -scores.max(axis=1) / np.maximum(chars, 1)
                 else:
                     best, share, entropy = np.zeros(chars.size, dtype=int), np.zeros(chars.size), np.zeros(chars.size)
-                own = [b.column(i).slice(w.rows.start, len(w.rows)) for i in range(len(rest))]
+                own = [part.column(i) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(entropy, mask=~known)], names=[*rest, *added[:3]])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy")).schema
     for field in schema.fields:
         field.nullable = True
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("__text"), lettered.alias("__lettered")).mapInArrow(run, schema)
+    return blocks.where("__gram is null").select(*whole.columns, "__block").mapInArrow(run, schema)
 
 
 def calibrated(predicted: DataFrame, taught: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.kneser_ney import Scorer, train
+from voxloom.llm.kneser_ney import Scorer, answers, blocked, train
 from voxloom.llm.words import _PLACE_VALUE, SPACED, _byte_class, mix, window_hashes, words_of
 from voxloom.session import materialize
 
@@ -59,19 +59,21 @@ def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
     The model is counted over all texts of ``docs``. Null text has no words; null and repeated keys stay.
     """
     pooled = docs.select(F.lit("all").alias("grp"), "text")
-    model = docs.sparkSession.sparkContext.broadcast(train(pooled, "grp", "text", SPACED, False, order, modified=True))
+    model = train(pooled, "grp", "text", SPACED, False, order, modified=True)
+    blocks = blocked(docs.select("doc_id", "lang", "text"), "text", None, SPACED, False, False, order)
+    root, n_groups = answers(blocks, model, own=False) if model.groups else "", len(model.groups)
 
     def run(batches):
-        scorer = Scorer(model.value, SPACED, False)
+        scorer = Scorer(root, n_groups, SPACED, False, False, order)
         for b in batches:
-            for (w, scores, chars), lines in zip(scorer(b.column(2)), words_of(b.column(2), LINE), strict=True):
+            for part, w, scores, chars in scorer(b, 2, 3):
+                (lines,) = words_of(part.column(2), LINE)  # the same slice
                 counts = [pa.array(x.astype(np.int64)) for x in _features(w, lines)]
-                loss = -scores[:, 0] / np.maximum(w.counts, 1) if scores.shape[1] else np.zeros(chars.size)
-                own = [b.column(i).slice(w.rows.start, len(w.rows)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *counts, pa.array(loss, mask=chars == 0)], names=["doc_id", "lang", *_COUNTS, "log_perplexity"])
+                loss = -scores[:, 0] / np.maximum(w.counts, 1) if n_groups else np.zeros(chars.size)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array(loss, mask=chars == 0)], names=["doc_id", "lang", *_COUNTS, "log_perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double")
+    rows = blocks.where("__gram is null").select("doc_id", "lang", "text", "__block").mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
