@@ -168,6 +168,20 @@ def test_quality_counts(edge_docs, edge_rows, no_docs):
     assert quality.judged(quality.measured(no_docs)).count() == 0
 
 
+def test_perplexity_tells_order_and_language(spark):
+    rng = random.Random(3)
+    tongue = {"en": ["the", "cat", "sat", "on", "a", "mat"], "de": ["der", "hund", "lief", "zum", "alten", "haus"]}
+    rows = [(k, " ".join(tongue[lang] * 4), lang) for k, lang in enumerate(["en", "de"] * 20)]
+    salad = tongue["en"] * 4
+    rng.shuffle(salad)
+    rows += [(100, " ".join(salad), "en"), (101, "  " + rows[0][1].replace(" ", " \n"), "en"), (102, rows[0][1], "de"), (103, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    loss = {r.doc_id: r.log_perplexity for r in quality.measured(docs).collect()}
+    assert loss[100] > loss[0] + 0.2  # the same words in another order
+    assert loss[102] > loss[0] + 0.2  # the same text under another language
+    assert loss[101] == pytest.approx(loss[0], abs=1e-9) and loss[103] is None
+
+
 def test_probabilities_sum_to_one(spark, edge_docs):
     rows = edge_docs.selectExpr("'all' as grp", "text")
     levels = kneser_ney.gram_counts(kneser_ney.word_counts(rows, "grp", "text", words.SPACED, False), 3)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.kneser_ney import Scorer, answers, blocked, train
+from voxloom.llm.kneser_ney import Scorer, answers, blocked, fitted, levels_of
 from voxloom.llm.words import _PLACE_VALUE, SPACED, _byte_class, mix, window_hashes, words_of
 from voxloom.session import materialize
 
@@ -56,24 +56,27 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, lang``, the counts, ``base_failed`` and ``log_perplexity`` (per word, null without words).
 
-    The model is counted over all texts of ``docs``. Null text has no words; null and repeated keys stay.
+    A model for each language (null is one of its own) is counted over the whole texts of ``docs``, with
+    single spaces between words, so n-grams reach across words. Null text has no words; null and repeated
+    keys stay.
     """
-    pooled = docs.select(F.lit("all").alias("grp"), "text")
-    model = train(pooled, "grp", "text", SPACED, False, order, modified=True)
-    blocks = blocked(docs.select("doc_id", "lang", "text"), "text", None, SPACED, False, False, order)
-    root, n_groups = answers(blocks, model, own=False) if model.groups else "", len(model.groups)
+    grouped = docs.select("doc_id", "lang", "text", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("__group"))
+    blocks = blocked(grouped, "text", "__group", SPACED, False, True, order)
+    top = blocks.where("__gram is not null").groupBy(F.col("__own").alias("grp"), F.col("__gram").alias("gram")).agg(F.sum("__c").alias("c"))
+    model = fitted(levels_of(top, order), modified=True)
+    root, n_groups = answers(blocks, model, own=True), min(len(model.groups), 1)
 
     def run(batches):
-        scorer = Scorer(root, n_groups, SPACED, False, False, order)
+        scorer = Scorer(root, n_groups, SPACED, False, True, order)
         for b in batches:
-            for part, w, scores, chars in scorer(b, 2, 3):
+            for part, w, scores, chars in scorer(b, 2, 4, 3):
                 (lines,) = words_of(part.column(2), LINE)  # the same slice
                 counts = [pa.array(x.astype(np.int64)) for x in _features(w, lines)]
                 loss = -scores[:, 0] / np.maximum(w.counts, 1) if n_groups else np.zeros(chars.size)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array(loss, mask=chars == 0)], names=["doc_id", "lang", *_COUNTS, "log_perplexity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = blocks.where("__gram is null").select("doc_id", "lang", "text", "__block").mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double")
+    rows = blocks.where("__gram is null").select("doc_id", "lang", "text", "__group", "__block").mapInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _COUNTS)}, log_perplexity double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
