@@ -28,6 +28,13 @@ CASES = [
     ('<article><h1>Head</h1><p>Body of the story, a sentence.</p><form><p>Sign up for letters.</p><input></form><ul><li>A point made in the text.</li></ul><script>var a = "</p><p>no";</script><section class="comments"><h3>Comments</h3><p>Some reader says something.</p></section></article>', ["Head", "Body of the story, a sentence.", "A point made in the text."]),
     ("<article><p>Broken <b>markup <i>here</p><p>goes on</article><footer>end", ["Broken markup here", "goes on"]),
     ("<article><table><tr><td>1<td>2<tr><td>3</table><pre>x  y</pre></article>", ["1", "2", "3", "x y"]),
+    ("<html><head><title>t</title><meta name=x><article><p>No end of the head here.</p></article>", ["No end of the head here."]),
+    ("<head><script>if (a <b && c) x = '<!-- ';</script></head><article><p>After the script.</p></article>", ["After the script."]),
+    ("<head><template><div>unseen</div></template><link rel=x></head><article><p>After the template.</p></article>", ["After the template."]),
+    *[(f"<article><p>Before it, a sentence.</p><{t}></article><article><p>After it, a sentence.</p></article>", ["Before it, a sentence.", "After it, a sentence."]) for t in ("button", "select", "object", "video", "svg")],
+    ("<article><button>a<p>After one that is open.</p><button>b</button><p>After one that is closed.</p></article>", ["a", "After one that is open.", "After one that is closed."]),
+    ("<article><svg><svg></svg><script>var x = '</svg>';</script><p>unseen</p></svg><p>After the picture.</p></article>", ["After the picture."]),
+    (f"<article data-x='{'{' + 'y' * 9000}><p>no</p>'><p>After a long value.</p></article>", ["After a long value."]),
     ("", []),
     ("<!-- <p>no</p> --><article><p>yes</article>", ["yes"]),
 ]

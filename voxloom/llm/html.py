@@ -28,14 +28,16 @@ SEED_WEIGHT = 20
 #: Features of a node overlap, so most count for less than independent ones would.
 EVIDENCE = {"tag": 0.3, "in": 0.1, "size": 0.25, "ends": 0.25, "links": 0.5, "hint": 1.0, "word": 0.5}
 TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|(?P<rest>[^>]*+)>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
+    r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<rest>[^>]*+)>|\Z)|<[!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S,
 )
 HINTS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Fixed: element kinds of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript iframe object svg math canvas audio video textarea select option datalist button title head".split())
-RAW = frozenset("script style textarea title iframe noscript xmp".split())
+UNSEEN = frozenset("script style template noscript iframe object svg math canvas audio video textarea select option datalist button title".split())
+RAW = frozenset("script style textarea title iframe noscript noframes xmp".split())
+#: Unseen elements that end where the next of their kind begins.
+ALONE = frozenset("button select option datalist textarea".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul hr".split()
 )
@@ -58,6 +60,46 @@ class Node:
             parent.children.append(self)
 
 
+def _tokens(page: str) -> list[tuple[str | None, bool, str]]:
+    """``tag, closing, attrs`` of each tag, and ``None, False, text``; raw elements are ``#raw``, whatever lies between."""
+    out = []
+    at, n = 0, len(page)
+    while at < n:
+        m = TOKEN.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        at = m.end()
+        if m["tag"] is None:
+            if m["text"] is not None:
+                out.append((None, False, m["text"]))
+            continue
+        tag, closing, attrs = m["tag"].lower(), m["close"] == "/", m["attrs"] or m["rest"] or ""
+        if tag in RAW and not closing:  # its end is the next closing tag
+            if not attrs.endswith("/") or tag in ("script", "style"):
+                end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+                at = end.end() if end else n
+            tag = "#raw"
+        out.append((tag, closing, attrs))
+    return out
+
+
+def _skips(tokens: list[tuple[str | None, bool, str]]) -> dict[int, int]:
+    """For each unseen element that is closed, where it begins and ends; one that is not hides nothing."""
+    ends, opened = {}, defaultdict(list)
+    for i, (tag, closing, attrs) in enumerate(tokens):
+        if tag not in UNSEEN:
+            continue
+        if closing:
+            if opened[tag]:
+                ends[opened[tag].pop()] = i
+        elif not attrs.endswith("/"):
+            if tag in ALONE:
+                opened[tag].clear()
+            opened[tag].append(i)
+    return ends
+
+
 def tree(page: str) -> Node:
     """The block elements and runs of text of a page; broken markup never raises."""
     root = Node("#root", None)
@@ -65,8 +107,6 @@ def tree(page: str) -> Node:
     parts: list[str] = []
     links = 0  # open links
     linked = 0
-    unseen: str | None = None
-    depth = 0
 
     def flush():
         nonlocal linked
@@ -82,35 +122,21 @@ def tree(page: str) -> Node:
             stack.pop()
         stack.pop()
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        if m is None:
-            at += 1
-            continue
-        at = m.end()
-        tag = m["tag"]
+    tokens = _tokens(page)
+    skips = _skips(tokens)
+    at = 0
+    while at < len(tokens):
+        tag, closing, attrs = tokens[at]
+        at = skips.get(at, at) + 1
         if tag is None:
-            if m["text"] is not None and unseen is None:
-                text = html.unescape(m["text"])
-                parts.append(text)
-                if links:
-                    linked += len(text.strip())
+            text = html.unescape(attrs)
+            parts.append(text)
+            if links:
+                linked += len(text.strip())
+            continue
+        if tag == "#raw":
+            parts.append(" ")
             continue
-        tag = tag.lower()
-        closing = m["close"] == "/"
-        if unseen is not None:
-            if tag == unseen:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    unseen = None
-            elif tag == "body" and unseen == "head":
-                unseen = None
-            if unseen is not None:
-                continue
-            if closing:
-                continue
-        attrs = m["attrs"] or m["rest"] or ""
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
@@ -122,15 +148,7 @@ def tree(page: str) -> Node:
                         links = 0
                         break
             continue
-        if tag in RAW:  # its end is the next closing tag, whatever lies between
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            if not attrs.endswith("/") or tag in ("script", "style"):
-                at = end.end() if end else n
-            parts.append(" ")
-            continue
         if tag in UNSEEN:
-            if not attrs.endswith("/"):
-                unseen, depth = tag, 1
             continue
         if tag == "br":
             parts.append(" ")
