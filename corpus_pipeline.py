@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.bpe import round_trip
 from voxloom.llm.jaccard import similar
-from voxloom.llm.language import calibrated, held_out, identify
+from voxloom.llm.language import ADDED, calibrated, held_out, identify
 from voxloom.llm.secrets import masked
 from voxloom.llm.winnow import decontaminated
 from voxloom.session import materialize, ship_package
@@ -21,9 +21,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that no learned language explains: no letters, or far too high a cross-entropy."""
     ship_package(spark)
     training = docs.where("doc_id is not null and lang is not null").where(~held_out())
-    taught = docs.withColumn("__taught", ~held_out() & docs["doc_id"].isNotNull() & docs["lang"].isNotNull())
+    own = {c: f"__own_{c}" for c in docs.columns if c in ADDED}  # the documents' columns stay what they are
+    taught = docs.withColumnsRenamed(own).withColumn("__taught", ~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     judged = calibrated(identify(taught, training), "__taught")
-    return judged.where("not rejected").select(*docs.columns)
+    return judged.where("not rejected").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check import compare, connect
-from voxloom.llm import language, queries as llm
+from voxloom.llm import language, queries as llm, winnow
+from voxloom.session import ship_package
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +46,22 @@ def test_stages(spark, edge_docs, edge_rows):
     assert told == Counter((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids)
 
 
+def test_stages_keep_columns_called_like_results(spark):
+    ship_package(spark)
+    names = [*winnow._RESULT, *language.ADDED]
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(k, f"some words of text number {k}", "en") for k in range(6)] + [(9, item, "en")]
+    docs = spark.createDataFrame([(*r, *[f"own {c}" for c in names]) for r in rows], ["doc_id", "text", "lang", *names])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    told = lambda df: (df.columns, sorted(map(tuple, df.collect())))
+    clean = told(docs.where("doc_id < 9"))
+    assert told(winnow.decontaminated(docs, benchmark)) == clean
+    assert told(winnow.decontaminated(docs, benchmark, most=0)) == clean
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    own = {tuple(r) for r in docs.collect()}
+    assert kept.columns == docs.columns and kept.count() > 0 and {tuple(r) for r in kept.collect()} <= own
+
+
 def test_run_is_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

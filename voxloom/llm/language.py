@@ -19,6 +19,7 @@ UNKNOWN = "und"
 REJECT_RATIO = 2.0
 #: Evidence of more characters than this does not make a prediction more certain.
 FULL_EVIDENCE = 100
+ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
 
 
 def identify(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
@@ -30,8 +31,7 @@ def identify(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFr
     Columns of ``docs`` that are called like an added one are replaced.
     """
     model = train(training.select("text", "lang"), "lang", "text", LETTERS, True, order, modified=False)
-    added = ("lang_pred", "score", "cross_entropy", "rejected")
-    rest = [c for c in docs.columns if c not in added]
+    rest = [c for c in docs.columns if c not in ADDED]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     whole = docs.select(*[F.col(f"`{c}`") for c in rest], lettered.alias("__lettered"))
     blocks = blocked(whole, "text", None, LETTERS, True, False, order)
@@ -53,7 +53,7 @@ def identify(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFr
                 else:
                     best, share, entropy = np.zeros(chars.size, dtype=int), np.zeros(chars.size), np.zeros(chars.size)
                 own = [part.column(i) for i in range(len(rest))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(entropy, mask=~known)], names=[*rest, *added[:3]])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(entropy, mask=~known)], names=[*rest, *ADDED[:3]])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy")).schema
     for field in schema.fields:

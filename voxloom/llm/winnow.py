@@ -149,10 +149,11 @@ def _covered(w: Words, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return inside[w.first[1:]] - inside[w.first[:-1]]
 
 
-_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
 
 
-def _by_table(docs: DataFrame, rows: DataFrame, carried: list[str]) -> DataFrame:
+def _by_table(docs: DataFrame, rows: DataFrame, carried: list[str], mark: str = "") -> DataFrame:
+    """The columns ``carried``, and the result's, whose names begin with ``mark``."""
     n = len(carried)
     table = docs.sparkSession.sparkContext.broadcast(Table.build(rows.toArrow()))
 
@@ -172,11 +173,11 @@ def _by_table(docs: DataFrame, rows: DataFrame, carried: list[str]) -> DataFrame
                 own = [b.column(i).slice(w.rows.start, len(w.rows)) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(w.counts), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(flagged)],
-                    names=[*carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    names=[*carried, *[mark + c for c in _RESULT]],
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, {_RESULT}")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, {', '.join(f'{mark}{c} {t}' for c, t in _RESULT.items())}")
 
 
 def _by_join(docs: DataFrame, rows: DataFrame, keep_hash: bool = False) -> DataFrame:
@@ -248,10 +249,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_W
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns (none may be called like a result's)."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names."""
     rows = materialize(benchmark_table(benchmark), "benchmark-windows")
     if rows.count() <= most:
-        return _by_table(docs, rows, docs.columns).where("not contaminated").select(*docs.columns)
+        return _by_table(docs, rows, docs.columns, "__winnow_").where("not __winnow_contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
     bad = _by_join(docs.select("doc_id", "text"), rows, keep_hash=True).where("contaminated").select("doc_id", "text_hash").distinct()
     both = F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.text_hash")
     return docs.alias("d").join(bad.alias("b"), both, "left_anti")
