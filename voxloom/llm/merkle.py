@@ -174,7 +174,7 @@ def stages(nodes: DataFrame, label: str) -> list[DataFrame]:
 
 _PATH = "array<struct<left:string,right:string>>"
 _STEPS = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
-_PROOFS = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("position", pa.int64()), ("key", pa.int64()), ("leaf", pa.string()), ("other", pa.string()), ("path", _STEPS)])
+_PROOFS = pa.schema([("tree", pa.string()), ("position", pa.int64()), ("key", pa.int64()), ("leaf", pa.string()), ("other", pa.string()), ("subroot", pa.string()), ("path", _STEPS)])
 
 
 def _prove(batches):
@@ -185,6 +185,7 @@ def _prove(batches):
             log, other = row["nodes"].hex(), row["other"].hex()
             runs = runs_of(log, n, levels)
             leaf_at = (place(n, levels, 0, np.arange(n)) * _HEX).tolist()
+            further = [[step[side] for step in row["way"]] for side in ("left", "right")]
             for a in range(0, n, GATHER):
                 own = range(a, min(a + GATHER, n))
                 left, right = [], []
@@ -193,40 +194,36 @@ def _prove(batches):
                         run, slot = divmod(i // FANOUT**level, FANOUT)
                         left.append(runs[level][run][: slot * _HEX])
                         right.append(runs[level][run][(slot + 1) * _HEX :])
-                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * levels)
+                    left += further[0]
+                    right += further[1]
+                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * (levels + len(further[0])))
                 steps = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["left", "right"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["tree"]] * len(own), pa.string()),
-                        pa.array([row["block"]] * len(own), pa.int64()),
                         pa.array([row["block"] * SPAN + i for i in own], pa.int64()),
                         pa.array([row["keys"][i] for i in own], pa.int64()),
                         pa.array([log[leaf_at[i] : leaf_at[i] + _HEX] for i in own], pa.string()),
                         pa.array([other[i * _HEX : (i + 1) * _HEX] for i in own], pa.string()),
+                        pa.array([row["subroot"]] * len(own), pa.string()),
                         pa.ListArray.from_arrays(offsets, steps),
                     ],
                     schema=_PROOFS,
                 )
 
 
-def proven(log: DataFrame, above: DataFrame | None, on: list[str]) -> DataFrame:
-    """``tree, position, key, leaf, other, path``: every leaf of a stage with its siblings on the way up.
+def _climbed(logs: list[DataFrame], above: DataFrame) -> DataFrame:
+    """``tree, position, key, leaf, other, subroot, path``: the leaves of the lowest stage with their whole way.
 
-    ``above`` holds, as ``way``, the rest of the way from the builder's top, by the columns ``on``.
+    ``above`` continues the way from each tree's subroot (``tree, way, subroot``). Ways are joined to
+    builders, a row each, by tree and block; rows of single leaves are never shuffled.
     """
-    rows = log.mapInArrow(_prove, f"tree string, block long, position long, key long, leaf string, other string, path {_PATH}")
-    if above is None:
-        return rows.drop("block")
-    return rows.join(above, on).withColumn("path", F.concat("path", "way")).drop("block", "way")
-
-
-def _climbed(logs: list[DataFrame], above: DataFrame | None) -> DataFrame:
-    """Leaves of the lowest stage with their whole way; ``above`` continues it from each tree's subroot."""
-    on = ["tree"]
-    for log in reversed(logs[1:]):
-        above = proven(log, above, on).select("tree", F.col("position").alias("block"), F.col("path").alias("way"))
-        on = ["tree", "block"]
-    return proven(logs[0], above, on)
+    above = logs[-1].select("tree", "block").join(above, "tree")
+    for stage in range(len(logs) - 1, -1, -1):
+        rows = logs[stage].join(above, ["tree", "block"]).select("tree", "block", "n", "nodes", "keys", "other", "way", "subroot")
+        proofs = rows.mapInArrow(_prove, f"tree string, position long, key long, leaf string, other string, subroot string, path {_PATH}")
+        above = proofs.select("tree", F.col("position").alias("block"), F.col("path").alias("way"), "subroot")
+    return proofs
 
 
 @dataclass(frozen=True)
@@ -238,18 +235,16 @@ class Manifest:
     root: str | None
     names: DataFrame  # tree, and its place among the subroots
 
-    def subroots(self) -> DataFrame:
-        return self.logs[-1].select("tree", _top().alias("subroot"))
-
     def proofs(self) -> DataFrame:
         """A row per leaf: ``tree, position, key, leaf, other, subroot, root, path``.
 
         ``path`` goes up level by level; each step has the siblings to the left and to the right as
         hex digests, so a digest folds as ``H(left + digest + right)``.
         """
-        ways = _climbed(self.top_logs, None).select("position", F.col("path").alias("way"))
-        rows = _climbed(self.logs, ways.join(self.names, "position").select("tree", "way"))
-        return rows.join(self.subroots(), "tree").withColumn("root", F.lit(self.root))
+        none = self.top_logs[-1].select("tree", F.array().cast(_PATH).alias("way"), F.lit("").alias("subroot"))
+        ways = _climbed(self.top_logs, none).select("position", F.col("path").alias("way"), F.col("leaf").alias("subroot"))
+        above = ways.join(self.names, "position").select("tree", "way", "subroot")
+        return _climbed(self.logs, above).withColumn("root", F.lit(self.root))
 
 
 def manifest(rows: DataFrame) -> Manifest:
