@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from voxloom.llm import bpe, html, jaccard, language, merkle, quality, records, secrets, substrings, suffixes, warc, winnow
+from voxloom.llm import alignment, bpe, html, jaccard, language, merkle, quality, records, secrets, substrings, suffixes, warc, winnow
 from voxloom.session import ship_package
 
-_PARTS = (html, jaccard, substrings, quality, secrets, warc, winnow, language, records, bpe, suffixes, merkle)
+_PARTS = (html, jaccard, substrings, quality, secrets, warc, winnow, language, records, bpe, alignment, suffixes, merkle)
 
 
 def _shipped(run):
