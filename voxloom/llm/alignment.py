@@ -22,17 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.blocks import by_keys, load_block, new_block, save_block
+from voxloom.llm.words import slices
 from voxloom.session import materialize, new_scratch
 
 #: A cut is before a blank or line end between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Characters of a block, units a worker remembers, and pairs counted at once.
+#: A unit that may stand between two others without changing their tokens, or its own.
+_PLAIN = re.compile(r"[ \n][^\s▁](?:[^▁]*[^\s▁])?", re.DOTALL)
+#: Characters of a block, units a worker remembers, units encoded at once, and pairs counted at once.
 BLOCK = 4 << 20
-KNOWN = 400_000
+KNOWN = 800_000
+TOGETHER = 4096
 AT_ONCE = 1 << 20
 #: Tasks of a step, however many blocks there are.
 MOST_TASKS = 10_000
@@ -50,6 +55,21 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """Byte ends of tokens: the coarse cuts, and between them, inside a character, the decoded bytes.
+
+    ``coarse`` has the byte span of every token as its library gives it. A span that the next token shares
+    (parts of one character) ends where the bytes of the token do; an empty one is a part as well. None when
+    a span that is not shared ends elsewhere.
+    """
+    ends = np.cumsum(sizes)
+    shared = coarse[:, 0] >= coarse[:, 1]
+    shared[:-1] |= coarse[1:, 0] < coarse[:-1, 1]
+    shared[1:] |= coarse[1:, 0] < coarse[:-1, 1]
+    out = np.where(shared, ends, coarse[:, 1])
+    return out if np.array_equal(out, ends) else None
+
+
 class Aligner:
     """Units that were met: tokens of both sides, groups and links. ``None`` where the bytes differ."""
 
@@ -72,6 +92,8 @@ class Aligner:
             piece = self.pieces.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode())
         self.blank = self.pieces.piece_to_id("▁")
+        self.size_a, self.size_b = (np.array([len(t) for t in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.forget()
 
     def forget(self) -> None:
@@ -80,43 +102,85 @@ class Aligner:
         self.sizes = {name: array("q") for name in ("n_a", "n_b", "n_groups", "n_links", "sound")}
         self.links = array("q")
 
-    def fine_ends(self, coarse: list[tuple[int, int]], tokens: list[bytes], whole: bytes) -> list[int] | None:
-        """Byte ends of the tokens: coarse cuts where they are whole characters, decoded bytes elsewhere.
-
-        ``coarse`` are byte spans. None when the tokens do not spell the unit.
-        """
-        ends, at = [], 0
-        for i, ((_, stop), token) in enumerate(zip(coarse, tokens, strict=True)):
-            at += len(token)
-            shared = i + 1 < len(coarse) and coarse[i + 1][0] < stop or i and coarse[i - 1][1] > coarse[i][0]
-            if not shared and at != stop and coarse[i][1] > coarse[i][0]:
-                return None
-            ends.append(at)
-        return ends if b"".join(tokens) == whole else None
-
     def learn(self, units: list[str]) -> None:
-        """Encode units that were not met before."""
-        encoded = self.bpe.encode_batch(units, add_special_tokens=False)
-        for unit, a in zip(units, encoded, strict=True):
-            # The model puts a blank before what it is given; a unit that starts with a line end drops that.
-            own = unit[0] == "\n"
-            proto = self.pieces.encode(unit if own else unit[1:], return_type="proto").pieces
-            ids_b = [p.id for p in proto]
-            spans = [(p.begin, p.end) for p in proto]
-            if own:
-                ids_b, spans, good = ids_b[1:], spans[1:], bool(ids_b) and ids_b[0] == self.blank
-            else:
-                spans, good = [(b + 1 if i else 0, e + 1) for i, (b, e) in enumerate(spans)], True
-            whole = unit.encode()
-            offsets = a.offsets
-            if len(whole) != len(unit):
-                byte_of = [0]
-                for c in unit:
-                    byte_of.append(byte_of[-1] + len(c.encode()))
-                offsets = [(byte_of[b], byte_of[e]) for b, e in offsets]
-            ends_a = self.fine_ends(offsets, [self.bytes_a[i] for i in a.ids], whole)
-            ends_b = self.fine_ends(spans, [self.bytes_b[i] for i in ids_b], whole)
-            self._add(unit, a.ids, ends_a, ids_b, ends_b if good else None)
+        """Encode units that were not met before, plain ones many at a time."""
+        plain, other = [], []
+        for u in units:
+            (plain if _PLAIN.fullmatch(u) else other).append(u)
+        for a in range(0, len(plain), TOGETHER):
+            own = plain[a : a + TOGETHER]
+            if not self._learn_together(own):
+                other += own
+        for u in other:
+            self._learn_one(u)
+
+    def _learn_together(self, units: list[str]) -> bool:
+        """Encode units as one text behind a full stop; False when a cut does not hold (nothing is kept then)."""
+        text = " ." + "".join(units)
+        data = text.encode()
+        a = self.bpe.encode(text, add_special_tokens=False)
+        pieces = self.pieces.encode(text[1:], return_type="proto").pieces
+        list_a, list_b = a.ids, [p.id for p in pieces]
+        if b"".join([self.bytes_a[i] for i in list_a]) != data or b"".join([self.bytes_b[i] for i in list_b]) != data:
+            return False
+        ids_a, ids_b = np.array(list_a, dtype=np.int64), np.array(list_b, dtype=np.int64)
+        cuts_a, cuts_b = np.array(a.offsets, dtype=np.int64), np.array([(p.begin + 1, p.end + 1) for p in pieces], dtype=np.int64)
+        if len(data) != len(text):
+            raw = np.frombuffer(data, dtype=np.uint8)
+            cuts_a = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(data))[cuts_a]
+        ends_a, ends_b = refined(cuts_a, self.size_a[ids_a]), refined(cuts_b, self.size_b[ids_b])
+        sizes = [len(u) for u in units] if len(data) == len(text) else [len(u.encode()) for u in units]
+        edges = 2 + np.concatenate([[0], np.cumsum(sizes)])
+        if ends_a is None or ends_b is None:
+            return False
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        unit_edge = np.searchsorted(common, edges)
+        if unit_edge[-1] >= common.size or not np.array_equal(common[unit_edge], edges):
+            return False
+        # Groups are numbered by their ends; the full stop is what lies before the first edge.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        first_a, first_b = (np.searchsorted(g, np.arange(common.size + 1)) for g in (group_a, group_b))
+        n_a, n_b = np.diff(first_a), np.diff(first_b)
+        said_a, said_b = ([self.digits[i] for i in ids] for ids in (list_a, list_b))
+        at_a, at_b = first_a.tolist(), first_b.tolist()
+        said = [",".join(said_a[at_a[g] : at_a[g + 1]]) + "|" + ",".join(said_b[at_b[g] : at_b[g + 1]]) for g in range(common.size)]
+        own = n_b[group_a]
+        pairs = (np.repeat(ids_a, own) << _LOW) | ids_b[_flat(first_b[:-1][group_a], own)]
+        made = np.concatenate([[0], np.cumsum(n_a * n_b)])
+        lo, hi = unit_edge[:-1] + 1, unit_edge[1:] + 1
+        self.links.frombytes(pairs[made[lo[0]] : made[hi[-1]]].tobytes())
+        found = {"n_a": first_a[hi] - first_a[lo], "n_b": first_b[hi] - first_b[lo], "n_groups": hi - lo, "n_links": made[hi] - made[lo], "sound": np.ones_like(hi)}
+        for name, values in found.items():
+            self.sizes[name].frombytes(values.astype(np.int64).tobytes())
+        for u, x, y in zip(units, lo.tolist(), hi.tolist(), strict=True):
+            self.number[u] = len(self.groups)
+            self.groups.append(said[x] if y == x + 1 else ";".join(said[x:y]))
+        return True
+
+    def _learn_one(self, unit: str) -> None:
+        a = self.bpe.encode(unit, add_special_tokens=False)
+        # The model puts a blank before what it is given; a unit that starts with a line end drops that.
+        own = unit[0] == "\n"
+        proto = self.pieces.encode(unit if own else unit[1:], return_type="proto").pieces
+        ids_b = [p.id for p in proto]
+        spans = [(p.begin, p.end) for p in proto]
+        if own:
+            ids_b, spans, good = ids_b[1:], spans[1:], bool(ids_b) and ids_b[0] == self.blank
+        else:
+            spans, good = [(b + 1 if i else 0, e + 1) for i, (b, e) in enumerate(spans)], True
+        whole = unit.encode()
+        offsets = a.offsets
+        if len(whole) != len(unit):
+            byte_of = [0]
+            for c in unit:
+                byte_of.append(byte_of[-1] + len(c.encode()))
+            offsets = [(byte_of[b], byte_of[e]) for b, e in offsets]
+        ends = []
+        for cuts, ids, table in ((offsets, a.ids, self.bytes_a), (spans, ids_b, self.bytes_b)):
+            sound = b"".join([table[i] for i in ids]) == whole
+            fine = refined(np.array(cuts, dtype=np.int64).reshape(-1, 2), np.array([len(table[i]) for i in ids], dtype=np.int64)) if sound else None
+            ends.append(None if fine is None else fine.tolist())
+        self._add(unit, a.ids, ends[0], ids_b, ends[1] if good else None)
 
     def _add(self, unit: str, ids_a: list[int], ends_a: list[int] | None, ids_b: list[int], ends_b: list[int] | None) -> None:
         self.number[unit] = len(self.groups)
@@ -138,15 +202,13 @@ class Aligner:
             self.sizes[name].append(value)
         self.groups.append(";".join(said))
 
-    def units(self, text: str) -> list[int]:
-        """Numbers of the units of a blank and a text."""
-        parts = _CUT.split(" " + text)
-        get = self.number.get
-        found = [get(u) for u in parts]
-        if None in found:
-            self.learn([*dict.fromkeys(u for u, n in zip(parts, found, strict=True) if n is None)])
-            found = [self.number[u] for u in parts]
-        return found
+    def units(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the units of a blank and each text; an empty text has none."""
+        parts = [_CUT.split(" " + t) if t else [] for t in texts]
+        new = [u for u in set().union(*parts) if u not in self.number]
+        if new:
+            self.learn(new)
+        return [list(map(self.number.__getitem__, own)) for own in parts]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -215,22 +277,22 @@ def _kept_blocks(folder: str, byte_vocabulary: str, piece_model: str):
         known = _aligner(byte_vocabulary, piece_model)
         keys, docs, digests, total = [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                own = known.units(text) if text else []
-                sound = known.sizes["sound"]
-                if not all(sound[u] for u in own):
-                    own = []
-                said = known.groups
-                digests.append(hashlib.sha256(";".join([said[u] for u in own]).encode()).hexdigest() if own else "")
-                keys.append(key)
-                docs.append(own)
-                total += len(text) + 64
+            own_keys, column = batch.column(0).to_pylist(), batch.column(1)
+            sizes = np.array(pc.fill_null(pc.utf8_length(column), 0), dtype=np.int64)
+            for rows in slices(np.concatenate([[0], np.cumsum(sizes + 64)]), BLOCK // 4):
+                found = known.units([t or "" for t in column.slice(rows.start, len(rows)).to_pylist()])
+                sound, said = known.sizes["sound"], known.groups
+                for own in found:
+                    own = own if all(map(sound.__getitem__, own)) else []
+                    digests.append(hashlib.sha256(";".join(map(said.__getitem__, own)).encode()).hexdigest() if own else "")
+                    docs.append(own)
+                keys += own_keys[rows.start : rows.stop]
+                total += int(sizes[rows.start : rows.stop].sum()) + 64 * len(rows)
                 if total >= BLOCK:
                     yield from flush(known, keys, docs, digests)
                     keys, docs, digests, total = [], [], [], 0
                     if len(known.groups) > KNOWN:
-                        known.forget()
+                        known.forget()  # no number of it is in use
         if keys:
             yield from flush(known, keys, docs, digests)
 
