@@ -38,8 +38,9 @@ SHARD = 8192
 #: Tasks of a step, however many blocks or shards there are.
 MOST_TASKS = 10_000
 _PLACE = np.uint64((1 << 20) - 1)
-#: What a returned row is about: an entry of its block, or a string known by its hash.
-ENTRY, STRING = 0, 1
+#: What a row that goes to a block is about: a stretch (by its gram or its entry), a string known by its
+#: hash, or a gram whose stretches are cut up into strings.
+STRETCH, STRING, CUT_UP = 0, 1, 2
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -108,6 +109,12 @@ def _many(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(stop[-1]) if n.size else 0) + np.repeat(first - (stop - n), n)
 
 
+def _starts_at(grams: np.ndarray, name: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All starts in the stretches of the grams, in order."""
+    own = np.flatnonzero(np.isin(name, grams))
+    return _many(first[own], n[own].astype(np.int64))
+
+
 def _kept_blocks(folder: str, length: int, gram: int):
     """Texts into blocks in the folder; rows name the grams of each block's anchors."""
     schema = pa.schema([("block", pa.int64()), ("name", pa.int64()), ("copies", pa.int64()), ("kinds", pa.int64())])
@@ -164,8 +171,8 @@ def _hot_strings(folder: str, length: int):
     def run(batches):
         for (block,), rows in by_keys(batches, ["block"]):
             data, first, n, name = load_block(folder, block, "data", "first", "n", "name")
-            own = np.flatnonzero(np.isin(name, np.array(rows.column("name"))))
-            found, copies = np.unique(string_hashes(data, _many(first[own], n[own].astype(np.int64)), length), return_counts=True)
+            cut = _starts_at(np.array(rows.column("name")), name, first, n)
+            found, copies = np.unique(string_hashes(data, cut, length), return_counts=True)
             ones = np.ones(found.size, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ones * block), pa.array(found.view(np.int64)), pa.array(copies), pa.array(ones)], schema=schema)
 
@@ -204,18 +211,17 @@ def _sorted_runs(folder: str, length: int, n_shards: int):
     def run(batches):
         for (block,), rows in by_keys(batches, ["block"]):
             data, first, n, anchor, name, entry = load_block(folder, block, "data", "first", "n", "anchor", "name", "entry")
-            asked, hot = np.array(rows.column("name")), np.array(rows.column("hot").combine_chunks().cast(pa.int8())) == 1
-            stretch = np.flatnonzero(np.isin(name, asked[~hot]))
+            asked, what = np.array(rows.column("name")), np.array(rows.column("what"))
+            stretch = np.flatnonzero(np.isin(name, asked[what == STRETCH]))
             ids, at, copies = np.unique(entry[stretch], return_index=True, return_counts=True)
             rep = stretch[at]
             start, stop, mid, key = first[rep], first[rep] + n[rep] - 1, anchor[rep], name[rep]
-            kind = np.full(ids.size, ENTRY)
-            if hot.any():
-                every = np.sort(_many(first, n.astype(np.int64)))
-                hashes = string_hashes(data, every, length).view(np.int64)
-                strings, place, times = np.unique(hashes, return_index=True, return_counts=True)
-                own = np.flatnonzero(np.isin(strings, asked[hot]))
-                where = every[place[own]]
+            kind = np.full(ids.size, STRETCH)
+            if (what == STRING).any():
+                cut = _starts_at(asked[what == CUT_UP], name, first, n)
+                strings, place, times = np.unique(string_hashes(data, cut, length).view(np.int64), return_index=True, return_counts=True)
+                own = np.flatnonzero(np.isin(strings, asked[what == STRING]))
+                where = cut[place[own]]
                 ids, copies = np.concatenate([ids, strings[own]]), np.concatenate([copies, times[own]])
                 start, stop, mid = (np.concatenate([a, where]) for a in (start, stop, mid))
                 key, kind = np.concatenate([key, strings[own]]), np.concatenate([kind, np.full(own.size, STRING)])
@@ -303,24 +309,26 @@ def _marked(folder: str, length: int):
 
     def run(batches):
         for (block,), rows in by_keys(batches, ["block"]):
-            names = ("data", "offsets", "key", "known", "first", "n", "anchor", "entry")
-            data, offsets, key, known, first, n, anchor, entry = load_block(folder, block, *names)
+            names = ("data", "offsets", "key", "known", "first", "n", "anchor", "name", "entry")
+            data, offsets, key, known, first, n, anchor, name, entry = load_block(folder, block, *names)
             starts = np.zeros(data.size + 1, dtype=bool)
             kind, ids, bits = (rows.column(c).to_pylist() for c in ("kind", "id", "bits"))
             order = np.argsort(entry, kind="stable")
             edge = np.searchsorted(entry[order], np.arange(int(entry.max(initial=-1)) + 2))
-            strings = []
+            strings, cut_up = [], []
             for k, i, b in zip(kind, ids, bits, strict=True):
                 if k == STRING:
                     strings.append(i)
-                elif k == ENTRY:
+                elif k == CUT_UP:
+                    cut_up.append(i)
+                elif k == STRETCH:
                     own = order[edge[i] : edge[i + 1]]
                     low = int(anchor[own[0]] - first[own[0]] - n[own[0]] + 1)
                     d = low + np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=int(n[own[0]])))
                     starts[(anchor[own][:, None] - d).ravel()] = True
             if strings:
-                every = np.sort(_many(first, n.astype(np.int64)))
-                starts[every[np.isin(string_hashes(data, every, length).view(np.int64), np.array(strings))]] = True
+                cut = _starts_at(np.array(cut_up), name, first, n)
+                starts[cut[np.isin(string_hashes(data, cut, length).view(np.int64), np.array(strings))]] = True
             so_far = np.cumsum(starts[:-1], dtype=np.int64)
             covered = so_far > 0
             covered[length:] = so_far[length:] > so_far[:-length]
@@ -372,12 +380,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return df.repartition(n_tasks, "block").sortWithinPartitions("block")
 
     strings = _again(beside(again.where("hot")).mapInArrow(_hot_strings(folder, length), rows))
-    wanted = again.where("not hot").unionByName(strings.withColumn("hot", F.lit(True)))
+    what = F.when(F.col("hot"), CUT_UP).otherwise(STRETCH)
+    wanted = again.select("block", "name", what.alias("what")).unionByName(strings.select("block", "name", F.lit(STRING).alias("what")))
     n_shards = max(1, -(-again.count() // SHARD))
     runs = beside(wanted).mapInArrow(_sorted_runs(folder, length, n_shards), "shard long, block long, run binary")
     merged = runs.repartitionById(min(MOST_TASKS, n_shards), F.pmod("shard", F.lit(min(MOST_TASKS, n_shards))).cast("int")).sortWithinPartitions("shard", "block").mapInArrow(_merged(length), "block long, kind int, id long, bits binary")
-    listed = names.where("name is null").select("block", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("binary").alias("bits"))
-    return beside(merged.unionByName(listed)).mapInArrow(_marked(folder, length), f"doc_id long, n_bytes long, spans {_SPANS}, kept binary")
+    nothing = F.lit(None).cast("binary").alias("bits")
+    listed = names.where("name is null").select("block", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("id"), nothing)
+    cut_up = again.where("hot").select("block", F.lit(CUT_UP).alias("kind"), F.col("name").alias("id"), nothing)
+    return beside(merged.unionByName(listed).unionByName(cut_up)).mapInArrow(_marked(folder, length), f"doc_id long, n_bytes long, spans {_SPANS}, kept binary")
 
 
 def op12_suffixes(spark, sf_dir: str) -> DataFrame:
