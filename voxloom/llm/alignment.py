@@ -36,7 +36,7 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _PLAIN = re.compile(r"[ \n][^\s▁](?:[^▁]*[^\s▁])?", re.DOTALL)
 #: Characters of a block, units a worker remembers, units encoded at once, and pairs counted at once.
 BLOCK = 4 << 20
-KNOWN = 800_000
+KNOWN = 400_000
 TOGETHER = 4096
 AT_ONCE = 1 << 20
 #: Tasks of a step, however many blocks there are.
@@ -56,17 +56,16 @@ def byte_values() -> dict[str, int]:
 
 
 def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
-    """Byte ends of tokens: the coarse cuts, and between them, inside a character, the decoded bytes.
+    """Byte ends of tokens: the coarse cuts, and inside a character the decoded bytes.
 
-    ``coarse`` has the byte span of every token as its library gives it. A span that the next token shares
-    (parts of one character) ends where the bytes of the token do; an empty one is a part as well. None when
-    a span that is not shared ends elsewhere.
+    ``coarse`` are the byte ends that the library gives. Tokens that are parts of one character have the same
+    one (or none of their own); they end where their bytes do. None when another token ends elsewhere.
     """
     ends = np.cumsum(sizes)
-    shared = coarse[:, 0] >= coarse[:, 1]
-    shared[:-1] |= coarse[1:, 0] < coarse[:-1, 1]
-    shared[1:] |= coarse[1:, 0] < coarse[:-1, 1]
-    out = np.where(shared, ends, coarse[:, 1])
+    part = np.zeros(coarse.size, dtype=bool)
+    part[:-1] = coarse[1:] <= coarse[:-1]
+    part[1:] |= part[:-1]
+    out = np.where(part, ends, coarse)
     return out if np.array_equal(out, ends) else None
 
 
@@ -102,6 +101,20 @@ class Aligner:
         self.sizes = {name: array("q") for name in ("n_a", "n_b", "n_groups", "n_links", "sound")}
         self.links = array("q")
 
+    def keep(self, used: np.ndarray) -> None:
+        """Forget all units but these; they get new numbers, in their order."""
+        every = np.frombuffer(self.sizes["n_links"], dtype=np.int64)
+        links = np.frombuffer(self.links, dtype=np.int64)[_flat((np.cumsum(every) - every)[used], every[used])]
+        sizes = {name: np.frombuffer(values, dtype=np.int64)[used] for name, values in self.sizes.items()}
+        units, groups = list(self.number), self.groups  # units were numbered in the order of the dictionary
+        kept = used.tolist()
+        self.forget()
+        self.number = {units[u]: i for i, u in enumerate(kept)}
+        self.groups = [groups[u] for u in kept]
+        self.links.frombytes(links.tobytes())
+        for name, values in sizes.items():
+            self.sizes[name].frombytes(values.tobytes())
+
     def learn(self, units: list[str]) -> None:
         """Encode units that were not met before, plain ones many at a time."""
         plain, other = [], []
@@ -124,7 +137,7 @@ class Aligner:
         if b"".join([self.bytes_a[i] for i in list_a]) != data or b"".join([self.bytes_b[i] for i in list_b]) != data:
             return False
         ids_a, ids_b = np.array(list_a, dtype=np.int64), np.array(list_b, dtype=np.int64)
-        cuts_a, cuts_b = np.array(a.offsets, dtype=np.int64), np.array([(p.begin + 1, p.end + 1) for p in pieces], dtype=np.int64)
+        cuts_a, cuts_b = np.array([e for _, e in a.offsets], dtype=np.int64), np.array([p.end for p in pieces], dtype=np.int64) + 1
         if len(data) != len(text):
             raw = np.frombuffer(data, dtype=np.uint8)
             cuts_a = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(data))[cuts_a]
@@ -141,9 +154,11 @@ class Aligner:
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         first_a, first_b = (np.searchsorted(g, np.arange(common.size + 1)) for g in (group_a, group_b))
         n_a, n_b = np.diff(first_a), np.diff(first_b)
-        said_a, said_b = ([self.digits[i] for i in ids] for ids in (list_a, list_b))
+        # Ids in words, each with the mark that follows it; a slice is then the text of a group or a unit.
+        marks_a, marks_b = np.full(ids_a.size, ","), np.full(ids_b.size, ",")
+        marks_a[first_a[1:] - 1], marks_b[first_b[1:] - 1] = "|", ";"
+        said_a, said_b = ([self.digits[i] + m for i, m in zip(ids, marks.tolist(), strict=True)] for ids, marks in ((list_a, marks_a), (list_b, marks_b)))
         at_a, at_b = first_a.tolist(), first_b.tolist()
-        said = [",".join(said_a[at_a[g] : at_a[g + 1]]) + "|" + ",".join(said_b[at_b[g] : at_b[g + 1]]) for g in range(common.size)]
         own = n_b[group_a]
         pairs = (np.repeat(ids_a, own) << _LOW) | ids_b[_flat(first_b[:-1][group_a], own)]
         made = np.concatenate([[0], np.cumsum(n_a * n_b)])
@@ -154,7 +169,11 @@ class Aligner:
             self.sizes[name].frombytes(values.astype(np.int64).tobytes())
         for u, x, y in zip(units, lo.tolist(), hi.tolist(), strict=True):
             self.number[u] = len(self.groups)
-            self.groups.append(said[x] if y == x + 1 else ";".join(said[x:y]))
+            parts = []
+            for g in range(x, y):
+                parts += said_a[at_a[g] : at_a[g + 1]]
+                parts += said_b[at_b[g] : at_b[g + 1]]
+            self.groups.append("".join(parts)[:-1])
         return True
 
     def _learn_one(self, unit: str) -> None:
@@ -163,22 +182,15 @@ class Aligner:
         own = unit[0] == "\n"
         proto = self.pieces.encode(unit if own else unit[1:], return_type="proto").pieces
         ids_b = [p.id for p in proto]
-        spans = [(p.begin, p.end) for p in proto]
+        cuts, good = [p.end + (not own) for p in proto], True
         if own:
-            ids_b, spans, good = ids_b[1:], spans[1:], bool(ids_b) and ids_b[0] == self.blank
-        else:
-            spans, good = [(b + 1 if i else 0, e + 1) for i, (b, e) in enumerate(spans)], True
+            ids_b, cuts, good = ids_b[1:], cuts[1:], bool(ids_b) and ids_b[0] == self.blank
         whole = unit.encode()
-        offsets = a.offsets
-        if len(whole) != len(unit):
-            byte_of = [0]
-            for c in unit:
-                byte_of.append(byte_of[-1] + len(c.encode()))
-            offsets = [(byte_of[b], byte_of[e]) for b, e in offsets]
+        byte_of = np.cumsum([0, *[len(c.encode()) for c in unit]])
         ends = []
-        for cuts, ids, table in ((offsets, a.ids, self.bytes_a), (spans, ids_b, self.bytes_b)):
+        for coarse, ids, table in ((byte_of[[e for _, e in a.offsets]], a.ids, self.bytes_a), (np.array(cuts, dtype=np.int64), ids_b, self.bytes_b)):
             sound = b"".join([table[i] for i in ids]) == whole
-            fine = refined(np.array(cuts, dtype=np.int64).reshape(-1, 2), np.array([len(table[i]) for i in ids], dtype=np.int64)) if sound else None
+            fine = refined(coarse, np.array([len(table[i]) for i in ids], dtype=np.int64)) if sound else None
             ends.append(None if fine is None else fine.tolist())
         self._add(unit, a.ids, ends[0], ids_b, ends[1] if good else None)
 
@@ -290,9 +302,9 @@ def _kept_blocks(folder: str, byte_vocabulary: str, piece_model: str):
                 total += int(sizes[rows.start : rows.stop].sum()) + 64 * len(rows)
                 if total >= BLOCK:
                     yield from flush(known, keys, docs, digests)
-                    keys, docs, digests, total = [], [], [], 0
                     if len(known.groups) > KNOWN:
-                        known.forget()  # no number of it is in use
+                        known.keep(np.unique(np.fromiter((u for d in docs for u in d), np.int64)))
+                    keys, docs, digests, total = [], [], [], 0
         if keys:
             yield from flush(known, keys, docs, digests)
 
