@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from voxloom.catalog.audio_queries import lattice_sql
 from voxloom.catalog.tables import (
     CFG,
+    DAMAGED,
     DIALOGUE,
     N_DIVISIONS,
     PROSE,
     SAMPLES,
-    all_chunk_files,
     chunk_dir,
     corpus_dir,
     corpus_schema,
+    damaged_chunk_dir,
+    early_corpus_dir,
     prose,
     table,
     written_once,
@@ -24,10 +28,11 @@ from voxloom.operators import index as I
 from voxloom.operators import stats as ST
 from voxloom.operators import tokenize as K
 from voxloom.operators.position import exclusive_sums
-from voxloom.plans.serve import sound_files
 from voxloom.plans.tokenize import tokenize_corpus as run_tokenize_corpus
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
+from voxloom.sources.catalogue import catalogue, files_per_dataset, next_chunks, readable
+from voxloom.sources.commits import left_over
 from voxloom.streaming.tokenize import dense_chunk_numbers, tokenize_stream
 
 QUERIES, ORACLE = {}, {}
@@ -156,8 +161,8 @@ def _dataset(path):
 
 def file_index(spark, sf):
     """Files of the training split over all datasets, with the number of their first sample."""
-    found = sound_files(spark, chunk_dir(spark, sf), "train")
-    files = I.file_table(I.file_counts(H.scan_lengths(spark, found)))
+    found = readable(catalogue(spark, chunk_dir(spark, sf), "train"))
+    files = I.file_table(found.select("path", F.col("n_rows").alias("len")))
     return files.select(_dataset(F.col("path")).alias("dataset"), "start", "len")
 
 
@@ -169,8 +174,7 @@ ORACLE["file_index"] = f"""with {SAMPLES}, placed as (
 
 
 def discover_datasets(spark, sf):
-    files = H.chunk_files(spark, chunk_dir(spark, sf))
-    return files.groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n_files"))
+    return files_per_dataset(catalogue(spark, chunk_dir(spark, sf)))
 
 
 ORACLE["discover_datasets"] = f"""with {SAMPLES}, counts as (
@@ -180,7 +184,7 @@ ORACLE["discover_datasets"] = f"""with {SAMPLES}, counts as (
 
 
 def corrupt_report(spark, sf):
-    report = H.corrupt_files(spark, all_chunk_files(spark, sf))
+    report = H.damaged_files(spark, catalogue(spark, chunk_dir(spark, sf)))
     return report.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
         _dataset(F.col("path")).alias("dataset"),
@@ -198,7 +202,7 @@ def union_chunks(spark, sf):
     """All datasets and splits as one table, arrays included."""
     root = chunk_dir(spark, sf)
     parts = [
-        H.scan_chunks(spark, sound_files(spark, root, s)).withColumn("split", F.lit(s)) for s in S.SPLITS
+        H.scan_chunks(spark, H.sound_files(spark, root, s)).withColumn("split", F.lit(s)) for s in S.SPLITS
     ]
 
     def total(column):
@@ -224,12 +228,12 @@ def _weighted(column):
     return F.aggregate(place, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def _token_rows(rows):
+def _token_rows(rows, numbers=("chunk_no", "position")):
     return rows.select(
         "split",
         F.regexp_extract("file_name", r"-(\d{5})-", 1).cast("int").alias("file_no"),
         "row_index",
-        *[c for c in ("chunk_no", "position") if c in rows.columns],
+        *[c for c in numbers if c in rows.columns],
         "length",
         _weighted("audio").alias("audio_sum"),
         _weighted("text").alias("text_sum"),
@@ -348,6 +352,115 @@ def duplicate_ids(spark, sf):
 ORACLE["duplicate_ids"] = f"""with {TOKENS} select split, file_no, row_index, 2::bigint as n_copies from tokens"""
 
 
+class Killed(RuntimeError):
+    """Ends a run between two moves."""
+
+
+def divided_dir(spark, sf):
+    """Three divisions of one corpus at the same time, into one folder. The second is killed when its first
+    file is in place, and run again when the others are done."""
+
+    def write(path):
+        root, schema = corpus_dir(spark, sf), corpus_schema(spark, sf)
+
+        def run(division, moved=None):
+            return run_tokenize_corpus(spark, root, path, schema, CFG, division=division, n_divisions=N_DIVISIONS, moved=moved)
+
+        def die(name):
+            raise Killed(name)
+
+        with ThreadPoolExecutor(N_DIVISIONS) as pool:
+            runs = [pool.submit(run, d, die if d == 1 else None) for d in range(N_DIVISIONS)]
+        if not isinstance(runs[1].exception(), Killed) or not left_over(spark, path, H.CHUNKS):
+            raise RuntimeError("the second division was not killed between its files and their commit")
+        for other in (runs[0], runs[2]):
+            other.result()
+        again = run(1)
+        if any(c.skipped for c in again.values()):
+            raise RuntimeError(f"rows of a killed run count as done: {again}")
+
+    return written_once(spark, sf, "divided", write)
+
+
+def tokenize_divided(spark, sf):
+    """Samples of divisions that ran together: what the killed run left in the folder is not among them."""
+    columns = "split string, division int, file_name string, row_index bigint, length int, audio array<int>, text array<int>"
+    rows = H.committed_samples(spark, divided_dir(spark, sf), columns)
+    return _token_rows(rows, ("division", "chunk_no"))
+
+
+ORACLE["tokenize_divided"] = f"""with {TOKENS}, divided as (
+    select *, case when split = 'train' then file_no % {N_DIVISIONS} else 0 end as division from tokens)
+  select split, division::int as division, file_no, row_index,
+    ((row_number() over (partition by split, division order by file_no, row_index) - 1) // {CFG.chunk_rows} + 1)::bigint as chunk_no,
+    length, audio_sum, text_sum
+  from divided"""
+
+
+def resumed_dir(spark, sf):
+    """A run over the corpus as it was, and another over the corpus as it is. Files that were finished are
+    not opened again, half-done files are looked up in bitmaps, new files are read whole."""
+
+    def write(path):
+        schema = corpus_schema(spark, sf)
+        first = run_tokenize_corpus(spark, early_corpus_dir(spark, sf), path, schema, CFG, dataset="corpus")
+        second = run_tokenize_corpus(spark, corpus_dir(spark, sf), path, schema, CFG, dataset="corpus")
+        if any(second[s].skipped != first[s].seen for s in first) or not all(c.seen for c in first.values()):
+            raise RuntimeError(f"{second} does not go on from {first}")
+
+    return written_once(spark, sf, "resumed", write)
+
+
+def resume_partial(spark, sf):
+    """Samples of a run that was taken up again, each once."""
+    columns = "split string, file_name string, row_index bigint, length int, audio array<int>, text array<int>"
+    return _token_rows(H.committed_samples(spark, resumed_dir(spark, sf), columns).drop("chunk_no"))
+
+
+ORACLE["resume_partial"] = f"""with {TOKENS}
+  select split, file_no, row_index, length, audio_sum, text_sum from tokens"""
+
+
+def chunk_catalogue(spark, sf):
+    """Every committed chunk file by data set, split and chunk number, with what its footer says."""
+    files = catalogue(spark, chunk_dir(spark, sf))
+    return files.select("dataset", "split", "division", "chunk_no", "n_rows", "has_sums")
+
+
+ORACLE["chunk_catalogue"] = f"""with {SAMPLES}, placed as (
+    select dataset, split, (row_number() over (partition by dataset, split order by file_no, sid) - 1) // {CFG.chunk_rows} + 1 as chunk_no
+    from samples)
+  select dataset, split, null::int as division, chunk_no::bigint as chunk_no, count(*)::bigint as n_rows, true as has_sums
+  from placed group by dataset, split, chunk_no
+  union all select 'user', 'train', null, null, null, null"""
+
+
+def next_chunks_of_files(spark, sf):
+    """Where the numbering of every data set and split goes on, as a run asks before it writes."""
+    return next_chunks(catalogue(spark, chunk_dir(spark, sf)))
+
+
+ORACLE["next_chunks"] = f"""with {SAMPLES}
+  select dataset, split, null::int as division, ((count(*) + {CFG.chunk_rows - 1}) // {CFG.chunk_rows} + 1)::bigint as next_chunk
+  from samples group by dataset, split"""
+
+
+def damaged_report(spark, sf):
+    """Files whose arrays do not have the sums that were written with them, and how many rows do."""
+    files = catalogue(spark, damaged_chunk_dir(spark, sf))
+    bad = H.damaged_files(spark, files)
+    named = files.select(F.col("uri").alias("path"), "dataset", "split", "chunk_no")
+    return bad.join(named, "path").select("dataset", "split", "chunk_no", "footer_rows", "read_rows")
+
+
+ORACLE["damaged_report"] = f"""with {SAMPLES}, placed as (
+    select dataset, split, sid, (row_number() over (partition by dataset, split order by file_no, sid) - 1) // {CFG.chunk_rows} + 1 as chunk_no
+    from samples)
+  select dataset, split, chunk_no::bigint as chunk_no, count(*)::bigint as footer_rows,
+    count(*) filter (sid % 50 <> {DAMAGED})::bigint as read_rows
+  from placed group by dataset, split, chunk_no having bool_or(sid % 50 = {DAMAGED})"""
+
+
 def duration_estimate(spark, sf):
     """Documents as recordings of one second per character, a subset per source."""
     recordings = table(spark, sf, "documents").select(F.col("source").alias("subset"), F.col("n_chars").alias("seconds"))
@@ -378,5 +491,10 @@ QUERIES.update(
     stream_tokenize=stream_tokenize,
     stream_chunks=stream_chunks,
     duplicate_ids=duplicate_ids,
+    tokenize_divided=tokenize_divided,
+    resume_partial=resume_partial,
+    chunk_catalogue=chunk_catalogue,
+    next_chunks=next_chunks_of_files,
+    damaged_report=damaged_report,
     duration_estimate=duration_estimate,
 )

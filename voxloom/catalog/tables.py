@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.config import PipelineConfig
@@ -18,15 +19,17 @@ from voxloom.functions.codes import sample_length
 from voxloom.operators.position import position_by_number
 from voxloom.operators.tokenize import clean_rows, keep_long_enough
 from voxloom.schemas import AUDIO_CELL
-from voxloom.session import new_scratch
+from voxloom.session import new_scratch, staged
 from voxloom.sources import chunks as H
-from voxloom.sources.files import put_bytes
+from voxloom.sources import corpus as S
+from voxloom.sources.files import put_bytes, rename_file
 
 CFG = PipelineConfig(chunk_rows=64, position_block=1 << 16)
 N_FILES = 4
 N_DIVISIONS = 3
 N_REPLICAS = 3
 N_EPOCHS = 3
+DAMAGED = 7
 
 # Whitespace as a DuckDB expression.
 WS = " || ".join(f"chr({c})" for c in X.PY_WHITESPACE_CODES)
@@ -245,23 +248,59 @@ def corpus_schema(spark: SparkSession, sf: str):
     return spoken(spark, sf).drop("split").schema
 
 
+def early_corpus_dir(spark: SparkSession, sf: str) -> str:
+    """The corpus at an earlier time: its files have the same names, but file 3 is not there yet and
+    files 1 and 2 hold the first half of their rows only."""
+
+    def write(path: str) -> None:
+        rows = spoken(spark, sf).where("file_no < 3")
+        one = W.partitionBy("split", "file_no")
+        rows = rows.withColumn("__row", F.row_number().over(one.orderBy("sid"))).withColumn("__rows", F.count(F.lit(1)).over(one))
+        rows = rows.where("file_no = 0 or 2 * __row <= __rows").drop("__row", "__rows")
+        for split in ("train", "validation", "test"):
+            own = rows.where(F.col("split") == split).drop("split")
+            folder = new_scratch(spark, "early")
+            own = own.repartitionById(N_FILES, F.col("file_no")).sortWithinPartitions("sid")
+            own.write.option(H.OUTPUT_BASENAME, split).parquet(folder)
+            names = {p.rsplit("/", 1)[-1][: len(split) + 6]: p.rsplit("/", 1)[-1] for p in S.split_files(spark, corpus_dir(spark, sf), split)}
+            for file in S.split_files(spark, folder, split):
+                rename_file(spark, file, f"{path}/{names[file.rsplit('/', 1)[-1][: len(split) + 6]]}")
+
+    return written_once(spark, sf, "early", write)
+
+
+def damaged_chunk_dir(spark: SparkSession, sf: str) -> str:
+    """Chunk files in which every 50th sample's codes changed after their sum was written: the files are
+    sound Parquet, and only the sums tell."""
+
+    def write(path: str) -> None:
+        group = ("dataset", "split")
+        placed = H.assign_chunks(samples(spark, sf), "file_no", "sid", group, 1, CFG).withColumn("cells", H.content_sum())
+        bent = F.transform("audio", lambda v: (v + 1).cast("int"))
+        placed = placed.withColumn("audio", F.when(F.col("sid") % 50 == DAMAGED, bent).otherwise(F.col("audio")))
+        with staged(placed, "damaged") as rows:
+            for dataset, split, n in rows.groupBy(*group).count().collect():
+                part = rows.where((F.col("dataset") == dataset) & (F.col("split") == split)).drop(*group)
+                H.write_chunks(part, n, f"{path}/{dataset}", split, None, 1, CFG)
+
+    return written_once(spark, sf, "damaged", write)
+
+
 def chunk_dir(spark: SparkSession, sf: str) -> str:
     """Samples as chunk files: one directory per dataset, every split in each, and a broken file."""
 
     def write(path: str) -> None:
+        # Another tool's file, there before the first run.
+        put_bytes(spark, f"{path}/user/train_part_broken.parquet", b"not a table")
         group = ("dataset", "split")
         placed = H.assign_chunks(samples(spark, sf), "file_no", "sid", group, 1, CFG)
-        staged = new_scratch(spark, "placed")
-        placed.write.partitionBy(*group).parquet(staged)
-        rows = spark.read.parquet(staged)
+        placed = placed.withColumn("cells", H.content_sum())
+        folder = new_scratch(spark, "placed")
+        placed.write.partitionBy(*group).parquet(folder)
+        rows = spark.read.parquet(folder)
         for dataset, split, n in rows.groupBy(*group).count().collect():
             part = rows.where((F.col("dataset") == dataset) & (F.col("split") == split)).drop(*group)
             H.write_chunks(part, n, f"{path}/{dataset}", split, None, 1, CFG)
-        put_bytes(spark, f"{path}/user/train_part_broken.parquet", b"not a table")
 
     return written_once(spark, sf, "chunks", write)
 
-
-def all_chunk_files(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
-    root = chunk_dir(spark, sf)
-    return [f for s in ("train", "validation", "test") for f in H.discover_datasets(spark, root, s)]

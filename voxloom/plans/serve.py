@@ -16,7 +16,6 @@ from voxloom.operators import index as I
 from voxloom.operators import schedule as B
 from voxloom.session import materialize
 from voxloom.sources import chunks as H
-from voxloom.sources.files import uri_of
 
 
 @dataclass(frozen=True)
@@ -35,26 +34,23 @@ class SampleIndex:
         return numbered.persist(StorageLevel.MEMORY_AND_DISK) if in_memory else numbered
 
 
-def sound_files(spark: SparkSession, root: str, split: str) -> list[tuple[str, str]]:
-    """Chunk files of a split without those that cannot be read in full."""
-    found = H.discover_datasets(spark, root, split)
-    bad = {r["path"] for r in H.corrupt_files(spark, found).collect()} if found else set()
-    return [(d, p) for d, p in found if uri_of(p) not in bad]
+def build_index(spark: SparkSession, root: str, split: str, check: bool | str = True) -> SampleIndex:
+    """Number all samples of a split.
 
-
-def build_index(spark: SparkSession, root: str, split: str, check: bool = True) -> SampleIndex:
-    """Number all samples of a split. Only ``length`` is read; files that cannot be read are left out.
+    Of our own files only footers and ``length`` are read: their arrays are checked against their sums by
+    the scan that serves them, which raises at damage. Arrays of files without sums are read here, and
+    damaged files are left out (``sources.chunks.sound_files``; ``check="full"`` reads all files).
 
     The index is written to the shared folder once; bins, schedules and totals reuse it.
     """
-    found = sound_files(spark, root, split) if check else H.discover_datasets(spark, root, split)
+    found = H.sound_files(spark, root, split, check)
     lengths = H.scan_lengths(spark, found)
     files = materialize(I.file_table(I.file_counts(lengths)), "files")
     index = materialize(I.global_index(lengths, files), "index")
     return SampleIndex(found, files, index, index.count())
 
 
-def build_validation_index(spark: SparkSession, root: str, check: bool = True) -> SampleIndex:
+def build_validation_index(spark: SparkSession, root: str, check: bool | str = True) -> SampleIndex:
     """Index of the validation split, or of the test split when there is no validation sample."""
     found = build_index(spark, root, "validation", check)
     return found if found.n_samples else build_index(spark, root, "test", check)
@@ -117,7 +113,7 @@ def create_batches(
     first_epoch: int = 0,
     rank: int | None = None,
     uneven: str = "keep",
-    check: bool = True,
+    check: bool | str = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Schedules for training (shuffled) and for evaluation (from short to long).
 

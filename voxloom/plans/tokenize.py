@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.audio import decode_wav
 from voxloom.operators import audio as A
+from voxloom.operators import done as D
 from voxloom.operators import tokenize as K
 from voxloom.operators.stats import run_counters
 from voxloom.schemas import QUARANTINE, require_columns
-from voxloom.session import broadcast_if_small, staged
+from voxloom.session import staged
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
-from voxloom.sources.files import glob_paths
+from voxloom.sources.commits import Commit, append_run, read_commits, visible_files
 
 LEDGER = "sample_id string, file_name string, row_index bigint"
 
@@ -69,30 +70,43 @@ def quarantine_dir(out_dir: str) -> str:
     return out_dir.rstrip("/") + "_quarantine"
 
 
+def handled_in(spark: SparkSession, folder: str, pattern: str, split: str) -> DataFrame | None:
+    """Bitmaps of the input rows that the files of a folder stand for; None when there are none.
+
+    Runs list their rows beside their files; only files without such a list are read for the names of
+    their rows.
+    """
+    commits = read_commits(spark, folder)
+    listed = [c for c in commits if c.done and c.split == split]
+    named = {f for c in commits for f in c.files if c.done}
+    files = [f for f in visible_files(spark, folder, pattern, commits) if f.rsplit("/", 1)[-1] not in named]
+    parts = [spark.read.schema(D.SCHEMA).parquet(*[f"{folder}/{c.done}" for c in listed])] if listed else []
+    if files:
+        ledger = H.read_columns(spark, files, LEDGER, skip_corrupt=False).where("sample_id is not null")
+        parts.append(D.done_bits(ledger, F.split_part("sample_id", F.lit("/"), F.lit(1))))
+    return H.union_datasets(parts) if parts else None
+
+
 def handled_rows(
     spark: SparkSession, out_dir: str, split: str, dataset: str, retry_quarantine: bool = False
 ) -> DataFrame | None:
-    """Rows of a data set that earlier runs wrote or set aside, whichever division ran them; None
-    before the first run."""
-    files = glob_paths(spark, f"{out_dir}/{split}*part_*.parquet")
+    """Bitmaps of the rows of a data set that earlier runs wrote or set aside, whichever division ran
+    them; None before the first run."""
+    folders = [(out_dir, f"{split}*part_*.parquet")]
     if not retry_quarantine:
-        files += glob_paths(spark, f"{quarantine_dir(out_dir)}/{split}*.parquet")
-    if not files:
-        return None
-    ledger = H.read_columns(spark, files, LEDGER, skip_corrupt=False)
-    return ledger.where(F.col("sample_id").startswith(f"{dataset}/"))
+        folders.append((quarantine_dir(out_dir), f"{split}*.parquet"))
+    found = [handled_in(spark, folder, pattern, split) for folder, pattern in folders]
+    parts = [p for p in found if p is not None]
+    return D.merged(H.union_datasets(parts).where(F.col("dataset") == dataset)) if parts else None
 
 
-def file_states(spark: SparkSession, files: dict[str, str], done: DataFrame | None) -> list[tuple[str, int, int]]:
-    """``(file name, rows, rows done)`` per input file; row counts come from the file footers."""
+def file_states(spark: SparkSession, files: dict[str, str], done: DataFrame | None) -> DataFrame:
+    """``(file_name, n_rows, n_done, n_blocks)`` per input file; row counts come from the file footers."""
     rows = spark.read.schema(T.StructType()).parquet(*files.values())
     totals = rows.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
     if done is None:
-        return [(r["file_name"], r["n_rows"], 0) for r in totals.collect()]
-    each = done.select("file_name", "row_index").distinct()
-    per_file = each.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_done"))
-    joined = totals.join(per_file, "file_name", "left").na.fill(0, ["n_done"])
-    return [(r["file_name"], r["n_rows"], r["n_done"]) for r in joined.collect()]
+        return totals.withColumns({"n_done": F.lit(0).cast("bigint"), "n_blocks": F.lit(0).cast("bigint")})
+    return totals.join(D.done_per_file(done), "file_name", "left").na.fill(0, ["n_done", "n_blocks"])
 
 
 def pending_rows(
@@ -107,24 +121,29 @@ def pending_rows(
 ) -> tuple[DataFrame | None, int, int]:
     """Rows still to do (None when there are none), rows seen and rows already done.
 
-    Decided per file first, from row counts alone: finished files are not opened again and
-    untouched files need no join. Only files that were left half done are anti-joined by row, so
-    audio is not shuffled to find out what to skip.
+    Decided per file first, from row counts and bit counts: finished files are not opened again and
+    untouched files need no test. Only rows of files that were left half done are looked up in bitmaps.
+    The driver sees the names of the files that are to be opened, as for any scan.
     """
     names = {f.rsplit("/", 1)[-1]: f for f in files}
     states = file_states(spark, names, done)
-    seen, skipped = sum(n for _, n, _ in states), sum(d for _, _, d in states)
-    fresh = sorted(names[f] for f, _, d in states if d == 0)
+    if done is not None:
+        states = states.persist()
+    try:
+        sums = states.agg(F.sum("n_rows"), F.sum(F.least("n_rows", "n_done"))).first()
+        left = states.where("n_done < n_rows").select("file_name", "n_done", "n_blocks").collect()
+    finally:
+        states.unpersist()
+    fresh = sorted(names[r["file_name"]] for r in left if r["n_done"] == 0)
+    half = {r["file_name"]: r["n_blocks"] for r in left if r["n_done"]}
     pattern = f"{split}-*.parquet" if whole and len(fresh) == len(files) else None
-    half = sorted(f for f, n, d in states if 0 < d < n)
     parts = []
     if fresh:
         parts.append(S.read_files(spark, fresh, schema, pattern))
     if half:
-        keys = done.where(F.col("file_name").isin(half)).select("file_name", "row_index").distinct()
-        keys = broadcast_if_small(keys, sum(d for f, _, d in states if f in set(half)), cfg.broadcast_rows)
-        rest = S.read_files(spark, [names[f] for f in half], schema)
-        parts.append(rest.join(keys, ["file_name", "row_index"], "left_anti"))
+        rest = S.read_files(spark, sorted(names[f] for f in half), schema)
+        parts.append(D.without_marked(rest, done, sum(half.values()), cfg.broadcast_rows))
+    seen, skipped = sums[0] or 0, sums[1] or 0
     if not parts:
         return None, seen, skipped
     todo = H.union_datasets(parts)
@@ -159,6 +178,7 @@ def sample_columns(placed: DataFrame, dataset: Column, split: str, division: int
         "text",
         "length",
         F.lit(cfg.n_codebooks).alias("n_codebooks"),
+        H.content_sum().alias("cells"),
     )
 
 
@@ -174,14 +194,16 @@ def tokenize_split(
     n_divisions: int = 1,
     retry_quarantine: bool = False,
     dataset: str | None = None,
+    moved: Callable[[str], None] | None = None,
 ) -> RunCounts:
     """Tokenise what is left of one split and append it as chunks.
 
     Rows are known by data set (the name of ``in_dir`` unless given), file and row number.
 
     The result is written once to the shared folder before it is numbered, so audio is encoded
-    once and a lost executor cannot change a row after its position is known. Chunks are
-    committed before the quarantine: a crash in between repeats quarantined rows only.
+    once and a lost executor cannot change a row after its position is known. All chunks appear at
+    once, with the bitmaps of their input rows; the quarantine follows, so a crash in between repeats
+    quarantined rows only. ``moved`` is told the name of every chunk file that is in place.
     """
     if not 0 <= (division or 0) < n_divisions:
         raise ValueError(f"division {division} of {n_divisions}")
@@ -202,9 +224,10 @@ def tokenize_split(
         first = H.next_chunk_number(spark, out_dir, split, division)
         placed = H.assign_chunks(good, "file_name", "row_index", (), first, cfg)
         samples = sample_columns(placed, F.lit(dataset), split, division, cfg)
-        H.write_chunks(samples, written, out_dir, split, division, first, cfg)
+        H.write_chunks(samples, written, out_dir, split, division, first, cfg, done=D.done_bits(good, dataset), moved=moved)
         if set_aside or short:
-            H.append_files(spark, bad.write.option(H.OUTPUT_BASENAME, split), quarantine_dir(out_dir))
+            writer, run = bad.write.option(H.OUTPUT_BASENAME, split), Commit("", split, division)
+            append_run(spark, writer, quarantine_dir(out_dir), "*.parquet", run, D.done_bits(bad, dataset))
     return RunCounts(seen, skipped, written, set_aside, short)
 
 
@@ -218,11 +241,13 @@ def tokenize_corpus(
     division: int | None = None,
     n_divisions: int = 1,
     retry_quarantine: bool = False,
+    dataset: str | None = None,
+    moved: Callable[[str], None] | None = None,
 ) -> dict[str, RunCounts]:
     """Tokenise every split of a corpus, or one division's share of it.
 
     Divisions may run at the same time and into the same folder. ``retry_quarantine`` tries rows again
-    that an earlier run set aside.
+    that an earlier run set aside. ``dataset`` and ``moved`` as for ``tokenize_split``.
     """
     if division is None and n_divisions != 1:
         raise ValueError("say which division of them to run")
@@ -231,21 +256,21 @@ def tokenize_corpus(
     else:
         plan = S.division_plan(n_divisions, division)
     return {
-        split: tokenize_split(spark, in_dir, out_dir, split, schema, cfg, encoders, d, n, retry_quarantine)
+        split: tokenize_split(spark, in_dir, out_dir, split, schema, cfg, encoders, d, n, retry_quarantine, dataset, moved)
         for split, d, n in plan
     }
 
 
 def quarantine_rows(spark: SparkSession, out_dir: str) -> DataFrame:
     """Rows that are set aside: once each, and not those that a later run wrote after all."""
-    files = glob_paths(spark, f"{quarantine_dir(out_dir)}/*.parquet")
+    files = visible_files(spark, quarantine_dir(out_dir), "*.parquet")
     if not files:
         return spark.createDataFrame([], QUARANTINE)
     aside = spark.read.schema(QUARANTINE).parquet(*files).withColumn("__at", F.col("_metadata.file_modification_time"))
     columns = QUARANTINE.fieldNames()
     rest = [c for c in columns if c != "sample_id"]
     latest = aside.groupBy("sample_id").agg(F.max(F.struct("__at", *rest)).alias("__last")).select("sample_id", *[F.col(f"__last.{c}").alias(c) for c in rest])
-    chunks = glob_paths(spark, f"{out_dir}/*part_*.parquet")
+    chunks = visible_files(spark, out_dir, H.CHUNKS)
     if chunks:
         latest = latest.join(H.read_columns(spark, chunks, "sample_id string", skip_corrupt=False), "sample_id", "left_anti")
     return latest.select(*columns)

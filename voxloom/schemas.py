@@ -26,6 +26,9 @@ CHUNK_FILE = T.StructType(
     ]
 )
 
+# With the sum of what a row serves, which only our own files have.
+SERVED_FILE = T.StructType([*CHUNK_FILE.fields, T.StructField("cells", T.LongType())])
+
 QUARANTINE = T.StructType(
     [
         T.StructField("sample_id", T.StringType()),

@@ -1,12 +1,16 @@
 """Chunked token tables: writing, numbering, discovering, reading and checking them.
 
 Files are named ``{split}_part_{first chunk}-..parquet`` or ``{split}_div{d}_part_..`` and lie flat
-in one directory per dataset, so any reader that looks for ``{split}*part_*.parquet`` finds them.
+in one directory per dataset, so any reader that looks for ``{split}*part_*.parquet`` finds them. Our own
+readers take the files that commits list (``sources.commits``) and find them by ``sources.catalogue``.
+
+Every row carries ``cells``, a hash of the arrays and the length that are served. It is checked by the same
+scan that serves them, so no pass over the arrays comes before.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +20,13 @@ from pyspark.sql import types as T
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
 from voxloom.operators.position import position_by_number
-from voxloom.schemas import CHUNK_FILE
-from voxloom.sources.files import glob_paths, move_into, subdirectories, uri_of
+from voxloom.schemas import CHUNK_FILE, SERVED_FILE
+from voxloom.sources.catalogue import catalogue, next_chunks, readable, samples_per_dataset
+from voxloom.sources.commits import Commit, append_run, visible_files, visible_in_folders
+from voxloom.sources.files import subdirectories
+
+#: What names of chunk files look like, for any split.
+CHUNKS = "*part_*.parquet"
 
 # Spark's name for the leading part of its output file names.
 OUTPUT_BASENAME = "mapreduce.output.basename"
@@ -46,6 +55,11 @@ def assign_chunks(
     return placed.withColumn("chunk_no", chunk.cast("bigint"))
 
 
+def content_sum() -> Column:
+    """A hash of what is served of a row; the arrays must be of 32-bit integers."""
+    return F.xxhash64("audio", "text", "length")
+
+
 def write_chunks(
     placed: DataFrame,
     n_rows: int,
@@ -55,17 +69,19 @@ def write_chunks(
     first_chunk: int = 1,
     cfg: PipelineConfig = DEFAULT,
     mode: str = "append",
-) -> None:
+    done: DataFrame | None = None,
+    moved: Callable[[str], None] | None = None,
+) -> Commit | None:
     """Write rows that carry ``position`` and ``chunk_no`` as one file per chunk.
 
     A task gets whole chunks and holds at most ``chunks_per_task`` of them; the file writer turns
     to a new file every ``chunk_rows`` rows, which is exactly where a chunk ends.
 
-    Appending goes through a folder of the run's own, so runs that share ``out_dir`` do not commit
-    each other's files.
+    Appending goes through a folder of the run's own, and the run is listed when all its files are in
+    place (``commits.append_run``): readers see all of it or nothing. ``done`` and ``moved`` are handed on.
     """
     if n_rows == 0 and mode == "append":
-        return
+        return None
     rows_per_task = cfg.chunk_rows * cfg.chunks_per_task
     n_tasks = max(1, -(-n_rows // rows_per_task))
     task = int_div(F.col("position"), rows_per_task).cast("int")
@@ -76,16 +92,10 @@ def write_chunks(
         .option("maxRecordsPerFile", cfg.chunk_rows)
     )
     if mode == "append":
-        append_files(placed.sparkSession, writer, out_dir)
-    else:
-        writer.mode(mode).parquet(out_dir)
-
-
-def append_files(spark: SparkSession, writer, out_dir: str) -> None:
-    """Write below ``out_dir`` in a hidden folder of this run, then move the files in."""
-    staging = f"{out_dir}/_run-{uuid.uuid4().hex}"
-    writer.parquet(staging)
-    move_into(spark, staging, out_dir)
+        run = Commit("", split, division, first_chunk, -(-n_rows // cfg.chunk_rows))
+        return append_run(placed.sparkSession, writer, out_dir, CHUNKS, run, done, moved)
+    writer.mode(mode).parquet(out_dir)
+    return None
 
 
 def trailing_number(stem: Column) -> Column:
@@ -98,20 +108,11 @@ def next_number(stem: Column) -> Column:
     return (F.coalesce(F.max(trailing_number(stem)), F.lit(0)) + 1).cast("bigint")
 
 
-def own_files(spark: SparkSession, out_dir: str, split: str, division: int | None = None) -> list[str]:
-    """Chunk files of one split (and division)."""
-    return glob_paths(spark, f"{out_dir}/{chunk_prefix(split, division)}*.parquet")
-
-
 def next_chunk_number(spark: SparkSession, out_dir: str, split: str, division: int | None = None) -> int:
-    """Where chunk numbering goes on: from ``chunk_no`` in our files, from the name in others."""
-    files = own_files(spark, out_dir, split, division)
-    if not files:
-        return 1
-    stems = [(f.rsplit("/", 1)[-1].removesuffix(".parquet"),) for f in files]
-    by_name = spark.createDataFrame(stems, "stem string").agg(next_number(F.col("stem"))).first()[0]
-    stored = read_columns(spark, files, "chunk_no bigint", skip_corrupt=False).agg(F.max("chunk_no")).first()[0]
-    return max(by_name, (stored or 0) + 1)
+    """Where chunk numbering goes on: after the committed numbers, those in the files and those in their names."""
+    own = F.col("division").eqNullSafe(F.lit(division).cast("int"))
+    found = next_chunks(catalogue(spark, out_dir, split).where(own)).agg(F.max("next_chunk")).first()[0]
+    return found or 1
 
 
 def read_columns(spark: SparkSession, files: list[str], schema, skip_corrupt: bool = True) -> DataFrame:
@@ -122,8 +123,8 @@ def read_columns(spark: SparkSession, files: list[str], schema, skip_corrupt: bo
 
 def existing_count(spark: SparkSession, out_dir: str, split: str, division: int | None = None) -> int:
     """Samples already written. No column is read: the count comes from the file footers."""
-    files = own_files(spark, out_dir, split, division)
-    return read_columns(spark, files, CHUNK_FILE).count() if files else 0
+    own = F.col("division").eqNullSafe(F.lit(division).cast("int"))
+    return catalogue(spark, out_dir, split).where(own).agg(F.sum("n_rows")).first()[0] or 0
 
 
 def split_summary(samples: DataFrame) -> DataFrame:
@@ -135,58 +136,64 @@ def split_summary(samples: DataFrame) -> DataFrame:
 
 
 def discover_datasets(spark: SparkSession, root: str, split: str) -> list[tuple[str, str]]:
-    """``(dataset, path)`` of every chunk file of a split, sorted.
+    """``(dataset, path)`` of every chunk file of a split that readers may take, sorted.
 
     When ``root`` has subdirectories, each one that holds matching files is a dataset and files
-    directly in ``root`` are ignored; otherwise ``root`` itself is the one dataset.
+    directly in ``root`` are ignored; otherwise ``root`` itself is the one dataset. No file is opened;
+    ``catalogue`` gives the same files with what their footers say.
     """
     pattern = f"{split}*part_*.parquet"
     names = subdirectories(spark, root)
     if not names:
-        return [("", p) for p in glob_paths(spark, f"{root}/{pattern}")]
-    found = glob_paths(spark, f"{root}/*/{pattern}")
-    pairs = [(p.rsplit("/", 2)[-2], p) for p in found]
+        return [("", p) for p in visible_files(spark, root, pattern)]
+    pairs = [(p.rsplit("/", 2)[-2], p) for p in visible_in_folders(spark, root, pattern)]
     return sorted((d, p) for d, p in pairs if d in names)
 
 
-def dataset_and_split(path: Column) -> list[Column]:
-    """Data set (the folder's name) and split that the path of a chunk file names."""
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
-    return [F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("dataset"), F.regexp_extract(name, r"^([a-z]+)", 1).alias("split")]
-
-
-def chunk_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(dataset, split, path)`` of all chunk files one folder below ``root``, listed by Spark; no file is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*part_*.parquet").load(f"{root}/*/")
-    return files.select(*dataset_and_split(F.col("path")), "path")
-
-
 def sample_counts(spark: SparkSession, root: str) -> DataFrame:
-    """``(dataset, split, n_samples)`` of all chunk files one folder below ``root``: one scan that reads footers only."""
-    reader = spark.read.schema(T.StructType()).option("pathGlobFilter", "*part_*.parquet").option("ignoreCorruptFiles", "true")
-    rows = reader.parquet(f"{root}/*/")
-    return rows.groupBy(*dataset_and_split(F.col("_metadata.file_path"))).agg(F.count(F.lit(1)).alias("n_samples"))
+    """``(dataset, split, n_samples)`` of all chunk files below ``root``, from their footers."""
+    return samples_per_dataset(catalogue(spark, root))
 
 
 def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = False) -> DataFrame:
     """Samples of the listed chunk files with ``path`` and ``row_index``, arrays as 32-bit integers.
 
-    A file that cannot be read raises; ``skip_corrupt`` drops what cannot be read without a word.
+    A file that cannot be read raises; ``skip_corrupt`` drops what cannot be read without a word. A row
+    whose arrays do not have the sum that was written with them raises as soon as an array is read.
     """
-    schema = CHUNK_FILE
+    schema = SERVED_FILE
     if not files:
         wide = spark.createDataFrame([], schema).selectExpr("*", "'' path", "0L row_index")
     else:
         wide = read_columns(spark, [p for _, p in files], schema, skip_corrupt).select(
             "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index")
         )
-    return wide.select(
+    rows = wide.select(
         "path",
         "row_index",
         F.col("audio").cast("array<int>").alias("audio"),
         F.col("text").cast("array<int>").alias("text"),
         F.col("length").cast("int").alias("length"),
+        "cells",
     )
+    sound = F.col("cells").isNull() | (F.col("cells") == content_sum())
+    wrong = F.raise_error(F.concat(F.lit("damaged arrays in row "), F.col("row_index").cast("string"), F.lit(" of "), F.col("path")))
+
+    def checked(name: str) -> Column:
+        return F.when(sound, F.col(name)).otherwise(wrong.cast("array<int>")).alias(name)
+
+    return rows.select("path", "row_index", checked("audio"), checked("text"), "length")
+
+
+def committed_samples(spark: SparkSession, root: str, schema: str, split: str | None = None) -> DataFrame:
+    """Columns ``schema`` of all files that readers may take, with ``chunk_no`` as the commits settled it."""
+    files = readable(catalogue(spark, root, split))
+    paths = [r["path"] for r in files.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, chunk_no bigint")
+    rows = read_columns(spark, paths, f"{schema}, chunk_no bigint", skip_corrupt=False).withColumn("uri", F.col("_metadata.file_path"))
+    numbered = rows.join(files.select("uri", "shift"), "uri")
+    return numbered.withColumn("chunk_no", F.col("chunk_no") + F.col("shift")).drop("uri", "shift")
 
 
 def scan_lengths(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt: bool = False) -> DataFrame:
@@ -199,28 +206,54 @@ def union_datasets(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def corrupt_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """Listed files that cannot be read in full: ``(path, footer_rows, read_rows)``.
+def damaged_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Files of a catalogue that cannot be read in full: ``(path, footer_rows, read_rows)``, paths as URIs.
 
     A broken footer leaves no row at all; damage further in leaves fewer rows than the footer
-    promises. Both are reported (as file URIs), and ``drop_corrupt`` keeps their rows out. A file
-    without any row is reported too; leaving it out changes nothing. Every column that is served is
-    read, so damage in the arrays is found as well.
+    promises, or rows that do not have the sum written with them. A file without any row is reported too;
+    leaving it out changes nothing. Footers are not read again, and every column that is served is.
     """
-    paths = [p for _, p in files]
-    listed = spark.createDataFrame([(uri_of(p),) for p in paths], "path string")
-    base = read_columns(spark, paths, CHUNK_FILE).withColumn("path", F.col("_metadata.file_path"))
-    footer = base.groupBy("path").agg(F.count(F.lit(1)).alias("footer_rows"))
-    # A plain row count would be answered from the footers; counting values has to read them.
-    cells = F.xxhash64("audio", "text", "length")
-    read = base.groupBy("path").agg(F.count(F.lit(1)).alias("read_rows"), F.bit_xor(cells).alias("__cells"))
-    read = read.where(F.col("__cells").isNotNull()).drop("__cells")
-    joined = listed.join(footer, "path", "left").join(read, "path", "left")
-    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("footer_rows", "read_rows")]
+    paths = [r["path"] for r in readable(files).select("path").collect()]
+    listed = files.select(F.col("uri").alias("path"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("footer_rows"))
+    if not paths:
+        return listed.select("*", F.lit(0).cast("bigint").alias("read_rows"))
+    base = read_columns(spark, paths, SERVED_FILE)
+    arrays = [F.col(c).cast("array<int>").alias(c) for c in ("audio", "text")]
+    base = base.select(F.col("_metadata.file_path").alias("path"), "cells", *arrays, F.col("length").cast("int").alias("length"))
+    # A plain row count would be answered from the footers; comparing sums has to read the values.
+    sound = F.coalesce(F.col("cells") == content_sum(), content_sum().isNotNull())
+    read = base.groupBy("path").agg(F.sum(sound.cast("int")).alias("read_rows"))
+    joined = listed.join(read, "path", "left")
+    read_rows = F.coalesce("read_rows", F.lit(0)).cast("bigint").alias("read_rows")
     whole = (F.col("footer_rows") > 0) & (F.col("footer_rows") == F.col("read_rows"))
-    return joined.select("path", *counts).where(~whole)
+    return joined.select("path", "footer_rows", read_rows).where(~whole)
+
+
+def corrupt_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """``damaged_files`` of an explicit list of files, as ``discover_datasets`` gives it."""
+    paths = {p for _, p in files}
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
+    rows = [r for f in folders for r in catalogue(spark, f).select("path", "uri", "n_rows").collect() if r["path"] in paths]
+    return damaged_files(spark, spark.createDataFrame(rows, "path string, uri string, n_rows bigint"))
 
 
 def drop_corrupt(samples: DataFrame, corrupt: DataFrame) -> DataFrame:
     """Samples of sound files only: a file that is bad anywhere is left out as a whole."""
     return samples.join(corrupt.select("path"), "path", "left_anti")
+
+
+def sound_files(spark: SparkSession, root: str, split: str, check: bool | str = True) -> list[tuple[str, str]]:
+    """Chunk files of a split that can be served.
+
+    Footers are read by tasks. Files whose rows carry sums are checked when they are served; the arrays of
+    the others, which other tools wrote, are read here. ``check="full"`` reads the arrays of all files, so
+    damaged ones are left out beforehand instead of raising later; ``check=False`` only lists.
+    """
+    if not check:
+        return discover_datasets(spark, root, split)
+    files = readable(catalogue(spark, root, split)).select("dataset", "path", "uri", "has_sums", "n_rows")
+    found = files.collect()
+    unsummed = files if check == "full" else files.where("not has_sums")
+    look = check == "full" or any(not r["has_sums"] for r in found)
+    bad = {r["path"] for r in damaged_files(spark, unsummed).collect()} if look else set()
+    return sorted((r["dataset"], r["path"]) for r in found if r["uri"] not in bad)

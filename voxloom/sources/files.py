@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Characters of a path that its URI form escapes.
@@ -33,17 +36,81 @@ def subdirectories(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
-def move_into(spark: SparkSession, staging: str, target: str) -> None:
-    """Move the data files of a finished run into ``target`` and drop its folder. Names must be unique."""
+def move_into(spark: SparkSession, staging: str, target: str, moved: Callable[[str], None] | None = None) -> list[str]:
+    """Move the data files of a finished run into ``target`` and drop its folder; returns their names, sorted.
+
+    Names must be unique. ``moved`` is told every name as soon as its file is in place.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     to = hadoop(target)
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(to)
+    names = []
     for status in _statuses(spark, f"{staging}/[!_.]*"):
         path = status.getPath()
         if not fs.rename(path, hadoop(to, path.getName())):
             raise OSError(f"cannot move {path} to {target}")
+        names.append(path.getName())
+        if moved:
+            moved(names[-1])
     fs.delete(hadoop(staging), True)
+    return sorted(names)
+
+
+def rename_file(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file another name, in a folder that may not exist yet."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    to = hadoop(target)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    if not fs.rename(hadoop(source), to):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, or leave the one that is there; says whether it did.
+
+    The content is written under another name first and then linked (local files) or renamed without
+    overwriting, so nobody sees half a file. The file system must refuse to rename onto a file, as HDFS does.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    put_bytes(spark, draft.toString(), text.encode())
+    try:
+        if target.toUri().getScheme() == "file":
+            at = jvm.java.nio.file.Paths.get
+            jvm.java.nio.file.Files.createLink(at(target.toUri()), at(draft.toUri()))
+        else:
+            refuse = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            refuse[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, refuse)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    stream = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(source)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as listings spell it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
