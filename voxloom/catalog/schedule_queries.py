@@ -19,12 +19,15 @@ from voxloom.catalog.tables import (
     lengths,
     numbered_samples,
     prose,
+    written_once,
 )
 from voxloom.operators import frames as R
 from voxloom.operators import index as I
 from voxloom.operators import schedule as B
+from voxloom.operators.permutation import sql_twin
 from voxloom.operators.position import position_by_number
 from voxloom.plans.serve import create_batches
+from voxloom.streaming.schedule import read_schedule, write_schedule
 
 QUERIES, ORACLE = {}, {}
 
@@ -275,7 +278,60 @@ ORACLE["served_schedule"] = f"""with {SAMPLES},
   {_served("eval", "validation", 1, "bin", "b.place")}
   select * from train union all select * from eval"""
 
+
+
+def epoch_permutation(spark, sf):
+    """Every bin's place in every epoch by formula, and the bin that the formula finds at that place."""
+    n_bins = _n_bins(spark, sf)
+    placed = B.permute_bins(_bins(spark, sf).select("bin").distinct(), n_bins, N_EPOCHS, CFG)
+    return B.bin_at(placed.withColumnRenamed("bin", "number"), n_bins, CFG)
+
+
+PERMUTED = f"""{BINS}, epochs as (select unnest(range(0, {N_EPOCHS}))::int as epoch),
+  asked as (select epoch, bin as number from (select distinct bin from bins), epochs),
+  {sql_twin("asked", "select count(distinct bin) from bins", CFG.seed)}"""
+ORACLE["epoch_permutation"] = f"""with {PERMUTED} select epoch, number, place as pos, number as bin from placed"""
+
+
+def formula_schedule(spark, sf):
+    """The whole schedule when places are computed instead of sorted."""
+    return _schedule(spark, sf, shuffle="formula")
+
+
+PERMUTED_SCHEDULE = f"""{PERMUTED}
+  select p.epoch, (p.place % {N_REPLICAS})::int as rank, p.place as pos, b.bin, b.idx, b.length,
+    (row_number() over (partition by p.epoch, b.bin
+      order by md5('{CFG.seed}:' || p.epoch || ':' || b.idx), b.idx) - 1)::int as slot_in_bin
+  from placed p join bins b on b.bin = p.number"""
+ORACLE["formula_schedule"] = f"""with {PERMUTED_SCHEDULE}"""
+
+
+def stream_schedule_dir(spark, sf):
+    """The endless schedule, stopped and taken up twice: each start goes on for one batch of places."""
+
+    def write(path):
+        n_bins = _n_bins(spark, sf)
+        B.bin_members(_bins(spark, sf)).write.parquet(f"{path}/members")
+        members = spark.read.parquet(f"{path}/members")
+        for _ in range(3):
+            rows = read_schedule(spark, members, n_bins, N_REPLICAS, CFG, bins_per_batch=n_bins * N_EPOCHS // 3 + 1)
+            write_schedule(rows, path).awaitTermination()
+
+    return written_once(spark, sf, "stream_schedule", write)
+
+
+def schedule_stream(spark, sf):
+    """The first epochs of a schedule that a stream hands out over two restarts."""
+    rows = spark.read.parquet(f"{stream_schedule_dir(spark, sf)}/places").where(F.col("epoch") < N_EPOCHS)
+    return rows.select("epoch", F.col("rank").cast("int").alias("rank"), "pos", "bin", "slot_in_bin", "idx", "length")
+
+
+ORACLE["schedule_stream"] = f"""with {PERMUTED_SCHEDULE}"""
+
 QUERIES.update(
+    epoch_permutation=epoch_permutation,
+    formula_schedule=formula_schedule,
+    schedule_stream=schedule_stream,
     file_counts=file_counts,
     index_totals=index_totals,
     global_index=global_index,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
 from voxloom.functions.ordering import key_cell, shuffle_key
+from voxloom.operators.permutation import permuted
 from voxloom.operators.position import cell_counts, dense_position, position_by_number
 
 
@@ -87,6 +88,19 @@ def shuffle_bins(
     return placed.drop("__key", "__cell")
 
 
+def permute_bins(
+    bins: DataFrame, n_bins: int, n_epochs: int, cfg: PipelineConfig = DEFAULT, first: int = 0
+) -> DataFrame:
+    """Add ``epoch`` and ``pos`` like ``shuffle_bins``, by a formula (``operators.permutation``): no exchange
+    and no count, and ``bin_at`` gives the bin of any place without the others."""
+    return permuted(over_epochs(bins, n_epochs, first), "bin", n_bins, cfg.seed, "pos")
+
+
+def bin_at(places: DataFrame, n_bins: int, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """Add ``bin`` to rows of ``epoch`` and ``pos``: the inverse of ``permute_bins``."""
+    return permuted(places, "pos", n_bins, cfg.seed, "bin", back=True)
+
+
 def keep_bin_order(bins: DataFrame) -> DataFrame:
     """Evaluation order: one epoch, bins from short to long."""
     return bins.withColumn("epoch", F.lit(0)).withColumn("pos", F.col("bin"))
@@ -141,24 +155,33 @@ def schedule(
     n_epochs: int,
     n_replicas: int = 1,
     cfg: PipelineConfig = DEFAULT,
-    shuffle: bool = True,
+    shuffle: bool | str = True,
     uneven: str = "keep",
     first: int = 0,
 ) -> DataFrame:
     """``(epoch, rank, pos, bin, slot_in_bin, idx, length)`` for all epochs and replicas at once.
 
     Sample order inside a bin is settled on the array of its members; only one row per bin and
-    epoch is ever shuffled.
+    epoch is ever shuffled, and with ``shuffle="formula"`` not even that one: places are computed.
     """
     if uneven not in ("keep", "drop"):
         raise ValueError("uneven must be 'keep' or 'drop'")
+    if shuffle not in (True, False, "formula"):
+        raise ValueError("shuffle must be True, False or 'formula'")
     members = bin_members(bins)
-    if shuffle:
+    if shuffle == "formula":
+        placed, order = permute_bins(members, n_bins, n_epochs, cfg, first), shuffle_members(cfg.seed)
+    elif shuffle:
         placed, order = shuffle_bins(members, n_bins, n_epochs, cfg, first), shuffle_members(cfg.seed)
     else:
         placed, order = keep_bin_order(members), F.col("members")
     if uneven == "drop":
         placed = drop_uneven(placed, n_bins, n_replicas)
+    return in_order(placed, order, n_replicas)
+
+
+def in_order(placed: DataFrame, order: Column, n_replicas: int) -> DataFrame:
+    """A row per sample from bins with ``epoch``, ``pos`` and members; ``order`` gives the members' order."""
     return placed.select(
         "epoch",
         rank_of(F.col("pos"), n_replicas).alias("rank"),

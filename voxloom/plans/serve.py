@@ -61,11 +61,14 @@ def batch_schedule(
     n_epochs: int = 1,
     n_replicas: int = 1,
     cfg: PipelineConfig = DEFAULT,
-    shuffle: bool = True,
+    shuffle: bool | str = True,
     uneven: str = "keep",
     first_epoch: int = 0,
 ) -> DataFrame:
-    """The order in which every replica meets every sample, for the given epochs."""
+    """The order in which every replica meets every sample, for the given epochs.
+
+    ``shuffle="formula"`` is the order that ``streaming.schedule`` goes on with for ever.
+    """
     bins = B.length_bins(index.index, cfg)
     n_bins = B.bin_count(index.n_samples, cfg)
     return B.schedule(bins, n_bins, n_epochs, n_replicas, cfg, shuffle, uneven, first_epoch)
