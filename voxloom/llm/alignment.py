@@ -18,6 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +101,7 @@ class Aligner:
         self.groups: list[str] = []
         self.sizes = {name: array("q") for name in ("n_a", "n_b", "n_groups", "n_links", "sound")}
         self.links = array("q")
+        self.all_sound = True
 
     def keep(self, used: np.ndarray) -> None:
         """Forget all units but these; they get new numbers, in their order."""
@@ -114,6 +116,7 @@ class Aligner:
         self.links.frombytes(links.tobytes())
         for name, values in sizes.items():
             self.sizes[name].frombytes(values.tobytes())
+        self.all_sound = bool(sizes["sound"].all())
 
     def learn(self, units: list[str]) -> None:
         """Encode units that were not met before, plain ones many at a time."""
@@ -212,6 +215,7 @@ class Aligner:
             sizes |= {"n_a": len(ids_a), "n_b": len(ids_b), "n_groups": len(said), "sound": 1}
         for name, value in sizes.items():
             self.sizes[name].append(value)
+        self.all_sound &= bool(sizes["sound"])
         self.groups.append(";".join(said))
 
     def units(self, texts: list[str]) -> list[list[int]]:
@@ -241,6 +245,12 @@ def _flat(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(stop[-1]) if n.size else 0) + np.repeat(first - (stop - n), n)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if ordered.size else ordered
+
+
 def _documents_with(pairs_of: tuple[np.ndarray, np.ndarray, np.ndarray], n_pairs: int, docs: np.ndarray, units: np.ndarray) -> np.ndarray:
     """In how many documents each pair is, from the distinct (document, unit) rows, some documents at a time."""
     first, n, pair = pairs_of
@@ -253,7 +263,7 @@ def _documents_with(pairs_of: tuple[np.ndarray, np.ndarray, np.ndarray], n_pairs
             b = int(np.searchsorted(docs, docs[b], "left")) if docs[b] != docs[a] else int(np.searchsorted(docs, docs[a], "right"))
         own = units[a:b]
         both = np.repeat(docs[a:b] - docs[a], n[own]) * n_pairs + pair[_flat(first[own], n[own])]
-        found += np.bincount(np.unique(both) % n_pairs, minlength=n_pairs)
+        found += np.bincount(_distinct(both) % n_pairs, minlength=n_pairs)
         a = b
     return found
 
@@ -264,13 +274,13 @@ def _kept_blocks(folder: str, byte_vocabulary: str, piece_model: str):
 
     def flush(known: Aligner, keys: list, docs: list[list[int]], digests: list[str]) -> Iterator[pa.RecordBatch]:
         count = np.array([len(d) for d in docs], dtype=np.int64)
-        used, unit = np.unique(np.fromiter((u for d in docs for u in d), np.int64, int(count.sum())), return_inverse=True)
+        used, unit = np.unique(np.fromiter(chain.from_iterable(docs), np.int64, int(count.sum())), return_inverse=True)
         sizes = {name: np.frombuffer(values, dtype=np.int64)[used] if values else np.zeros(0, dtype=np.int64) for name, values in known.sizes.items()}
         every = np.frombuffer(known.sizes["n_links"], dtype=np.int64) if used.size else np.zeros(0, dtype=np.int64)
         first = (np.cumsum(every) - every)[used]
         n = sizes["n_links"]
         pairs, link = np.unique(np.frombuffer(known.links, dtype=np.int64)[_flat(first, n)] if n.sum() else np.zeros(0, dtype=np.int64), return_inverse=True)
-        row = np.unique(np.repeat(np.arange(count.size), count) * max(1, used.size) + unit)
+        row = _distinct(np.repeat(np.arange(count.size), count) * max(1, used.size) + unit)
         of_unit = (np.cumsum(n) - n, n, link)
         held = _documents_with(of_unit, pairs.size, row // max(1, used.size), row % max(1, used.size))
         block = new_block()
@@ -295,7 +305,7 @@ def _kept_blocks(folder: str, byte_vocabulary: str, piece_model: str):
                 found = known.units([t or "" for t in column.slice(rows.start, len(rows)).to_pylist()])
                 sound, said = known.sizes["sound"], known.groups
                 for own in found:
-                    own = own if all(map(sound.__getitem__, own)) else []
+                    own = own if known.all_sound or all(map(sound.__getitem__, own)) else []
                     digests.append(hashlib.sha256(";".join(map(said.__getitem__, own)).encode()).hexdigest() if own else "")
                     docs.append(own)
                 keys += own_keys[rows.start : rows.stop]
@@ -303,7 +313,7 @@ def _kept_blocks(folder: str, byte_vocabulary: str, piece_model: str):
                 if total >= BLOCK:
                     yield from flush(known, keys, docs, digests)
                     if len(known.groups) > KNOWN:
-                        known.keep(np.unique(np.fromiter((u for d in docs for u in d), np.int64)))
+                        known.keep(_distinct(np.fromiter(chain.from_iterable(docs), np.int64)))
                     keys, docs, digests, total = [], [], [], 0
         if keys:
             yield from flush(known, keys, docs, digests)
