@@ -210,3 +210,46 @@ def test_replayed_batch_overwrites_itself(spark, dirs):
         write_batch(rows, 0, out, "train", CFG, P.Encoders())
     assert spark.read.parquet(f"{out}/samples").count() == len(expected(40)[0])
     assert set(KEYS) <= set(spark.read.parquet(f"{out}/samples").columns)
+
+
+def test_batches_are_numbered_through_by_their_commits(spark, dirs):
+    """Replays keep their numbers, batches that were not listed are not there."""
+    from voxloom.sources import corpus as S
+    from voxloom.sources.commits import CommitConflict
+    from voxloom.streaming.tokenize import stream_samples, write_batch
+
+    root, out = dirs
+    rows = S.scan_split(spark, root, "train", schema())
+    rows = rows.withColumn("sample_id", S.sample_id(F.col("file_name"), F.col("row_index"), "corpus"))
+    parts = [rows.where(F.col("file_name").startswith(f"train-0000{i}")) for i in range(3)]
+
+    def numbers():
+        found = stream_samples(spark, out).groupBy("batch_id").agg(F.sort_array(F.collect_set("chunk_no")).alias("n"))
+        return {r["batch_id"]: r["n"] for r in found.collect()}
+
+    for i in (0, 1, 0, 2, 1):
+        write_batch(parts[i], i, out, "train", CFG, P.Encoders())
+    seen = numbers()
+    assert sorted(n for own in seen.values() for n in own) == list(range(1, sum(map(len, seen.values())) + 1))
+    assert seen[0][-1] < seen[1][0] and seen[1][-1] < seen[2][0]
+    with pytest.raises(CommitConflict):
+        write_batch(rows, 1, out, "train", CFG, P.Encoders())
+    os.rename(f"{out}/samples/_commits/000000000002.json", f"{out}/samples/_commits/.lost")
+    assert set(numbers()) == {0, 1}
+
+
+def test_counts_come_from_the_writing_job(spark, dirs, monkeypatch):
+    from voxloom.operators import stats as ST
+
+    root, out = dirs
+    good, junk, short = expected(40)
+    from voxloom.sources import corpus as S
+
+    rows = S.scan_split(spark, root, "train", schema())
+    rows = rows.withColumn("sample_id", S.sample_id(F.col("file_name"), F.col("row_index"), "corpus"))
+    watched, counted = ST.observed_outcomes(P.outcomes(rows, CFG))
+    watched.write.parquet(out)
+    assert counted.get == {"written": len(good), "quarantined": len(junk), "dropped_short": len(short)}
+    nothing, counted = ST.observed_outcomes(P.outcomes(rows.where("false"), CFG))
+    nothing.write.parquet(out + "2")
+    assert counted.get == {"written": 0, "quarantined": 0, "dropped_short": 0}

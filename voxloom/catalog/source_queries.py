@@ -33,7 +33,7 @@ from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
 from voxloom.sources.catalogue import catalogue, files_per_dataset, next_chunks, readable
 from voxloom.sources.commits import left_over
-from voxloom.streaming.tokenize import dense_chunk_numbers, tokenize_stream
+from voxloom.streaming.tokenize import stream_samples, tokenize_stream
 
 QUERIES, ORACLE = {}, {}
 
@@ -307,8 +307,7 @@ def stream_dir(spark, sf):
 
 
 def _streamed(spark, sf):
-    parts = [spark.read.parquet(f"{stream_dir(spark, sf)}/{split}/samples") for split in S.SPLITS]
-    return H.union_datasets(parts)
+    return H.union_datasets([stream_samples(spark, f"{stream_dir(spark, sf)}/{split}") for split in S.SPLITS])
 
 
 def stream_tokenize(spark, sf):
@@ -319,8 +318,7 @@ def stream_tokenize(spark, sf):
 def stream_chunks(spark, sf):
     """Chunks numbered through over all micro-batches of a split: none is larger than allowed, and
     together they hold every sample. Which files share a micro-batch is up to the source."""
-    numbered = _streamed(spark, sf).transform(dense_chunk_numbers, ("split",))
-    chunks = numbered.groupBy("split", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
+    chunks = _streamed(spark, sf).groupBy("split", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
     return chunks.groupBy("split").agg(
         F.sum("n").cast("bigint").alias("n_samples"),
         (F.max("chunk_no") == F.count(F.lit(1))).alias("numbered_through"),

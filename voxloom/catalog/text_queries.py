@@ -10,6 +10,7 @@ from voxloom.functions import text as X
 from voxloom.operators import stats as ST
 from voxloom.operators import tokenize as K
 from voxloom.plans.tokenize import outcomes
+from voxloom.session import staged
 
 QUERIES, ORACLE = {}, {}
 
@@ -79,11 +80,11 @@ ORACLE["quarantine"] = f"""with {OUTCOME}
 
 
 def run_counters(spark, sf):
-    status = (
-        F.when(F.col("reason").isNull(), K.WRITTEN).when(F.col("stage") == "text", K.DROPPED_SHORT).otherwise(K.QUARANTINED)
-    )
-    counted, _ = ST.observed(_staged(spark, sf).withColumn("status", status), "rows_seen")
-    return ST.run_counters(counted)
+    """Rows per outcome as the job that writes them counts them; what it wrote is not read."""
+    watched, counted = ST.observed_outcomes(_staged(spark, sf))
+    with staged(watched, "counted"):
+        rows = [(status, n) for status, n in counted.get.items() if n]
+    return spark.createDataFrame(rows, "status string, n_rows bigint")
 
 
 ORACLE["run_counters"] = f"""with {OUTCOME}

@@ -155,6 +155,10 @@ def with_pad_length(bins: DataFrame) -> DataFrame:
     return bins.withColumn("pad_length", F.max("length").over(W.partitionBy("bin")))
 
 
+#: What a row of a padded sample holds: a text id, codes (or the end after them), nothing.
+TEXT, AUDIO, PAD = 0, 1, 2
+
+
 def dense_batches(batched: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Padded tensors, one row ``(bin, slot_in_bin, idx, pad_length, tokens, mask)`` per sample.
 
@@ -179,21 +183,31 @@ def dense_batches(batched: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFram
         return pa.ListArray.from_arrays(pa.array(outer), inner)
 
     def fill(part: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        tokens = np.zeros((starts[-1], width), np.int32)
-        mask = np.zeros((starts[-1], width), bool)
-        audio, text = part.column("audio"), part.column("text")
-        for row, start in enumerate(starts[:-1]):
-            ids = text[row].values.to_numpy(zero_copy_only=False)
-            codes = audio[row].values.to_numpy(zero_copy_only=False).reshape(books, -1).T
-            first = start + len(ids)
-            end = first + len(codes)
-            if end >= starts[row + 1]:
-                raise ValueError(f"sample {part.column('idx')[row]} needs {end + 1 - start} rows and is padded to {lengths[row]}")
-            tokens[start:first, books] = ids
-            mask[start:first, books] = True
-            tokens[first:end, :books] = codes
-            mask[first : end + 1, :books] = True
+        """All samples of a part at once: one scatter for text ids and one for codes."""
+        flat, sizes = {}, {}
+        for name in ("audio", "text"):
+            column = part.column(name)
+            if column.null_count:
+                raise ValueError(f"a sample without {name} cannot be laid out")
+            flat[name] = column.flatten().to_numpy(zero_copy_only=False)
+            sizes[name] = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        n_text, n_frames = sizes["text"], sizes["audio"] // books
+        need = n_text + n_frames + 1
+        wrong = np.flatnonzero((need > lengths) | (sizes["audio"] % books != 0))
+        if wrong.size:
+            row = wrong[0]
+            raise ValueError(f"sample {part.column('idx')[row]} needs {need[row]} rows and is padded to {lengths[row]}")
+        first_text = np.cumsum(lengths) - lengths
+        kind = np.repeat(np.tile([TEXT, AUDIO, PAD], lengths.size), np.stack([n_text, n_frames + 1, lengths - need], axis=1).ravel())
+        tokens = np.zeros((kind.size, width), np.int32)
+        tokens[kind == TEXT, books] = flat["text"]
+        # Codes lie codebook by codebook; frame by frame they fill the rows after the text.
+        size = sizes["audio"]
+        place = np.arange(flat["audio"].size) - np.repeat(np.cumsum(size) - size, size)
+        book, frame = np.divmod(place, np.repeat(n_frames, size))
+        tokens.ravel()[(np.repeat(first_text + n_text, size) + frame) * width + book] = flat["audio"]
+        mask = np.empty((kind.size, width), bool)
+        mask[:, :books], mask[:, books] = (kind == AUDIO)[:, None], kind == TEXT
         return pa.RecordBatch.from_arrays(
             [
                 *[part.column(k) for k in keys],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxloom.config import MEASURED_AUDIO_HOURS, MEASURED_WALL_HOURS
+from voxloom.operators.tokenize import DROPPED_SHORT, QUARANTINED, WRITTEN
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -14,9 +15,15 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def run_counters(outcomes: DataFrame) -> DataFrame:
-    """Rows per outcome."""
-    return outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+def observed_outcomes(outcomes: DataFrame) -> tuple[DataFrame, Observation]:
+    """``outcomes`` (with ``stage`` and ``reason``) and its rows per outcome, counted by the job that writes it.
+
+    The job must have a single stage, as a narrow one has: there every task counts once, however often it runs.
+    """
+    seen = Observation()
+    kept, short = F.col("reason").isNull(), F.col("stage") == "text"
+    counts = {WRITTEN: kept, DROPPED_SHORT: ~kept & short, QUARANTINED: ~kept & ~short}
+    return outcomes.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()]), seen
 
 
 def estimate_hours(audio_hours: Column, wall_hours: float, measured_audio_hours: float) -> Column:

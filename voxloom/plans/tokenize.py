@@ -15,7 +15,7 @@ from voxloom.functions.audio import decode_wav
 from voxloom.operators import audio as A
 from voxloom.operators import done as D
 from voxloom.operators import tokenize as K
-from voxloom.operators.stats import run_counters
+from voxloom.operators.stats import observed_outcomes
 from voxloom.schemas import QUARANTINE, require_columns
 from voxloom.session import staged
 from voxloom.sources import chunks as H
@@ -151,17 +151,6 @@ def pending_rows(
     return todo.withColumn("sample_id", name), seen, skipped
 
 
-def status_counts(rows: DataFrame) -> dict[str, int]:
-    """Rows per outcome of a staged run."""
-    status = (
-        F.when(F.col("reason").isNull(), K.WRITTEN)
-        .when(F.col("stage") == "text", K.DROPPED_SHORT)
-        .otherwise(K.QUARANTINED)
-    )
-    counted = run_counters(rows.select(status.alias("status")))
-    return {r["status"]: r["n_rows"] for r in counted.collect()}
-
-
 def sample_columns(placed: DataFrame, dataset: Column, split: str, division: int | None, cfg: PipelineConfig) -> DataFrame:
     """The columns of a chunk table, the same for every way of writing one."""
     return placed.select(
@@ -217,9 +206,9 @@ def tokenize_split(
     if todo is None:
         return RunCounts(seen, skipped)
     keys = ("sample_id", "file_name", "row_index")
-    with staged(outcomes(todo, cfg, encoders, keys), "staged") as rows:
-        counts = status_counts(rows)
-        written, set_aside, short = (counts.get(s, 0) for s in (K.WRITTEN, K.QUARANTINED, K.DROPPED_SHORT))
+    watched, counted = observed_outcomes(outcomes(todo, cfg, encoders, keys))
+    with staged(watched, "staged") as rows:
+        written, set_aside, short = (counted.get[s] for s in (K.WRITTEN, K.QUARANTINED, K.DROPPED_SHORT))
         good, bad = K.split_outcome(rows, keys)
         first = H.next_chunk_number(spark, out_dir, split, division)
         placed = H.assign_chunks(good, "file_name", "row_index", (), first, cfg)

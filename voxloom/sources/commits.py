@@ -108,6 +108,14 @@ def commit(spark: SparkSession, folder: str, new: Commit, attempts: int = 1000)
     raise CommitConflict(f"no free number in {folder}/{COMMITS} after {attempts} attempts")
 
 
+def commit_once(spark: SparkSession, folder: str, new: Commit) -> Commit:
+    """``commit``, unless a run of that name is listed: then that one, as when a batch is replayed."""
+    known = [c for c in read_commits(spark, folder) if c.run == new.run]
+    if known and known[0].n_chunks != new.n_chunks:
+        raise CommitConflict(f"run {new.run} came back with {new.n_chunks} chunks instead of {known[0].n_chunks}")
+    return known[0] if known else commit(spark, folder, new)
+
+
 def append_run(
     spark: SparkSession,
     writer,

@@ -10,10 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.operators import tokenize as K
 from voxloom.operators.position import exclusive_sums
+from voxloom.operators.stats import observed_outcomes
 from voxloom.plans.tokenize import Encoders, outcomes, sample_columns
 from voxloom.session import staged
 from voxloom.sources import chunks as H
 from voxloom.sources import corpus as S
+from voxloom.sources.commits import COMMITS, Commit, commit_once
 
 KEYS = ("sample_id", "file_name", "row_index")
 
@@ -40,14 +42,31 @@ def read_corpus_stream(
 def write_batch(
     rows: DataFrame, batch_id: int, out_dir: str, split: str, cfg: PipelineConfig, encoders: Encoders
 ) -> None:
-    """Tokenise one micro-batch into folders named after it: a replayed batch overwrites itself."""
+    """Tokenise one micro-batch into folders named after it, then list it.
+
+    A replayed batch overwrites itself and keeps its numbers. Rows are counted by the job that encodes them;
+    where chunk numbers go on is known from the commits before, nothing that was written is read.
+    """
     target = f"{out_dir}/samples/batch_id={batch_id}"
-    with staged(outcomes(rows, cfg, encoders, KEYS), "staged") as done:
+    watched, counted = observed_outcomes(outcomes(rows, cfg, encoders, KEYS))
+    with staged(watched, "staged") as done:
+        n = counted.get[K.WRITTEN]
         good, bad = K.split_outcome(done, KEYS)
         placed = H.assign_chunks(good, "file_name", "row_index", (), 1, cfg)
         placed = sample_columns(placed, F.split_part("sample_id", F.lit("/"), F.lit(1)), split, None, cfg)
-        H.write_chunks(placed, good.count(), target, split, None, 1, cfg, mode="overwrite")
+        H.write_chunks(placed, n, target, split, None, 1, cfg, mode="overwrite")
         bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch_id={batch_id}")
+    run = Commit(f"batch-{batch_id}", split, None, 1, -(-n // cfg.chunk_rows))
+    commit_once(rows.sparkSession, f"{out_dir}/samples", run)
+
+
+def stream_samples(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Samples of all listed batches of a stream, chunks numbered through."""
+    samples = f"{out_dir}/samples"
+    listed = spark.read.schema("run string, shift bigint").json(f"{samples}/{COMMITS}")
+    numbers = listed.select(F.regexp_extract("run", r"^batch-(\d+)$", 1).try_cast("int").alias("batch_id"), "shift")
+    rows = spark.read.parquet(samples).join(numbers, "batch_id")
+    return rows.withColumn("chunk_no", F.col("chunk_no") + F.col("shift")).drop("shift")
 
 
 def tokenize_stream(
@@ -63,7 +82,7 @@ def tokenize_stream(
     """Start tokenising all files present and stop when they are done.
 
     The checkpoint remembers finished files, so the next call handles new files only. Chunks are
-    numbered inside their batch; ``samples/`` orders them by ``(batch_id, chunk_no)``.
+    numbered inside their batch in the files, and through all batches by ``stream_samples``.
     """
 
     def each(rows: DataFrame, batch_id: int) -> None:
@@ -79,7 +98,7 @@ def tokenize_stream(
 
 
 def dense_chunk_numbers(samples: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Chunk numbers 1, 2, .. over all batches, from the number of chunks of each batch."""
+    """Chunk numbers 1, 2, .. over all batches of a table without commits, from the chunks of each batch."""
     keys = [*group, "batch_id"]
     per_batch = samples.groupBy(*keys).agg(F.max("chunk_no").alias("n_chunks"))
     starts = exclusive_sums(per_batch, "n_chunks", ["batch_id"], "__before", group).select(*keys, "__before")
