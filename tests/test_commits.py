@@ -241,3 +241,44 @@ def test_index_of_own_files_reads_lengths_only(spark, tmp_path):
     assert re.search(r"ReadSchema: struct<length:bigint(,_tmp_metadata_row_index:bigint)?>", plan(H.scan_lengths(spark, found)))
     scan = plan(H.scan_chunks(spark, found))
     assert scan.count("FileScan") == 1 and "cells:bigint" in scan and "Exchange" not in scan
+
+
+# samples by row group
+
+
+def test_samples_are_read_by_row_groups(spark, tmp_path):
+    """Only the groups that hold a requested sample are read: the others are rubbish here."""
+    root = str(tmp_path / "with blank")
+    os.makedirs(root)
+    lists = pa.list_(pa.int64())
+    for k, n in ((0, 500), (1, 7)):
+        rows = {"audio": pa.array([[k * 1000 + i] * 32 for i in range(n)], lists), "text": pa.array([[i] for i in range(n)], lists), "length": pa.array([3] * n, pa.int64())}
+        pq.write_table(pa.table(rows), f"{root}/train_part_{k}.parquet", row_group_size=100, use_dictionary=False, compression="zstd")
+    path = f"{root}/train_part_0.parquet"
+    meta = pq.read_metadata(path)
+    with open(path, "r+b") as f:
+        for g in (0, 1, 4):
+            for c in range(3):
+                column = meta.row_group(g).column(c)
+                f.seek(column.data_page_offset)
+                f.write(b"\xff" * column.total_compressed_size)
+    asked = spark.createDataFrame([(i,) for i in (200, 399, 250, 250, 500, 506, -1, 507)], "idx bigint")
+    got = {r["idx"]: (r["audio"], r["text"], r["length"], r["row_index"]) for r in serve.fetch_samples(spark, root, "train", asked).collect()}
+    first = {200: 0, 250: 50, 399: 99}
+    want = {i: ([i] * 32, [i], 3, r) for i, r in first.items()} | {i: ([500 + i] * 32, [i - 500], 3, i - 500) for i in (500, 506)}
+    assert got == want
+    with pytest.raises(Exception):
+        serve.fetch_samples(spark, root, "train", spark.createDataFrame([(5,)], "idx bigint")).collect()
+
+
+def test_fetched_samples_are_checked(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write(spark, out, 35)
+    asked = spark.range(35).withColumnRenamed("id", "idx")
+    rows = serve.fetch_samples(spark, out, "train", asked)
+    assert "collect" not in plan(rows) and rows.count() == 35
+    assert {r["idx"]: r["audio"] for r in rows.collect()} == {i: [i] * 32 for i in range(35)}
+    bend(H.discover_datasets(spark, out, "train")[2][1].removeprefix("file:"))
+    assert serve.fetch_samples(spark, out, "train", asked.where("idx < 20")).collect()
+    with pytest.raises(Exception, match="damaged arrays in row 3 of"):
+        serve.fetch_samples(spark, out, "train", asked).collect()

@@ -26,7 +26,8 @@ from voxloom.operators import index as I
 from voxloom.operators import schedule as B
 from voxloom.operators.permutation import sql_twin
 from voxloom.operators.position import position_by_number
-from voxloom.plans.serve import create_batches
+from voxloom.plans.serve import build_index, create_batches
+from voxloom.plans.serve import fetch_samples as read_samples
 from voxloom.streaming.schedule import read_schedule, write_schedule
 
 QUERIES, ORACLE = {}, {}
@@ -256,6 +257,22 @@ def served_schedule(spark, sf):
     return train.withColumn("use", F.lit("train")).unionByName(held_out.withColumn("use", F.lit("eval")))
 
 
+def fetch_files(spark, sf):
+    """The first sample of every training batch, read from chunk files by number."""
+    root = chunk_dir(spark, sf)
+    index = build_index(spark, root, "train")
+    asked = B.length_bins(index.index, CFG).where(F.col("slot_in_bin") == 0).select("idx")
+    found = read_samples(spark, root, "train", asked, CFG)
+    return found.select("idx", "length", _sum("audio").alias("audio_sum"), _sum("text").alias("text_sum"))
+
+
+ORACLE["fetch_files"] = f"""with {SAMPLES}, numbered as (
+    select *, row_number() over (order by dataset, file_no, sid) - 1 as idx from samples where split = 'train'),
+  ranked as (select *, row_number() over (order by length, idx) - 1 as rnk from numbered)
+  select idx, length, list_sum(audio)::bigint as audio_sum, list_sum(text)::bigint as text_sum
+  from ranked where rnk % {CFG.batch_size} = 0"""
+
+
 def _served(use, split, epochs, pos, slot):
     return f"""{use}_indexed as (
     select row_number() over (order by dataset, file_no, sid) - 1 as idx, length from samples where split = '{split}'),
@@ -330,6 +347,7 @@ ORACLE["schedule_stream"] = f"""with {PERMUTED_SCHEDULE}"""
 
 QUERIES.update(
     epoch_permutation=epoch_permutation,
+    fetch_files=fetch_files,
     formula_schedule=formula_schedule,
     schedule_stream=schedule_stream,
     file_counts=file_counts,

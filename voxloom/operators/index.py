@@ -70,9 +70,18 @@ def duplicate_ids(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     return samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
 
 
-def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+def group_table(groups: DataFrame) -> DataFrame:
+    """``(path, group, start, len)``: row groups in path order with the number of their first sample."""
+    return exclusive_sums(groups, "len", ["path", "group"], "start").select("path", "group", "start", "len")
+
+
+def locate(
+    requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT, keys: tuple[str, ...] = ("path",)
+) -> DataFrame:
     """File and local row of every requested ``idx`` (the greatest ``start`` not above it).
 
+    ``files`` are pieces of the index with ``start``, ``len`` and ``keys``: files, or row groups of them.
+
     An as-of join without comparing pairs: sample numbers are cut into blocks of ``chunk_rows``,
     a file is listed once in every block it reaches, and in each block one pass in number order
     carries the latest file forward. A block holds at most ``chunk_rows`` distinct numbers and as
@@ -89,7 +98,7 @@ def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT)
             "__block",
             F.greatest(F.col("start"), F.col("__block") * block).alias("__at"),
             F.lit(0).alias("__is_request"),
-            F.struct("path", "start", "len").alias("__file"),
+            F.struct(*keys, "start", "len").alias("__file"),
         )
     )
     wanted = requests.select(F.col("idx").cast("bigint").alias("idx")).distinct()
@@ -110,7 +119,7 @@ def locate(requests: DataFrame, files: DataFrame, cfg: PipelineConfig = DEFAULT)
         .where((F.col("__is_request") == 1) & F.col("__file").isNotNull())
         .select(
             F.col("__at").alias("idx"),
-            F.col("__file.path").alias("path"),
+            *[F.col(f"__file.{k}").alias(k) for k in keys],
             (F.col("__at") - F.col("__file.start")).alias("row_index"),
             F.col("__file.len").alias("__len"),
         )
@@ -125,11 +134,19 @@ def fetch(requests: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def fetch_from_files(requests: DataFrame, files: DataFrame, scan, cfg: PipelineConfig = DEFAULT) -> DataFrame:
-    """Requests read from disk: only files that hold a requested row are opened, however many rows that is.
-
-    ``scan`` maps a list of paths to a table with ``path`` and ``row_index``. The driver sees the names of
-    the files to open, as it does for any scan; the rows to take stay a table.
+    """Requests read by a reader that takes a list of files: ``scan`` maps paths to rows with ``path`` and
+    ``row_index``. Files without a requested row are not opened; their names go through the driver, as for
+    any scan. ``fetch_from_groups`` opens less and collects nothing.
     """
     found = locate(requests, files, cfg)
     paths = [unquote(r["path"]) for r in found.select("path").distinct().collect()]
     return scan(sorted(paths)).join(found, ["path", "row_index"])
+
+
+def fetch_from_groups(requests: DataFrame, groups: DataFrame, read, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """Requests read from disk by row groups: only those that hold a requested row are opened.
+
+    ``groups`` is a ``group_table``; ``read`` maps ``idx, path, group, row_index`` to samples (see
+    ``sources.chunks.read_groups``). The rows to take stay a table throughout.
+    """
+    return read(locate(requests, groups, cfg, ("path", "group")))

@@ -16,6 +16,7 @@ from voxloom.operators import index as I
 from voxloom.operators import schedule as B
 from voxloom.session import materialize
 from voxloom.sources import chunks as H
+from voxloom.sources.catalogue import catalogue, row_groups
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,18 @@ def build_index(spark: SparkSession, root: str, split: str, check: bool | str =
     return SampleIndex(found, files, index, index.count())
 
 
+def fetch_samples(
+    spark: SparkSession, root: str, split: str, requests: DataFrame, cfg: PipelineConfig = DEFAULT
+) -> DataFrame:
+    """Samples of a split by number (``requests.idx``), each once: ``idx, path, row_index, audio, text, length``.
+
+    Numbers are those of ``build_index`` when no file is left out. Footers say where a number lies; no index
+    of samples is built, and only the row groups that hold a requested sample are read.
+    """
+    groups = I.group_table(row_groups(catalogue(spark, root, split)))
+    return I.fetch_from_groups(requests, groups, H.read_groups, cfg)
+
+
 def build_validation_index(spark: SparkSession, root: str, check: bool | str = True) -> SampleIndex:
     """Index of the validation split, or of the test split when there is no validation sample."""
     found = build_index(spark, root, "validation", check)

@@ -23,7 +23,7 @@ FORMAT = "voxloom_chunks"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: Files whose footers one task reads.
 GROUP = 128
-SCHEMA = "dataset string, split string, division int, chunk_no bigint, shift bigint, path string, uri string, n_rows bigint, has_sums boolean, max_chunk bigint"
+SCHEMA = "dataset string, split string, division int, chunk_no bigint, shift bigint, path string, uri string, n_rows bigint, has_sums boolean, max_chunk bigint, group_rows array<bigint>"
 _NAME = re.compile(r"^([a-z]+)(.*?)part_(.*)\.parquet$")
 _DIVISION = re.compile(r"^_div(\d+)_$")
 _LAST = re.compile(r"_(-?\d+)$")
@@ -100,18 +100,19 @@ class _Footers(DataSourceReader):
 
         store, base = self._store()
         for dataset, split, division, shift, path, number in partition.rows:
-            n_rows, sums, low, high = None, None, None, None
+            n_rows, sums, low, high, groups = None, None, None, None, None
             try:
                 with store.open_input_file(base + path[len(self.root) :]) as f:
                     footer = pq.read_metadata(f)
                 n_rows = footer.num_rows
                 sums = "cells" in footer.schema.names
                 low, high = _chunk_range(footer)
+                groups = [footer.row_group(g).num_rows for g in range(footer.num_row_groups)]
             except (OSError, pa.ArrowInvalid):
                 pass  # the row says so: n_rows stays null
             own = low if low is not None else number
             most = max((x + shift for x in (high, number) if x is not None), default=None)
-            yield dataset, split, division, None if own is None else own + shift, shift, path, uri_of(path), n_rows, sums, most
+            yield dataset, split, division, None if own is None else own + shift, shift, path, uri_of(path), n_rows, sums, most, groups
 
 
 def _chunk_range(footer) -> tuple[int | None, int | None]:
@@ -176,6 +177,12 @@ def readable(files: DataFrame) -> DataFrame:
     return files.where(F.coalesce(F.col("n_rows"), F.lit(0)) > 0)
 
 
+def row_groups(files: DataFrame) -> DataFrame:
+    """``(path, group, len)``: a row per row group, from the footers."""
+    each = readable(files).select("path", F.posexplode("group_rows").alias("group", "len"))
+    return each.where("len > 0")
+
+
 def files_per_dataset(files: DataFrame) -> DataFrame:
     return files.groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n_files"))
 

@@ -10,9 +10,10 @@ scan that serves them, so no pass over the arrays comes before.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,9 +169,16 @@ def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt:
         wide = read_columns(spark, [p for _, p in files], schema, skip_corrupt).select(
             "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index")
         )
+    return served(wide, "path", "row_index")
+
+
+def served(wide: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and what is served of rows as files hold them; a row without its sum's arrays raises.
+
+    ``keys`` must include ``path`` and ``row_index``, which an error names.
+    """
     rows = wide.select(
-        "path",
-        "row_index",
+        *keys,
         F.col("audio").cast("array<int>").alias("audio"),
         F.col("text").cast("array<int>").alias("text"),
         F.col("length").cast("int").alias("length"),
@@ -182,7 +190,42 @@ def scan_chunks(spark: SparkSession, files: list[tuple[str, str]], skip_corrupt:
     def checked(name: str) -> Column:
         return F.when(sound, F.col(name)).otherwise(wrong.cast("array<int>")).alias(name)
 
-    return rows.select("path", "row_index", checked("audio"), checked("text"), "length")
+    return rows.select(*keys, checked("audio"), checked("text"), "length")
+
+
+def read_groups(located: DataFrame) -> DataFrame:
+    """Samples at ``path``, ``group`` and ``row_index`` (in the group), with ``idx``, read by row groups.
+
+    A task gets whole row groups, opens each once and decodes nothing else of the file, so a look-up costs
+    what its row groups hold, however large the files are. The driver sees no path.
+    """
+    dealt = located.select("idx", "path", "group", "row_index").repartition("path", "group").sortWithinPartitions("path", "group", "row_index")
+    wide = dealt.mapInArrow(_rows_of_groups, T.StructType([*dealt.schema.fields, *SERVED_FILE.fields]))
+    return served(wide, "idx", "path", "row_index")
+
+
+def _rows_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    arrays = pa.large_list(pa.int64())
+    for batch in batches:
+        place = list(zip(batch.column("path").to_pylist(), batch.column("group").to_pylist(), strict=True))
+        edges = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]] + [len(place)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            path, group = place[a]
+            store, name = fs.FileSystem.from_uri(path[5:] if path.startswith("file:/") and "://" not in path else path)
+            with store.open_input_file(name) as source:
+                file = pq.ParquetFile(source)
+                held = set(file.schema_arrow.names)
+                table = file.read_row_group(group, columns=[f.name for f in SERVED_FILE if f.name in held])
+            rows = table.take(batch.column("row_index")[a:b]).combine_chunks()
+            columns = []
+            for field in SERVED_FILE:
+                kind = arrays if isinstance(field.dataType, T.ArrayType) else pa.int64()
+                column = rows.column(field.name).combine_chunks() if field.name in held else pa.nulls(b - a, kind)
+                columns.append(column.cast(kind).cast(pa.list_(pa.int64()) if kind is arrays else kind))
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *columns], names=[*batch.schema.names, *SERVED_FILE.names])
 
 
 def committed_samples(spark: SparkSession, root: str, schema: str, split: str | None = None) -> DataFrame:
