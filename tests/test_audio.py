@@ -183,3 +183,28 @@ def test_large_results_are_handed_back_in_parts(spark, monkeypatch):
 def test_schema_is_declared():
     assert AUDIO_CELL.fieldNames() == ["bytes", "array", "channels", "sampling_rate"]
     assert PipelineConfig().frame_width == 33
+
+
+@pytest.mark.parametrize(("rate", "new_rate"), [(16, 24), (24, 16), (441, 240), (8, 8), (7, 24), (48, 8)])
+def test_blocks_laid_end_to_end_are_the_whole(spark, rate, new_rate):
+    rng = np.random.default_rng(rate)
+    waves = [rng.uniform(-1, 1, n).astype(np.float32) for n in (1, rate - 1, rate, rate + 1, 5 * rate, 5 * rate + 3, 17 * rate + rate // 2)]
+    rows = [(i, (None, w.tolist(), 1, rate)) for i, w in enumerate(waves)]
+    rows += [(90, (None, [], 1, rate)), (91, (None, [0.5], 1, 0)), (92, None), (93, (None, None, 1, rate))]
+    found = O.resample_in_blocks(cells(spark, rows), PipelineConfig(sample_rate=new_rate), seconds=1).collect()
+    assert {r["id"] for r in found} == set(range(len(waves)))
+    for i, w in enumerate(waves):
+        own = sorted((r for r in found if r["id"] == i), key=lambda r: r["block"])
+        assert [r["first"] for r in own] == [k * new_rate for k in range(-(-w.size // rate))]
+        whole = A.resample(w.astype(np.float64), rate, new_rate)
+        assert np.allclose(np.concatenate([r["waveform"] for r in own]), whole, rtol=0, atol=1e-12)
+
+
+def test_a_long_recording_is_spread_over_tasks(spark):
+    """Ten hours, at a low rate: blocks of ten minutes in many tasks, none with all of them."""
+    n = 10 * 3600 * 100
+    cell = F.struct(F.lit(None).cast("binary").alias("bytes"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i % 50 / 50.0).cast("float")).alias("array"), F.lit(1).alias("channels"), F.lit(100).alias("sampling_rate"))
+    blocks = O.resample_in_blocks(spark.range(1).select("id", cell.alias("audio")), PipelineConfig(sample_rate=40), seconds=600)
+    spread = blocks.select(F.spark_partition_id().alias("p"), F.size("waveform").alias("n"), "block").collect()
+    assert len(spread) == 60 and sum(r["n"] for r in spread) == n * 2 // 5
+    assert len({r["p"] for r in spread}) >= 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.catalog.tables import CFG, audio_cell, table, wav_bytes
+from voxloom.config import PipelineConfig
 from voxloom.functions.arrays import bind
 from voxloom.functions.audio import HOP, LOWPASS_WIDTH, ROLLOFF, LatticeEncoder
 from voxloom.operators import audio as A
@@ -72,6 +73,18 @@ ORACLE["resample"] = f"""with cells as (
   from cells join taps using (i) group by vec_id, j"""
 
 
+def resample_blocks(spark, sf):
+    """The same recordings at 16 and 24 samples a second, each in four blocks that know nothing of each other."""
+    cell = audio_cell(array=F.col("embedding"), channels=F.lit(1), rate=F.lit(16))
+    rows = table(spark, sf, "embeddings").select("vec_id", cell.alias("audio"))
+    blocks = A.resample_in_blocks(rows, PipelineConfig(sample_rate=24), seconds=1)
+    waves = blocks.select("vec_id", "first", F.posexplode("waveform").alias("i", "x"))
+    return waves.select("vec_id", (F.col("first") + F.col("i")).cast("int").alias("i"), _ppm(F.col("x")).alias("ppm"))
+
+
+ORACLE["resample_blocks"] = ORACLE["resample"]
+
+
 def encode_audio(spark, sf):
     """Vectors held to 4,800 samples each, encoded to 32 codebooks by 3 frames."""
     held = F.flatten(F.transform("embedding", lambda x: F.array_repeat(x, HOLD)))
@@ -112,4 +125,6 @@ ORACLE["encode_audio"] = f"""with wave as (
   {lattice_sql("means", "vec_id")}
   select * from codes"""
 
-QUERIES.update(decode_audio=decode_audio, downmix=downmix, resample=resample, encode_audio=encode_audio)
+QUERIES.update(
+    decode_audio=decode_audio, downmix=downmix, resample=resample, resample_blocks=resample_blocks, encode_audio=encode_audio
+)

@@ -64,20 +64,42 @@ def _filter_bank(orig: int, new: int) -> tuple[np.ndarray, int]:
     return np.sinc(distance) * window * (cutoff / orig), reach
 
 
-def resample(mono: np.ndarray, orig_rate: int, new_rate: int) -> np.ndarray:
-    """Band-limited resampling; the result has ``ceil(new / orig * n)`` samples."""
+def reduced_rates(orig_rate: int, new_rate: int) -> tuple[int, int]:
+    """Both rates over their greatest common divisor."""
     if orig_rate <= 0:
         raise UnsupportedAudio("bad_sampling_rate")
-    if orig_rate == new_rate or mono.size == 0:
-        return mono
     shared = gcd(orig_rate, new_rate)
-    orig, new = orig_rate // shared, new_rate // shared
+    return orig_rate // shared, new_rate // shared
+
+
+def filter_reach(orig_rate: int, new_rate: int) -> int:
+    """Samples before and after a block that its filtering looks at."""
+    return 0 if orig_rate == new_rate else _filter_bank(*reduced_rates(orig_rate, new_rate))[1]
+
+
+def resample(mono: np.ndarray, orig_rate: int, new_rate: int) -> np.ndarray:
+    """Band-limited resampling; the result has ``ceil(new / orig * n)`` samples."""
+    orig, new = reduced_rates(orig_rate, new_rate)
+    return resample_block(mono, 0, mono.size, orig_rate, new_rate)[: -(-new * mono.size // orig)]
+
+
+def resample_block(piece: np.ndarray, before: int, n: int, orig_rate: int, new_rate: int) -> np.ndarray:
+    """Resample ``n`` samples that ``piece`` holds after ``before`` samples of what lies in front of them.
+
+    What ``piece`` lacks before and after them counts as silence. The block must start at a whole number of
+    steps (``reduced_rates``) into its recording; there are outputs for the step that ``n`` ends in as well.
+    """
+    if orig_rate == new_rate or n == 0:
+        return piece[before : before + n]
+    orig, new = reduced_rates(orig_rate, new_rate)
     bank, reach = _filter_bank(orig, new)
-    steps = mono.size // orig + 1
+    steps = n // orig + 1
     padded = np.zeros(steps * orig + bank.shape[0], dtype=np.float64)
-    padded[reach : reach + mono.size] = mono
+    own = piece[max(0, before - reach) :][: padded.size]
+    first = reach - min(before, reach)
+    padded[first : first + own.size] = own[: padded.size - first]
     rows = np.lib.stride_tricks.sliding_window_view(padded, bank.shape[0])[: steps * orig : orig]
-    return (rows @ bank).ravel()[: -(-new * mono.size // orig)]
+    return (rows @ bank).ravel()
 
 
 class LatticeEncoder:

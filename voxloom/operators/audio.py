@@ -162,6 +162,64 @@ def standardise_audio(
     return _map_cells(df, "waveform", T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), "decode", setup)
 
 
+def resample_in_blocks(df: DataFrame, cfg: PipelineConfig = DEFAULT, seconds: int = 60) -> DataFrame:
+    """Resample long decoded recordings in blocks that separate tasks filter: a row per block.
+
+    ``audio`` cells must hold ``array`` with one channel. The result has the other columns and ``block``,
+    ``first`` (number of the block's first output sample) and ``waveform``; blocks of a recording laid end to
+    end are what ``standardise_audio`` gives. A block is cut with the samples that its filter looks at on
+    either side, so blocks need nothing of each other; a recording is cut in the JVM and then spread, and no
+    Python worker ever holds more than a block of it. Recordings without samples, or with a rate that is not
+    positive, have no block.
+    """
+    require_columns(df, ["audio"])
+    rate, new_rate = F.col("audio.sampling_rate"), cfg.sample_rate
+    passed = [f for f in df.schema.fields if f.name != "audio"]
+    keys = [F.col(f"`{f.name}`") for f in passed]
+    reach = F.ceil(F.lit(A.LOWPASS_WIDTH) * rate / (F.least(rate, F.lit(new_rate)) * A.ROLLOFF)).cast("int") + 1
+    n, size = F.size("audio.array"), rate * seconds
+    cut = (
+        df.where((rate > 0) & (n > 0) & (F.coalesce("audio.channels", F.lit(1)) == 1))
+        .withColumn("__row", F.monotonically_increasing_id())
+        .select(*keys, "audio", "__row", F.explode(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)).alias("block"))
+        .withColumn("__from", F.greatest(F.col("block") * size - reach, F.lit(0)))
+        .select(
+            *keys,
+            "__row",
+            "block",
+            rate.alias("__rate"),
+            (F.col("block") * size - F.col("__from")).alias("__before"),
+            F.least(n - F.col("block") * size, size).alias("__n"),
+            F.slice("audio.array", F.col("__from") + 1, F.col("block") * size + size + reach - F.col("__from")).alias("__piece"),
+        )
+        # A fixed number: filtering costs more than its bytes tell, so few bytes are no reason for few tasks.
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__row", "block")
+    )
+    schema = T.StructType(
+        [*passed, T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("waveform", T.ArrayType(T.DoubleType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [batch.column(c).to_pylist() for c in ("block", "__rate", "__before", "__n")]
+            for row, (block, own_rate, before, n) in enumerate(zip(*numbers, strict=True)):
+                orig, new = A.reduced_rates(own_rate, new_rate)
+                piece = _numbers(batch.column("__piece"), row).astype(np.float64)
+                wave = A.resample_block(piece, before, n, own_rate, new_rate)[: -(-new * n // orig)]
+                part = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(f.name) for f in passed],
+                        pa.array([block], pa.int32()),
+                        pa.array([block * seconds * new_rate], pa.int64()),
+                        _lists([wave], pa.list_(pa.float64())),
+                    ],
+                    names=schema.fieldNames(),
+                )
+
+    return cut.mapInArrow(run, schema)
+
+
 def encode_audio(
     df: DataFrame,
     cfg: PipelineConfig = DEFAULT,
