@@ -274,8 +274,8 @@ def read_part(folder: str, part: int, width: int, most: int = 4 << 20) -> Iterat
             ok &= number(at + 12 + n, 4) == masked(crc32c(block, at + 12, n))
             if not ok.all():
                 raise ValueError(f"damaged record {int(rows.start + np.flatnonzero(~ok)[0])} in part {part} of {folder}")
-            inside = np.arange(int(n.sum())) + np.repeat(at + 12 - (np.cumsum(n) - n), n)
-            yield own["doc_id"], n // width, block[inside].view(f"<u{width}")
+            parts = [block[a : a + k] for a, k in zip((at + 12).tolist(), n.tolist(), strict=True)]
+            yield own["doc_id"], n // width, np.concatenate(parts).view(f"<u{width}")
 
 
 def read_records(spark, manifest: DataFrame, folder: str) -> DataFrame:
