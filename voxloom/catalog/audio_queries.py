@@ -111,11 +111,13 @@ def lattice_sql(means: str, key: str) -> str:
       from digits a join digits b using ({key}, frame, round) where a.block % 2 = 0 and b.block = a.block + 1)"""
 
 
-ORACLE["encode_audio"] = f"""with wave as (
-    select vec_id, unnest(range(0, {64 * HOLD})) as s, embedding from embeddings),
-  sums as (
-    select vec_id, s // {HOP} as frame, (s % {HOP}) // {HOP // 16} as block, sum(embedding[s // {HOLD} + 1]::double) as t
-    from wave group by 1, 2, 3),
+# A block mean takes every held value by its share of the block: values k and blocks overlap in at most HOLD samples.
+ORACLE["encode_audio"] = f"""with shares as (
+    select k, frame, block,
+      least({HOLD} * (k + 1), frame * {HOP} + (block + 1) * {HOP // 16}) - greatest({HOLD} * k, frame * {HOP} + block * {HOP // 16}) as n
+    from (select unnest(range(0, 64)) as k), (select unnest(range(0, 3)) as frame), (select unnest(range(0, 16)) as block)),
+  cells as (select vec_id, generate_subscripts(embedding, 1) - 1 as k, unnest(embedding)::double as x from embeddings),
+  sums as (select vec_id, frame, block, sum(x * n) as t from cells join shares using (k) where n > 0 group by 1, 2, 3),
   grid as (
     select vec_id, frame, block
     from embeddings, (select unnest(range(0, 3)) as frame), (select unnest(range(0, 16)) as block)),
