@@ -282,3 +282,23 @@ def test_fetched_samples_are_checked(spark, tmp_path):
     assert serve.fetch_samples(spark, out, "train", asked.where("idx < 20")).collect()
     with pytest.raises(Exception, match="damaged arrays in row 3 of"):
         serve.fetch_samples(spark, out, "train", asked).collect()
+
+
+def test_arrays_are_moved_once_for_an_export(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write(spark, out, 57)
+    index = serve.build_index(spark, out, "train")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = serve.placed_samples(index, CFG, bins_per_file=2, groups_per_task=2)
+        lines = plan(rows).splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    reading = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert sum("Exchange" in line for line in lines[:reading]) == 1
+    assert all("audio" not in line for line in lines[reading + 1 :])
+    found = {r["idx"]: (r["bin"], r["slot_in_bin"], r["pad_length"], r["audio"], r["text"]) for r in rows.collect()}
+    want = {r["idx"]: (r["bin"], r["slot_in_bin"], r["pad_length"], r["audio"], r["text"]) for r in serve.batches(spark, index, CFG).collect()}
+    assert found == want and len(want) == 57

@@ -21,12 +21,13 @@ from voxloom.sources.catalogue import catalogue, row_groups
 
 @dataclass(frozen=True)
 class SampleIndex:
-    """Index of one split: the files, every sample's number and length, and the total."""
+    """Index of one split: the files, every sample's number and length, the total, and row groups."""
 
     chunk_files: list[tuple[str, str]]
     files: DataFrame
     index: DataFrame
     n_samples: int
+    groups: DataFrame
 
     def samples(self, spark: SparkSession, in_memory: bool = False) -> DataFrame:
         """Samples with their ``idx``; ``in_memory`` keeps them, spilling to disk when they do not fit."""
@@ -44,11 +45,13 @@ def build_index(spark: SparkSession, root: str, split: str, check: bool | str =
 
     The index is written to the shared folder once; bins, schedules and totals reuse it.
     """
-    found = H.sound_files(spark, root, split, check)
+    listed = H.sound_catalogue(spark, root, split, check)
+    found = H.file_list(listed)
     lengths = H.scan_lengths(spark, found)
     files = materialize(I.file_table(I.file_counts(lengths)), "files")
     index = materialize(I.global_index(lengths, files), "index")
-    return SampleIndex(found, files, index, index.count())
+    groups = materialize(I.group_table(row_groups(listed)), "groups")
+    return SampleIndex(found, files, index, index.count(), groups)
 
 
 def fetch_samples(
@@ -87,22 +90,42 @@ def batch_schedule(
     return B.schedule(bins, n_bins, n_epochs, n_replicas, cfg, shuffle, uneven, first_epoch)
 
 
+def only_consistent(samples: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """``samples``; one whose stored length does not fit its arrays raises: it would not fit its batch either."""
+    sound = is_consistent(F.col("audio"), F.col("text"), F.col("length"), cfg)
+    wrong = F.raise_error(F.concat(F.lit("stored length does not fit the arrays of sample "), F.col("idx").cast("string")))
+    return samples.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(wrong.cast("boolean")))
+
+
 def batches(spark: SparkSession, index: SampleIndex, cfg: PipelineConfig = DEFAULT) -> DataFrame:
     """Every sample with its bin, its place in it and the length its batch is padded to.
 
-    A sample whose stored length does not fit its arrays raises: it would not fit its batch either.
-
     What a bin holds does not depend on epoch or replica, so samples are joined to bins once for
     a whole training run; the schedule then only orders bins.
     """
     bins = B.length_bins(index.index, cfg)
-    samples = index.samples(spark)
-    sound = is_consistent(F.col("audio"), F.col("text"), F.col("length"), cfg)
-    wrong = F.raise_error(F.concat(F.lit("stored length does not fit the arrays of sample "), F.col("idx").cast("string")))
-    samples = samples.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(wrong.cast("boolean")))
+    samples = only_consistent(index.samples(spark), cfg)
     return R.with_pad_length(bins).drop("length").join(samples, "idx")
 
 
+def placed_samples(
+    index: SampleIndex, cfg: PipelineConfig = DEFAULT, bins_per_file: int = 512, groups_per_task: int = 16
+) -> DataFrame:
+    """``batches`` dealt out to files of whole bins, in their order, with the arrays moved once.
+
+    Bins, files and row-group addresses are settled on narrow rows; the tasks that read the arrays get them
+    beside the addresses and send every sample straight to its file.
+    """
+    n_files = max(1, -(-B.bin_count(index.n_samples, cfg) // bins_per_file))
+    bins = R.with_pad_length(B.length_bins(index.index, cfg)).drop("length")
+    addressed = I.locate(bins.select("idx"), index.groups, cfg, ("path", "group")).join(bins, "idx")
+    n_tasks = max(1, -(-index.groups.count() // groups_per_task))
+    rows = H.read_groups(addressed, "bin", "slot_in_bin", "pad_length", n_tasks=n_tasks)
+    file_no = int_div(F.col("bin"), bins_per_file).cast("int")
+    ordered = only_consistent(rows, cfg).repartitionById(n_files, file_no)
+    return ordered.sortWithinPartitions("bin", "slot_in_bin")
+
+
 def export_batches(
     spark: SparkSession, root: str, split: str, out_dir: str, cfg: PipelineConfig = DEFAULT, bins_per_file: int = 512
 ) -> SampleIndex:
@@ -112,11 +135,7 @@ def export_batches(
     size, is the last step before the file is written and is never shuffled.
     """
     index = build_index(spark, root, split)
-    n_files = max(1, -(-B.bin_count(index.n_samples, cfg) // bins_per_file))
-    file_no = int_div(F.col("bin"), bins_per_file).cast("int")
-    ordered = batches(spark, index, cfg).repartitionById(n_files, file_no)
-    ordered = ordered.sortWithinPartitions("bin", "slot_in_bin")
-    R.dense_batches(ordered, cfg).write.parquet(out_dir)
+    R.dense_batches(placed_samples(index, cfg, bins_per_file), cfg).write.parquet(out_dir)
     return index
 
 

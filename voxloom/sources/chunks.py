@@ -22,6 +22,7 @@ from voxloom.config import DEFAULT, PipelineConfig
 from voxloom.functions.arrays import int_div
 from voxloom.operators.position import position_by_number
 from voxloom.schemas import CHUNK_FILE, SERVED_FILE
+from voxloom.session import materialize
 from voxloom.sources.catalogue import catalogue, next_chunks, readable, samples_per_dataset
 from voxloom.sources.commits import Commit, append_run, visible_files, visible_in_folders
 from voxloom.sources.files import subdirectories
@@ -193,15 +194,19 @@ def served(wide: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, checked("audio"), checked("text"), "length")
 
 
-def read_groups(located: DataFrame) -> DataFrame:
-    """Samples at ``path``, ``group`` and ``row_index`` (in the group), with ``idx``, read by row groups.
+def read_groups(located: DataFrame, *carried: str, n_tasks: int | None = None) -> DataFrame:
+    """Samples at ``path``, ``group`` and ``row_index`` (in the group), with ``idx`` and the ``carried``
+    columns, read by row groups.
 
     A task gets whole row groups, opens each once and decodes nothing else of the file, so a look-up costs
-    what its row groups hold, however large the files are. The driver sees no path.
+    what its row groups hold, however large the files are. Addresses are shuffled, arrays are not, and the
+    driver sees no path. ``n_tasks`` is fixed, as addresses say nothing of what reading them costs.
     """
-    dealt = located.select("idx", "path", "group", "row_index").repartition("path", "group").sortWithinPartitions("path", "group", "row_index")
+    n_tasks = n_tasks or int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = located.select(*carried, "idx", "path", "group", "row_index")
+    dealt = dealt.repartition(n_tasks, "path", "group").sortWithinPartitions("path", "group", "row_index")
     wide = dealt.mapInArrow(_rows_of_groups, T.StructType([*dealt.schema.fields, *SERVED_FILE.fields]))
-    return served(wide, "idx", "path", "row_index")
+    return served(wide, *carried, "idx", "path", "row_index")
 
 
 def _rows_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,18 +290,27 @@ def drop_corrupt(samples: DataFrame, corrupt: DataFrame) -> DataFrame:
     return samples.join(corrupt.select("path"), "path", "left_anti")
 
 
-def sound_files(spark: SparkSession, root: str, split: str, check: bool | str = True) -> list[tuple[str, str]]:
-    """Chunk files of a split that can be served.
+def sound_catalogue(spark: SparkSession, root: str, split: str, check: bool | str = True) -> DataFrame:
+    """Catalogue rows of the files of a split that can be served, written to the shared folder.
 
-    Footers are read by tasks. Files whose rows carry sums are checked when they are served; the arrays of
-    the others, which other tools wrote, are read here. ``check="full"`` reads the arrays of all files, so
-    damaged ones are left out beforehand instead of raising later; ``check=False`` only lists.
+    Footers are read by tasks, once. Files whose rows carry sums are checked when they are served; the
+    arrays of the others, which other tools wrote, are read here. ``check="full"`` reads the arrays of all
+    files, so damaged ones are left out beforehand instead of raising later; ``check=False`` reads none.
     """
-    if not check:
-        return discover_datasets(spark, root, split)
-    files = readable(catalogue(spark, root, split)).select("dataset", "path", "uri", "has_sums", "n_rows")
-    found = files.collect()
-    unsummed = files if check == "full" else files.where("not has_sums")
-    look = check == "full" or any(not r["has_sums"] for r in found)
-    bad = {r["path"] for r in damaged_files(spark, unsummed).collect()} if look else set()
-    return sorted((r["dataset"], r["path"]) for r in found if r["uri"] not in bad)
+    files = catalogue(spark, root, split)
+    files = materialize(files if check is False else readable(files), "catalogue")
+    suspect = files.where(F.lit(check == "full") | ~F.col("has_sums"))
+    if check is False or not suspect.limit(1).count():
+        return files
+    bad = materialize(damaged_files(spark, suspect), "damaged")
+    return files.join(bad.select(F.col("path").alias("uri")), "uri", "left_anti")
+
+
+def file_list(files: DataFrame) -> list[tuple[str, str]]:
+    """``(dataset, path)`` of catalogue rows in path order, as a scan takes them."""
+    return sorted((r["dataset"], r["path"]) for r in files.select("dataset", "path").collect())
+
+
+def sound_files(spark: SparkSession, root: str, split: str, check: bool | str = True) -> list[tuple[str, str]]:
+    """The files of ``sound_catalogue``."""
+    return file_list(sound_catalogue(spark, root, split, check))
