@@ -38,6 +38,7 @@ UNSEEN = frozenset("script style template noscript iframe object svg math canvas
 RAW = frozenset("script style textarea title iframe noscript noframes xmp".split())
 #: Unseen elements that end where the next of their kind begins.
 ALONE = frozenset("button select option datalist textarea".split())
+PAGE = frozenset("#root html body".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul hr".split()
 )
@@ -50,11 +51,11 @@ P_WALLS = frozenset("html body article aside section div main header footer nav
 class Node:
     """A block element or, with ``text``, a run of text."""
 
-    __slots__ = ("tag", "hints", "parent", "children", "text", "linked", "label", "attrs")
+    __slots__ = ("tag", "hints", "parent", "children", "text", "linked", "label", "attrs", "plain")
 
     def __init__(self, tag, parent, attrs="", text=None, linked=0):
         self.tag, self.parent, self.attrs, self.text, self.linked = tag, parent, attrs, text, linked
-        self.children, self.label = [], None
+        self.children, self.label, self.plain = [], None, False
         self.hints = ()
         if parent is not None:
             parent.children.append(self)
@@ -182,16 +183,26 @@ def tree(page: str) -> Node:
         node.hints = tuple(w for f in HINTS.finditer(attrs) for w in re.findall("[a-z]+", (f[2] or f[3] or f[4] or "").lower())) if attrs else ()
         stack.append(node)
     flush()
+    _tell_plain(root)
     return root
 
 
+def _tell_plain(root: Node) -> None:
+    """Mark the page nodes of a page whose text lies in the body itself, in no part that holds an article."""
+    order = _order(root)
+    page = [n for n in order if n.tag in PAGE]
+    if not any(n.tag in ("article", "main") for n in order) and any(c.tag in ("p", "#text") for n in page for c in n.children):
+        for n in page:
+            n.plain = True
+
+
 def features(node: Node) -> list[tuple[str, str]]:
     """What is seen of a node, as (kind, value)."""
     if node.text is None:
         return [("tag", node.tag), *(("hint", h) for h in node.hints)]
     n = len(node.text)
     share = node.linked / n
-    out = [("in", node.parent.tag), ("size", str(min(int(math.log2(n + 1)), 9))), ("links", "none" if share == 0 else "some" if share < 0.5 else "most")]
+    out = [("in", node.parent.tag), ("size", str(min(int(math.log2(n + 1)), 9))), ("links", "none" if share == 0 else "some" if share < 0.5 else f"most in {node.parent.tag}")]
     out.append(("ends", "stop" if node.text[-1] in ".!?:;\"'”»…" else "open"))
     if "©" in node.text or "copyright" in node.text.lower():
         out.append(("word", "copyright"))
@@ -211,7 +222,9 @@ def _order(root: Node) -> list[Node]:
 def _kind(node: Node) -> str:
     if node.text is not None:
         return "text"
-    return "sectioning" if node.tag in ("article", "main") else "page" if node.tag in ("#root", "html", "body") else "block"
+    if node.tag in PAGE:
+        return "plain page" if node.plain else "page"
+    return "sectioning" if node.tag in ("article", "main") else "block"
 
 
 class Potentials:
@@ -364,11 +377,41 @@ def _seeds() -> list[str]:
     return out
 
 
+def _plain_seeds() -> list[str]:
+    """Labelled pages without any part that holds the article: text in the body, with menus and the like beside it."""
+    long = "A paragraph of running text goes on for several clauses, with commas, and it ends as sentences do. " * 3
+    middle, short = "This paragraph has two clauses, of which this one ends it.", "A short closing sentence."
+    links = '<ul data-main><li><a href="/1">A first source that the text names</a></li><li><a href="/2">The second one</a></li></ul>'
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul>'
+    out = []
+    texts = [long, middle, short, middle[:-1] + ", and here comes another one.", long[:180] + "."]
+    for i in range(20):
+        text = texts[i % 5]
+        body = "".join(f"<p data-main>{text}</p>" for _ in range([1, 2, 5][i // 5 % 3]))
+        lead = ["", "<h1 data-main>Title of the page</h1>", "<h2 data-main>Title</h2><h3 data-main>Part</h3>"][i % 3]
+        before = ["", f'<nav class="menu">{menu}</nav>', f'<div class="nav">{menu}</div>', f'<header class="header"><h1>The Daily</h1>{menu}</header>'][i % 4]
+        after = ["", f"<footer><p>&copy; 2024 The owner. All rights reserved. {short}</p></footer>", f'<div class="footer"><p>&copy; The owner. {short}</p></div>', f'<div class="sidebar"><h3>Popular</h3><p>{middle}</p>{menu}</div>'][(i + 1) % 4]
+        lists = "<ul data-main><li>One point of a list in the text.</li><li>Another point</li></ul>" if i % 2 else ""
+        out.append(f"<html><body>{before}{lead}{body}{lists}{after}</body></html>")
+        # Line breaks instead of paragraphs: the page's own text.
+        out.append(f"<html><body data-main>{text}<br>{middle}<br><br>{long}</body></html>")
+        # A table that lays the page out.
+        cells = f'<td><a href="/a">Home</a> <a href="/b">News</a></td><td data-main><h1>Title</h1>{body}<p>{middle}</p></td>'
+        out.append(f"<html><body><table><tr>{cells}</tr></table></body></html>")
+        out.append(f'<html><body><article data-main><h1>Title</h1><p>{text}</p>{links}<p>{middle}</p></article><aside class="related">{menu}</aside></body></html>')
+    return out
+
+
 SEED_HINTS = frozenset(
     "menu navbar breadcrumb breadcrumbs sidebar widget related ad ads advert advertisement sponsored promo cookie notice consent popup modal comments comment reply replies newsletter subscribe login share social footer".split()
 )
 
 
+def seed_pages() -> list[tuple[Node, int]]:
+    """All seed pages with their weight."""
+    return [(labelled_seed(p), SEED_WEIGHT) for p in _seeds() + _plain_seeds()]
+
+
 def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Potentials:
     """Potentials from the seed pages and from at most ``most`` pages of ``pages``, drawn by hash.
 
@@ -377,7 +420,7 @@ def train(pages: DataFrame, most: int = TRAINING_PAGES) -> Potentials:
     every = max(1, pages.count() // most)
     drawn = pages.where("html is not null").select("html", F.xxhash64("html").alias("h")).where(F.pmod("h", F.lit(every)) == 0)
     sample = drawn.orderBy("h", "html").limit(most)
-    labelled = [(labelled_seed(p), SEED_WEIGHT) for p in _seeds()]
+    labelled = seed_pages()
     labelled += [(root, 1) for row in sample.select("html").collect() if (root := labelled_by_parts(row.html)) is not None]
     return Potentials(labelled)
 
