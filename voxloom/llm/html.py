@@ -224,7 +224,7 @@ def _kind(node: Node) -> str:
         return "text"
     if node.tag in PAGE:
         return "plain page" if node.plain else "page"
-    return "sectioning" if node.tag in ("article", "main") else "block"
+    return "sectioning" if node.tag in ("article", "main") else "form" if node.tag == "form" else "block"
 
 
 class Potentials:
@@ -398,7 +398,8 @@ def _plain_seeds() -> list[str]:
         # A table that lays the page out.
         cells = f'<td><a href="/a">Home</a> <a href="/b">News</a></td><td data-main><h1>Title</h1>{body}<p>{middle}</p></td>'
         out.append(f"<html><body><table><tr>{cells}</tr></table></body></html>")
-        out.append(f'<html><body><article data-main><h1>Title</h1><p>{text}</p>{links}<p>{middle}</p></article><aside class="related">{menu}</aside></body></html>')
+        beside = f"<form data-aside><p>Sign up for letters. {short}</p></form>"
+        out.append(f'<html><body><article data-main><h1>Title</h1><p>{text}</p>{links}<p>{middle}</p>{beside if i % 4 == 1 else ""}</article><aside class="related">{menu}</aside></body></html>')
     return out
 
 
