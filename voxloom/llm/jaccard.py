@@ -160,7 +160,7 @@ def shared_grams(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     all_ = _regions(docs, rows, "gram long, sig long, n int, common boolean", fields)
     key = F.when(F.col("common"), F.xxhash64("gram", "sig")).otherwise(F.col("gram"))
-    spread = all_.withColumn("key", key).repartition("key").sortWithinPartitions("gram", "sig").drop("key")
+    spread = all_.repartition(key).sortWithinPartitions("gram", "sig")
 
     def groups(batches):
         held: list[tuple] = []  # rows of the n-gram that the last batch ended with
@@ -327,17 +327,23 @@ def possible_rows(rows: DataFrame) -> DataFrame:
     return _in_lists(rows, each, "gram long, one int, two int, sig long")
 
 
-def _shared_counts(flat: np.ndarray, row: np.ndarray, rows: int, step: int = 1024) -> np.ndarray:
-    """How many values every two rows have in common; a row has a value once."""
-    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    told = times[column] > 1
-    order = np.argsort(column[told], kind="stable")
-    column, row = column[told][order], row[told][order]
-    _, column = np.unique(column, return_inverse=True)
+def _in_several(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values, and which of them come more than once: what one set alone has is in no count."""
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    return column, times[column] > 1
+
+
+def _shared_counts(column: np.ndarray, row: np.ndarray, rows: int, step: int = 1024) -> np.ndarray:
+    """How many columns every two rows have in common; a row has a column once."""
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    # Columns are numbered anew, without those that are not there.
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if column.size else column
     out = np.zeros((rows, rows), dtype=np.float32)
     for first in range(0, int(column.max(initial=-1)) + 1, step):
         own = slice(*np.searchsorted(column, [first, first + step]))
-        block = np.zeros((rows, step), dtype=np.float32)
+        width = min(step, int(column[-1]) + 1 - first)
+        block = np.zeros((rows, width), dtype=np.float32)
         block[row[own], column[own] - first] = 1
         out += block @ block.T
     return out
@@ -412,7 +418,9 @@ def _by_regions(t: pa.RecordBatch) -> tuple:
     sig, n, component, sizes, flat, row, apart = _open(t)
     at = np.flatnonzero(flat == t.column(0)[0].as_py())  # once in every row, and rows are in order
     before = np.arange(flat.size) < np.repeat(at, sizes)
-    shared, earlier = _shared_counts(flat, row, n.size), _shared_counts(flat[before], row[before], n.size)
+    column, several = _in_several(flat)
+    column, row, before = column[several], row[several], before[several]
+    shared, earlier = _shared_counts(column, row, n.size), _shared_counts(column[before], row[before], n.size)
     x, y = np.nonzero(apart & (earlier == 0) & (shared > 0))
     good = _feasible(n[x], n[y], shared[x, y], shared[x, y])
     x, y = x[good], y[good]
@@ -449,7 +457,8 @@ def cross_links(lists: DataFrame, ordered: DataFrame, sets: DataFrame) -> DataFr
 
     def link(t):
         sig, n, component, sizes, flat, row, apart = _open(t)
-        shared = _shared_counts(flat, row, n.size)
+        column, several = _in_several(flat)
+        shared = _shared_counts(column[several], row[several], n.size)
         x, y = np.nonzero(apart & (PART * shared >= SHARE * (n[:, None] + n[None, :] - shared)))
         return pa.RecordBatch.from_arrays([pa.array(sig[x]), pa.array(sig[y])], names=["a", "b"])
 
