@@ -26,6 +26,29 @@ def test_corpus_to_batches(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "live/samples")).count() == n
 
 
+def test_endless_schedule_and_listings(spark, tmp_path, capsys):
+    corpus, tokens, out = (str(tmp_path / d) for d in ("corpus", "tokens", "endless"))
+    write_file(corpus, "train-00000-of-00001", 0, 30)
+    jobs.main(["tokenize", "--corpus", corpus, "--out", tokens])
+    for _ in range(2):
+        jobs.main(["endless", "--tokens", tokens, "--out", out, "--batch-size", "2", "--replicas", "2", "--bins-per-batch", "15"])
+    jobs.main(["schedule", "--tokens", tokens, "--out", str(tmp_path / "plan"), "--epochs", "2", "--replicas", "2", "--batch-size", "2", "--order", "formula", "--full-check"])
+    columns = ["epoch", "pos", "bin", "slot_in_bin", "idx"]
+    streamed = spark.read.parquet(f"{out}/places").where("epoch < 2").select(*columns)
+    planned = spark.read.parquet(str(tmp_path / "plan/train")).select(*columns)
+    assert spark.read.parquet(f"{out}/places").select("epoch", "pos").distinct().count() == 30
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, planned.collect()))
+    capsys.readouterr()
+    jobs.main(["leftovers", "--tokens", tokens])
+    assert capsys.readouterr().out == ""
+    open(f"{tokens}/train_part_9.parquet", "wb").close()
+    jobs.main(["leftovers", "--tokens", tokens])
+    assert "train_part_9.parquet" in capsys.readouterr().out
+    jobs.main(["files", "--tokens", tokens, "--split", "train"])
+    listed = capsys.readouterr().out
+    assert "train_part_0" in listed and "train_part_9" not in listed
+
+
 def test_estimate(spark, capsys):
     jobs.main(["estimate"])
     out = capsys.readouterr().out

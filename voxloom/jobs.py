@@ -5,14 +5,21 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.config import SUBSET_HOURS, PipelineConfig
+from voxloom.operators.schedule import bin_count, bin_members, length_bins
 from voxloom.operators.stats import duration_estimate, real_time_factor
-from voxloom.plans.serve import create_batches, export_batches
+from voxloom.plans.serve import build_index, create_batches, export_batches
 from voxloom.plans.tokenize import tokenize_corpus
 from voxloom.schemas import AUDIO_CELL
 from voxloom.session import ship_package
+from voxloom.sources.catalogue import catalogue
+from voxloom.sources.chunks import CHUNKS
+from voxloom.sources.commits import left_over
+from voxloom.sources.files import glob_paths
+from voxloom.streaming.schedule import read_schedule, write_schedule
 from voxloom.streaming.tokenize import tokenize_stream
 
 
@@ -49,13 +56,36 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_schedule(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = PipelineConfig(batch_size=args.batch_size, seed=args.seed)
+    shuffle = "formula" if args.order == "formula" else True
     train, held_out = create_batches(
-        spark, args.tokens, args.epochs, args.replicas, cfg, args.first_epoch, args.rank, args.uneven
+        spark, args.tokens, args.epochs, args.replicas, cfg, args.first_epoch, args.rank, args.uneven, args.check, shuffle
     )
     train.write.partitionBy("epoch", "rank").parquet(f"{args.out}/train")
     held_out.write.partitionBy("rank").parquet(f"{args.out}/eval")
 
 
+def run_endless(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Hand out the next batch of places; called again, it goes on."""
+    cfg = PipelineConfig(batch_size=args.batch_size, seed=args.seed)
+    members, total = f"{args.out}/members", f"{args.out}/bins"
+    if not glob_paths(spark, f"{total}/_SUCCESS"):
+        index = build_index(spark, args.tokens, args.split, args.check)
+        bin_members(length_bins(index.index, cfg)).write.mode("overwrite").parquet(members)
+        spark.range(1).select(F.lit(bin_count(index.n_samples, cfg)).alias("n_bins")).write.mode("overwrite").json(total)
+    n_bins = spark.read.json(total).first()["n_bins"]
+    rows = read_schedule(spark, spark.read.parquet(members), n_bins, args.replicas, cfg, args.bins_per_batch)
+    write_schedule(rows, args.out).awaitTermination()
+
+
+def run_files(spark: SparkSession, args: argparse.Namespace) -> None:
+    catalogue(spark, args.tokens, args.split).orderBy("dataset", "path").show(1000, truncate=False)
+
+
+def run_leftovers(spark: SparkSession, args: argparse.Namespace) -> None:
+    for path in left_over(spark, args.tokens, CHUNKS):
+        print(path)
+
+
 def run_export(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = PipelineConfig(batch_size=args.batch_size)
     export_batches(spark, args.tokens, args.split, args.out, cfg, args.bins_per_file)
@@ -79,6 +109,9 @@ def parser() -> argparse.ArgumentParser:
         sub.set_defaults(run=run)
         return sub
 
+    def checked(sub):
+        sub.add_argument("--full-check", dest="check", action="store_const", const="full", default=True, help="read all arrays before they are indexed")
+
     for name, run in (("tokenize", run_tokenize), ("stream", run_stream)):
         sub = job(name, run, "corpus", "out")
         sub.add_argument("--with-speaker", action="store_true", help="the corpus has a speaker column")
@@ -95,6 +128,16 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument(f"--{name}", type=int, default=default)
     sub.add_argument("--rank", type=int, help="only this replica's share")
     sub.add_argument("--uneven", default="keep", choices=("keep", "drop"), help="bins that do not divide by the replicas")
+    sub.add_argument("--order", default="sort", choices=("sort", "formula"), help="shuffle by sorting, or by the formula of 'endless'")
+    checked(sub)
+    sub = job("endless", run_endless, "tokens", "out")
+    sub.add_argument("--split", default="train")
+    for name, default in (("replicas", 1), ("batch-size", 8), ("seed", 42), ("bins-per-batch", 100_000)):
+        sub.add_argument(f"--{name}", type=int, default=default)
+    checked(sub)
+    sub = job("files", run_files, "tokens")
+    sub.add_argument("--split")
+    job("leftovers", run_leftovers, "tokens")
     sub = job("export", run_export, "tokens", "out")
     sub.add_argument("--split", default="train")
     sub.add_argument("--batch-size", type=int, default=8)

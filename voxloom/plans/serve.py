@@ -149,6 +149,7 @@ def create_batches(
     rank: int | None = None,
     uneven: str = "keep",
     check: bool | str = True,
+    shuffle: bool | str = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Schedules for training (shuffled) and for evaluation (from short to long).
 
@@ -161,7 +162,7 @@ def create_batches(
     train = build_index(spark, root, "train", check)
     held_out = build_validation_index(spark, root, check)
     plans = (
-        batch_schedule(train, n_epochs, n_replicas, cfg, uneven=uneven, first_epoch=first_epoch),
+        batch_schedule(train, n_epochs, n_replicas, cfg, shuffle, uneven, first_epoch),
         batch_schedule(held_out, 1, n_replicas, cfg, shuffle=False),
     )
     return plans if rank is None else tuple(p.where(F.col("rank") == rank) for p in plans)
