@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries())] == [] and "pipeline" in queries()
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in queries())] == [] and "pipeline" in queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near copies", "benchmark", "secrets", "token ids"]
 
 
@@ -62,6 +62,23 @@ def test_stages_keep_columns_called_like_results(spark):
     assert kept.columns == docs.columns and kept.count() > 0 and {tuple(r) for r in kept.collect()} <= own
 
 
+def test_a_stage_deletes_the_tables_of_the_one_before(spark, edge_docs, tmp_path):
+    import os
+
+    from voxloom.session import scratch_paths
+
+    stages = dict(corpus_pipeline.STAGES)
+    with scratch_paths() as first:
+        stages["language"](spark, edge_docs, SF).write.parquet(f"{tmp_path}/one")
+    made = [p.removeprefix("file:") for p in first]
+    assert made and any(os.path.exists(p) for p in made)
+    kept = spark.read.parquet(f"{tmp_path}/one")
+    with scratch_paths() as second:
+        out = stages["near copies"](spark, kept, SF)
+    assert not any(os.path.exists(p) for p in made)
+    assert any(os.path.exists(p.removeprefix("file:")) for p in second) and out.count() <= kept.count()
+
+
 def test_run_is_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
