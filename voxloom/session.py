@@ -67,9 +67,32 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+_LISTENERS: list[list[str]] = []
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _LISTENERS:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_paths() -> Iterator[list[str]]:
+    """The paths that ``new_scratch`` hands out within a ``with`` block, for whoever knows when they are read."""
+    paths: list[str] = []
+    _LISTENERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _LISTENERS.remove(paths)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of the shared folder; one that is not there is fine."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -93,8 +116,7 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(spark, path)
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
