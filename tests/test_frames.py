@@ -113,6 +113,24 @@ def test_dense_batches(spark, samples, rows, monkeypatch, budget):
         np.testing.assert_array_equal(np.array(r["mask"]), np.pad(mask, fill))
 
 
+@pytest.mark.parametrize("budget", [4_000_000, 33 * 40, 1])
+def test_dense_sums_read_every_cell(spark, samples, monkeypatch, budget):
+    """The sums of a dense export equal those of its cells, however it is cut, and no lambda walks the cells."""
+    monkeypatch.setattr(R, "DENSE_CELLS", budget)
+    bins = B.length_bins(samples.select("idx", "length"), CFG)
+    batched = bins.drop("length").join(samples, "idx").join(R.pad_lengths(bins), "bin").coalesce(1)
+    exported = R.dense_batches(batched, CFG)
+    want = set()
+    for r in exported.collect():
+        tokens, mask = np.array(r["tokens"]), np.array(r["mask"])
+        place = np.arange(tokens.shape[0])[:, None] * 33 + np.arange(33) + 1
+        want.add((r["bin"], r["slot_in_bin"], r["idx"], tokens.shape[0], tokens.size, int(mask.sum()), int((tokens * place).sum())))
+    sums = R.dense_sums(exported, CFG)
+    assert {tuple(r) for r in sums.collect()} == want
+    assert "lambda" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert R.dense_sums(exported.where("idx < 0"), CFG).count() == 0
+
+
 def test_subsample_takes_a_sixteenth_of_every_batch(spark):
     rows = make(30, 2, frames=(1, 40))
     samples = spark.createDataFrame(rows, "idx bigint, audio array<int>, text array<int>, length int")

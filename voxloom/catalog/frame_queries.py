@@ -136,31 +136,11 @@ ORACLE["pad_cells"] = f"""with {BINS}
   from bins group by bin"""
 
 
-def _weigh_dense(dense):
-    """Every token and mask cell of a dense export, summed up per sample."""
-    zero = F.lit(0).cast("bigint")
-
-    def weigh(row, p):
-        cells = F.transform(row, lambda x, s: x.cast("bigint") * (p.cast("bigint") * CFG.frame_width + s + 1))
-        return F.aggregate(cells, zero, lambda a, x: a + x)
-
-    set_cells = F.transform("mask", lambda row: F.size(F.filter(row, lambda m: m)).cast("bigint"))
-    return dense.select(
-        "bin",
-        "slot_in_bin",
-        "idx",
-        F.size("tokens").alias("n_frames"),
-        F.size(F.flatten("tokens")).alias("n_cells"),
-        F.aggregate(set_cells, zero, lambda a, x: a + x).alias("n_valid"),
-        F.aggregate(F.transform("tokens", weigh), zero, lambda a, x: a + x).alias("checksum"),
-    )
-
-
 def batch_dense(spark, sf):
     """Padded tensors of every batch."""
     bins = R.with_pad_length(B.length_bins(indexed_lengths(spark, sf), CFG))
     batched = bins.drop("length").join(numbered_samples(spark, sf), "idx")
-    return _weigh_dense(R.dense_batches(batched, CFG))
+    return R.dense_sums(R.dense_batches(batched, CFG), CFG)
 
 
 DENSE = f"""{FRAMES}, sums as (
@@ -181,7 +161,7 @@ def export_batches(spark, sf):
     def write(path):
         S.export_batches(spark, chunk_dir(spark, sf), "train", path, CFG, bins_per_file=32)
 
-    return _weigh_dense(spark.read.parquet(written_once(spark, sf, "export", write)))
+    return R.dense_sums(spark.read.parquet(written_once(spark, sf, "export", write)), CFG)
 
 
 ORACLE["export_batches"] = "with " + DENSE.format(order="dataset, file_no, sid", where="where split = 'train'")

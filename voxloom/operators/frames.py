@@ -234,3 +234,55 @@ def weighted_sum(token: Column, pos: Column, slot: Column, cfg: PipelineConfig =
     """Aggregate: a checksum that depends on where every token stands."""
     place = pos.cast("bigint") * cfg.frame_width + slot + 1
     return F.sum(token.cast("bigint") * place).cast("bigint")
+
+
+def dense_sums(dense: DataFrame, cfg: PipelineConfig = DEFAULT) -> DataFrame:
+    """``(bin, slot_in_bin, idx, n_frames, n_cells, n_valid, checksum)`` of every row of ``dense_batches``.
+
+    ``checksum`` is that of ``weighted_sum`` over all cells, padding included. Every cell is read, a whole
+    Arrow batch at a time: the sums are differences of running sums, so no cell becomes an object.
+    """
+    width = cfg.frame_width
+    source = dense.select("bin", "slot_in_bin", "idx", "tokens", "mask")
+    schema = T.StructType(
+        [
+            *source.schema.fields[:3],
+            T.StructField("n_frames", T.IntegerType()),
+            T.StructField("n_cells", T.IntegerType()),
+            T.StructField("n_valid", T.LongType()),
+            T.StructField("checksum", T.LongType()),
+        ]
+    )
+
+    def offsets(lists: pa.Array) -> np.ndarray:
+        """Where each list begins in ``flatten()``, and where the last one ends."""
+        found = lists.offsets.to_numpy().astype(np.int64)
+        return found - found[0]
+
+    def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[at])
+
+    def weigh(part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, mask = part.column("tokens"), part.column("mask")
+        if tokens.null_count or mask.null_count:
+            raise ValueError("a sample without tokens or mask cannot be weighed")
+        rows, cells = offsets(tokens), offsets(tokens.flatten())
+        size = np.diff(cells)
+        pos = np.arange(size.size) - np.repeat(rows[:-1], np.diff(rows))
+        place = np.arange(cells[-1]) + np.repeat(pos * width + 1 - cells[:-1], size)
+        token = tokens.flatten().flatten().to_numpy(zero_copy_only=False)
+        valid = mask.flatten().flatten().to_numpy(zero_copy_only=False)
+        set_cells = sums(valid, offsets(mask.flatten())[offsets(mask)])
+        found = [np.diff(rows).astype(np.int32), np.diff(cells[rows]).astype(np.int32), set_cells, sums(token * place, cells[rows])]
+        return pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, found)], names=schema.fieldNames())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            part_no = np.cumsum(lengths.astype(np.int64) * width) // DENSE_CELLS
+            cuts = [0, *(np.flatnonzero(np.diff(part_no)) + 1), len(lengths)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if stop > start:
+                    yield weigh(batch.slice(start, stop - start))
+
+    return source.mapInArrow(each, schema)
