@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from voxloom.catalog import tables
 from voxloom.config import PipelineConfig
 from voxloom.operators import index as I
 from voxloom.operators.frames import dense_batches
@@ -258,3 +259,25 @@ def test_in_memory_samples(spark, tmp_path):
     kept = serve.build_index(spark, root, "train").samples(spark, in_memory=True)
     assert kept.storageLevel.useMemory and kept.storageLevel.useDisk and kept.count() == 2
     kept.unpersist()
+
+
+def test_corpus_files_are_read_by_many_tasks(spark, tmp_path):
+    """A corpus has four files however many rows it has: their row groups are what tasks share."""
+    rows = spark.range(2400).select(
+        F.col("id").alias("conv_id"),
+        F.lit(0).cast("bigint").alias("turn"),
+        F.lit("user").alias("role"),
+        F.concat(F.repeat(F.lit("word of a turn "), 400), F.col("id").cast("string")).alias("text"),
+    )
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    root = tables.corpus_dir(spark, str(tmp_path))
+    for path in S.split_files(spark, root, "train"):
+        footer = pq.read_metadata(path.removeprefix("file:"))
+        assert footer.num_row_groups > 1
+    scanned = S.scan_split(spark, root, "train", tables.corpus_schema(spark, str(tmp_path)))
+    found = {(r[0], r[1]): r[2] for r in scanned.select("file_no", "row_index", "sid").collect()}
+    want = {}
+    for file_no in range(4):
+        own = sorted(c * 100 for c in range(2400) if c % 4 == file_no and c % 10 < 8)
+        want |= {(file_no, i): sid for i, sid in enumerate(own)}
+    assert found == want

@@ -30,6 +30,9 @@ N_DIVISIONS = 3
 N_REPLICAS = 3
 N_EPOCHS = 3
 DAMAGED = 7
+#: Bytes of a row group of corpus files: one is read by one task, and there are few files however many rows.
+CORPUS_GROUP = 1 << 20
+GROUP_BYTES = "parquet.block.size"
 
 # Whitespace as a DuckDB expression.
 WS = " || ".join(f"chr({c})" for c in X.PY_WHITESPACE_CODES)
@@ -238,6 +241,7 @@ def corpus_dir(spark: SparkSession, sf: str) -> str:
                 .sortWithinPartitions("sid")
                 .write.mode("append")
                 .option(H.OUTPUT_BASENAME, split)
+                .option(GROUP_BYTES, CORPUS_GROUP)
                 .parquet(path)
             )
 
@@ -261,7 +265,7 @@ def early_corpus_dir(spark: SparkSession, sf: str) -> str:
             own = rows.where(F.col("split") == split).drop("split")
             folder = new_scratch(spark, "early")
             own = own.repartitionById(N_FILES, F.col("file_no")).sortWithinPartitions("sid")
-            own.write.option(H.OUTPUT_BASENAME, split).parquet(folder)
+            own.write.option(H.OUTPUT_BASENAME, split).option(GROUP_BYTES, CORPUS_GROUP).parquet(folder)
             names = {p.rsplit("/", 1)[-1][: len(split) + 6]: p.rsplit("/", 1)[-1] for p in S.split_files(spark, corpus_dir(spark, sf), split)}
             for file in S.split_files(spark, folder, split):
                 rename_file(spark, file, f"{path}/{names[file.rsplit('/', 1)[-1][: len(split) + 6]]}")
