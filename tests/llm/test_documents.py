@@ -77,6 +77,35 @@ def test_similar_lists_in_cuts(edge_docs, edge_rows, monkeypatch):
     assert rows_of(jaccard.similar(edge_docs).drop("text_hash")) == jaccard_brute(edge_rows)
 
 
+def test_lists_of_the_same_sets_are_compared_once(spark, edge_docs):
+    rng = random.Random(5)
+    rows = []
+    for family in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        for k in range(6):
+            w = list(base)
+            for _ in range(6 * (k % 3)):  # some link, some only come close
+                w[rng.randrange(160)] = f"w{rng.randrange(10**6)}"
+            rows.append((10 * family + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = jaccard.ordered_regions(jaccard.shared_grams(docs, np.zeros(0, dtype=np.int64))).cache()
+    tree = jaccard.branches(ordered).cache()
+    lists = jaccard._lists(tree, spark.createDataFrame([], "id long, component long")).cache()
+    held = {}
+    for r in lists.collect():
+        held.setdefault(r.gram, set()).add(r.sig)
+    every = {}
+    for r in tree.collect():
+        every.setdefault(r.gram, set()).add(r.sig)
+    assert {frozenset(x) for x in held.values()} == {frozenset(x) for x in every.values() if len(x) > 1}
+    assert len(held) == len({frozenset(x) for x in held.values()}) < sum(len(x) > 1 for x in every.values())
+    sig = {r.doc_id: r.sig for r in jaccard.members(docs).where("sig is not null").collect()}
+    sets = {sig[i]: {tuple(t.split()[p : p + 5]) for p in range(156)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    whole = jaccard.whole_sets(docs, spark.createDataFrame(list(sig.items()), "doc_id long, sig long"))
+    assert want and {(r.a, r.b) for r in jaccard.cross_links(lists, ordered, whole).collect()} == want
+
+
 def test_bounds_never_lose_a_pair():
     """Every pair that can link shares at least one n-gram of its region, and the branches reach it."""
     for n in range(1, 3000):

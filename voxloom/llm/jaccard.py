@@ -86,19 +86,39 @@ def _signature(own: np.ndarray) -> int:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, sig`` of every row; equal sets have equal ``sig``."""
+    """``doc_id, text_hash, n_shingles, sig`` of every row; equal sets have equal ``sig``.
+
+    In the same pass, rows with ``gram`` and ``n`` instead: n-grams that come more than once in the regions of a
+    few thousand texts of rows with a number.
+    """
+    names = ["doc_id", "text_hash", "n_shingles", "sig", "gram", "n"]
+
+    def repeated(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        values, n = values[n > 1].view(np.int64), n[n > 1]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n.size, pa.int64())] * 4, pa.array(values), pa.array(n)], names=names)
 
     def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for rows, sets in _sets(b.column(1)):
                 own = [b.column(i).slice(rows.start, len(rows)) for i in (0, 2)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array([s.size for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())],
-                    names=["doc_id", "text_hash", "n_shingles", "sig"],
-                )
+                counts = [pa.array([s.size for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, *counts, *[pa.nulls(len(rows), pa.int64())] * 2], names=names)
+                for s, numbered in zip(sets, known[rows.start : rows.stop].tolist(), strict=True):
+                    if numbered and s.size:
+                        held.append(s[: region(s.size)])
+                        size += held[-1].size
+                if size > GATHER:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _regions(docs: DataFrame, rows, schema: str, fields: list[str]) -> DataFrame:
@@ -125,19 +145,12 @@ def _regions(docs: DataFrame, rows, schema: str, fields: list[str]) -> DataFrame
     return docs.select("text").mapInArrow(run, schema)
 
 
-def common_grams(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """N-grams of more than one of ``COMMON`` documents, by a count of those that repeat within a few thousand texts.
+def common_grams(repeated: DataFrame, n_docs: int) -> np.ndarray:
+    """N-grams of more than one of ``COMMON`` documents, by the counts ``gram, n`` of those that repeat in ``members``.
 
     A region has a bounded mean size, so there are at most ``COMMON`` times that many.
     """
-
-    def repeated(tokens, sig, sizes, fields):
-        values, n = np.unique(tokens, return_counts=True)
-        if (n > 1).any():
-            yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1])], names=fields)
-
-    rows = _regions(docs, repeated, "gram long, n long", ["gram", "n"])
-    most = rows.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(CUT, n_docs // COMMON))
+    most = repeated.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(CUT, n_docs // COMMON))
     return np.sort(np.array(most.select("gram").toArrow()["gram"].to_numpy(), dtype=np.int64))
 
 
@@ -160,13 +173,18 @@ def shared_grams(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     all_ = _regions(docs, rows, "gram long, sig long, n int, common boolean", fields)
     key = F.when(F.col("common"), F.xxhash64("gram", "sig")).otherwise(F.col("gram"))
-    spread = all_.repartition(key).sortWithinPartitions("gram", "sig")
+    spread = all_.repartition(key).sortWithinPartitions("gram")  # one number, most of them alone
 
     def groups(batches):
         held: list[tuple] = []  # rows of the n-gram that the last batch ended with
 
         def told(gram, sig, n, hot):
-            new = np.r_[True, (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])]
+            edge = np.r_[True, gram[1:] != gram[:-1], True]
+            kept = np.flatnonzero(~(edge[1:] & edge[:-1]) | hot)
+            kept = kept[np.lexsort((sig[kept], gram[kept]))]
+            gram, sig, n, hot = gram[kept], sig[kept], n[kept], hot[kept]
+            new = np.ones(gram.size, dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
             gram, sig, n, hot = gram[new], sig[new], n[new], hot[new]
             _, back, sets = np.unique(gram, return_inverse=True, return_counts=True)
             sets = np.where(hot, 1 << 40, sets[back])
@@ -224,12 +242,19 @@ def branches(ordered: DataFrame) -> DataFrame:
 
 
 def _lists(tree: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Branches with the component of each set and the cut of the list it is in; lists within one component are left out."""
+    """Branches with the component of each set and the cut of the list it is in; lists within one component are left out.
+
+    Once there are components, of lists of the very same sets only the first in the order is left (its sets have the
+    largest tails): pairs are compared in the list of the first n-gram they share, and they share that one.
+    """
     if label is None:
         rows = tree.withColumn("component", F.col("sig"))
     else:
         rows = tree.join(label.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    sizes = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    same = [] if label is None else [F.bit_xor(F.xxhash64("sig")).alias("one"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("two"), F.max("tail").alias("tail")]
+    sizes = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same).where("lo <> hi")
+    if same:
+        sizes = sizes.groupBy("m", "one", "two").agg(F.max_by("gram", "tail").alias("gram"))
     rows = rows.join(sizes.select("gram", "m"), "gram")
     cuts = F.ceil(F.col("m") / CUT).cast("int")
     return rows.select("gram", "sig", "n", "tail", "component", cuts.alias("cuts"), F.pmod(F.xxhash64("sig"), cuts).cast("int").alias("cut"))
@@ -551,10 +576,11 @@ def similar(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialize(members(docs), "shingle-members")
+    told = materialize(members(docs), "shingle-members")
+    all_ = told.where("gram is null").drop("gram", "n")
     classes = all_.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     numbered = docs.where("doc_id is not null and text is not null")
-    common = common_grams(numbered, all_.count())
+    common = common_grams(told.where("gram is not null").select("gram", "n"), all_.count())
     ordered = materialize(ordered_regions(shared_grams(numbered, common)), "regions")
     tree = materialize(branches(ordered), "branches")
     # sets that meet no other in a list are done
