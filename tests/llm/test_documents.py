@@ -1,6 +1,7 @@
 """Document operators against brute force, on nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from voxloom import session
 from voxloom.llm import bpe, fmindex, jaccard, kneser_ney, language, quality, records, secrets, substrings, winnow, words
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -211,6 +213,46 @@ def test_perplexity_tells_order_and_language(spark):
     assert loss[101] == pytest.approx(loss[0], abs=1e-9) and loss[103] is None
 
 
+def test_quality_keeps_no_step_on_disk(spark, edge_docs, tmp_path):
+    edge_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with session.scratch_paths() as used:
+        n = quality.op4_quality(spark, str(tmp_path)).count()
+    left = [p for p in used if os.path.exists(p.removeprefix("file:"))]
+    assert n == edge_docs.count() and [os.path.basename(p).split("-")[0] for p in left] == ["quality"]
+    assert spark.conf.get(session.DROP_SHUFFLES) == "false"
+
+
+def test_blocks_tell_every_ngram_once(spark, monkeypatch):
+    """N-grams of many slices of a block, their counts, hashes and characters of one to four bytes."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é中\U0001f600", k=rng.randint(0, 40))) for _ in range(300)] + ["x", "", None]
+    rows = [(t, f"g{k % 3}") for k, t in enumerate(texts)]
+    monkeypatch.setattr(kneser_ney, "HASHED", 7)  # in this process
+    grams = kneser_ney.Grams.of([t or "" for t in texts], 5)
+    monkeypatch.undo()
+    assert np.array_equal(grams.hashes, kneser_ney.Grams.of([t or "" for t in texts], 5).hashes)
+    want = Counter()
+    for t, g in rows:
+        if w := " ".join(spaced(t)):
+            framed = kneser_ney.BEGIN + w + kneser_ney.END
+            want.update((g, framed[max(0, e - 4) : e + 1]) for e in range(1, len(framed)))
+    docs = spark.createDataFrame(rows, "text string, grp string").repartition(2)
+    blocks = kneser_ney.blocked(docs, "text", "grp", words.SPACED, False, True, 5)
+    told = blocks.where("__gram is not null").collect()
+    got = Counter()
+    for r in told:
+        got[r["__own"], r["__gram"]] += r["__c"]
+    assert got == want and len({(r["__block"], r["__own"], r["__gram"]) for r in told}) == len(told)
+    assert len({r["__key"] for r in told}) == len(want)
+
+    held, owns = kneser_ney.Held(), np.zeros(grams.hashes.size, dtype=np.int64)
+    for _ in range(3):
+        held.add(grams.hashes, owns, grams, 5)
+    keys, _, points, sizes, counts = held.merge()
+    assert counts.sum() == 3 * grams.hashes.size and keys.size == np.unique(grams.hashes).size
+    assert set(kneser_ney.gram_texts(points, sizes).to_pylist()) == set(grams.texts(np.arange(grams.hashes.size)))
+
+
 def test_probabilities_sum_to_one(spark, edge_docs):
     rows = edge_docs.selectExpr("'all' as grp", "text")
     levels = kneser_ney.gram_counts(kneser_ney.word_counts(rows, "grp", "text", words.SPACED, False), 3)

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.kneser_ney import Scorer, answers, blocked, fitted, levels_of
+from voxloom.llm.kneser_ney import Scorer, blocked, delete_steps, filed, fitted, keyed, levels_of
 from voxloom.llm.words import _PLACE_VALUE, SPACED, _byte_class, mix, window_hashes, words_of
-from voxloom.session import materialize
+from voxloom.session import materialize, scratch_paths
 
 ORDER = 5
 WINDOW = 5
@@ -19,6 +19,8 @@ MAX_REPEATED = 20  # of 100 words
 BAND = 3.0
 #: Texts of this many words may lie the square root of two times as far; shorter ones scatter more.
 SCATTER = 100
+#: Splits of the input that one task reads, where tasks are left for all cores: the more texts a block has, the fewer n-grams are told again.
+SPLITS = 8
 SYMBOLS = _byte_class(lambda b: chr(b) in "#*$%&|<>")
 LINE = _byte_class(lambda b: b != 0x0A)
 _HEAD = np.array([b & 0xC0 != 0x80 for b in range(256)])
@@ -63,8 +65,16 @@ def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
     grouped = docs.select("doc_id", "lang", "text", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("__group"))
     blocks = blocked(grouped, "text", "__group", SPACED, False, True, order)
     top = blocks.where("__gram is not null").groupBy(F.col("__own").alias("grp"), F.col("__gram").alias("gram")).agg(F.sum("__c").alias("c"))
-    model = fitted(levels_of(top, order), modified=True)
-    root, n_groups = answers(blocks, model, own=True), min(len(model.groups), 1)
+    with scratch_paths() as steps:
+        levels = levels_of(top, order)
+    with scratch_paths() as models:
+        model = fitted(levels, modified=True)
+    delete_steps(docs.sparkSession, steps)
+    with scratch_paths() as steps:
+        weights = keyed(model.counted(), True, order)
+    delete_steps(docs.sparkSession, models)
+    root, n_groups = filed(blocks, weights), min(len(model.groups), 1)
+    delete_steps(docs.sparkSession, steps)
 
     def run(batches):
         scorer = Scorer(root, n_groups, SPACED, False, True, order)
@@ -94,7 +104,12 @@ def judged(rows: DataFrame, band: float = BAND) -> DataFrame:
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = materialize(measured(docs), "quality")
+    tasks = docs.rdd.getNumPartitions()
+    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, tasks // SPLITS))
+    with scratch_paths() as steps:
+        scored = measured(docs)
+    rows = materialize(scored, "quality")
+    delete_steps(spark, steps)
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
