@@ -27,86 +27,108 @@ from voxloom.session import materialize, new_scratch
 #: Fixed: the polynomial of CRC-32C (reflected) and the mask of the record format.
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
-BLOCK = 1024
+#: Bytes that one look-up folds into a register of four, and those looked up at once (so they stay in the cache).
+FOLD = 64
+AT_ONCE = 1 << 18
 #: Marks that may end a word of letters and are a piece of their own.
 MARK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"])
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 
 
-def _crc_tables() -> np.ndarray:
+def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(POLYNOMIAL), np.uint32(0))
-    tables = [table]
-    for _ in range(7):
-        tables.append((tables[-1] >> np.uint32(8)) ^ table[tables[-1] & np.uint32(255)])
-    return np.stack(tables)
-
-
-_T = _crc_tables()
-
-
-def _raw_crc(lanes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Registers after the bytes of each lane (rows of a multiple of 8 bytes), from ``start``."""
-    crc = start
-    for at in range(0, lanes.shape[1], 8):
-        x = lanes[:, at : at + 8]
-        low = x[:, :4].copy().view("<u4")[:, 0] ^ crc
-        crc = _T[7][low & 255] ^ _T[6][(low >> 8) & 255] ^ _T[5][(low >> 16) & 255] ^ _T[4][low >> 24]
-        crc = crc ^ _T[3][x[:, 4]] ^ _T[2][x[:, 5]] ^ _T[1][x[:, 6]] ^ _T[0][x[:, 7]]
-    return crc
-
-
-def _shift_tables() -> np.ndarray:
-    """What a register becomes by BLOCK zero bytes, by each of its four bytes."""
-    bits = _raw_crc(np.zeros((32, BLOCK), dtype=np.uint8), np.uint32(1) << np.arange(32, dtype=np.uint32))
-    out = np.zeros((4, 256), dtype=np.uint32)
-    for value in range(256):
-        for bit in range(8):
-            if value >> bit & 1:
-                out[:, value] ^= bits[bit::8]
+    return table
+
+
+_T = _crc_table()
+
+
+def _shifted(registers: np.ndarray, n: int) -> np.ndarray:
+    """Registers after ``n`` more zero bytes."""
+    for _ in range(n):
+        registers = (registers >> np.uint32(8)) ^ _T[registers & np.uint32(255)]
+    return registers
+
+
+def _moved(registers: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Registers after the zero bytes that ``step`` tells the effect of, bit by bit."""
+    on = (registers[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(on * step, axis=1)
+
+
+def _folds(levels: int) -> list[np.ndarray]:
+    """For each level, what a byte at each of FOLD places leaves in the register after the last place.
+
+    On the first level the places are bytes of data; above, they are the bytes of the registers of
+    FOLD / 4 neighbours of the level below, each as many bytes of data after the one before it.
+    """
+    out = [np.zeros((FOLD, 256), dtype=np.uint32)]
+    out[0][FOLD - 1] = _T
+    for place in range(FOLD - 2, -1, -1):
+        out[0][place] = _shifted(out[0][place + 1], 1)
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    step = _shifted(bits, FOLD)  # what each bit of a register becomes by a neighbour's bytes
+    values = np.arange(256)
+    for _ in range(levels - 1):
+        table, now = np.zeros((FOLD, 256), dtype=np.uint32), bits
+        for first in range(FOLD - 4, -1, -4):
+            for bit in range(32):
+                table[first + bit // 8] ^= np.where(values >> (bit % 8) & 1, now[bit], 0).astype(np.uint32)
+            now = _moved(now, step)
+        out.append(table)
+        step = now
     return out
 
 
-_SHIFT = _shift_tables()
+#: Enough for stretches of 64 * 16 ** 8 bytes (274 GB).
+_FOLDS = [t.ravel() for t in _folds(9)]
+_PLACES = np.arange(FOLD) * 256
+
+
+def _in_front(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch behind as many zero bytes as fill its last fold, and the number of folds of each."""
+    folds = -(-lengths // FOLD)
+    stops = np.cumsum(folds) * FOLD
+    out = np.zeros(int(stops[-1]), dtype=np.uint8)
+    for s, n, e in zip(starts.tolist(), lengths.tolist(), stops.tolist(), strict=True):
+        out[e - n : e] = data[s : s + n]
+    return out, folds
 
 
 def crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """CRC-32C of each stretch of ``data``, all of them side by side in blocks of a kilobyte.
+    """CRC-32C of each stretch of ``data``, all of them side by side.
 
-    A stretch is padded in front: leading zero bytes leave a zero register zero. The start value of
-    the register is worked in by flipping the first four bytes (shorter stretches go byte by byte).
+    All stretches are folded together, whatever their sizes: 64 bytes become a register of four, sixteen
+    neighbouring registers become one on the next level, until each stretch has one. Zero bytes fill the
+    front: they leave a zero register zero. The start value of the register is worked in by flipping the
+    first four bytes (shorter stretches go byte by byte).
     """
     out = np.zeros(lengths.size, dtype=np.uint32)
-    for size in sorted(set((-(-lengths // BLOCK)).tolist())):
-        rows = np.flatnonzero(-(-lengths // BLOCK) == size)
-        if size == 0:
-            continue
-        if size == 1:  # short ones by steps of 64 bytes
-            width = (-(-lengths[rows] // 64)) * 64
-        else:
-            width = np.full(rows.size, size * BLOCK)
-        for w in np.unique(width).tolist():
-            own = rows[width == w]
-            for part in np.array_split(own, max(1, -(-own.size * w // (8 << 20)))):
-                lanes = np.zeros((part.size, w), dtype=np.uint8)
-                for k, (s, n) in enumerate(zip(starts[part].tolist(), lengths[part].tolist(), strict=True)):
-                    lanes[k, w - n :] = data[s : s + n]
-                    head = min(4, n)
-                    lanes[k, w - n : w - n + head] ^= 255
-                if w <= BLOCK:
-                    crc = _raw_crc(lanes, np.zeros(part.size, dtype=np.uint32))
-                else:
-                    blocks = _raw_crc(lanes.reshape(-1, BLOCK), np.zeros(part.size * size, dtype=np.uint32)).reshape(part.size, size)
-                    crc = blocks[:, 0]
-                    for j in range(1, size):
-                        crc = _SHIFT[0][crc & 255] ^ _SHIFT[1][(crc >> 8) & 255] ^ _SHIFT[2][(crc >> 16) & 255] ^ _SHIFT[3][crc >> 24] ^ blocks[:, j]
-                out[part] = crc
+    own = np.flatnonzero(lengths >= 4)
+    if own.size:
+        n = lengths[own]
+        part, folds = _in_front(data, starts[own], n)
+        heads = np.cumsum(folds) * FOLD - n
+        part[(heads[:, None] + np.arange(4)).ravel()] ^= 255
+        for table in _FOLDS:
+            registers = np.zeros(part.size // FOLD, dtype="<u4")
+            rows = part.reshape(-1, FOLD)
+            for at in range(0, rows.shape[0], AT_ONCE // FOLD):
+                np.bitwise_xor.reduce(table[rows[at : at + AT_ONCE // FOLD] + _PLACES], axis=1, out=registers[at : at + AT_ONCE // FOLD])
+            first = np.cumsum(folds) - folds
+            done = folds == 1
+            out[own[done]] = registers[first[done]]
+            if done.all():
+                break
+            own, first, folds = own[~done], first[~done], folds[~done]
+            part, folds = _in_front(registers.view(np.uint8), first * 4, folds * 4)
     out ^= np.uint32(0xFFFFFFFF)
     for k in np.flatnonzero(lengths < 4).tolist():
         crc = 0xFFFFFFFF
         for byte in data[starts[k] : starts[k] + lengths[k]].tolist():
-            crc = (crc >> 8) ^ int(_T[0][(crc ^ byte) & 255])
+            crc = (crc >> 8) ^ int(_T[(crc ^ byte) & 255])
         out[k] = crc ^ 0xFFFFFFFF
     return out
 
