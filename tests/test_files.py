@@ -281,3 +281,36 @@ def test_corpus_files_are_read_by_many_tasks(spark, tmp_path):
         own = sorted(c * 100 for c in range(2400) if c % 4 == file_no and c % 10 < 8)
         want |= {(file_no, i): sid for i, sid in enumerate(own)}
     assert found == want
+
+
+def test_driver_calls_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """The driver asks the JVM as often for 5 chunk files as for 105."""
+    cfg = PipelineConfig(chunk_rows=10, chunks_per_task=30, position_block=1000)
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: calls.append(1) or send(*a, **k))
+    spent = {}
+    for n in (44, 1044):
+        rows = spark.range(n).select(F.lit("a").alias("f"), F.col("id").alias("row"), F.lit(4).alias("length"))
+        placed = H.assign_chunks(rows, "f", "row", (), 1, cfg)
+        calls.clear()
+        H.write_chunks(placed, n, str(tmp_path / f"out {n}"), "train", None, 1, cfg)
+        spent[n] = len(calls)
+        files = glob_paths(spark, f"{tmp_path}/out {n}/train_part_*.parquet")
+        held = [pq.read_table(f.removeprefix("file:"))["position"].to_pylist() for f in files]
+        assert [len(h) for h in held] == [10] * (n // 10) + [4] and sum(held, []) == list(range(n))
+        names = [f.rsplit("/", 1)[-1] for f in files]
+        assert sorted(os.listdir(tmp_path / f"out {n}")) == sorted(["_commits", *names, *(f".{x}.crc" for x in names)])
+    assert spent[1044] < spent[44] + 100
+    assert spark.read.parquet(*files).agg(F.sum("position")).first()[0] == 1044 * 1043 // 2
+    with open(files[7].removeprefix("file:"), "r+b") as f:
+        f.seek(4)
+        f.write(b"\xff" * 20)
+    with pytest.raises(Exception, match="Checksum"):
+        spark.read.parquet(files[7]).collect()
+
+
+def test_cut_batches():
+    batches = [pa.record_batch({"x": list(range(a, b))}) for a, b in ((0, 3), (3, 3), (3, 14), (14, 20), (20, 21))]
+    assert [t["x"].to_pylist() for t in H._cut(iter(batches), 5)] == [list(range(k, min(k + 5, 21))) for k in range(0, 21, 5)]
+    assert list(H._cut(iter([]), 5)) == []

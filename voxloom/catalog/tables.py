@@ -81,24 +81,27 @@ PROSE = f"""prose as (
   from documents)"""
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokenised dialogue with byte ids as text and codes made from a formula."""
+def spoken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``samples`` are made of: the tagged text and the number of frames, no arrays yet."""
     rows = keep_long_enough(clean_rows(dialogue(spark, sf)))
-    frames = F.length("text") % 5 + 1
+    frames = (F.length("text") % 5 + 1).alias("frames")
+    return rows.select("sid", "file_no", "split", F.col("speaker").alias("dataset"), frames, "tagged_text")
+
+
+def with_arrays(lines: DataFrame, *carried: str) -> DataFrame:
+    """``carried`` columns of spoken lines with their arrays and length."""
     codes = F.transform(
-        index_range(frames * 32), lambda k: ((F.col("sid") * 31 + k * 7) % 2048).cast("int")
-    )
-    arrays = rows.select(
-        "sid",
-        "file_no",
-        "split",
-        F.col("speaker").alias("dataset"),
-        codes.alias("audio"),
-        X.utf8_ids(F.col("tagged_text")).alias("text"),
+        index_range(F.col("frames") * 32), lambda k: ((F.col("sid") * 31 + k * 7) % 2048).cast("int")
     )
+    arrays = lines.select(*carried, codes.alias("audio"), X.utf8_ids(F.col("tagged_text")).alias("text"))
     return arrays.withColumn("length", sample_length(F.col("audio"), F.col("text")))
 
 
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokenised dialogue with byte ids as text and codes made from a formula."""
+    return with_arrays(spoken_lines(spark, sf), "sid", "file_no", "split", "dataset")
+
+
 BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::int)"
 
 SAMPLES = f"""{DIALOGUE}, samples as (
@@ -297,13 +300,14 @@ def chunk_dir(spark: SparkSession, sf: str) -> str:
         # Another tool's file, there before the first run.
         put_bytes(spark, f"{path}/user/train_part_broken.parquet", b"not a table")
         group = ("dataset", "split")
-        placed = H.assign_chunks(samples(spark, sf), "file_no", "sid", group, 1, CFG)
-        placed = placed.withColumn("cells", H.content_sum())
+        # Lines are numbered and dealt out as text; their arrays, several times as large, are made beside the writing.
+        placed = H.assign_chunks(spoken_lines(spark, sf), "file_no", "sid", group, 1, CFG)
         folder = new_scratch(spark, "placed")
         placed.write.partitionBy(*group).parquet(folder)
-        rows = spark.read.parquet(folder)
-        for dataset, split, n in rows.groupBy(*group).count().collect():
-            part = rows.where((F.col("dataset") == dataset) & (F.col("split") == split)).drop(*group)
+        lines = spark.read.parquet(folder)
+        for dataset, split, n in lines.groupBy(*group).count().collect():
+            part = lines.where((F.col("dataset") == dataset) & (F.col("split") == split))
+            part = with_arrays(part, "file_no", "sid", "position", "chunk_no").withColumn("cells", H.content_sum())
             H.write_chunks(part, n, f"{path}/{dataset}", split, None, 1, CFG)
 
     return written_once(spark, sf, "chunks", write)

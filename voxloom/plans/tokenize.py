@@ -216,7 +216,7 @@ def tokenize_split(
         H.write_chunks(samples, written, out_dir, split, division, first, cfg, done=D.done_bits(good, dataset), moved=moved)
         if set_aside or short:
             writer, run = bad.write.option(H.OUTPUT_BASENAME, split), Commit("", split, division)
-            append_run(spark, writer, quarantine_dir(out_dir), "*.parquet", run, D.done_bits(bad, dataset))
+            append_run(spark, writer.parquet, quarantine_dir(out_dir), "*.parquet", run, D.done_bits(bad, dataset))
     return RunCounts(seen, skipped, written, set_aside, short)
 
 

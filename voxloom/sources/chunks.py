@@ -10,10 +10,12 @@ scan that serves them, so no pass over the arrays comes before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from voxloom.schemas import CHUNK_FILE, SERVED_FILE
 from voxloom.session import materialize
 from voxloom.sources.catalogue import catalogue, next_chunks, readable, samples_per_dataset
 from voxloom.sources.commits import Commit, append_run, visible_files, visible_in_folders
-from voxloom.sources.files import subdirectories
+from voxloom.sources.files import put_whole, qualified, store_of, subdirectories
 
 #: What names of chunk files look like, for any split.
 CHUNKS = "*part_*.parquet"
@@ -76,30 +78,69 @@ def write_chunks(
 ) -> Commit | None:
     """Write rows that carry ``position`` and ``chunk_no`` as one file per chunk.
 
-    A task gets whole chunks and holds at most ``chunks_per_task`` of them; the file writer turns
-    to a new file every ``chunk_rows`` rows, which is exactly where a chunk ends.
+    A task gets whole chunks and writes at most ``chunks_per_task`` of them; it turns to a new file every
+    ``chunk_rows`` rows, which is exactly where a chunk ends.
 
     Appending goes through a folder of the run's own, and the run is listed when all its files are in
     place (``commits.append_run``): readers see all of it or nothing. ``done`` and ``moved`` are handed on.
     """
     if n_rows == 0 and mode == "append":
         return None
-    rows_per_task = cfg.chunk_rows * cfg.chunks_per_task
+    spark, rows_per_task = placed.sparkSession, cfg.chunk_rows * cfg.chunks_per_task
     n_tasks = max(1, -(-n_rows // rows_per_task))
     task = int_div(F.col("position"), rows_per_task).cast("int")
-    writer = (
-        placed.repartitionById(n_tasks, task)
-        .sortWithinPartitions("position")
-        .write.option(OUTPUT_BASENAME, f"{chunk_prefix(split, division)}{first_chunk:09d}")
-        .option("maxRecordsPerFile", cfg.chunk_rows)
-    )
+    dealt = placed.repartitionById(n_tasks, task).sortWithinPartitions("position")
+    name = f"{chunk_prefix(split, division)}{first_chunk:09d}"
     if mode == "append":
         run = Commit("", split, division, first_chunk, -(-n_rows // cfg.chunk_rows))
-        return append_run(placed.sparkSession, writer, out_dir, CHUNKS, run, done, moved)
-    writer.mode(mode).parquet(out_dir)
+
+        def write(folder: str) -> None:
+            dealt.mapInArrow(_files_of(qualified(spark, folder), name, cfg.chunk_rows), "n_files int").collect()
+
+        return append_run(spark, write, out_dir, CHUNKS, run, done, moved)
+    dealt.write.option(OUTPUT_BASENAME, name).option("maxRecordsPerFile", cfg.chunk_rows).mode(mode).parquet(out_dir)
     return None
 
 
+def _files_of(folder: str, name: str, rows_per_file: int):
+    """The rows of a task as files of ``rows_per_file``, and how many files it wrote.
+
+    Names depend on the task alone: one that runs again puts the same files in place. A file costs its rows
+    and a rename; with Spark's own writer every file also went through the driver when the job ended.
+    """
+    label = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
+        start, n_files = f"{name}-{TaskContext.get().partitionId():05d}-{label}", 0
+        for table in _cut(batches, rows_per_file):
+            out = pa.BufferOutputStream()
+            pq.write_table(table, out, compression="snappy")
+            put_whole(store, f"{base}/{start}.c{n_files:03d}.snappy.parquet", out.getvalue())
+            n_files += 1
+        yield pa.RecordBatch.from_pydict({"n_files": pa.array([n_files], pa.int32())})
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch], n_rows: int) -> Iterator[pa.Table]:
+    """Tables of ``n_rows`` rows, the last one with what is left."""
+    held, missing = [], n_rows
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, missing))
+            at, missing = at + held[-1].num_rows, missing - held[-1].num_rows
+            if not missing:
+                yield pa.Table.from_batches(held)
+                held, missing = [], n_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def trailing_number(stem: Column) -> Column:
     """The integer after the last underscore of a file stem; null when there is none."""
     return F.regexp_extract(stem, r"_([^_]+)$", 1).try_cast("bigint")

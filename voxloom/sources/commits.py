@@ -118,21 +118,21 @@ def commit_once(spark: SparkSession, folder: str, new: Commit) -> Commit:
 
 def append_run(
     spark: SparkSession,
-    writer,
+    write: Callable[[str], object],
     folder: str,
     pattern: str,
     new: Commit,
     done: DataFrame | None = None,
     moved: Callable[[str], None] | None = None,
 ) -> Commit:
-    """Write below ``folder`` in a hidden folder of this run, move its files in, and list them.
+    """``write`` into a hidden folder of this run below ``folder``, move its files in, and list them.
 
     ``done`` names the input rows of the run (see ``operators.done``); it is written beside the files and
     counts from the moment they do. ``moved`` is told the name of every file that was moved.
     """
     adopt(spark, folder, pattern)
     run = uuid.uuid4().hex
-    writer.parquet(f"{folder}/_run-{run}")
+    write(f"{folder}/_run-{run}")
     kept = None
     if done is not None:
         kept = f"{DONE}/{run}"

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Callable
 from urllib.parse import quote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 # Characters of a path that its URI form escapes.
@@ -36,25 +40,47 @@ def subdirectories(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path and the path in it, for tasks and for many small files."""
+    return fs.FileSystem.from_uri(path[5:] if path.startswith("file:/") and "://" not in path else path)
+
+
+def put_whole(store: fs.FileSystem, path: str, data: pa.Buffer) -> None:
+    """Create a file that is there with its whole content or not at all; one of that name is replaced.
+
+    On the local file system it gets the check file that Hadoop keeps beside it (CRC-32 of every 512 bytes),
+    so that Spark's readers notice damage.
+    """
+    folder, name = path.rsplit("/", 1)
+    if store.type_name == "local":
+        sums = [zlib.crc32(memoryview(data)[at : at + 512]) for at in range(0, data.size, 512)]
+        with store.open_output_stream(f"{folder}/.{name}.crc") as out:
+            out.write(b"crc\0" + struct.pack(f">i{len(sums)}I", 512, *sums))
+    draft = f"{folder}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        out.write(data)
+    store.move(draft, path)
+
+
 def move_into(spark: SparkSession, staging: str, target: str, moved: Callable[[str], None] | None = None) -> list[str]:
     """Move the data files of a finished run into ``target`` and drop its folder; returns their names, sorted.
 
-    Names must be unique. ``moved`` is told every name as soon as its file is in place.
+    Names must be unique. ``moved`` is told every name as soon as its file is in place. The driver does
+    nothing but a rename a file (and its check file, on the local file system).
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    to = hadoop(target)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(to)
-    names = []
-    for status in _statuses(spark, f"{staging}/[!_.]*"):
-        path = status.getPath()
-        if not fs.rename(path, hadoop(to, path.getName())):
-            raise OSError(f"cannot move {path} to {target}")
-        names.append(path.getName())
+    store, source = store_of(qualified(spark, staging))
+    to = store_of(qualified(spark, target))[1]
+    store.create_dir(to, recursive=True)
+    found = {i.base_name for i in store.get_file_info(fs.FileSelector(source))}
+    names = sorted(n for n in found if not n.startswith(("_", ".")))
+    for name in names:
+        if (check := f".{name}.crc") in found:
+            store.move(f"{source}/{check}", f"{to}/{check}")
+        store.move(f"{source}/{name}", f"{to}/{name}")
         if moved:
-            moved(names[-1])
-    fs.delete(hadoop(staging), True)
-    return sorted(names)
+            moved(name)
+    store.delete_dir(source)
+    return names
 
 
 def rename_file(spark: SparkSession, source: str, target: str) -> None:
